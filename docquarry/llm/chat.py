@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.session import ship_package
+
 OPEN, CLOSE = "### ", "</turn>"
 _HEAD = re.compile(r"### ([^\n:]*):\n")
 
@@ -86,6 +88,7 @@ def examples(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     Offsets are code points. Null text or role: empty. Ties in turn go by role, then text; repeated rows are turns of their own. A
     null conversation id is one conversation. Empty table: no rows. Other columns are not read. Output is made an example at a
     time, in batches of about 8 MB, since a long conversation's prefixes add up to the square of its length."""
+    ship_package(turns.sparkSession)
     kind = turns.schema[conv].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,6 +128,7 @@ def read_back(rows: Iterator[tuple[int, str, int, int]]) -> dict:
 def digest(turns: DataFrame, conv: str = "conv_id", **columns: str) -> DataFrame:
     """``read_back`` of every conversation. Examples are made and read where the conversation is, one after the other, so the
     quadratic text is never held or moved as a whole."""
+    ship_package(turns.sparkSession)
     kind = turns.schema[conv].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

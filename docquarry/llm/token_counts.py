@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from docquarry.session import ship_package
+
 #: Bounds of the two tiers. They limit memory; counts don't depend on them.
 SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT, CACHE = 1000, 4_000_000, 20_000, 400_000
 _BLANK = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c"})
@@ -70,6 +72,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
     ``tokenizer_path`` is read once, on the driver."""
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
+    ship_package(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((spec, frequent_table(docs, spec, text)))
     kind = docs.schema[key].dataType
