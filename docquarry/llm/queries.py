@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, gif, html_text, mixing, secret_scan, sharding, token_counts
+from docquarry.llm import chat, decontam, gif, html_text, mixing, near_dup, secret_scan, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,3 +61,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_mixing, op6_chat_formatting, op7_html_extraction, op8_token_counts, op10_gif_media)
 }
 ORACLES: dict[str, str] = {}
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_components(_table(spark, sf_dir, "documents"), p=near_dup.NearParams(words=4))
+
+
+QUERIES |= {f.__name__: f for f in (op4_decontamination, op9_near_dedup)}
+ORACLES |= {"op4_decontamination": decontam.oracle()}
