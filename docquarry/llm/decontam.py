@@ -94,14 +94,14 @@ def oracle(p: SeedParams = SeedParams()) -> str:
 
     def seeds(src: str, ident: str) -> str:
         return " union all ".join(
-            f"select {ident}, at, {k} as mask, list_aggregate([{', '.join(f'w[at + {i + 1}]' for i, c in enumerate(m) if c == '1')}], 'string_agg', ' ') as seed from (select {ident}, w, unnest(range(0, len(w) - {len(m) - 1})) as at from {src})"
+            f"select {ident}, pos, {k} as mask, list_aggregate([{', '.join(f'w[pos + {i + 1}]' for i, c in enumerate(m) if c == '1')}], 'string_agg', ' ') as seed from (select {ident}, w, unnest(range(0, len(w) - {len(m) - 1})) as pos from {src})"
             for k, m in enumerate(p.masks)
         )
 
     return f"""
 with d as (select doc_id, {words} as w from documents), b as (select item_id, {words} as w from benchmark),
 ds as ({seeds('d', 'doc_id')}), bs as ({seeds('b', 'item_id')}),
-met as (select doc_id, item_id, ds.at as i, bs.at as j from ds join bs using (mask, seed)),
+met as (select doc_id, item_id, ds.pos as i, bs.pos as j from ds join bs using (mask, seed)),
 lined as (select doc_id, item_id, i, j, d.w as dw, b.w as bw, least(len(b.w), {p.window}) as width from met join d using (doc_id) join b using (item_id)),
 led as (select *, least(greatest(j - {(p.window - longest) // 2}, 0), len(bw) - width) as lead from lined),
 scored as (select doc_id, item_id, width, len(list_filter(range(0, width), lambda t: i - j + lead + t >= 0 and dw[greatest(i - j + lead + t, -1) + 1] = bw[lead + t + 1])) as same from led)
