@@ -1,18 +1,58 @@
-"""The corpus pipeline: quality, near-dedup, decontamination, mixing, sharding."""
+"""The corpus pipeline: quality, near-dedup, decontamination, mixing to target weights, sharding.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and returns the columns of documents; the last
+returns one row a record with its shard and slot. Stages are written and read between each other.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docquarry.llm import decontam, mixing, near_dup, quality, sharding
 from docquarry.session import materialize
 
-STAGES: list = []
+SHARDS = 40
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier, fitted on these documents, doesn't reject."""
+    return quality.keep_good(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near copies: shingles of five words, similarity of 0.8 or more."""
+    return near_dup.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix draws it, whole."""
+    return mixing.mix(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of every record of the mix."""
+    return sharding.shard_by_bytes(docs, SHARDS)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near-dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
+#: Hashed signatures, EM and a fitted scorer decide rows, which SQL can't express; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{k}")

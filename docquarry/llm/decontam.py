@@ -12,6 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.filters import without
+from docquarry.session import materialize
+
 
 @dataclass(frozen=True)
 class SeedParams:
@@ -81,10 +84,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", p: SeedParams = SeedParams(), **columns: str) -> DataFrame:
-    """``docs`` without those that overlap a benchmark item; their own columns. Rows with a null key are kept unless a null-keyed
-    document overlaps, and then all of them go."""
-    bad = overlaps(docs, benchmark, key, p=p, **columns).select(F.col(key).alias("__bad")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad")), "left_anti")
+    """``docs`` without those that overlap a benchmark item; their own columns. Rows with a null key stay."""
+    bad = materialize(overlaps(docs, benchmark, key, p=p, **columns).select(key).distinct(), "leaked")
+    return without(docs, bad, key)
 
 
 def oracle(p: SeedParams = SeedParams()) -> str:

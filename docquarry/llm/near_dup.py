@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.filters import without
 from docquarry.session import materialize, ship_package
 
 
@@ -245,3 +246,9 @@ def _links(own: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame | None:
         more = materialize(_confirmed(rest, sets, p), "near-links")
         edges = edges.unionByName(more)
     return edges
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", p: NearParams = NearParams()) -> DataFrame:
+    """``docs`` with one document, the least key, of each component; their own columns."""
+    gone = materialize(near_components(docs, key, text, p).where(~F.col("kept")).select(key), "near-gone")
+    return without(docs, gone, key)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontam, gif, html_text, mixing, near_dup, secret_scan, sharding, token_counts
+from docquarry.llm import chat, decontam, gif, html_text, mixing, near_dup, quality, secret_scan, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,3 +73,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {f.__name__: f for f in (op4_decontamination, op9_near_dedup)}
 ORACLES |= {"op4_decontamination": decontam.oracle()}
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {op5_quality_classifier.__name__: op5_quality_classifier}
