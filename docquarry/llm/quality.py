@@ -103,9 +103,10 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = 200) -> tuple
         mass = np.stack([post * weight, (1 - post) * weight])
         prior = float(np.clip(mass[0].sum() / weight.sum(), 1e-4, 1 - 1e-4))
         for k in range(code.shape[1]):
-            for v in range(3):
+            for v in range(2):  # an abstention says nothing
                 like[k, :, v] = mass[:, code[:, k] == v].sum(axis=1) + 0.5
             like[k] /= like[k].sum(axis=1, keepdims=True)
+            like[k, :, 2] = 1.0
         logit = np.log(prior / (1 - prior)) + sum(np.log(like[k, 0, code[:, k]] / like[k, 1, code[:, k]]) for k in range(code.shape[1]))
         new = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
         done, post = np.abs(new - post).max() < 1e-6, new
@@ -151,14 +152,13 @@ class Features:
         return list(out), list(out.values())
 
 
-def fit_linear(rows: list[tuple[list[int], list[float]]], label: np.ndarray, dims: int, ridge: float, steps: int = 300) -> np.ndarray:
-    """Logistic regression on soft labels; the last weight is the intercept. Accelerated gradient steps, both classes weighing the same."""
+def fit_linear(rows: list[tuple[list[int], list[float]]], label: np.ndarray, dims: int, ridge: float, steps: int = 600) -> np.ndarray:
+    """Logistic regression on soft labels; the last weight is the intercept. Accelerated gradient steps."""
     x = np.zeros((len(rows), dims + 1), np.float32)
     for i, (at, v) in enumerate(rows):
         x[i, at] = v
     x[:, -1] = 1
-    bad = float((1 - label).sum())
-    wt = np.where(label >= 0.5, 0.5 / max(len(rows) - bad, 1.0), 0.5 / max(bad, 1.0)).astype(np.float32)
+    wt = np.full(len(rows), 1 / max(len(rows), 1), np.float32)
     step = 4.0 / float((wt[:, None] * x * x).sum(axis=0).sum() + 1e-9)
     w, v = np.zeros(dims + 1, np.float32), np.zeros(dims + 1, np.float32)
     for t in range(steps):
