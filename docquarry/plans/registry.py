@@ -31,9 +31,16 @@ def register(name: str, sql: str | None = None) -> Callable:
     return wrap
 
 
+def _load() -> None:
+    """Imports the plan modules, which register themselves."""
+    from docquarry.plans import analytics_plans, chunking_plans, ledger_plans, retrieval_plans, text_plans  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return {k: q.run for k, q in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return {k: q.sql for k, q in _ALL.items() if q.sql}
