@@ -4,8 +4,8 @@ Each distinct shingle set gets a signature of ``coords`` minima. Sets are posted
 sets that meet in at least ``least`` lists are candidates. Merging is by prefix and skip: with lists in one global order, rarest
 first, two such sets must meet within the first ``coords - least + 1`` lists of each, so a set's ``least - 1`` most frequent lists
 are skipped, and a set that shares fewer than ``least`` lists with anything is dropped before any pair is made. Within a list, sets
-are first compared with the list's hub only; what that leaves apart is compared across components, never all pairs of a group.
-Every link is confirmed on full shingle sets.
+are first compared with the list's hub, then with members of its main component; groups that this leaves apart are compared whole, in
+tiles of two blocks, of which only links that join components come out. Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +28,15 @@ from docquarry.session import materialize, ship_package
 class NearParams:
     """Link at ``percent`` * union <= 100 * intersection. ``least`` of ``coords``: a pair at 0.8 stays below it about 5 times in a million.
 
-    ``broadcast_ids``: up to so many candidate ids (16 bytes each) are broadcast to pick their texts; beyond it, by shuffle."""
+    ``rounds``: of meetings with main components before what is left apart is compared whole, ``block`` sets against as many. ``broadcast_ids``: up to so many candidate ids (16 bytes each) are broadcast to pick their texts; beyond it, by shuffle."""
 
     words: int = 5
     percent: int = 80
     coords: int = 64
     least: int = 36
     seed: int = 5
+    rounds: int = 2
+    block: int = 512
     broadcast_ids: int = 2_000_000
 
 
@@ -115,16 +118,13 @@ def _signed(df: DataFrame, p: NearParams) -> DataFrame:
                 s = shingle_set(t.as_buffer().to_pybytes(), p.words) if t.is_valid else ()
                 n.append(len(s))
                 cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                posts.append(signer.posts(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(id_type), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(posts, pa.binary())], ["id", "n_shingles", "cls", "posts"])
+                posts.append(signer.posts(s) if len(s) else none)
+            ends = np.cumsum([0, *map(len, posts)]).astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *posts])))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(id_type), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), flat], ["id", "n_shingles", "cls", "posts"])
 
-    return df.mapInArrow(run, f"id {kind}, n_shingles long, cls binary, posts binary")
-
-
-def _exploded(reps: DataFrame, p: NearParams) -> DataFrame:
-    """(id, list): one row a coordinate, the list's key read out of the signature's bytes."""
-    piece = lambda i: F.substring(F.col("posts"), i * 8 + 1, 8)
-    return reps.select("id", F.explode(F.array(*[piece(i) for i in range(p.coords)])).alias("list"))
+    none = np.empty(0, np.int64)
+    return df.mapInArrow(run, f"id {kind}, n_shingles long, cls binary, posts array<bigint>")
 
 
 # --- links --------------------------------------------------------------------------------------------------------------------------
@@ -141,7 +141,8 @@ def _sets(docs: DataFrame, ids: DataFrame, p: NearParams) -> DataFrame:
                 got = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", p.words).tobytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], ["id", "shingles"])
 
-    return materialize(picked.mapInArrow(run, f"id {kind}, shingles binary"), "near-sets").dropDuplicates(["id"])
+    sets = materialize(picked.mapInArrow(run, f"id {kind}, shingles binary"), "near-sets")
+    return sets if sets.count() == ids.count() else materialize(sets.dropDuplicates(["id"]), "near-sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
@@ -195,7 +196,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
     signed = materialize(_signed(own, p), "near-signed")
     linked = signed.where(F.col("cls").isNotNull() & F.col("id").isNotNull())
     classes = materialize(linked.groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "near-classes")
-    reps = linked.join(classes.select(F.col("rep").alias("id"), "cls"), ["id", "cls"], "left_semi").select("id", "posts")
+    reps = linked.join(classes.select(F.col("rep").alias("id"), "cls"), ["id", "cls"], "left_semi").select("id", "n_shingles", "posts").dropDuplicates(["id"])
     edges = _links(own, reps, p)
     found = classes.select("cls", "rep", "n")
     if edges is not None:
@@ -210,42 +211,87 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
 
 def _links(own: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame | None:
     """Confirmed links (x, y) that join up every component, or None."""
-    posted = _exploded(reps, p)
+    posted = reps.select("id", F.explode("posts").alias("list"))
     shared = posted.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    met = materialize(posted.join(shared, "list"), "near-met")
-    # prefix and skip: a set's lists in one global order, rarest first (lists of one set have been left out already)
+    met = posted.join(shared, "list")
+    # prefix and skip: a set's lists in one global order, rarest first (lists of one set are left out already)
     ranked = (
-        met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "list"))).alias("lists"))
+        met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "list"))).alias("lists"), F.sum("n").alias("weight"))
         .where(F.size("lists") >= p.least)
-        .select("id", F.explode(F.slice("lists", F.lit(1), F.size("lists") - (p.least - 1))).alias("l"))
-        .select("id", F.col("l.list").alias("list"))
+        .select("id", "weight", F.transform(F.slice("lists", F.lit(1), F.size("lists") - (p.least - 1)), lambda x: x["list"]).alias("prefix"))
     )
-    kept = materialize(ranked, "near-kept")
-    ids = materialize(kept.select("id").distinct(), "near-ids")
-    sets = _sets(own, ids, p)
-    hubs = kept.groupBy("list").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where(F.col("hub") != F.col("other"))
-    starred = materialize(kept.join(hubs, "list").select("id", "list", "hub", "other"), "near-starred")
-    if not starred.limit(1).count():
+    cands = materialize(ranked, "near-prefixes")
+    ids = cands.select("id")
+    if not ids.limit(1).count():
         return None
-    # each set with its lowest hub; then with its other hubs; then across components within lists
-    first = starred.where(F.col("id") != F.col("hub")).groupBy(F.col("id").alias("x")).agg(F.min("hub").alias("y"))
+    sets = _sets(own, ids, p)
+    kept = materialize(cands.select("id", "weight", F.explode("prefix").alias("list")), "near-kept")
+    # each set with its best hub: of a list, the set that the most others meet over all its lists, so a group's centre if it has one
+    by = lambda order: F.max_by("id", order)
+    hubs = kept.groupBy("list").agg(by(F.struct("weight", F.xxhash64("id"))).alias("hub"), F.max("weight").alias("w"), F.count("*").alias("n")).where(F.col("n") > 1)
+    first = kept.join(hubs.select("list", "hub", "w"), "list").where(F.col("id") != F.col("hub")).groupBy(F.col("id").alias("x")).agg(F.max_by("hub", F.struct("w", F.xxhash64("hub"))).alias("y"))
     edges = materialize(_confirmed(first, sets, p), "near-links")
-    for step in ("hubs", "lists"):
+    for round_ in range(p.rounds + 1):
         labels = components(edges)
-        lit = starred.join(labels, "id", "left").select("id", "list", "hub", "other", F.coalesce("label", "id").alias("comp"))
-        if step == "hubs":
-            named = labels.select(F.col("id").alias("y"), F.col("label").alias("ycomp"))
-            rest = lit.select(F.col("id").alias("x"), "comp", F.explode(F.array("hub", "other")).alias("y")).where(F.col("x") != F.col("y")).distinct()
-            rest = rest.join(named, "y", "left").where(F.col("comp") != F.coalesce("ycomp", "y")).select("x", "y")
-            rest = rest.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-        else:
-            split = lit.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("list")
-            there = materialize(lit.join(split, "list", "left_semi").select("list", "id", "comp"), "near-split")
-            other = there.select("list", F.col("id").alias("y"), F.col("comp").alias("ycomp"))
-            rest = there.join(other, "list").where((F.col("id") > F.col("y")) & (F.col("comp") != F.col("ycomp"))).select(F.col("id").alias("x"), "y").distinct()
-        more = materialize(_confirmed(rest, sets, p), "near-links")
-        edges = edges.unionByName(more)
-    return edges
+        lit = materialize(kept.select("list", "id").join(labels, "id", "left").select("list", "id", F.coalesce("label", "id").alias("comp")), "near-lit")
+        sizes = lit.groupBy("list", "comp").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "list", F.lit(round_))).alias("rep"))
+        lists = sizes.groupBy("list").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max_by("rep", F.struct("n", "comp")).alias("rep"), F.count("*").alias("comps"))
+        split = materialize(lists.where(F.col("comps") > 1), "near-split")
+        apart = split.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+        if not apart:
+            return edges
+        if round_ == p.rounds or apart <= 2 * cands.count():
+            break
+        # what lies outside a list's main component meets one more of its sets, another in each list and round
+        rest = lit.join(split.select("list", "main", "rep"), "list").where(F.col("comp") != F.col("main")).select(F.greatest("id", "rep").alias("x"), F.least("id", "rep").alias("y")).distinct()
+        edges = edges.unionByName(materialize(_confirmed(rest, sets, p), "near-links"))
+    # the rest, whole: what shares a list and isn't joined up yet falls into groups, which are compared block against block
+    apart = materialize(lit.join(split.select("list", F.col("rep").alias("at")), "list").select("id", "comp", "at").distinct(), "near-apart")
+    groups = components(apart.where(F.col("id") != F.col("at")).select(F.col("id").alias("x"), F.col("at").alias("y")))
+    members = apart.select("id", "comp").distinct().join(groups, "id")
+    counts = members.groupBy("label").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"), F.count_distinct("comp").alias("comps"))
+    dealt = members.join(counts.where(F.col("comps") > 1), "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    tiled = dealt.select("label", "id", "comp", "block", other).select("label", "id", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    kind = reps.schema["id"].dataType.simpleString()
+    compare = lambda b: _block_links(b, p)
+    found = tiled.join(sets, "id").groupBy("label", "i", "j").applyInPandas(compare, f"x {kind}, y {kind}")
+    return edges.unionByName(materialize(found, "near-links"))
+
+
+def _block_links(b: pd.DataFrame, p: NearParams) -> pd.DataFrame:
+    """Links between the two blocks of a tile (or inside its only one) that join up components apart so far: intersections of all sets
+    at once, as a product of incidence matrices, a stretch of shingles at a time."""
+    sets = [np.frombuffer(x, np.uint64) for x in b["shingles"]]
+    n = np.array([len(s) for s in sets], np.int64)
+    flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    twice = times[place] > 1
+    column = np.cumsum(times > 1)[place[twice]] - 1
+    who = who[twice]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, who = column[order], who[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        x, y = np.searchsorted(column, [lo, lo + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[who[x:y], column[x:y] - lo] = 1
+        common += part @ part.T
+    both = common.astype(np.int64)
+    hit = np.triu(100 * both >= p.percent * (n[:, None] + n[None, :] - both), 1)
+    comp, ids, root, out = b["comp"].to_numpy(), b["id"].to_numpy(), {}, []
+
+    def top(c: object) -> object:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    for i, j in zip(*np.nonzero(hit)):
+        u, v = top(comp[i]), top(comp[j])
+        if u != v:
+            root[u] = v
+            out.append((ids[i], ids[j]))
+    return pd.DataFrame(out, columns=["x", "y"])
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", p: NearParams = NearParams()) -> DataFrame:
