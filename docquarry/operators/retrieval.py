@@ -66,8 +66,30 @@ def rerank(hits: DataFrame, k: int, key: str, group: str = "query_id") -> DataFr
     return top_k(hits.withColumnRenamed("rank", "prev_rank"), k, group, F.col("scorer_score").desc(), F.col("rrf_score").desc(), F.col(key).asc())
 
 
-def entity_candidates(mentions: DataFrame, aliases: DataFrame, k: int = 3) -> DataFrame:
-    """(mention_id, ticker, score, rank): each mention's best tickers by their best alias. ``aliases`` is a dimension: broadcast."""
+def entity_scores(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(mention_id, ticker, score): cosine with each ticker's best alias. ``aliases`` is a dimension of bounded size: broadcast."""
     pairs = mentions.join(F.broadcast(aliases)).select("mention_id", "ticker", clamped_cosine(F.col("mention_vector"), F.col("alias_vector")).alias("score"))
-    best = pairs.groupBy("mention_id", "ticker").agg(F.max("score").alias("score"))
-    return top_k(best, k, "mention_id", F.col("score").desc(), F.col("ticker").asc())
+    return pairs.groupBy("mention_id", "ticker").agg(F.max("score").alias("score"))
+
+
+def best_entities(scores: DataFrame, k: int = 3) -> DataFrame:
+    return top_k(scores, k, "mention_id", F.col("score").desc(), F.col("ticker").asc())
+
+
+#: Answers that stand for none.
+NULL_LIKE = ("NULL", "NONE", "N/A", "NA", "UNKNOWN", "")
+
+
+def normalize_picks(picks: DataFrame, slate: DataFrame) -> DataFrame:
+    """Adds ticker and outcome: resolved if the pick is on the slate (ticker, listed), unknown if null-like, else off_list."""
+    clean = F.upper(F.trim("pick"))
+    got = picks.withColumn("__p", clean).join(F.broadcast(slate), F.col("__p") == F.col("ticker"), "left")
+    none = F.col("pick").isNull() | F.col("__p").isin(*NULL_LIKE)
+    return got.withColumn("outcome", F.when(none, "unknown").when(F.col("listed"), "resolved").otherwise("off_list")).drop("__p", "listed")
+
+
+def set_f1(gold: DataFrame, got: DataFrame, group: str, item: str) -> DataFrame:
+    """(group, gold, got, tp, f1) of distinct items; empty on both sides is 1, no hit is 0."""
+    g, o = gold.withColumn("__g", F.lit(1)), got.withColumn("__o", F.lit(1))
+    n = g.join(o, [group, item], "full_outer").groupBy(group).agg(F.count("__g").alias("gold"), F.count("__o").alias("got"), F.count_if(F.col("__g").isNotNull() & F.col("__o").isNotNull()).alias("tp"))
+    return n.withColumn("f1", F.when((F.col("gold") == 0) & (F.col("got") == 0), 1.0).when(F.col("tp") == 0, 0.0).otherwise(2 * F.col("tp") / (F.col("gold") + F.col("got"))))
