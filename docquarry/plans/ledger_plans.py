@@ -233,10 +233,10 @@ def usd_cost(spark: S, d: str) -> DataFrame:
     return _usage(spark, d).withColumn("usd", F.round("usd", 10))
 
 
-@register("cost_cap_running", f"select l_orderkey, l_linenumber, coalesce(sum(cents) over (partition by l_orderkey order by l_linenumber rows between unbounded preceding and 1 preceding), 0) <= 3000 as allowed from (select l_orderkey, l_linenumber, cast(l_extendedprice * 0.1 as bigint) as cents from lineitem)")
+@register("cost_cap_running", "select event_id, coalesce(sum(cents) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) <= 3000 as allowed from (select event_id, user_id, floor(value * 10)::bigint as cents from events)")
 def cost_cap_running(spark: S, d: str) -> DataFrame:
-    u = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * 0.1).cast("long").alias("cents"))
-    return op.running_cap(u, "l_orderkey", "l_linenumber", "cents", 3000).select("l_orderkey", "l_linenumber", "allowed")
+    u = table(spark, d, "events").select("event_id", "user_id", F.floor(F.col("value") * 10).alias("cents"))
+    return op.running_cap(u, "user_id", "event_id", "cents", 3000).select("event_id", "allowed")
 
 
 @register("batch_cost", "select l_returnflag as batch, count(*) as n, count(*) filter (where l_linestatus = 'O') as succeeded, sum(case when l_linestatus = 'O' then l_quantity else 0 end)::bigint as tokens, bool_and(l_linestatus = 'O') as all_succeeded from (select distinct on (l_orderkey, l_linenumber) * from (select * from lineitem union all select * from lineitem where l_orderkey % 10 = 0)) group by batch")
@@ -253,9 +253,9 @@ def outcome_counts(spark: S, d: str) -> DataFrame:
     return ledger(spark, d).groupBy("form_type").agg(one("ok", "persisted"), one("error", "failed"), one("no_coverage", "skipped"))
 
 
-@register("best_exhibit", "select l_orderkey, l_linenumber, ops, size from (select l_orderkey, l_linenumber, cast(l_quantity as int) % 5 as ops, cast(l_extendedprice as bigint) as size, row_number() over (partition by l_orderkey order by cast(l_quantity as int) % 5 desc, cast(l_extendedprice as bigint) desc, l_linenumber) as r from lineitem) where r = 1 and (ops, size) > (0, 0)")
+@register("best_exhibit", "select l_orderkey, l_linenumber, ops, size from (select l_orderkey, l_linenumber, cast(l_quantity as int) % 5 as ops, floor(l_extendedprice)::bigint as size, row_number() over (partition by l_orderkey order by cast(l_quantity as int) % 5 desc, floor(l_extendedprice)::bigint desc, l_linenumber) as r from lineitem) where r = 1 and (ops, size) > (0, 0)")
 def best_exhibit(spark: S, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("int") % 5).alias("ops"), F.round("l_extendedprice").cast("long").alias("size"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("int") % 5).alias("ops"), F.floor("l_extendedprice").alias("size"))
     best = li.where("ops > 0 or size > 0").groupBy("l_orderkey").agg(F.max(F.struct("ops", "size", (-F.col("l_linenumber")).alias("neg"))).alias("b"))
     return best.select("l_orderkey", (-F.col("b.neg")).alias("l_linenumber"), "b.ops", "b.size")
 

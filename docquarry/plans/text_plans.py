@@ -1 +1,239 @@
-"""Queries."""
+"""Scalar functions, outcome chains and citation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docquarry.functions import keys, text
+from docquarry.operators import citations
+from docquarry.plans.common import sql_values, table, values
+from docquarry.plans.registry import register
+
+S = SparkSession
+
+
+@register("normalize_ws", r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from documents")
+def normalize_ws(spark: S, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.normalize_ws(F.col("text")).alias("t"))
+
+
+@register("xml_escape", "select page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as t from pages")
+def xml_escape(spark: S, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", text.xml_escape(F.col("html")).alias("t"))
+
+
+@register("mask_credentials", "select page_id, replace(url, '://', '://user:key@') as raw, regexp_replace(replace(url, '://', '://user:key@'), '//[^@/]+@', '//***@') as masked from pages")
+def mask_credentials(spark: S, d: str) -> DataFrame:
+    raw = F.replace(F.col("url"), F.lit("://"), F.lit("://user:key@"))
+    return table(spark, d, "pages").select("page_id", raw.alias("raw"), text.mask_credentials(raw).alias("masked"))
+
+
+_URLS = [("https://a.org/x/call.MP3?x=1#t",), ("https://a.org/x/call.m4a;v=1",), ("https://a.org/",), ("https://a.org/x/readme",), ("https://a.org/v1.2/noext",)]
+
+
+@register("url_ext", "select * from (values ('https://a.org/x/call.MP3?x=1#t', '.mp3'), ('https://a.org/x/call.m4a;v=1', '.m4a'), ('https://a.org/', '.bin'), ('https://a.org/x/readme', '.bin'), ('https://a.org/v1.2/noext', '.bin')) as v(url, ext)")
+def url_ext(spark: S, d: str) -> DataFrame:
+    return values(spark, _URLS, "url string").select("url", text.url_extension(F.col("url")).alias("ext"))
+
+
+@register("token_count", "select doc_id, ceil(length(text) / 4.0)::int as tokens from documents")
+def token_count(spark: S, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+@register("route_by_tokens", "select doc_id, case when ceil(length(text) / 4.0) >= 1000 then case when doc_id % 5 = 0 then 'error' else 'retrieval' end else 'single_shot' end as route from documents")
+def route_by_tokens(spark: S, d: str) -> DataFrame:
+    chunks = F.col("doc_id") % 5 != 0
+    route = F.when(text.estimated_tokens(F.col("text")) >= 1000, F.when(chunks, "retrieval").otherwise("error")).otherwise("single_shot")
+    return table(spark, d, "documents").select("doc_id", route.alias("route"))
+
+
+#: A routing dimension (worker, task, model tier).
+_ROUTES = [("filing", "view", "small"), ("filing", "click", "small"), ("call", "purchase", "medium"), ("critic", "signup", "large"), ("critic", "error", "local/large")]
+
+
+@register("route_model", f"select event_id, model, starts_with(model, 'local/') as is_local from events join {sql_values(_ROUTES, 'worker, task, model')} on task = event_type")
+def route_model(spark: S, d: str) -> DataFrame:
+    routes = F.broadcast(values(spark, _ROUTES, "worker string, event_type string, model string"))
+    routed = table(spark, d, "events").join(routes, "event_type", "left")
+    model = F.coalesce(F.col("model"), F.raise_error(F.lit("no model is routed for a task")).cast("string"))
+    return routed.select("event_id", model.alias("model")).withColumn("is_local", F.startswith("model", F.lit("local/")))
+
+
+@register("http_classify", "select event_id, case when user_id % 10 = 0 then 'rate_limited' when user_id % 10 = 1 then 'server_error' when value < 5 then 'empty' else 'ok' end as outcome, user_id % 10 in (0, 1) or value < 5 as retryable from events")
+def http_classify(spark: S, d: str) -> DataFrame:
+    status = F.when(F.col("user_id") % 10 == 0, 429).when(F.col("user_id") % 10 == 1, 503).otherwise(200)
+    body = F.when(F.col("value") < 5, 0).otherwise(1)
+    out = F.when(status == 429, "rate_limited").when((status >= 500) & (status < 600), "server_error").when((status == 200) & (body == 0), "empty").otherwise("ok")
+    return table(spark, d, "events").select("event_id", out.alias("outcome")).withColumn("retryable", F.col("outcome") != "ok")
+
+
+_CONTENT_SQL = "(select doc_id, case when doc_id % 3 = 0 then 'Operator: hi <b>x</b> operator : a Operator:' || repeat(text, 8) when doc_id % 3 = 1 then 'Q & A ' || text else text end as c from documents)"
+
+
+@register("classify_8k", rf"select doc_id, case when ops >= 3 and strlen(c) >= 30000 then 'transcript' when ops > 0 or qa then 'mixed' else 'press_release' end as kind, ops::int as operators, qa as has_qa from (select *, len(regexp_extract_all(t, '(?i)\bOperator\s*:')) as ops, regexp_matches(t, '(?i)(question.{{0,5}}and.{{0,5}}answer|q\s*[&-]\s*a)') as qa from (select doc_id, c, regexp_replace(c, '<[^>]+>', ' ', 'g') as t from {_CONTENT_SQL}))")
+def classify_8k(spark: S, d: str) -> DataFrame:
+    t = F.col("text")
+    c = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Operator: hi <b>x</b> operator : a Operator:"), F.repeat(t, F.lit(8)))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Q & A "), t)).otherwise(t)
+    return table(spark, d, "documents").select("doc_id", text.classify_exhibit(c).alias("x")).select("doc_id", "x.*")
+
+
+@register("earnings_8k_latest", "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as r from orders where o_orderpriority in ('1-URGENT', '2-HIGH')) where r = 1")
+def earnings_8k_latest(spark: S, d: str) -> DataFrame:
+    items = F.transform(F.split(F.concat(F.lit("9.01, "), F.col("o_orderpriority")), ","), lambda x: F.trim(x))
+    hit = table(spark, d, "orders").where(F.arrays_overlap(items, F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))))
+    best = hit.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", -F.col("o_orderkey"))).alias("o_orderkey"))
+    return best
+
+
+@register("validate_dimension", r"select n_nationkey, regexp_full_match(n_name, '[A-Z][A-Z0-9.\-]*') and length(n_name) <= 8 as ok from nation")
+def validate_dimension(spark: S, d: str) -> DataFrame:
+    return table(spark, d, "nation").select("n_nationkey", (F.rlike("n_name", F.lit(r"^[A-Z][A-Z0-9.\-]*\z")) & (F.length("n_name") <= 8)).alias("ok"))
+
+
+@register("chunk_outcome", "select doc_id, case lang when 'en' then 'chunked' when 'fr' then 'chunked' when 'de' then 'not_implemented' else 'unsupported_doc_type' end as outcome from documents")
+def chunk_outcome(spark: S, d: str) -> DataFrame:
+    out = F.when(F.col("lang").isin("en", "fr"), "chunked").when(F.col("lang") == "de", "not_implemented").otherwise("unsupported_doc_type")
+    return table(spark, d, "documents").select("doc_id", out.alias("outcome"))
+
+
+@register("context_drop_reason", "select doc_id, case when trim(substr(text, 1, 3)) = 'In' then 'empty' when doc_id % 13 = 0 then 'bad_stop' when ceil(length(text) / 4.0) > 100 then 'over_cap' else 'keep' end as reason from documents")
+def context_drop_reason(spark: S, d: str) -> DataFrame:
+    reason = F.when(F.trim(F.substring("text", 1, 3)) == "In", "empty").when(F.col("doc_id") % 13 == 0, "bad_stop").when(text.estimated_tokens(F.col("text")) > 100, "over_cap").otherwise("keep")
+    return table(spark, d, "documents").select("doc_id", reason.alias("reason"))
+
+
+@register("key_normalize", "select s_suppkey, lpad(s_suppkey::varchar, 10, '0') as cik, replace('0001-23-' || s_suppkey, '-', '') as accession, 'S' || s_suppkey || '-2024Q' || (s_suppkey % 4 + 1) as doc from supplier")
+def key_normalize(spark: S, d: str) -> DataFrame:
+    s = F.col("s_suppkey")
+    return table(spark, d, "supplier").select("s_suppkey", keys.pad_cik(s).alias("cik"), keys.bare_accession(F.concat(F.lit("0001-23-"), s)).alias("accession"), keys.transcript_id(F.concat(F.lit("s"), s), F.lit(2024), s % 4 + 1).alias("doc"))
+
+
+_TITLE_SQL = "(select n_nationkey, n_name || ' Q' || (n_nationkey % 4 + 1) || case n_nationkey % 3 when 0 then ' FY25' when 1 then ' 2026' else ' 2019' end as title from nation)"
+
+
+@register("title_match", f"select n_nationkey, contains(lower(title), 'q2') and (contains(lower(title), '2026') or contains(lower(title), 'fy25')) as ok from {_TITLE_SQL}")
+def title_match(spark: S, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    k = F.col("n_nationkey")
+    title = F.concat(F.col("n_name"), F.lit(" Q"), k % 4 + 1, F.when(k % 3 == 0, " FY25").when(k % 3 == 1, " 2026").otherwise(" 2019"))
+    return n.select("n_nationkey", text.title_matches(title, F.col("n_name"), F.lit("zz"), F.lit(2026), F.lit(2)).alias("ok"))
+
+
+_HEADS = [("494433040000",), ("4F67675300",), ("00000020667479704D34",), ("FFFB9000",), ("3C21444F43",), ("FF",)]
+
+
+@register("magic_bytes", "select * from (values ('494433040000', true), ('4F67675300', true), ('00000020667479704D34', true), ('FFFB9000', true), ('3C21444F43', false), ('FF', false)) as v(h, audio)")
+def magic_bytes(spark: S, d: str) -> DataFrame:
+    return values(spark, _HEADS, "h string").select("h", text.looks_like_audio(F.unhex("h")).alias("audio"))
+
+
+_CALL_SQL = "(select conv_id, string_agg(text, chr(10) order by turn) as t from (select conv_id, turn, case when turn = 2 then 'We will now begin the Q&A session. ' || text when turn = 1 and conv_id % 2 = 0 then 'Question-and-Answer Session ' || text else text end as text from conversations) group by conv_id)"
+_QA1, _QA2 = r"(?i)\bQuestion[-\s]and[-\s]Answer\s+Session\b", r"(?i)\bWe(?:''ll| will)\s+now\s+(?:begin|move)\s+(?:the\s+)?Q\s*&\s*A\b"
+
+
+@register("split_qa", rf"select conv_id, regexp_replace(case when cut is null then t else substr(t, 1, cut) end, '^\s+|\s+$', '', 'g') as prepared, case when cut is null then '' else regexp_replace(substr(t, cut + 1), '^\s+|\s+$', '', 'g') end as qa from (select *, coalesce(case when regexp_matches(t, '{_QA1}') then length(regexp_split_to_array(t, '{_QA1}')[1]) end, case when regexp_matches(t, '{_QA2}') then length(regexp_split_to_array(t, '{_QA2}')[1]) end) as cut from {_CALL_SQL})")
+def split_qa(spark: S, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    t = F.when(F.col("turn") == 2, F.concat(F.lit("We will now begin the Q&A session. "), F.col("text"))).when((F.col("turn") == 1) & (F.col("conv_id") % 2 == 0), F.concat(F.lit("Question-and-Answer Session "), F.col("text"))).otherwise(F.col("text"))
+    whole = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", t.alias("t")))).alias("x")).select("conv_id", F.array_join(F.transform("x", lambda r: r["t"]), "\n").alias("t"))
+    return whole.select("conv_id", text.split_qa(F.col("t")).alias("s")).select("conv_id", "s.*")
+
+
+_FIELDS = [("tone", "the tone"), ("risk", "new risks"), ("concern", "going concern")]
+
+
+@register("prompt_expand", f"select doc_id, 'Extract ' || f || ': ' || g as prompt from documents, {sql_values(_FIELDS, 'f, g')} where doc_id < 50")
+def prompt_expand(spark: S, d: str) -> DataFrame:
+    fields = F.broadcast(values(spark, _FIELDS, "f string, g string"))
+    return table(spark, d, "documents").where("doc_id < 50").select("doc_id").join(fields).select("doc_id", text.fill_template(F.lit("Extract {f}: {g}"), {"f": F.col("f"), "g": F.col("g")}).alias("prompt"))
+
+
+_HITS_SQL = "(select b.item_id, d.doc_id, b.text as q, d.text as t, len(string_split(d.text, b.text)) - 1 as n from benchmark b, documents d where contains(d.text, b.text))"
+
+
+@register("char_span_check", f"select item_id, doc_id, strpos(t, q)::int - 1 as start, strpos(t, q)::int - 1 + length(q)::int as stop, substr(t, strpos(t, q), length(q)) = q as ok from {_HITS_SQL}")
+def char_span_check(spark: S, d: str) -> DataFrame:
+    found = citations.occurrence_table(table(spark, d, "documents"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")))
+    return found.where("ordinal = 0").select("item_id", "doc_id", "start", "stop", citations.grounded(F.col("text"), F.col("start"), F.col("stop"), F.col("quote")).alias("ok"))
+
+
+@register("resolve_spans", f"select b.item_id, case when count(doc_id) = 0 then 'not_found' when sum(n) = 1 then 'unique' else 'ambiguous' end as outcome, coalesce(sum(n), 0)::bigint as found from benchmark b left join {_HITS_SQL} using (item_id) group by b.item_id")
+def resolve_spans(spark: S, d: str) -> DataFrame:
+    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    n = citations.occurrence_table(table(spark, d, "documents"), quotes).groupBy("item_id").agg(F.count("*").alias("n"))
+    found = F.coalesce(F.col("n"), F.lit(0)).cast("long")
+    return quotes.join(n, "item_id", "left").select("item_id", F.when(found == 0, "not_found").when(found == 1, "unique").otherwise("ambiguous").alias("outcome"), found.alias("found"))
+
+
+@register("citation_grounding", "select doc_id, case when doc_id % 4 = 0 then 'claim.1' when doc_id % 6 = 0 then 'claim.0' end as first_failure from documents where length(text) >= 40")
+def citation_grounding(spark: S, d: str) -> DataFrame:
+    def claim(start: int, wrong: Column) -> Column:
+        quote = F.substring("text", start + 1, 10)
+        return F.struct(F.lit(start).alias("start"), F.lit(start + 10).alias("stop"), F.when(wrong, F.concat(quote, F.lit("~"))).otherwise(quote).alias("quote"))
+
+    docs = table(spark, d, "documents").where(F.length("text") >= 40)
+    claims = F.array(claim(0, (F.col("doc_id") % 6 == 0) & (F.col("doc_id") % 4 != 0)), claim(20, F.col("doc_id") % 4 == 0))
+    return docs.select("doc_id", citations.first_failure(F.col("text"), claims, "claim").alias("first_failure"))
+
+
+_JSON = [(1, '{"a":1}'), (2, "[1]"), (3, "not json"), (4, None), (5, '{"a":1,"zz":2}'), (6, '{"a":"x"}')]
+
+
+@register("json_guard", "select * from (values (1, 'object'), (2, 'not_object'), (3, 'malformed'), (4, 'missing'), (5, 'object'), (6, 'object')) as v(id, outcome)")
+def json_guard(spark: S, d: str) -> DataFrame:
+    v = F.try_parse_json("j")
+    kind = F.schema_of_variant(v)
+    out = F.when(F.col("j").isNull(), "missing").when(v.isNull(), "malformed").when(F.startswith(kind, F.lit("OBJECT")), "object").otherwise("not_object")
+    return values(spark, _JSON, "id int, j string").select("id", out.alias("outcome"))
+
+
+@register("schema_validate", "select * from (values (1, 'ok'), (5, 'unknown_key'), (6, 'bad_type')) as v(id, outcome)")
+def schema_validate(spark: S, d: str) -> DataFrame:
+    j = values(spark, _JSON, "id int, j string").where("id in (1, 5, 6)")
+    return j.select("id", citations.strict_outcome(F.col("j"), {"a": "int"}).alias("outcome"))
+
+
+@register("usage_map", "select event_id, case when value < 50 then 1 else 2 end::int as n_keys from events")
+def usage_map(spark: S, d: str) -> DataFrame:
+    m = F.create_map(F.lit("input"), F.col("value"), F.lit("cached"), F.when(F.col("value") >= 50, F.col("value")))
+    return table(spark, d, "events").select("event_id", F.size(F.map_filter(m, lambda k, v: v.isNotNull())).alias("n_keys"))
+
+
+@register("blocks_join", "select conv_id, string_agg(text, ' ' order by turn) filter (where role <> 'user') as joined, (array_agg(turn order by turn) filter (where role = 'user'))[1] as first_user from conversations group by conv_id")
+def blocks_join(spark: S, d: str) -> DataFrame:
+    b = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("b"))
+    said = F.filter("b", lambda x: x["role"] != "user")
+    joined = F.when(F.size(said) > 0, F.array_join(F.transform(said, lambda x: x["text"]), " "))
+    return b.select("conv_id", joined.alias("joined"), F.get(F.filter("b", lambda x: x["role"] == "user"), 0)["turn"].alias("first_user"))
+
+
+_TIMES = [("2024-03-10T06:30:00.000Z",), ("2024-07-01T16:05:00-04:00",), ("2024-01-15T16:05:00",), ("2024-07-15T16:05:00",)]
+
+
+@register("parse_acceptance", "select * from (values ('2024-03-10T06:30:00.000Z', 1710052200), ('2024-07-01T16:05:00-04:00', 1719864300), ('2024-01-15T16:05:00', 1705352700), ('2024-07-15T16:05:00', 1721073900)) as v(raw, epoch)")
+def parse_acceptance(spark: S, d: str) -> DataFrame:
+    zoned = F.rlike("raw", F.lit(r"(Z|[+-]\d\d:\d\d)$"))
+    local = F.to_utc_timestamp(F.to_timestamp_ntz("raw").cast("timestamp"), "America/New_York")
+    return values(spark, _TIMES, "raw string").select("raw", F.unix_timestamp(F.when(zoned, F.to_timestamp("raw")).otherwise(local)).cast("int").alias("epoch"))
+
+
+_RETRY = [("120",), ("99999",), ("-5",), ("Wed, 21 Oct 2015 07:28:00 GMT",), ("soon",), (None,)]
+
+
+@register("retry_after", "select * from (values ('120', 120.0::double), ('99999', 300.0), ('-5', 0.0), ('Wed, 21 Oct 2015 07:28:00 GMT', 60.0), ('soon', null), (null, null)) as v(raw, seconds)")
+def retry_after(spark: S, d: str) -> DataFrame:
+    now = F.lit("2015-10-21 07:27:00").cast("timestamp")
+    at = F.try_to_timestamp(F.regexp_replace("raw", r"^\w+, (.*) GMT$", "$1"), F.lit("dd MMM yyyy HH:mm:ss"))
+    seconds = F.coalesce(F.expr("try_cast(raw as double)"), (F.unix_timestamp(at) - F.unix_timestamp(now)).cast("double"))
+    return values(spark, _RETRY, "raw string").select("raw", F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(300.0), seconds))).alias("seconds"))
+
+
+@register("extraction_features", "select conv_id, count(*) filter (where role = 'assistant') as n_assistant, sum(case when turn % 3 = 0 then 1.0 when turn % 3 = 1 then 0.6 else 0.3 end * case when role = 'user' then 1 else -1 end)::double as tone from conversations group by conv_id")
+def extraction_features(spark: S, d: str) -> DataFrame:
+    from docquarry.functions.numbers import confidence_number
+
+    level = F.when(F.col("turn") % 3 == 0, "high").when(F.col("turn") % 3 == 1, "medium").otherwise("low")
+    signed = confidence_number(level).cast("decimal(10,1)") * F.when(F.col("role") == "user", 1).otherwise(-1)
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("n_assistant"), F.sum(signed).cast("double").alias("tone"))
