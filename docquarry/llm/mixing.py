@@ -107,7 +107,8 @@ class Mix:
         info = F.get(literal_array(self.sources, _INFO), F.col("__rank"))
         key = F.struct(F.col("__rank").alias("r"), F.col("__h").alias("h"), F.col("__id").alias("i"), F.col("size").alias("s"))
         block = count_at_most(literal_array(self.edges, self.edge_ddl), len(self.edges), key) - 1 - F.col("__info")["first_edge"]
-        out = df.withColumn("__info", info).withColumn("__block", F.greatest(block, F.lit(0)).cast("int"))
+        out = _once(df, {"__info": info})
+        out = _once(out, {"__block": F.greatest(block, F.lit(0)).cast("int")})
         i, b = F.col("__info"), F.col("__block")
 
         def draw(e: Column) -> Column:
@@ -121,6 +122,11 @@ class Mix:
         return out.withColumn("__draws", got)
 
 
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are worked out once a row: the generator keeps the optimiser from copying them into every later use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 _INFO = "struct<source_size:bigint,target:double,epochs:int,part_blocks:int,blocks:int,quota:bigint,a:bigint,b:bigint,first_edge:int,bounds:array<bigint>>"
 
 
@@ -129,11 +135,11 @@ def _keyed(docs: DataFrame, key: str, text: str, p: MixParams) -> dict[str, Colu
     return {"size": word_count(F.col(text)), "__h": F.md5(F.concat(F.lit(f"{p.seed}:"), ident)), "__id": F.col(key)}
 
 
-def _ranked(df: DataFrame, names: list[str | None], source: str) -> DataFrame:
-    """Adds ``__rank`` of the source in code-point order, null last, by a binary search in the bounded list of names."""
+def _rank(names: list[str | None], source: str) -> Column:
+    """Rank of the source in code-point order, null last, by a binary search in the bounded list of names."""
     known = [{"n": x} for x in names if x is not None]
     rank = count_at_most(literal_array(known, "struct<n:string>"), len(known), F.struct(F.col(source).alias("n"))) - 1 if known else F.lit(0)
-    return df.withColumn("__rank", F.when(F.col(source).isNull(), F.lit(len(known))).otherwise(rank).cast("int"))
+    return F.when(F.col(source).isNull(), F.lit(len(known))).otherwise(rank).cast("int")
 
 
 def plan_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", p: MixParams = MixParams(), ranges: RangeParams = RangeParams()) -> tuple[Mix, DataFrame, list]:
@@ -143,7 +149,7 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     if len(per) > p.max_sources:
         raise ValueError(f"more than {p.max_sources} sources")
     names, sizes = [r["__src"] for r in per], [int(r["s"] or 0) for r in per]
-    narrow = _ranked(narrow, names, "__src")
+    narrow = _once(narrow, {"__rank": _rank(names, "__src")})
     if not per:
         return Mix([], [], "", p), narrow, names
     goal = targets(sizes, p.weights, p.share, p.most)
@@ -206,6 +212,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The mix itself: each document once a draw, whole, with ``docs``' own columns only. Texts are not shuffled: a document's draws
     follow from its key and the plan. Row order is left to the writer; ``mix_plan`` gives shards and positions."""
     plan, _, names = plan_mix(docs, key, text, source, p, ranges)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(source).cast("string").alias("__src"), *[c.alias(k) for k, c in _keyed(docs, key, text, p).items()])
-    drawn = plan.draws(_ranked(own, names, "__src"))
-    return drawn.select("__doc", F.explode("__draws").alias("__draw")).select("__doc.*")
+    inner = {f"__d{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
+    keyed = docs.select(*[v.alias(k) for k, v in inner.items()], F.col(source).cast("string").alias("__src"), *[c.alias(k) for k, c in _keyed(docs, key, text, p).items()])
+    keyed = keyed.select(*inner, F.inline(F.array(F.struct("__src", "size", "__h", "__id"))))
+    drawn = plan.draws(_once(keyed, {"__rank": _rank(names, "__src")}))
+    return drawn.select(*[F.col(k).alias(c) for k, c in zip(inner, docs.columns)], F.explode("__draws").alias("__draw")).drop("__draw")
