@@ -1 +1,294 @@
-"""Queries."""
+"""Point-in-time reads, restatement views, signals and statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docquarry.operators import analytics as op
+from docquarry.operators import pit
+from docquarry.plans.common import table
+from docquarry.plans.registry import register
+
+S = SparkSession
+
+
+# --- point in time ------------------------------------------------------------------------------------------------------------------
+def _features(spark: S, d: str) -> DataFrame:
+    """Views and clicks as feature rows; naive times become UTC here, at the boundary."""
+    e = table(spark, d, "events").where("event_type in ('view', 'click')")
+    return pit.with_cutoff(e.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("event_datetime"), "value"))
+
+
+def _spine(spark: S, d: str) -> DataFrame:
+    return table(spark, d, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("spine_id"), "user_id", F.col("ts").cast("timestamp").alias("t"))
+
+
+#: Fixed values for the SQL side: sessions of January and February 2024 (New York), all closing at 16:00, 21:00 UTC.
+_CAL_SQL = "cal as (select d::date as et_date, (select min(s) from range(date '2024-01-01', date '2024-02-20', interval 1 day) x(s) where s > d and dayofweek(s) between 1 and 5 and s not in (timestamp '2024-01-01', timestamp '2024-01-15', timestamp '2024-02-19')) + interval 21 hour as closes from range(date '2023-12-30', date '2024-02-10', interval 1 day) y(d))"
+_FEAT_SQL = f"{_CAL_SQL}, f as (select event_id, user_id, ts, value, closes as as_of from events join cal on et_date = (ts - interval 5 hour)::date where event_type in ('view', 'click')), p as (select event_id as spine_id, user_id, ts as t from events where event_type = 'purchase')"
+
+
+@register("pit_cutoff", f"with {_FEAT_SQL} select event_id, epoch(as_of)::bigint as as_of_epoch from f")
+def pit_cutoff(spark: S, d: str) -> DataFrame:
+    return _features(spark, d).select("event_id", F.unix_timestamp("as_of_ts").alias("as_of_epoch"))
+
+
+@register("materialize_pit", f"with {_FEAT_SQL} select user_id, floor(epoch(ts))::bigint as event_epoch, epoch(as_of)::bigint as as_of_epoch, value from f")
+def materialize_pit(spark: S, d: str) -> DataFrame:
+    e = table(spark, d, "events").where("event_type in ('view', 'click')").select("user_id", F.col("ts").cast("timestamp").alias("event_datetime"), "value")
+    m = pit.materialize_features(e, ["user_id", "event_datetime", "value"])
+    return m.select("user_id", F.unix_timestamp("event_datetime").alias("event_epoch"), F.unix_timestamp("as_of_ts").alias("as_of_epoch"), "value")
+
+
+def _joined_sql(ttl: int = 0) -> str:
+    fresh = f" and as_of >= t - interval {ttl} day" if ttl else ""
+    return f"with {_FEAT_SQL}, j as (select p.spine_id, f.event_id, f.value, f.as_of, p.t, row_number() over (partition by spine_id order by as_of desc, ts desc, event_id desc) as r from p left join f on f.user_id = p.user_id and f.as_of <= p.t) select spine_id, case when true{fresh} then event_id end as event_id, case when true{fresh} then value end as value from j where r = 1"
+
+
+def _asof(spark: S, d: str, ttl: int) -> DataFrame:
+    f = _features(spark, d).withColumn("tie", F.struct("event_datetime", "event_id"))
+    return pit.as_of(_spine(spark, d), f, "user_id", "t", ["event_id", "value"], ttl, tie="tie").select("spine_id", "event_id", "value")
+
+
+@register("pit_asof_join", _joined_sql())
+def pit_asof_join(spark: S, d: str) -> DataFrame:
+    return _asof(spark, d, 0)
+
+
+@register("pit_ttl", _joined_sql(3))
+def pit_ttl(spark: S, d: str) -> DataFrame:
+    return _asof(spark, d, 3)
+
+
+@register("feature_service", f"with a as ({_joined_sql()}), b as ({_joined_sql(3)}) select a.spine_id, a.value as long_value, b.value as short_value from a join b using (spine_id)")
+def feature_service(spark: S, d: str) -> DataFrame:
+    f = _features(spark, d).withColumn("tie", F.struct("event_datetime", "event_id"))
+    first = pit.as_of(_spine(spark, d), f, "user_id", "t", ["value"], 0, tie="tie").withColumnRenamed("value", "long_value").drop("as_of_ts")
+    return pit.as_of(first, f, "user_id", "t", ["value"], 3, tie="tie").select("spine_id", "long_value", F.col("value").alias("short_value"))
+
+
+@register("online_latest", f"with {_FEAT_SQL} select user_id, event_id from (select *, row_number() over (partition by user_id order by as_of desc, ts desc, event_id desc) as r from f where as_of between timestamp '2024-01-05' and timestamp '2024-01-20') where r = 1")
+def online_latest(spark: S, d: str) -> DataFrame:
+    return pit.online_latest(_features(spark, d), "user_id", "2024-01-05", "2024-01-20").select("user_id", "event_id")
+
+
+# --- restatements -------------------------------------------------------------------------------------------------------------------
+_FACT_SQL = "(select o_custkey as cik, l_returnflag as concept, l_shipdate as accepted, l_orderkey as accn, l_linenumber as line, floor(l_extendedprice)::bigint as v from lineitem join orders on o_orderkey = l_orderkey)"
+
+
+def _facts(spark: S, d: str) -> DataFrame:
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    return li.join(o, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("cik"), F.col("l_returnflag").alias("concept"), F.col("l_shipdate").alias("accepted"), F.col("l_orderkey").alias("accn"), F.col("l_linenumber").alias("line"), F.floor("l_extendedprice").alias("v"))
+
+
+def _reported(spark: S, d: str, last: bool) -> DataFrame:
+    """As first (or most recently) reported: one aggregate, the extreme of (accepted, accn, line, value), then a pivot over known concepts."""
+    pick = F.max if last else F.min
+    one = _facts(spark, d).groupBy("cik", "concept").agg(pick(F.struct("accepted", "accn", "line", "v"))["v"].alias("v"))
+    at = lambda c: F.max(F.when(F.col("concept") == c, F.col("v"))).alias(c.lower())
+    return one.groupBy("cik").agg(at("A"), at("N"), at("R"))
+
+
+def _reported_sql(order: str) -> str:
+    o = ", ".join(f"{c} {order}" for c in ("accepted", "accn", "line", "v"))
+    return f"select cik, max(v) filter (where concept = 'A') as a, max(v) filter (where concept = 'N') as n, max(v) filter (where concept = 'R') as r from (select *, row_number() over (partition by cik, concept order by {o}) as k from {_FACT_SQL}) where k = 1 group by cik"
+
+
+@register("xbrl_arq", _reported_sql("asc"))
+def xbrl_arq(spark: S, d: str) -> DataFrame:
+    return _reported(spark, d, False)
+
+
+@register("xbrl_mrq", _reported_sql("desc"))
+def xbrl_mrq(spark: S, d: str) -> DataFrame:
+    return _reported(spark, d, True)
+
+
+@register("concept_priority", f"select cik, concept, v from (select *, row_number() over (partition by cik order by case when cik % 10 = 0 and concept = 'R' then -1 when concept = 'N' then 0 when concept = 'A' then 1 else 2 end, accepted, accn, line, v) as k from {_FACT_SQL}) where k = 1")
+def concept_priority(spark: S, d: str) -> DataFrame:
+    rank = F.when((F.col("cik") % 10 == 0) & (F.col("concept") == "R"), -1).when(F.col("concept") == "N", 0).when(F.col("concept") == "A", 1).otherwise(2)
+    best = _facts(spark, d).groupBy("cik").agg(F.min(F.struct(rank.alias("p"), "accepted", "accn", "line", "v", "concept")).alias("x"))
+    return best.select("cik", "x.concept", "x.v")
+
+
+@register("ticker_history", "select o_orderkey, case when o_orderdate < timestamp '1997-06-01' then 'OLD' else 'NEW' end || o_custkey % 3 as ticker from orders where o_custkey % 3 <> 2 or o_orderdate < timestamp '1997-06-01'")
+def ticker_history(spark: S, d: str) -> DataFrame:
+    rows = [(k, f"OLD{k}", "1990-01-01", "1997-06-01") for k in range(3)] + [(k, f"NEW{k}", "1997-06-01", None) for k in range(2)]
+    h = spark.createDataFrame(rows, "k int, ticker string, lo string, hi string").select("k", "ticker", F.to_timestamp_ntz("lo").alias("lo"), F.to_timestamp_ntz("hi").alias("hi"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 3).cast("int").alias("k"))
+    return o.join(F.broadcast(h), "k").where((F.col("o_orderdate") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("o_orderdate") < F.col("hi")))).select("o_orderkey", "ticker")
+
+
+@register("link_fact", f"select f.accn, f.line, o.o_orderstatus as form from {_FACT_SQL} f join orders o on o.o_orderkey = f.accn")
+def link_fact(spark: S, d: str) -> DataFrame:
+    forms = table(spark, d, "orders").select(F.col("o_orderkey").alias("accn"), F.col("o_orderstatus").alias("form"))
+    return _facts(spark, d).select("accn", "line").join(forms, "accn")
+
+
+# --- prices and signals -------------------------------------------------------------------------------------------------------------
+_PRICE_SQL = "px as (select l_suppkey as k, l_shipdate as day, round(sum(l_extendedprice) / sum(l_quantity), 4) as close, sum(l_quantity) as volume from lineitem group by all)"
+
+
+def _prices(spark: S, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    return li.groupBy(F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("day")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("close"), F.sum("l_quantity").alias("volume"))
+
+
+_RET_SQL = f"{_PRICE_SQL}, r as (select *, ln(close / lag(close, 1) over (partition by k order by day)) as ret_1, ln(close / lag(close, 5) over (partition by k order by day)) as ret_5, ln(lead(close, 1) over (partition by k order by day) / close) as next_1 from px)"
+
+
+@register("price_windows", f"with {_RET_SQL} select k, epoch(day)::bigint as day, round(ret_1, 4) + 0.0 as ret_1, round(ret_5, 4) + 0.0 as ret_5, round(case when count(ret_1) over w = 20 then stddev_samp(ret_1) over w * sqrt(252) end, 3) as vol_20, round(case when count(volume) over w = 20 then avg(volume) over w end, 5) as adv_20 from r window w as (partition by k order by day rows between 19 preceding and current row)")
+def price_windows(spark: S, d: str) -> DataFrame:
+    p = op.price_windows(_prices(spark, d), "k", "day", "close", "volume")
+    return p.select("k", F.unix_timestamp(F.col("day").cast("timestamp")).alias("day"), (F.round("ret_1", 4) + 0.0).alias("ret_1"), (F.round("ret_5", 4) + 0.0).alias("ret_5"), F.round("vol_20", 3).alias("vol_20"), F.round("adv_20", 5).alias("adv_20"))
+
+
+_DAY = "date_diff('day', date '2024-01-01', ts::date)"
+
+
+def _event_days(spark: S, d: str) -> DataFrame:
+    return table(spark, d, "events").withColumn("day", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")))
+
+
+@register("signal_a1", f"with m as (select user_id, event_id, {_DAY} as day from events where event_type = 'view'), x as (select a.event_id, a.user_id, a.day, round(sum(exp(-0.05 * (a.day - b.day))), 6) as idx from m a join m b on a.user_id = b.user_id and b.day between a.day - 60 and a.day group by all) select event_id, idx as index, ntile(5) over (partition by day order by idx, event_id)::int as bucket from x")
+def signal_a1(spark: S, d: str) -> DataFrame:
+    views = _event_days(spark, d).where("event_type = 'view'").select("event_id", "user_id", "day")
+    got = op.decayed_index(views, "user_id", "day", 60, 0.05).withColumn("index", F.round("index", 6))
+    return op.quintiles(got, "day", "index", "event_id").select("event_id", "index", "bucket")
+
+
+@register("signal_a2", f"select p.event_id, count(v.event_id) as n from (select *, {_DAY} as day from events where event_type = 'signup') p left join (select *, {_DAY} as day from events where event_type = 'view') v on v.user_id = p.user_id and v.day - p.day between 5 and 20 group by p.event_id")
+def signal_a2(spark: S, d: str) -> DataFrame:
+    e = _event_days(spark, d)
+    w = Window.partitionBy("user_id").orderBy("day").rangeBetween(5, 20)
+    return e.withColumn("n", F.count_if(F.col("event_type") == "view").over(w)).where("event_type = 'signup'").select("event_id", "n")
+
+
+@register("signal_b1", f"with e as (select event_id, user_id, {_DAY} as day, case event_type when 'purchase' then 1 when 'error' then -1 else 0 end as s from events) select event_id, sum(s) over (partition by user_id order by day range between 5 preceding and current row)::bigint as score from e")
+def signal_b1(spark: S, d: str) -> DataFrame:
+    s = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    w = Window.partitionBy("user_id").orderBy("day").rangeBetween(-5, 0)
+    return _event_days(spark, d).select("event_id", F.sum(s).over(w).alias("score"))
+
+
+@register("event_study", f"with {_RET_SQL}, n as (select *, row_number() over (partition by k order by day) as i from r) select a.k, a.i::int as i, round(sum(b.ret_1), 6) as car, count(b.ret_1) as n from n a join n b on b.k = a.k and b.i between a.i - 2 and a.i + 2 where a.i % 50 = 0 group by all")
+def event_study(spark: S, d: str) -> DataFrame:
+    p = op.price_windows(_prices(spark, d), "k", "day", "close", "volume")
+    order = Window.partitionBy("k").orderBy("day")
+    w = order.rowsBetween(-2, 2)
+    got = p.withColumn("i", F.row_number().over(order)).withColumn("car", F.round(F.sum("ret_1").over(w), 6)).withColumn("n", F.count("ret_1").over(w))
+    return got.where("i % 50 = 0").select("k", "i", "car", "n")
+
+
+def _panel(spark: S, d: str) -> DataFrame:
+    """(month, key, signal, outcome): monthly rows with the next row's return."""
+    p = op.price_windows(_prices(spark, d), "k", "day", "close", "volume")
+    nxt = F.log(F.lead("close", 1).over(Window.partitionBy("k").orderBy("day")) / F.col("close"))
+    return p.withColumn("next_1", F.round(nxt, 8)).withColumn("ret_1", F.round("ret_1", 8)).withColumn("month", F.date_format("day", "yyyy-MM")).where("ret_1 is not null and next_1 is not null")
+
+
+_PANEL_SQL = f"{_RET_SQL}, panel as (select k, day, strftime(day, '%Y-%m') as month, round(ret_1, 8) as ret_1, round(next_1, 8) as next_1, volume from r where ret_1 is not null and next_1 is not null)"
+
+
+@register("ic_analysis", f"with {_PANEL_SQL}, k as (select month, rank() over (partition by month order by ret_1) + (count(*) over (partition by month, ret_1) - 1) / 2.0 as a, rank() over (partition by month order by next_1) + (count(*) over (partition by month, next_1) - 1) / 2.0 as b from panel) select month, round(corr(a, b), 6) as ic from k group by month having count(*) > 2")
+def ic_analysis(spark: S, d: str) -> DataFrame:
+    panel = _panel(spark, d)
+    many = panel.groupBy("month").count().where("count > 2").select("month")
+    return op.rank_ic(panel.join(many, "month", "left_semi"), "month", "ret_1", "next_1").select("month", F.round("ic", 6).alias("ic"))
+
+
+@register("quantile_sort", f"with {_PANEL_SQL}, q as (select *, ntile(5) over (partition by month order by ret_1, k, day) as bucket from panel) select bucket::int as bucket, count(*) as n, round(avg(next_1), 7) as mean, round(var_samp(next_1), 5) as variance from q group by bucket")
+def quantile_sort(spark: S, d: str) -> DataFrame:
+    q = _panel(spark, d).withColumn("bucket", F.ntile(5).over(Window.partitionBy("month").orderBy("ret_1", "k", "day")))
+    return q.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg("next_1"), 7).alias("mean"), F.round(F.var_samp("next_1"), 5).alias("variance"))
+
+
+@register("conditional_dist", f"with {_PANEL_SQL} select ret_1 > 0 as up, count(*) as n, round(avg((next_1 > 0)::int), 8) as hit_rate, round(avg((next_1 > 0)::int) / (select avg((next_1 > 0)::int) from panel), 8) as lift from panel group by up")
+def conditional_dist(spark: S, d: str) -> DataFrame:
+    panel = _panel(spark, d)
+    hit = F.avg((F.col("next_1") > 0).cast("int"))
+    base = panel.agg(hit.alias("base"))
+    got = panel.groupBy((F.col("ret_1") > 0).alias("up")).agg(F.count("*").alias("n"), hit.alias("h")).join(F.broadcast(base))
+    return got.select("up", "n", F.round("h", 8).alias("hit_rate"), F.round(F.col("h") / F.col("base"), 8).alias("lift"))
+
+
+@register("triple_barrier", "with p as (select o_custkey, l_orderkey, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_extendedprice) as step, l_discount - 0.05 as ret from lineitem join orders on o_orderkey = l_orderkey), h as (select l_orderkey, min(step) filter (where round(ret, 4) >= 0.03) as u, min(step) filter (where round(ret, 4) <= -0.03) as d from p group by l_orderkey) select l_orderkey, case when u is null and d is null then 0 when d is null or u < d then 1 else -1 end::int as label from h")
+def triple_barrier(spark: S, d: str) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    path = table(spark, d, "lineitem").join(o, "l_orderkey").withColumn("step", F.row_number().over(w)).withColumn("ret", F.round(F.col("l_discount") - 0.05, 4))
+    return op.triple_barrier(path, "l_orderkey", "step", "ret", 0.03, -0.03)
+
+
+@register("cpcv_splits", """with s as (select doc_id as a, doc_id + 5 as z, ntile(6) over (order by doc_id) as block from documents), sp as (select block, min(a) as lo, max(z) as hi from s group by block),
+ f as (select row_number() over (order by x.block, y.block) - 1 as fold, x.block as b1, y.block as b2, x.lo as lo1, x.hi as hi1, y.lo as lo2, y.hi as hi2 from sp x join sp y on x.block < y.block)
+ select fold::int as fold, case when block in (b1, b2) then 'test' when (a <= hi1 + 10 and z >= lo1) or (a <= hi2 + 10 and z >= lo2) then 'purged' else 'train' end as role, count(*) as n from s, f group by all""")
+def cpcv_splits(spark: S, d: str) -> DataFrame:
+    s = table(spark, d, "documents").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 5).alias("z"))
+    return op.cpcv_roles(s, "a", "z", 6, 2, 10).groupBy("fold", "role").agg(F.count("*").alias("n"))
+
+
+@register("realistic_costs", "select event_id, round(5 + 10 * sqrt(value / 1000), 8) as bps from events")
+def realistic_costs(spark: S, d: str) -> DataFrame:
+    from docquarry.functions.numbers import cost_bps
+
+    return table(spark, d, "events").select("event_id", F.round(cost_bps(F.lit(5.0), F.col("value") / 1000), 8).alias("bps"))
+
+
+_T2_SQL = f"{_PANEL_SQL}, w as (select month, k, day, next_1, greatest(-0.05, least(0.05, ret_1 - avg(ret_1) over (partition by month))) as wt from panel)"
+
+
+def _t2(spark: S, d: str) -> DataFrame:
+    neutral = F.col("ret_1") - F.avg("ret_1").over(Window.partitionBy("month"))
+    return _panel(spark, d).withColumn("wt", F.greatest(F.lit(-0.05), F.least(F.lit(0.05), neutral)))
+
+
+@register("t2_portfolio", f"with {_T2_SQL} select month, round(sum(wt * next_1), 3) as pnl, round(sum(abs(wt)), 3) as gross from w group by month")
+def t2_portfolio(spark: S, d: str) -> DataFrame:
+    return _t2(spark, d).groupBy("month").agg(F.round(F.sum(F.col("wt") * F.col("next_1")), 3).alias("pnl"), F.round(F.sum(F.abs("wt")), 3).alias("gross"))
+
+
+@register("stress", f"with {_T2_SQL} select s.scale, round(sum(wt * next_1 - abs(wt) * 0.0005 * s.scale), 2) as pnl from w, (values (1.0::double), (2.0), (0.8), (1.2)) as s(scale) group by s.scale")
+def stress(spark: S, d: str) -> DataFrame:
+    scales = F.broadcast(spark.createDataFrame([(1.0,), (2.0,), (0.8,), (1.2,)], "scale double"))
+    net = F.col("wt") * F.col("next_1") - F.abs("wt") * 0.0005 * F.col("scale")
+    return _t2(spark, d).join(scales).groupBy("scale").agg(F.round(F.sum(net), 2).alias("pnl"))
+
+
+@register("gates", f"with {_T2_SQL}, m as (select month, sum(wt * next_1) as pnl from w group by month) select count(*) as months, count(*) >= 12 and avg(pnl) > 0 as passes from m")
+def gates(spark: S, d: str) -> DataFrame:
+    m = _t2(spark, d).groupBy("month").agg(F.sum(F.col("wt") * F.col("next_1")).alias("pnl"))
+    return m.agg(F.count("*").alias("months"), ((F.count("*") >= 12) & (F.avg("pnl") > 0)).alias("passes"))
+
+
+@register("haircut", "select event_id, round(value * (user_id % 11) / 10.0, 6) as size from events where user_id % 11 <= 10")
+def haircut(spark: S, d: str) -> DataFrame:
+    h = (F.col("user_id") % 11) / 10.0
+    checked = F.when((h >= 0) & (h <= 1), h).otherwise(F.raise_error(F.lit("haircut outside [0, 1]")).cast("double"))
+    return table(spark, d, "events").select("event_id", F.round(F.col("value") * checked, 6).alias("size"))
+
+
+@register("mutual_info")
+def mutual_info(spark: S, d: str) -> DataFrame:
+    return op.mutual_information(table(spark, d, "customer").withColumn("y", F.col("c_acctbal") * 0.5 + F.col("c_nationkey")), "c_nationkey", "c_acctbal", "y")
+
+
+@register("bootstrap")
+def bootstrap(spark: S, d: str) -> DataFrame:
+    return op.bootstrap_means(table(spark, d, "events"), "event_id", "value", 100)
+
+
+@register("deflated_sharpe")
+def deflated_sharpe(spark: S, d: str) -> DataFrame:
+    m = _t2(spark, d).groupBy("month").agg(F.sum(F.col("wt") * F.col("next_1")).alias("pnl"))
+    r = m.agg(F.count("*"), F.avg("pnl"), F.stddev_samp("pnl"), F.skewness("pnl"), F.kurtosis("pnl")).first()
+    p = op.deflated_sharpe(r[1] / r[2], r[0], r[3], r[4] + 3, 10, 0.01)
+    return spark.createDataFrame([(int(r[0]), float(r[1] / r[2]), float(p))], "months long, sharpe double, probability double")
+
+
+@register("combiner")
+def combiner(spark: S, d: str) -> DataFrame:
+    panel = _panel(spark, d).groupBy("month").agg(F.avg("ret_1").alias("a"), F.avg("next_1").alias("b"), F.avg(F.col("ret_1") * F.col("ret_1")).alias("c")).orderBy("month").toPandas()
+    w = op.shrunk_weights(panel[["a", "b", "c"]].to_numpy(), panel[["a", "b", "c"]].mean().to_numpy())
+    return spark.createDataFrame([(s, float(x)) for s, x in zip("abc", w)], "signal string, weight double")

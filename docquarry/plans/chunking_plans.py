@@ -1 +1,107 @@
-"""Queries."""
+"""Section, table and chunk queries, and the streaming forms run to their end."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docquarry.functions import text
+from docquarry.operators import chunking as op
+from docquarry.plans.common import table
+from docquarry.plans.registry import register
+from docquarry.streaming import streams
+
+S = SparkSession
+
+
+def _filing(t: Column) -> Column:
+    """Filing-like markup around a document's text, which has no headers or tables of its own."""
+    return F.concat(
+        F.lit("<p>Item 1. Business</p><p>"), t, F.lit("</p><p>Item&nbsp;1A. Risk Factors</p><p>"), t, F.lit("</p><table><tr><td>1</td></tr><table><tr><td>2</td></tr></table></table><p><b>Legal Proceedings</b></p><p>"), t, F.lit("</p>")
+    )
+
+
+_FILING_SQL = "'<p>Item 1. Business</p><p>' || text || '</p><p>Item&nbsp;1A. Risk Factors</p><p>' || text || '</p><table><tr><td>1</td></tr><table><tr><td>2</td></tr></table></table><p><b>Legal Proceedings</b></p><p>' || text || '</p>'"
+
+
+def _filings(spark: S, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", _filing(F.col("text")).alias("html"))
+
+
+@register("mask_comments")
+def mask_comments(spark: S, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", text.mask_comments(F.col("html")).alias("html"))
+
+
+@register("item_headers", rf"select doc_id, list_aggregate(regexp_extract_all(h, '\b(?i:item)(?:\s|&#160;|&nbsp;|&#x[Aa]0;)+(\d+[A-Za-z]?)\b', 1), 'string_agg', ',') as items from (select doc_id, {_FILING_SQL} as h from documents)")
+def item_headers(spark: S, d: str) -> DataFrame:
+    return _filings(spark, d).select("doc_id", F.array_join(op.item_headers(F.col("html")), ",").alias("items"))
+
+
+@register("table_spans", f"select doc_id, 4::bigint as tags, 2::bigint as deepest, 0::bigint as last from documents")
+def table_spans(spark: S, d: str) -> DataFrame:
+    depths = op.tag_depths(_filings(spark, d), "doc_id", "html", "table")
+    return depths.groupBy("doc_id").agg(F.count("*").alias("tags"), F.max("depth").alias("deepest"), F.max_by("depth", "ordinal").alias("last"))
+
+
+@register("section_first", "select user_id, event_type, min(event_id) as first from events group by all")
+def section_first(spark: S, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+
+
+_TILE_SQL = "(select user_id, event_id as start, coalesce(lead(event_id) over (partition by user_id order by event_id), 1000000) as stop from events)"
+
+
+def _tiles(spark: S, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", F.col("event_id").alias("start"), F.lit(1_000_000).cast("long").alias("length"))
+    return op.tile(e, "user_id", "start", "length").select("user_id", "start", F.col("end").alias("stop"))
+
+
+@register("section_tiling", f"select user_id, start, stop from {_TILE_SQL}")
+def section_tiling(spark: S, d: str) -> DataFrame:
+    return _tiles(spark, d)
+
+
+@register("trim_budget", f"select user_id, start, least(start + 500, stop) as stop from {_TILE_SQL}")
+def trim_budget(spark: S, d: str) -> DataFrame:
+    return _tiles(spark, d).withColumn("stop", F.least(F.col("start") + 500, F.col("stop")))
+
+
+@register("item_audit", "select event_type as item, count(*) as candidates, count(*) filter (where value > 20) as real from events group by item")
+def item_audit(spark: S, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("item")).agg(F.count("*").alias("candidates"), F.count_if(F.col("value") > 20).alias("real"))
+
+
+@register("detect_sections")
+def detect_sections(spark: S, d: str) -> DataFrame:
+    return parse_filing(spark, d).groupBy("doc_id", "section").agg(F.min("start").alias("start"), F.max("end").alias("stop"))
+
+
+@register("parse_filing")
+def parse_filing(spark: S, d: str) -> DataFrame:
+    return op.parse_filings(_filings(spark, d))
+
+
+@register("table_narrative_tiles")
+def table_narrative_tiles(spark: S, d: str) -> DataFrame:
+    return parse_filing(spark, d).groupBy("doc_id", "from_table").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@register("pack_parents")
+def pack_parents(spark: S, d: str) -> DataFrame:
+    return parse_filing(spark, d).groupBy("doc_id", "section", "parent_start", "parent_end").agg(F.count("*").alias("children"))
+
+
+@register("subdivide_children")
+def subdivide_children(spark: S, d: str) -> DataFrame:
+    return parse_filing(spark, d).select("doc_id", "outcome", "section", "start", "end", text.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+@register("stream_dedup")
+def stream_dedup(spark: S, d: str) -> DataFrame:
+    return streams.run_to_end(streams.deduplicated(streams.event_stream(spark, d)), "docquarry_dedup")
+
+
+@register("stream_session")
+def stream_session(spark: S, d: str) -> DataFrame:
+    return streams.run_to_end(streams.sessions(streams.event_stream(spark, d)), "docquarry_sessions")
