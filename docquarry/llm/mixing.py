@@ -217,3 +217,20 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     keyed = keyed.select(*inner, F.inline(F.array(F.struct("__src", "size", "__h", "__id"))))
     drawn = plan.draws(_once(keyed, {"__rank": _rank(names, "__src")}))
     return drawn.select(*[F.col(k).alias(c) for k, c in zip(inner, docs.columns)], F.explode("__draws").alias("__draw")).drop("__draw")
+
+
+def oracle(p: MixParams = MixParams()) -> str:
+    """The rows of ``mix_plan`` (size, source_size, target, taken) in SQL: targets in closed form, draws by the same permutation."""
+    weight = " ".join(f"when {i} then {w}" for i, w in enumerate(p.weights))
+    return rf"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5('{p.seed}:' || coalesce(doc_id::varchar, '')) as h from documents),
+s as (select source, sum(size)::bigint as source_size, case (row_number() over (order by source nulls last) - 1) % {len(p.weights)} {weight} end as w from d group by source),
+o as (select *, row_number() over (order by {p.most} * source_size / w, source nulls last) as r, {p.share} * sum(source_size) over () as total from s),
+f as (select *, total - coalesce({p.most} * sum(source_size) over (order by r rows between unbounded preceding and 1 preceding), 0) as left_over, sum(w) over (order by r rows between current row and unbounded following) as ws from o),
+g as (select *, left_over * w / ws > {p.most} * source_size as above from f),
+first_free as (select min(r) as r from g where not above),
+level as (select left_over, ws from g join first_free using (r)),
+t as (select source, source_size, case when g.r < (select r from first_free) then ({p.most} * source_size)::double else (select left_over from level)::double * w / (select ws from level) end as target from g),
+e as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as epochs from t),
+c as (select d.*, e.source_size, e.target, e.epochs, target - epochs * e.source_size as rest, sum(size) over (partition by d.source order by h, doc_id, size rows unbounded preceding) - size / 2.0 as middle from d join e on d.source is not distinct from e.source)
+select doc_id, size, source_size, target, (size * (epochs + case when middle < rest then 1 else 0 end))::bigint as taken from c"""

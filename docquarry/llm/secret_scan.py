@@ -99,3 +99,18 @@ def findings(docs: DataFrame, ledger: DataFrame, path: str = "doc_id", rule_vers
     The join is by blob address; a blob that many paths share is split by the engine's skew handling, as nothing above regroups."""
     paths = docs.select(F.col(path).alias(path), address(docs, text).alias("blob"))
     return paths.join(ledger.where(F.col("rule_version") == rule_version).select("blob", "found"), "blob", "left")
+
+
+def oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """Counts, spans and their digest for every document, in SQL (document ids distinct)."""
+    quoted = lambda r: "'" + _narrowed(r).replace("'", "''") + "'"
+    kinds = " union all ".join(
+        f"select doc_id, '{r.kind}' as kind, {i} as o, regexp_split_to_array(t, {quoted(r)}) as p, regexp_extract_all(t, {quoted(r)}, 0) as m, regexp_extract_all(t, {quoted(r)}, {r.group}) as g, {r.least} as least from t" for i, r in enumerate(rules)
+    )
+    counts = ", ".join(f"count(*) filter (where kind = '{r.kind}') as n_{r.kind}" for r in rules)
+    return f"""
+with t as (select doc_id, coalesce(text, '') as t from documents), k as ({kinds}),
+i as (select *, unnest(range(1, len(m) + 1)) as i from k),
+s as (select doc_id, kind, o, i, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint as start, length(m[i]) as n, length(g[i]) as held, least from i),
+f as (select *, kind || ':' || start || ':' || (start + n) as span from s where held >= least)
+select doc_id, {counts}, sha256(coalesce(string_agg(span, ',' order by start, o), '')) as base_sha256, coalesce(string_agg(span, ',' order by start, o), '') as spans from documents left join f using (doc_id) group by doc_id"""
