@@ -298,3 +298,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", p: NearPa
     """``docs`` with one document, the least key, of each component; their own columns."""
     gone = materialize(near_components(docs, key, text, p).where(~F.col("kept")).select(key), "near-gone")
     return without(docs, gone, key)
+
+
+def oracle(p: NearParams) -> str:
+    """The same by brute force in SQL, for small tables: all pairs that share a shingle, then reachability (document ids distinct)."""
+    k, upper = p.words, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= {k} then list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+l as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= {p.percent} * (a.n + b.n - c)),
+e as (select x, y from l union select y, x from l),
+r as (select doc_id as x, doc_id as y from n union select r.x, e.y from r join e on r.y = e.x),
+m as (select x, min(y) as component from r group by x)
+select doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component, doc_id) as component_id, coalesce(component, doc_id) = doc_id as kept from documents left join n using (doc_id) left join m on m.x = doc_id"""

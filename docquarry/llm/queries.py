@@ -72,7 +72,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op4_decontamination, op9_near_dedup)}
-ORACLES |= {"op1_secret_scan": secret_scan.oracle(), "op3_mixing": mixing.oracle(), "op4_decontamination": decontam.oracle()}
+ORACLES |= {"op1_secret_scan": secret_scan.oracle(), "op3_mixing": mixing.oracle(), "op4_decontamination": decontam.oracle(), "op9_near_dedup": near_dup.oracle(near_dup.NearParams(words=4))}
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
