@@ -31,7 +31,7 @@ def top_k(scored: DataFrame, k: int, group: str, *order: Column) -> DataFrame:
     """The first ``k`` of each group, with ``rank`` from 1; the order should end in an id, so that ties are fixed."""
     if k <= 0:
         raise ValueError("k must be positive")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
 def dense_distances(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -43,7 +43,7 @@ def dense_distances(queries: DataFrame, vectors: DataFrame, key: str = "vec_id",
 def collapse_to_parents(ranked: DataFrame, child_parent: DataFrame, group: str = "query_id", child: str = "doc_id") -> DataFrame:
     """Children's ranks to their parents' (best child first), re-ranked densely; children without a parent are dropped."""
     best = ranked.join(child_parent, child).groupBy(group, "parent_id").agg(F.min("rank").alias("best"))
-    return best.select(group, "parent_id", F.row_number().over(Window.partitionBy(group).orderBy("best")).alias("rank"))
+    return best.select(group, "parent_id", F.row_number().over(Window.partitionBy(group).orderBy("best")).cast("long").alias("rank"))
 
 
 def rrf(lexical: DataFrame, dense: DataFrame, key: str, group: str = "query_id", w_lexical: float = 1.0, w_dense: float = 1.0, k: int = 60) -> DataFrame:

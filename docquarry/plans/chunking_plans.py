@@ -105,3 +105,25 @@ def stream_dedup(spark: S, d: str) -> DataFrame:
 @register("stream_session")
 def stream_session(spark: S, d: str) -> DataFrame:
     return streams.run_to_end(streams.sessions(streams.event_stream(spark, d)), "docquarry_sessions")
+
+
+@register("header_validation")
+def header_validation(spark: S, d: str) -> DataFrame:
+    """How many item numbers a document names, and how many of them head a section."""
+    named = _filings(spark, d).select("doc_id", F.size(op.item_headers(F.col("html"))).alias("named"))
+    real = detect_sections(spark, d).where("section is not null").groupBy("doc_id").agg(F.count("*").alias("real"))
+    return named.join(real, "doc_id", "left").select("doc_id", "named", F.coalesce("real", F.lit(0)).alias("real"))
+
+
+@register("entity_flex_find")
+def entity_flex_find(spark: S, d: str) -> DataFrame:
+    """Where a title stands, if its white space may be written as entities."""
+    flex = op.entity_flexible("Item 1A. Risk Factors")
+    return _filings(spark, d).select("doc_id", F.when(F.rlike("html", F.lit(flex)), F.length(F.element_at(F.split("html", flex, 2), 1))).alias("start"))
+
+
+@register("token_bucket")
+def token_bucket(spark: S, d: str) -> DataFrame:
+    """Each user's waits under a rate limit, folded over their calls in order."""
+    calls = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double"))).alias("at"))
+    return calls.select("user_id", op.bucket_waits(F.col("at"), rate=1 / 3600, burst=2.0).alias("waited"))
