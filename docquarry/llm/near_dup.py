@@ -35,7 +35,7 @@ class NearParams:
     coords: int = 64
     least: int = 36
     seed: int = 5
-    rounds: int = 2
+    rounds: int = 1
     block: int = 512
     broadcast_ids: int = 2_000_000
 
