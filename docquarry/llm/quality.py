@@ -25,7 +25,7 @@ from docquarry.session import materialize, ship_package
 
 @dataclass(frozen=True)
 class QualityParams:
-    """``train_docs`` bounds the sample that the scorer is fitted on (least hashes of key and text); votes count over all documents."""
+    """``train_docs`` bounds the sample that the scorer is fitted on (by hashes of key and text); votes count over all documents."""
 
     train_docs: int = 6000
     dims: int = 1024
@@ -208,7 +208,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", p: QualityPara
     if not counts:
         return Model(np.append(np.zeros(p.dims), 1.0).astype(np.float32), 1.0, np.zeros((len(LABELLERS), 2, 3)), p)
     prior, like, post = expectation_maximisation(counts, p.em_rounds)
-    sample = seen.orderBy("h").limit(p.train_docs).collect()
+    # about 1.5 times the bound pass the threshold, whatever the table's size, so that tasks send no more than that to the driver
+    unit = F.shiftrightunsigned(F.xxhash64("h"), 11) / F.lit(float(1 << 53))
+    sample = seen.where(unit < 1.5 * p.train_docs / sum(counts.values())).orderBy("h").limit(p.train_docs).collect()
+    if not sample:
+        return Model(np.append(np.zeros(p.dims), 1.0).astype(np.float32), prior, like, p)
     label = np.array([post[r["votes"]] for r in sample], np.float32)
     return Model(fit_linear([(r["at"], r["val"]) for r in sample], label, p.dims, p.ridge), prior, like, p)
 
