@@ -37,6 +37,7 @@ class NearParams:
     seed: int = 5
     rounds: int = 1
     block: int = 512
+    block_shingles: int = 1_000_000
     broadcast_ids: int = 2_000_000
 
 
@@ -249,8 +250,10 @@ def _links(own: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame | None:
     apart = materialize(lit.join(split.select("list", F.col("rep").alias("at")), "list").select("id", "comp", "at").distinct(), "near-apart")
     groups = components(apart.where(F.col("id") != F.col("at")).select(F.col("id").alias("x"), F.col("at").alias("y")))
     members = apart.select("id", "comp").distinct().join(groups, "id")
-    counts = members.groupBy("label").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"), F.count_distinct("comp").alias("comps"))
-    dealt = members.join(counts.where(F.col("comps") > 1), "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sized = members.join(sets.select("id", (F.octet_length("shingles") / 8).alias("size")), "id")
+    full = F.greatest(F.count("*") / p.block, F.sum("size") / p.block_shingles)  # a block is bounded in sets and in shingles
+    counts = sized.groupBy("label").agg(F.ceil(full).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    dealt = members.join(counts.where(F.col("lo") != F.col("hi")), "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tiled = dealt.select("label", "id", "comp", "block", other).select("label", "id", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     kind = reps.schema["id"].dataType.simpleString()
