@@ -70,10 +70,12 @@ def word_hashes(raw: bytes) -> np.ndarray:
     letters = b[word]
     first = np.cumsum(n) - n
     place = np.arange(len(letters)) - np.repeat(first, n)
-    # the place's multiplier times a value of the letter; places beyond the table are told apart by their round
+    # the place's multiplier times a value of the letter; places beyond the table, and only those, are told apart by their round, so
+    # that a word's hash depends on that word alone
     v = _BYTE[letters] * _PLACE[place & 4095]
-    if len(letters) and place.max() > 4095:
-        v = _mix(v + (place >> 12).astype(np.uint64))
+    far = np.flatnonzero(place > 4095)
+    if len(far):
+        v[far] = _mix(v[far] + (place[far] >> 12).astype(np.uint64))
     return _mix(np.add.reduceat(_mix(v), first) + n.astype(np.uint64))
 
 

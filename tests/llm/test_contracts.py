@@ -271,6 +271,19 @@ def test_near_dedup(spark, none, block):
     assert near_dup.near_components(none).count() == 0
 
 
+def test_near_dedup_with_a_very_long_word(spark):
+    rng = random.Random(7)
+    base = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(1000))
+    run = "".join(rng.choice("abcdefgh") for _ in range(5000))
+    texts = {0: base, 1: f"{base} {run}", 2: f"{base} {run[:4096]}", 3: f"{base} {run[:4097]}", 4: run, 5: run[:-1] + "z", 6: run[4096:] + run[904:4096]}
+    h = near_dup.word_hashes
+    for t in (texts[1], texts[3]):
+        assert (h(t.encode())[:1000] == h(base.encode())).all()
+    assert len({h(texts[i].encode())[-1] for i in range(1, 7)}) == 5  # 1 and 4 end in the same word
+    got = near_dup.near_components(make(spark, [(i, t, "s") for i, t in texts.items()])).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(texts, 5)
+
+
 # --- 10: GIF ------------------------------------------------------------------------------------------------------------------------
 def lzw_encode(px, bits):
     """A textbook encoder, for the general reader."""
