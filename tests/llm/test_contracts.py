@@ -190,6 +190,13 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_repeated_rows_of_a_page_do_not_cover_it(spark):
+    own = "One page of nine words and it stands alone."
+    rows = [(1, "http://a.org/1", f"<div>{own}</div>")] * 4 + [(None, "http://a.org/2", "<div>Another page of nine words that also stands alone.</div>")] * 3
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r["text"] for r in got) == ["Another page of nine words that also stands alone."] * 3 + [own] * 4
+
+
 def test_repeated_runs_against_brute_force():
     rng = np.random.default_rng(1)
     tokens, page = rng.integers(0, 3, 400), np.repeat(np.arange(8), 50)
