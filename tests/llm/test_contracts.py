@@ -190,6 +190,18 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("bucket_bytes", [256_000, 2_000, 100])
+def test_html_coverage_is_of_the_whole_host(spark, bucket_bytes):
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"u{rng.randint(0, 10**9)}" for _ in range(n))
+    often, twice, own = words(12), words(12), {k: words(40) for k in range(60)}
+    rows = [(k, f"http://a.org/{k}", f"<div>{often}</div><div>{own[k]}</div>" if k % 6 == 0 else f"<div>{own[k]}</div><div>{twice if k in (1, 2) else ''}</div>") for k in range(60)]
+    rows += [(100, "http://b.org/1", f"<div>{often}</div>"), (101, "http://a.org/x", f"<article>{often}</article>"), (102, "http://a.org/y", f"<article>{twice} more</article>"), (103, "http://a.org/z", f"<article>{own[3]}</article>")]
+    want = {k: own[k] for k in range(60)} | {100: often, 101: often, 102: f"{twice} more", 103: own[3]}
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), bucket_bytes=bucket_bytes).collect()}
+    assert got == want
+
+
 def test_html_repeated_rows_of_a_page_do_not_cover_it(spark):
     own = "One page of nine words and it stands alone."
     rows = [(1, "http://a.org/1", f"<div>{own}</div>")] * 4 + [(None, "http://a.org/2", "<div>Another page of nine words that also stands alone.</div>")] * 3
