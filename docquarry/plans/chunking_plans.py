@@ -104,7 +104,8 @@ def stream_dedup(spark: S, d: str) -> DataFrame:
 
 @register("stream_session")
 def stream_session(spark: S, d: str) -> DataFrame:
-    return streams.run_to_end(streams.sessions(streams.event_stream(spark, d)), "docquarry_sessions")
+    closed = streams.run_to_end(streams.sessions(streams.event_stream(spark, d)), "docquarry_sessions")
+    return closed.unionByName(streams.open_sessions(streams.event_table(spark, d)))
 
 
 @register("header_validation")

@@ -19,6 +19,11 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as a table."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def deduplicated(events: DataFrame, keys: tuple[str, ...] = ("user_id", "event_type"), late: str = "40 days") -> DataFrame:
     """The first row of each key; state is bounded by the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys)).select(*keys)
@@ -30,6 +35,14 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> Da
     return events.withWatermark("ts", late).groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def open_sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
+    """What ``sessions`` leaves open when the stream of ``events`` (here a table) has ended: those that end after the last watermark."""
+    last = events.agg(F.max("ts").alias("last")).select((F.timestamp_millis(F.unix_millis("last")) - F.expr(f"interval {late}")).alias("mark"))
+    w = F.session_window("ts", gap)
+    all_ = events.groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return all_.join(F.broadcast(last), F.col("end") > F.col("mark")).drop("mark")
+
+
 def windows(events: DataFrame, length: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

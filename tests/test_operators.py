@@ -108,6 +108,19 @@ def test_stream_append_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_sessions_open_at_the_end_are_returned(spark):
+    import duckdb
+
+    from docquarry.plans import registry
+
+    path = "/root/testdata/sf0.01"
+    got = registry.queries()["stream_session"](spark, path).selectExpr("user_id", "unix_micros(start) as s", "unix_micros(end) as e", "n").collect()
+    sql = f"""with g as (select user_id, ts, coalesce(ts - lag(ts) over w > interval 6 hours, true)::int as fresh from '{path}/events.parquet' window w as (partition by user_id order by ts)),
+    n as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+    select user_id, epoch_us(min(ts)), epoch_us(max(ts) + interval 6 hours), count(*) from n group by user_id, k"""
+    assert sorted(tuple(r) for r in got) == sorted(duckdb.sql(sql).fetchall())
+
+
 def test_library_stands_without_the_optional_subpackage(tmp_path):
     root = Path(__file__).resolve().parents[1]
     shutil.copytree(root / "docquarry", tmp_path / "docquarry", ignore=shutil.ignore_patterns("llm", "__pycache__"))
