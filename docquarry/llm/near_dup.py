@@ -4,8 +4,9 @@ Each distinct shingle set gets a signature of ``coords`` minima. Sets are posted
 sets that meet in at least ``least`` lists are candidates. Merging is by prefix and skip: with lists in one global order, rarest
 first, two such sets must meet within the first ``coords - least + 1`` lists of each, so a set's ``least - 1`` most frequent lists
 are skipped, and a set that shares fewer than ``least`` lists with anything is dropped before any pair is made. Within a list, sets
-are first compared with the list's hub, then with members of its main component; groups that this leaves apart are compared whole, in
-tiles of two blocks, of which only links that join components come out. Every link is confirmed on full shingle sets.
+are first compared with the list's hub, then with members of its main component. Groups that this leaves apart are written as
+differences from a hub, and an inverted join over the elements of those finds what can still link (``_resolved``): what a group has in
+common is in no list. Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from docquarry.session import materialize, ship_package
 class NearParams:
     """Link at ``percent`` * union <= 100 * intersection. ``least`` of ``coords``: a pair at 0.8 stays below it about 5 times in a million.
 
-    ``rounds``: of meetings with main components before what is left apart is compared whole, ``block`` sets against as many. ``broadcast_ids``: up to so many candidate ids (16 bytes each) are broadcast to pick their texts; beyond it, by shuffle."""
+    ``rounds``: of meetings with main components. ``levels`` (at least 1): of hubs that what is left apart is written as differences from; lists of at
+    most ``short_list`` sets are then compared pair by pair. ``block``: sets of a tile's side, and ``block_shingles``, for what is left
+    after that. ``broadcast_ids``: up to so many candidate ids (16 bytes each) are broadcast to pick their texts; beyond it, by shuffle."""
 
     words: int = 5
     percent: int = 80
@@ -36,6 +39,8 @@ class NearParams:
     least: int = 36
     seed: int = 5
     rounds: int = 1
+    levels: int = 1
+    short_list: int = 48
     block: int = 512
     block_shingles: int = 1_000_000
     broadcast_ids: int = 2_000_000
@@ -171,12 +176,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
     return both.select("x", "y", "a", "b").mapInArrow(run, f"x {kind}, y {kind}")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, label): the least id reachable over ``edges`` (x, y), for every id that occurs. Least labels spread along edges, then each
-    label is replaced by its own label (so that paths halve); tables are written between rounds, and only counts reach the driver."""
+    label is replaced by its own label (so that paths halve); tables are written between rounds, and only counts reach the driver.
+    Labels only fall, so it ends."""
     edges = materialize(edges.select("x", "y").union(edges.select(F.col("y"), F.col("x"))).distinct(), "cc-edges")
     labels = materialize(edges.groupBy(F.col("x").alias("id")).agg(F.least(F.col("id"), F.min("y")).alias("label")), "cc-labels")
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("id").alias("mid"), F.col("label").alias("next"))
@@ -184,7 +190,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not new.where(F.col("label") < F.col("was")).limit(1).count():
             return new.select("id", "label")
         labels = new.select("id", "label")
-    raise RuntimeError("components didn't settle")
+
+
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (id, weight, comp) after ``links`` (x, y) between ids. Only edges between different components are searched, each once:
+    a component's least id is its name, so names of merged components are least ids too."""
+    links = materialize(links, "near-links")
+    of = lambda k: comps.select(F.col("id").alias(k), F.col("comp").alias(f"c{k}"))
+    edges = materialize(links.join(of("x"), "x").join(of("y"), "y").where(F.col("cx") != F.col("cy")).select(F.least("cx", "cy").alias("x"), F.greatest("cx", "cy").alias("y")).distinct(), "near-edges")
+    if not edges.limit(1).count():
+        return comps
+    moved = components(edges).withColumnRenamed("id", "comp")
+    return materialize(comps.join(moved, "comp", "left").select("id", "weight", F.coalesce("label", "comp").alias("comp")), "near-comps")
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", p: NearParams = NearParams()) -> DataFrame:
@@ -200,10 +217,10 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
     linked = signed.where(F.col("cls").isNotNull() & F.col("id").isNotNull())
     classes = materialize(linked.groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "near-classes")
     reps = linked.join(classes.select(F.col("rep").alias("id"), "cls"), ["id", "cls"], "left_semi").select("id", "n_shingles", "posts").dropDuplicates(["id"])
-    edges = _links(own, reps, p)
+    comps = _joined(own, reps, p)
     found = classes.select("cls", "rep", "n")
-    if edges is not None:
-        found = found.join(components(edges).withColumnRenamed("id", "rep"), "rep", "left").select("cls", F.coalesce("label", "rep").alias("component"), "n", "rep")
+    if comps is not None:
+        found = found.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("component"), "n", "rep")
     else:
         found = found.withColumn("component", F.col("rep"))
     moved = found.where((F.col("n") > 1) | (F.col("component") != F.col("rep"))).select("cls", "component")
@@ -212,8 +229,8 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def _links(own: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame | None:
-    """Confirmed links (x, y) that join up every component, or None."""
+def _joined(own: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame | None:
+    """(id, weight, comp) of every candidate: its component's least id. None without candidates."""
     posted = reps.select("id", F.explode("posts").alias("list"))
     shared = posted.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     met = posted.join(shared, "list")
@@ -233,35 +250,136 @@ def _links(own: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame | None:
     by = lambda order: F.max_by("id", order)
     hubs = kept.groupBy("list").agg(by(F.struct("weight", F.xxhash64("id"))).alias("hub"), F.max("weight").alias("w"), F.count("*").alias("n")).where(F.col("n") > 1)
     first = kept.join(hubs.select("list", "hub", "w"), "list").where(F.col("id") != F.col("hub")).groupBy(F.col("id").alias("x")).agg(F.max_by("hub", F.struct("w", F.xxhash64("hub"))).alias("y"))
-    edges = materialize(_confirmed(first, sets, p), "near-links")
-    for round_ in range(p.rounds + 1):
-        labels = components(edges)
-        lit = materialize(kept.select("list", "id").join(labels, "id", "left").select("list", "id", F.coalesce("label", "id").alias("comp")), "near-lit")
-        sizes = lit.groupBy("list", "comp").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "list", F.lit(round_))).alias("rep"))
-        lists = sizes.groupBy("list").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max_by("rep", F.struct("n", "comp")).alias("rep"), F.count("*").alias("comps"))
-        split = materialize(lists.where(F.col("comps") > 1), "near-split")
-        apart = split.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
-        if not apart:
-            return edges
-        if round_ == p.rounds or apart <= 2 * cands.count():
-            break
-        # what lies outside a list's main component meets one more of its sets, another in each list and round
-        rest = lit.join(split.select("list", "main", "rep"), "list").where(F.col("comp") != F.col("main")).select(F.greatest("id", "rep").alias("x"), F.least("id", "rep").alias("y")).distinct()
-        edges = edges.unionByName(materialize(_confirmed(rest, sets, p), "near-links"))
-    # the rest, whole: what shares a list and isn't joined up yet falls into groups, which are compared block against block
-    apart = materialize(lit.join(split.select("list", F.col("rep").alias("at")), "list").select("id", "comp", "at").distinct(), "near-apart")
-    groups = components(apart.where(F.col("id") != F.col("at")).select(F.col("id").alias("x"), F.col("at").alias("y")))
-    members = apart.select("id", "comp").distinct().join(groups, "id")
-    sized = members.join(sets.select("id", (F.octet_length("shingles") / 8).alias("size")), "id")
+    comps = _merged(cands.select("id", "weight", F.col("id").alias("comp")), _confirmed(first, sets, p))
+    # then, list by list, what lies outside the list's main component with one set of that
+    for round_ in range(p.rounds):
+        lit = kept.select("list", "id").join(comps, "id")
+        rest = _outside(lit, round_).select(F.greatest("id", "rep").alias("x"), F.least("id", "rep").alias("y")).distinct()
+        comps = _merged(comps, _confirmed(rest, sets, p))
+    # what shares a list and isn't joined up yet falls into groups of components
+    meet = _outside(kept.select("list", "id").join(comps, "id"), p.rounds).select(F.col("comp").alias("x"), F.col("main").alias("y")).distinct()
+    if not meet.limit(1).count():
+        return comps
+    groups = comps.join(components(meet).select(F.col("id").alias("comp"), F.xxhash64("label").alias("g")), "comp").select("g", "id")
+    return _resolved(materialize(groups, "near-groups"), comps, sets, p)
+
+
+def _outside(lit: DataFrame, round_: int) -> DataFrame:
+    """(list, id, comp, main, rep): members of a list outside its main component, with that and one of its members."""
+    lit = materialize(lit, "near-lit")
+    sizes = lit.groupBy("list", "comp").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "list", F.lit(round_))).alias("rep"))
+    lists = sizes.groupBy("list").agg(F.max_by(F.struct(F.col("comp").alias("main"), "rep"), F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).where(F.col("comps") > 1)
+    return lit.join(lists.select("list", "m.main", "m.rep"), "list").where(F.col("comp") != F.col("main")).select("list", "id", "comp", "main", "rep")
+
+
+def _resolved(groups: DataFrame, comps: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
+    """``comps`` after every link inside ``groups`` (g, id) has been found.
+
+    Sets of a group are written as differences from its hub, the elements that most of its sets have: with D the symmetric difference
+    and v = (100 + percent) |D| - (100 - percent) |set|, two sets link exactly if v + v' <= 2 (100 + percent) |D and D'|. So what the
+    group has in common costs nothing. Sets with v at most minus the group's least v link with the set of that least v; any other
+    link between two components needs so many common elements of differences, at least, as follow from v and the least v outside the
+    set's component. Prefix and skip over the lists of elements find who may have them. Pairs of short lists are confirmed; sets of
+    long lists form the groups of the next level, with a hub of their own. What ``levels`` leave is compared in tiles, of whole groups or
+    list by list."""
+    kind, unit = comps.schema["id"].dataType.simpleString(), 2 * (100 + p.percent)
+    for level in range(p.levels):
+        diffs = _differences(groups, comps, sets, p)
+        if diffs is None:
+            return comps
+        least = diffs.groupBy("g").agg(F.min("v").alias("lowest"), F.min_by("id", F.struct("v", "id")).alias("m"))
+        close = diffs.select("g", "id", "v").join(least, "g").where((F.col("v") + F.col("lowest") <= 0) & (F.col("id") != F.col("m")))
+        comps = _merged(comps, close.select(F.col("id").alias("x"), F.col("m").alias("y")))
+        # the least v outside a component: the group's, or for the component that has it, the next component's
+        per = materialize(diffs.select("g", "id", "v").join(comps.select("id", "comp"), "id").groupBy("g", "comp").agg(F.min("v").alias("v")), "near-least")
+        first = per.groupBy("g").agg(F.min(F.struct("v", "comp")).alias("f"))
+        ranked = per.join(first, "g")
+        second = ranked.where(F.col("comp") != F.col("f.comp")).groupBy("g").agg(F.min("v").alias("next"))
+        other = ranked.join(second, "g").select("g", "comp", F.when(F.col("comp") == F.col("f.comp"), F.col("next")).otherwise(F.col("f.v")).alias("least"))
+        need = F.greatest(F.ceil((F.col("v") + F.col("least")) / unit), F.lit(1)).cast("int").alias("need")
+        items = diffs.join(comps.select("id", "comp"), "id").join(other, ["g", "comp"]).select("g", "id", "comp", need, "d").where(F.size("d") >= F.col("need"))
+        items = materialize(items.select("g", "id", "comp", "need", F.explode("d").alias("e")), "near-items")
+        prefix = (
+            items.join(_mixed(items).select("g", "e", "n"), ["g", "e"]).groupBy("g", "id", "comp", "need").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("es"))
+            .where(F.size("es") >= F.col("need")).select("g", "id", "comp", F.explode(F.slice("es", F.lit(1), F.size("es") - F.col("need") + 1)).alias("x")).select("g", "id", "comp", F.col("x.e").alias("e"))
+        )
+        prefix = materialize(prefix, "near-prefixes")
+        # lists of the same sets count once
+        lists = materialize(_mixed(prefix).groupBy("g", "n", "who").agg(F.min("e").alias("e")).select("g", "e", "n"), "near-lists")
+        short = prefix.join(lists.where(F.col("n") <= p.short_list), ["g", "e"]).groupBy("g", "e").agg(F.collect_list(F.struct("id", "comp")).alias("m"))
+        pair = F.explode(F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: (b["id"] < a["id"]) & (b["comp"] != a["comp"])), lambda b: F.struct(a["id"].alias("x"), b["id"].alias("y"))))))
+        comps = _merged(comps, _confirmed(short.select(pair.alias("p")).select("p.x", "p.y").distinct(), sets, p))
+        long = materialize(prefix.join(lists.where(F.col("n") > p.short_list), ["g", "e"]).select("g", "e", "id"), "near-long")
+        groups = materialize(long.select("g", "id").distinct(), "near-groups")
+    # whole groups or list by list, whichever sends fewer rows
+    sent = F.count("*") * F.ceil(F.count("*") / p.block)
+    whole = groups.groupBy("g").agg(sent.alias("whole"))
+    listed = long.groupBy("g", "e").agg(sent.alias("n")).groupBy("g").agg(F.sum("n").alias("listed"))
+    way = whole.join(listed, "g").select("g", (F.col("listed") < F.col("whole")).alias("by_list"))
+    by_list = long.join(way.where("by_list"), "g").select(F.xxhash64("g", "e").alias("g"), "id")
+    return _tiled(groups.join(way.where("not by_list"), "g").select("g", "id").unionByName(by_list), comps, sets, kind, p)
+
+
+def _mixed(posted: DataFrame) -> DataFrame:
+    """(g, e, n, who) of the lists that hold sets of more than one component: their length, and a digest of their members."""
+    who = F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who")
+    return posted.groupBy("g", "e").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), who).where(F.col("lo") != F.col("hi")).select("g", "e", "n", "who")
+
+
+def _live(groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """(g, id, comp, n) of the groups that have sets of more than one component."""
+    now = materialize(groups.join(comps.select("id", "comp"), "id"), "near-live")
+    live = now.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where(F.col("lo") != F.col("hi"))
+    return materialize(now.join(live.select("g", "n"), "g").select("g", "id", "comp", "n"), "near-live")
+
+
+def _differences(groups: DataFrame, comps: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame | None:
+    """(g, id, v, d) of each set of a group that has more than one component: see ``_resolved``. None without such groups."""
+    live = _live(groups, comps)
+    if not live.limit(1).count():
+        return None
+    kind = comps.schema["id"].dataType.simpleString()
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            parts = [np.frombuffer(a.as_buffer(), np.int64) for a in t.column(1)]
+            g = np.repeat(t.column(0).to_numpy(), [len(a) for a in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(np.concatenate([np.empty(0, np.int64), *parts]), pa.int64())], ["g", "e"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            v, ds = [], []
+            hubs = t.column(3)
+            for i, a in enumerate(t.column(2)):
+                a = np.frombuffer(a.as_buffer(), np.int64)
+                d = np.setxor1d(a, hubs[i].values.to_numpy() if hubs[i].is_valid else none, assume_unique=True)
+                v.append((100 + p.percent) * len(d) - (100 - p.percent) * len(a))
+                ds.append(d)
+            ends = np.cumsum([0, *map(len, ds)]).astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *ds])))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(v, pa.int64()), flat], ["g", "id", "v", "d"])
+
+    none = np.empty(0, np.int64)
+    full = live.join(sets, "id")
+    common = full.select("g", "shingles").mapInArrow(elements, "g long, e long").groupBy("g", "e").agg(F.count("*").alias("c")).join(live.select("g", "n").distinct(), "g")
+    hubs = materialize(common.where(2 * F.col("c") > F.col("n")).groupBy("g").agg(F.collect_list("e").alias("h")), "near-hubs")
+    return materialize(full.join(hubs, "g", "left").select("g", "id", "shingles", "h").mapInArrow(run, f"g long, id {kind}, v long, d array<bigint>"), "near-diffs")
+
+
+def _tiled(groups: DataFrame, comps: DataFrame, sets: DataFrame, kind: str, p: NearParams) -> DataFrame:
+    """``comps`` after all sets of each group have been compared, block against block; of a tile only links that join components come out."""
+    live = _live(groups, comps)
+    sized = live.join(sets.select("id", (F.octet_length("shingles") / 8).alias("size")), "id")
     full = F.greatest(F.count("*") / p.block, F.sum("size") / p.block_shingles)  # a block is bounded in sets and in shingles
-    counts = sized.groupBy("label").agg(F.ceil(full).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    dealt = members.join(counts.where(F.col("lo") != F.col("hi")), "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    counts = sized.groupBy("g").agg(F.ceil(full).cast("int").alias("blocks"))
+    dealt = live.join(counts, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiled = dealt.select("label", "id", "comp", "block", other).select("label", "id", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    kind = reps.schema["id"].dataType.simpleString()
+    tiled = dealt.select("g", "id", "comp", "block", other).select("g", "id", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    tiled = materialize(tiled, "near-tiles")
+    if not tiled.limit(1).count():
+        return comps
     compare = lambda b: _block_links(b, p)
-    found = tiled.join(sets, "id").groupBy("label", "i", "j").applyInPandas(compare, f"x {kind}, y {kind}")
-    return edges.unionByName(materialize(found, "near-links"))
+    return _merged(comps, tiled.join(sets, "id").groupBy("g", "i", "j").applyInPandas(compare, f"x {kind}, y {kind}"))
 
 
 def _block_links(b: pd.DataFrame, p: NearParams) -> pd.DataFrame:

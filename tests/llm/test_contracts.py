@@ -290,6 +290,34 @@ def test_near_dedup(spark, none, block):
     assert near_dup.near_components(none).count() == 0
 
 
+@pytest.mark.parametrize("short, block, levels", [(48, 512, 1), (2, 16, 2)])
+def test_near_dedup_of_one_large_group(spark, short, block, levels):
+    """3,000 near copies of one text around the threshold, against the product of their incidence matrix; the other settings, on fewer,
+    take long lists and tiles."""
+    rng, n = np.random.default_rng(short), 3000 if block == 512 else 300
+    base, alt = ([f"{c}{i}" for i in range(70)] for c in "wv")
+    rows = np.array([base] * n, dtype=object)
+    for r in rows:
+        at = rng.integers(0, 70, rng.integers(0, 9))
+        r[at] = [alt[k] if rng.random() < 0.4 else f"n{rng.integers(10**9)}" for k in at]
+    texts = {i: " ".join(r) for i, r in enumerate(rows)}
+    p = near_dup.NearParams(words=4, short_list=short, block=block, levels=levels)
+    ids, place = sorted(texts), {}
+    sets = [[place.setdefault(s, len(place)) for s in shingles(texts[i], 4)] for i in ids]
+    size = np.array([len(s) for s in sets])
+    hit = np.zeros((n, len(place)), np.float32)
+    for i, s in enumerate(sets):
+        hit[i, s] = 1
+    common = (hit @ hit.T).round().astype(int)
+    link, label = 100 * common >= 80 * (size[:, None] + size[None, :] - common), np.arange(n)
+    while (nxt := np.array([label[row].min() for row in link])).tolist() != label.tolist():
+        label = nxt
+    got = near_dup.near_components(make(spark, [(i, t, "s") for i, t in texts.items()]), p=p).toPandas().sort_values("doc_id")
+    assert got.n_shingles.tolist() == size.tolist()
+    wrong = (got.component_id.to_numpy() != label).sum()
+    assert wrong == 0 and 1 < len(set(label)) < n
+
+
 def test_near_dedup_with_a_very_long_word(spark):
     rng = random.Random(7)
     base = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(1000))
