@@ -4,9 +4,9 @@ Each distinct shingle set gets a signature of ``coords`` minima. Sets are posted
 sets that meet in at least ``least`` lists are candidates. Merging is by prefix and skip: with lists in one global order, rarest
 first, two such sets must meet within the first ``coords - least + 1`` lists of each, so a set's ``least - 1`` most frequent lists
 are skipped, and a set that shares fewer than ``least`` lists with anything is dropped before any pair is made. Within a list, sets
-are first compared with the list's hub, then with members of its main component. Groups that this leaves apart are written as
-differences from a hub, and an inverted join over the elements of those finds what can still link (``_resolved``): what a group has in
-common is in no list. Every link is confirmed on full shingle sets.
+are first compared with the best hub of their lists. Groups that this leaves apart are written as differences from a hub of their own,
+and an inverted join over the elements of those finds what can still link (``_resolved``): what a group has in common is in no list.
+Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.filters import without
@@ -29,8 +29,8 @@ from docquarry.session import materialize, ship_package
 class NearParams:
     """Link at ``percent`` * union <= 100 * intersection. ``least`` of ``coords``: a pair at 0.8 stays below it about 5 times in a million.
 
-    ``rounds``: of meetings with main components. ``levels`` (at least 1): of hubs that what is left apart is written as differences from; lists of at
-    most ``short_list`` sets are then compared pair by pair. ``block``: sets of a tile's side, and ``block_shingles``, for what is left
+    ``levels`` (at least 1): of hubs that what is left apart is written as differences from; lists of at most ``short_list`` sets are then
+    compared pair by pair. ``block``: sets of a tile's side, and ``block_shingles``, for what is left
     after that. ``broadcast_ids``: up to so many candidate ids (16 bytes each) are broadcast to pick their texts; beyond it, by shuffle."""
 
     words: int = 5
@@ -38,7 +38,6 @@ class NearParams:
     coords: int = 64
     least: int = 36
     seed: int = 5
-    rounds: int = 1
     levels: int = 1
     short_list: int = 48
     block: int = 512
@@ -251,27 +250,16 @@ def _joined(own: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame | None:
     hubs = kept.groupBy("list").agg(by(F.struct("weight", F.xxhash64("id"))).alias("hub"), F.max("weight").alias("w"), F.count("*").alias("n")).where(F.col("n") > 1)
     first = kept.join(hubs.select("list", "hub", "w"), "list").where(F.col("id") != F.col("hub")).groupBy(F.col("id").alias("x")).agg(F.max_by("hub", F.struct("w", F.xxhash64("hub"))).alias("y"))
     comps = _merged(cands.select("id", "weight", F.col("id").alias("comp")), _confirmed(first, sets, p))
-    # then, list by list, what lies outside the list's main component with one set of that
-    for round_ in range(p.rounds):
-        lit = kept.select("list", "id").join(comps, "id")
-        rest = _outside(lit, round_).select(F.greatest("id", "rep").alias("x"), F.least("id", "rep").alias("y")).distinct()
-        comps = _merged(comps, _confirmed(rest, sets, p))
-    # what shares a list and isn't joined up yet falls into groups of components
-    meet = _outside(kept.select("list", "id").join(comps, "id"), p.rounds).select(F.col("comp").alias("x"), F.col("main").alias("y")).distinct()
+    # what shares a list and isn't joined up yet falls into groups of components: each meets the main one of its lists
+    lit = kept.select("list", "id").join(comps.select("id", "comp"), "id").groupBy("list", "comp").agg(F.count("*").alias("n"))
+    main = lit.groupBy("list").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where(F.col("comps") > 1)
+    meet = materialize(lit.join(main, "list").where(F.col("comp") != F.col("main")).select(F.col("comp").alias("x"), F.col("main").alias("y")).distinct(), "near-meet")
     if not meet.limit(1).count():
         return comps
     groups = comps.join(components(meet).select(F.col("id").alias("comp"), F.xxhash64("label").alias("g")), "comp").select("g", "id")
     return _resolved(materialize(groups, "near-groups"), comps, sets, p)
 
 
-def _outside(lit: DataFrame, round_: int) -> DataFrame:
-    """(list, id, comp, main, rep): members of a list outside its main component, with that and one of its members."""
-    lit = materialize(lit, "near-lit")
-    sizes = lit.groupBy("list", "comp").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "list", F.lit(round_))).alias("rep"))
-    lists = sizes.groupBy("list").agg(F.max_by(F.struct(F.col("comp").alias("main"), "rep"), F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).where(F.col("comps") > 1)
-    return lit.join(lists.select("list", "m.main", "m.rep"), "list").where(F.col("comp") != F.col("main")).select("list", "id", "comp", "main", "rep")
-
-
 def _resolved(groups: DataFrame, comps: DataFrame, sets: DataFrame, p: NearParams) -> DataFrame:
     """``comps`` after every link inside ``groups`` (g, id) has been found.
 
@@ -287,23 +275,22 @@ def _resolved(groups: DataFrame, comps: DataFrame, sets: DataFrame, p: NearParam
         diffs = _differences(groups, comps, sets, p)
         if diffs is None:
             return comps
-        least = diffs.groupBy("g").agg(F.min("v").alias("lowest"), F.min_by("id", F.struct("v", "id")).alias("m"))
+        least = materialize(diffs.groupBy("g").agg(F.min("v").alias("lowest"), F.min_by("id", F.struct("v", "id")).alias("m")), "near-least")
         close = diffs.select("g", "id", "v").join(least, "g").where((F.col("v") + F.col("lowest") <= 0) & (F.col("id") != F.col("m")))
         comps = _merged(comps, close.select(F.col("id").alias("x"), F.col("m").alias("y")))
-        # the least v outside a component: the group's, or for the component that has it, the next component's
-        per = materialize(diffs.select("g", "id", "v").join(comps.select("id", "comp"), "id").groupBy("g", "comp").agg(F.min("v").alias("v")), "near-least")
-        first = per.groupBy("g").agg(F.min(F.struct("v", "comp")).alias("f"))
-        ranked = per.join(first, "g")
-        second = ranked.where(F.col("comp") != F.col("f.comp")).groupBy("g").agg(F.min("v").alias("next"))
-        other = ranked.join(second, "g").select("g", "comp", F.when(F.col("comp") == F.col("f.comp"), F.col("next")).otherwise(F.col("f.v")).alias("least"))
-        need = F.greatest(F.ceil((F.col("v") + F.col("least")) / unit), F.lit(1)).cast("int").alias("need")
-        items = diffs.join(comps.select("id", "comp"), "id").join(other, ["g", "comp"]).select("g", "id", "comp", need, "d").where(F.size("d") >= F.col("need"))
+        # the least v outside a set's component: the group's, or for the component that has it, the least of all others
+        of = comps.select("id", "comp")
+        nearest = least.join(of.withColumnsRenamed({"id": "m", "comp": "cm"}), "m").select("g", "lowest", "cm")
+        valued = materialize(diffs.select("g", "id", "v").join(of, "id").join(nearest, "g"), "near-valued")
+        following = valued.where(F.col("comp") != F.col("cm")).groupBy("g").agg(F.min("v").alias("next"))
+        outside = F.when(F.col("comp") == F.col("cm"), F.col("next")).otherwise(F.col("lowest"))
+        need = F.greatest(F.ceil((F.col("v") + outside) / unit), F.lit(1)).cast("int").alias("need")
+        needs = valued.join(following, "g").select("g", "id", "comp", need)
+        items = needs.join(diffs.select("g", "id", "d"), ["g", "id"]).where(F.size("d") >= F.col("need"))
         items = materialize(items.select("g", "id", "comp", "need", F.explode("d").alias("e")), "near-items")
-        prefix = (
-            items.join(_mixed(items).select("g", "e", "n"), ["g", "e"]).groupBy("g", "id", "comp", "need").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("es"))
-            .where(F.size("es") >= F.col("need")).select("g", "id", "comp", F.explode(F.slice("es", F.lit(1), F.size("es") - F.col("need") + 1)).alias("x")).select("g", "id", "comp", F.col("x.e").alias("e"))
-        )
-        prefix = materialize(prefix, "near-prefixes")
+        mine = Window.partitionBy("g", "id")
+        ranked = items.join(_mixed(items).select("g", "e", "n"), ["g", "e"]).withColumn("place", F.row_number().over(mine.orderBy("n", "e"))).withColumn("all", F.count("*").over(mine))
+        prefix = materialize(ranked.where(F.col("place") <= F.col("all") - F.col("need") + 1).select("g", "id", "comp", "e"), "near-prefixes")
         # lists of the same sets count once
         lists = materialize(_mixed(prefix).groupBy("g", "n", "who").agg(F.min("e").alias("e")).select("g", "e", "n"), "near-lists")
         short = prefix.join(lists.where(F.col("n") <= p.short_list), ["g", "e"]).groupBy("g", "e").agg(F.collect_list(F.struct("id", "comp")).alias("m"))
@@ -328,7 +315,7 @@ def _mixed(posted: DataFrame) -> DataFrame:
 
 def _live(groups: DataFrame, comps: DataFrame) -> DataFrame:
     """(g, id, comp, n) of the groups that have sets of more than one component."""
-    now = materialize(groups.join(comps.select("id", "comp"), "id"), "near-live")
+    now = groups.join(comps.select("id", "comp"), "id")
     live = now.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where(F.col("lo") != F.col("hi"))
     return materialize(now.join(live.select("g", "n"), "g").select("g", "id", "comp", "n"), "near-live")
 
