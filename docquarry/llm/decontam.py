@@ -62,25 +62,32 @@ def _n_short(masks: list[str]) -> int:
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", p: SeedParams = SeedParams()) -> DataFrame:
     """(key, item, hits, overlap): pairs with at least one verified hit, how many, and the best share of agreeing tokens.
 
-    Null and empty texts have no windows. An item shorter than the masks is sought as a whole, contiguously. Repeated documents under
-    one id are one document; repeated items keep their own ids. Empty tables: no rows. Other columns are not read."""
+    Null and empty texts have no windows. An item shorter than the masks is sought as a whole, contiguously. Rows that repeat a key and
+    its text are one document; other texts of a key add their hits to its pairs, and so do those of the null key, which is a key of its
+    own. Items repeated under one id likewise. Empty tables: no rows. Other columns are not read. However large the benchmark is, the
+    rows are the same: seeds beyond ``broadcast_seeds`` are joined by shuffle."""
     items = benchmark.select(F.col(item).alias("item"), _hashes(tokens(F.col(item_text))).alias("bh")).where(F.size("bh") > 0)
+    items = items.withColumn("ih", F.xxhash64("bh")).dropDuplicates(["item", "ih"])
     longest = max(len(m) for m in p.masks)
     short = [r[0] for r in items.where(F.size("bh") < longest).select(F.size("bh")).distinct().collect()]
     masks = _masks(p, short)
-    seeds = _seeds(items.withColumnRenamed("bh", "wh"), masks, F.lit(True)).select("seed", "item", F.col("at").alias("j"))
+    seeds = _seeds(items.withColumnRenamed("bh", "wh"), masks, F.lit(True)).select("seed", "item", "ih", F.col("at").alias("j"))
     small = seeds.limit(p.broadcast_seeds + 1).count() <= p.broadcast_seeds
-    own = docs.select(F.col(key).alias("k"), _hashes(tokens(F.col(text))).alias("wh"))
+    own = docs.select(F.col(key).alias("k"), _hashes(tokens(F.col(text))).alias("wh")).withColumn("dh", F.xxhash64("wh"))
+    named = items.select(F.col("item").alias("item2"), F.col("ih").alias("ih2"), "bh")
+    whole = F.col("item").eqNullSafe(F.col("item2")) & (F.col("ih") == F.col("ih2"))
     if small:
-        hits = _seeds(own, masks).join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item")
+        hits = _seeds(own, masks).join(F.broadcast(seeds), "seed").join(F.broadcast(named), whole)
     else:
-        met = _seeds(own, masks).select("k", "at", "seed").join(seeds, "seed").select("k", "at", "item", "j")
-        hits = met.join(own, "k").join(items, "item")
+        met = _seeds(own, masks).select("k", "dh", "at", "seed").join(seeds, "seed")
+        once = own.select(F.col("k").alias("k2"), F.col("dh").alias("dh2"), "wh").dropDuplicates(["k2", "dh2"])
+        hits = met.join(once, F.col("k").eqNullSafe(F.col("k2")) & (F.col("dh") == F.col("dh2"))).join(named, whole)
     width = F.least(F.size("bh"), F.lit(p.window))
     lead = F.least(F.greatest(F.col("j") - (p.window - longest) // 2, F.lit(0)), F.size("bh") - width)
     same = F.size(F.filter(F.sequence(F.lit(0), width - 1), lambda t: F.get("wh", F.col("at") - F.col("j") + lead + t) == F.get("bh", lead + t)))
-    scored = hits.select("k", "item", same.alias("same"), width.alias("width")).where(F.col("same") * 100 >= F.col("width") * p.agree)
-    return scored.groupBy("k", "item").agg(F.count("*").alias("hits"), F.max(F.col("same") / F.col("width")).alias("overlap")).select(F.col("k").alias(key), F.col("item").alias(item), "hits", "overlap")
+    scored = hits.select("k", "item", "dh", "ih", "at", "j", "seed", same.alias("same"), width.alias("width")).where(F.col("same") * 100 >= F.col("width") * p.agree)
+    found = scored.groupBy("k", "item").agg(F.count_distinct("dh", "ih", "at", "j", "seed").alias("hits"), F.max(F.col("same") / F.col("width")).alias("overlap"))
+    return found.select(F.col("k").alias(key), F.col("item").alias(item), "hits", "overlap")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", p: SeedParams = SeedParams(), **columns: str) -> DataFrame:
