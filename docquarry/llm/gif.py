@@ -1,7 +1,8 @@
 """GIF media columns: a codec (LZW, palettes, disposal, transparency, frame times) and colour-histogram columns.
 
-``decode_gif`` reads any GIF87a/89a. Its LZW reader takes a vectorised path over streams that hold literals only and a general one
-otherwise. ``encode_payload`` stores bytes as 8-bit palette indices in timed frames, losslessly, with such literal streams.
+``frames_of`` reads any GIF87a/89a and composes the screen after each frame. ``encode_payload`` stores bytes losslessly as palette
+indices in timed frames that update one screen: samples that the screen shows already are transparent, where a byte value is free
+to say so, and a frame that the next one shares little with is disposed of. The payload is read back from the composed screens.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from docquarry.session import ship_package
 
-WIDTH, ROWS, DELAY_CS = 64, 4096, 4  # of a stored frame: samples a row, most rows, hundredths of a second
-RUN = 252  # literals between clear codes: a multiple of 4 below the 254 at which codes widen
+WIDTH, ROWS, DELAY_CS = 64, 256, 4  # of a stored frame: samples a row, most rows, hundredths of a second
+MAX_SAMPLES = 1 << 26  # of a screen or a frame: a file that claims more isn't read
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 
 
@@ -40,90 +41,109 @@ class Frame:
 
 
 # --- LZW ------------------------------------------------------------------------------------------------------------------------
-def _pack9(codes: np.ndarray) -> bytes:
-    """9-bit codes, least significant bit first: eight codes make nine bytes."""
-    n = len(codes)
-    c = np.zeros((-(-n // 8), 8), np.uint16)
-    c.reshape(-1)[:n] = codes
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, 0] = c[:, 0]
-    for i in range(1, 8):
-        out[:, i] = (c[:, i - 1] >> (9 - i)) | (c[:, i] << i)
-    out[:, 8] = c[:, 7] >> 1
-    return out.tobytes()[: -(-9 * n // 8)]
-
-
-def _unpack9(data: bytes) -> np.ndarray:
-    n = len(data) * 8 // 9
-    b = np.zeros((-(-n // 8), 9), np.uint8)
-    b.reshape(-1)[: len(data)] = np.frombuffer(data, np.uint8)[: b.size]
-    w = b.astype(np.uint16)
-    out = np.empty((len(b), 8), np.uint16)
-    for i in range(8):
-        out[:, i] = ((w[:, i] >> i) | (w[:, i + 1] << (8 - i))) & 511
-    return out.reshape(-1)[:n]
-
-
-def lzw_literals(samples: np.ndarray) -> bytes:
-    """A valid 8-bit LZW stream of literals, cleared every RUN codes so that the code width stays 9."""
-    n = len(samples)
-    rows = -(-n // RUN)
-    grid = np.full((rows, RUN + 1), 256, np.uint16)
-    body = np.zeros(rows * RUN, np.uint16)
-    body[:n] = samples
-    grid[:, 1:] = body.reshape(rows, RUN)
-    return _pack9(np.append(grid.reshape(-1)[: n + rows], np.uint16(257)))
-
-
-def _literal_run(data: bytes, most: int) -> np.ndarray | None:
-    """The samples of an 8-bit stream if it holds literals, clear codes and an end only, with clears before codes widen; else None."""
-    codes = _unpack9(data)
-    end = np.flatnonzero(codes == 257)
-    if not len(end):
-        return None
-    codes = codes[: end[0]]
-    if (codes > 256).any():
-        return None
-    clear = np.append(np.flatnonzero(codes == 256), len(codes))
-    if not len(codes) or clear[0] != 0 or np.diff(clear).max(initial=0) > 255:
-        return None
-    return codes[codes != 256].astype(np.uint8)[:most]
-
-
-def lzw_decode(data: bytes, min_bits: int, most: int) -> np.ndarray:
-    """Samples of a GIF LZW stream, at most ``most``; a broken stream ends where it breaks."""
-    if min_bits == 8 and (fast := _literal_run(data, most)) is not None:
-        return fast
-    clear, end = 1 << min_bits, (1 << min_bits) + 1
+def _widths(bits: int, n: int) -> np.ndarray:
+    """Bits of the first ``n`` codes after a clear: they widen as the table fills, up to 12."""
+    size = (1 << bits) + 1 + np.arange(n)  # of the reader's table before each code, less one
+    return np.where(np.arange(n) == 0, bits + 1, np.minimum(np.floor(np.log2(size)).astype(np.int64) + 1, 12))
+
+
+_WIDTHS = {bits: _widths(bits, 8192) for bits in range(1, 9)}
+_OFFSETS = {bits: np.concatenate([[0], np.cumsum(w)]) for bits, w in _WIDTHS.items()}
+
+
+def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes of the given widths, least significant bit first."""
+    at = np.cumsum(widths) - widths
+    v = codes.astype(np.int64) << (at & 7)
+    n = int(at[-1] + widths[-1] + 7) // 8
+    out = np.zeros(n + 3)
+    for k in range(3):  # no two codes share a bit, so sums are unions
+        out += np.bincount((at >> 3) + k, weights=(v >> (8 * k)) & 255, minlength=n + 3)[: n + 3]
+    return out[:n].astype(np.uint8).tobytes()
+
+
+def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
+    """A GIF LZW stream: clear, dictionary codes, a clear whenever the table is full, end."""
+    clear = 1 << bits
+    codes, widths = [clear], [np.array([bits + 1])]
+    table: dict[int, int] = {}
+    part: list[int] = []
+    put, get = part.append, table.get
+    prev, nxt = -1, clear + 2
+    for c in samples:
+        if prev < 0:
+            prev = c
+            continue
+        key = prev << 8 | c
+        got = get(key)
+        if got is not None:
+            prev = got
+            continue
+        put(prev)
+        prev = c
+        if nxt < 4096:
+            table[key] = nxt
+            nxt += 1
+        else:
+            put(clear)
+            codes += part
+            widths.append(_WIDTHS[bits][: len(part)])
+            part.clear()
+            table.clear()
+            nxt = clear + 2
+    if prev >= 0:
+        put(prev)
+    put(clear + 1)
+    codes += part
+    widths.append(_WIDTHS[bits][: len(part)])
+    return _packed(np.array(codes), np.concatenate(widths))
+
+
+def _codes_at(raw: np.ndarray, start: int, bits: int) -> np.ndarray:
+    """The codes from bit ``start`` on, as they are wide after a clear; at most as many as ``_WIDTHS`` covers. ``raw`` has 3 bytes of padding."""
+    left = (len(raw) - 3) * 8 - start
+    n = int(np.searchsorted(_OFFSETS[bits], left, "right")) - 1
+    at = start + _OFFSETS[bits][:n]
+    k = at >> 3
+    v = raw[k].astype(np.int64) | raw[k + 1].astype(np.int64) << 8 | raw[k + 2].astype(np.int64) << 16
+    return v >> (at & 7) & ((1 << _WIDTHS[bits][:n]) - 1)
+
+
+def lzw_decode(data: bytes, bits: int, most: int) -> np.ndarray:
+    """Samples of a GIF LZW stream, at most ``most``; a broken stream, or a code size that isn't 1 to 8, ends where it breaks."""
+    out: list[bytes] = []
+    if bits in _WIDTHS:
+        _lzw_strings(np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)]), bits, most, out)
+    return np.frombuffer(b"".join(out), np.uint8)[:most]
+
+
+def _lzw_strings(raw: np.ndarray, bits: int, most: int, out: list[bytes]) -> None:
+    clear, end = 1 << bits, (1 << bits) + 1
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, prev, out, size = list(base), min_bits + 1, b"", [], 0
-    acc = bits = 0
-    for byte in data:
-        acc |= byte << bits
-        bits += 8
-        while bits >= width:
-            code = acc & ((1 << width) - 1)
-            acc >>= width
-            bits -= width
-            if code == clear:
-                table, width, prev = list(base), min_bits + 1, b""
-                continue
-            if code == end or size >= most:
-                return np.frombuffer(b"".join(out), np.uint8)[:most]
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table) and prev:
+    at, size = 0, 0
+    while True:  # a stretch from a clear code, or the start, to the next clear code or the end
+        codes = _codes_at(raw, at, bits)
+        stop = np.flatnonzero((codes == clear) | (codes == end))
+        n = int(stop[0]) if len(stop) else len(codes)
+        table, prev, have = list(base), b"", clear + 2
+        for c in codes[:n].tolist():
+            if c < have:
+                entry = table[c]
+            elif c == have and prev:
                 entry = prev + prev[:1]
             else:
-                return np.frombuffer(b"".join(out), np.uint8)[:most]
-            if prev and len(table) < 4096:
+                return
+            if prev and have < 4096:
                 table.append(prev + entry[:1])
-            if len(table) == 1 << width and width < 12:
-                width += 1
+                have += 1
             out.append(entry)
-            size += len(entry)
             prev = entry
-    return np.frombuffer(b"".join(out), np.uint8)[:most]
+            size += len(entry)
+            if size >= most:
+                return
+        if not len(stop) or codes[n] == end:
+            return
+        at += int(_OFFSETS[bits][n + 1])
 
 
 # --- container ------------------------------------------------------------------------------------------------------------------
@@ -154,31 +174,48 @@ def _unblock(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 def encode_payload(payload: bytes) -> bytes:
-    """A GIF89a whose frames' samples are ``payload``, a multiple of WIDTH bytes, in order."""
-    samples = np.frombuffer(payload, np.uint8)
-    rows = len(samples) // WIDTH
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, ROWS), 0xF7, 0, 0), GREY]
-    for top in range(0, rows, ROWS):
-        h = min(ROWS, rows - top)
-        part = samples[top * WIDTH : (top + h) * WIDTH]
-        out += [b"\x21\xf9\x04" + struct.pack("<BHBB", 0x04, DELAY_CS, 0, 0), b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, h, 0), b"\x08", _blocks(lzw_literals(part))]
+    """A GIF89a whose composed screens hold ``payload``, a multiple of WIDTH bytes, ROWS rows a frame, in order."""
+    samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    free = np.flatnonzero(np.bincount(samples.reshape(-1), minlength=256) == 0)
+    clear = int(free[-1]) if len(free) else None
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(len(samples), ROWS), 0xF7, 0, 0), GREY]
+    parts = [samples[top : top + ROWS] for top in range(0, len(samples), ROWS)]
+    shown = None
+    for i, part in enumerate(parts):
+        same = shown[: len(part)] == part if shown is not None and clear is not None else None
+        drawn = part if same is None else np.where(same, np.uint8(clear), part)
+        after = parts[i + 1] if i + 1 < len(parts) else None
+        keep = after is None or 32 * np.count_nonzero(part[: len(after)] == after) >= after.size
+        flags = (1 if keep else 2) << 2 | (clear is not None)
+        out += [b"\x21\xf9\x04" + struct.pack("<BHBB", flags, DELAY_CS, clear or 0, 0), b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part), 0), b"\x08", _blocks(lzw_encode(drawn.tobytes()))]
+        # a kept frame shows through below a shorter one; a disposed one leaves nothing
+        shown = (part if shown is None or len(part) >= len(shown) else np.concatenate([part, shown[len(part) :]])) if keep else None
     return b"".join([*out, b"\x3b"])
 
 
-def decode_gif(data: bytes, canvas: bool = False) -> tuple[int, int, list[Frame]]:
-    """(width, height, frames). With ``canvas``, each frame carries the screen after it, by disposal and transparency rules.
+def _palette(data: bytes, at: int, flags: int) -> np.ndarray | None:
+    """A colour table of 2 << (flags & 7) entries, or None where the file ends before it does."""
+    n = 2 << (flags & 7)
+    return np.frombuffer(data, np.uint8, n * 3, at).reshape(n, 3) if at + n * 3 <= len(data) else None
 
-    Raises ValueError where ``data`` isn't a GIF; stops at a truncated end with the frames read so far."""
+
+def frames_of(data: bytes, canvas: bool = True) -> Iterator[Frame]:
+    """The frames in order, one at a time; with ``canvas``, each carries the screen after it, by disposal and transparency rules.
+
+    Raises ValueError where ``data`` isn't a GIF or claims over MAX_SAMPLES; stops at a truncated end, after the frames before it. A
+    frame whose stream is broken or short is filled up with index 0."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     w, h, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if canvas and w * h > MAX_SAMPLES:
+        raise ValueError("the screen is too large")
     at, glob = 13, np.zeros((256, 3), np.uint8)
     if flags & 0x80:
-        n = 2 << (flags & 7)
-        glob = np.frombuffer(data, np.uint8, n * 3, at).reshape(n, 3)
-        at += n * 3
+        glob = _palette(data, at, flags)
+        if glob is None:
+            return
+        at += glob.size
     screen = np.zeros((h, w, 4), np.uint8) if canvas else None
-    frames: list[Frame] = []
     disposal, delay, clear_index, start = 0, 0, None, 0
     while at < len(data):
         kind = data[at]
@@ -193,9 +230,14 @@ def decode_gif(data: bytes, canvas: bool = False) -> tuple[int, int, list[Frame]
             at += 10
             palette = glob
             if f & 0x80:
-                n = 2 << (f & 7)
-                palette = np.frombuffer(data, np.uint8, n * 3, at).reshape(n, 3)
-                at += n * 3
+                palette = _palette(data, at, f)
+                if palette is None:
+                    return
+                at += palette.size
+            if at >= len(data):
+                return
+            if fw * fh > MAX_SAMPLES:
+                raise ValueError("a frame is too large")
             bits = data[at]
             body, at = _unblock(data, at + 1)
             px = lzw_decode(body, bits, fw * fh)
@@ -208,41 +250,54 @@ def decode_gif(data: bytes, canvas: bool = False) -> tuple[int, int, list[Frame]
                 px[order] = was
             frame = Frame(x, y, px, palette, clear_index, disposal, delay, start)
             if canvas:
-                before = screen.copy()
+                before = screen.copy() if disposal == 3 else None
                 cut = px[: max(0, h - y), : max(0, w - x)]
                 there = screen[y : y + cut.shape[0], x : x + cut.shape[1]]
-                rgb = palette[np.minimum(cut, len(palette) - 1)]
-                seen = np.ones(cut.shape, bool) if clear_index is None else cut != clear_index
-                there[seen] = np.dstack([rgb, np.full(cut.shape, 255, np.uint8)])[seen]
+                colours = np.full((256, 4), 255, np.uint8)
+                colours[: len(palette), :3] = palette
+                colours[len(palette) :, :3] = palette[-1]
+                rgba = colours[cut]
+                there[:] = rgba if clear_index is None else np.where((cut != clear_index)[..., None], rgba, there)
                 frame.canvas = screen.copy()
                 if disposal == 2:
                     there[:] = 0
                 elif disposal == 3:
                     screen = before
-            frames.append(frame)
+            yield frame
             start += delay
             disposal, delay, clear_index = 0, 0, None
         else:
-            break
+            return
+
+
+def decode_gif(data: bytes, canvas: bool = False) -> tuple[int, int, list[Frame]]:
+    """(width, height, frames): see ``frames_of``."""
+    frames = list(frames_of(data, canvas))
+    w, h = struct.unpack_from("<HH", data, 6)
     return w, h, frames
 
 
+def payload_part(frame: Frame) -> bytes:
+    """What a stored frame holds of the payload: the first channel of the grey screen, where the frame is."""
+    h, w = frame.indices.shape
+    return frame.canvas[frame.top : frame.top + h, frame.left : frame.left + w, 0].tobytes()
+
+
 def payload_of(data: bytes) -> bytes:
     """What ``encode_payload`` stored, read back from the file's bytes."""
-    return b"".join(f.indices.tobytes() for f in decode_gif(data)[2])
+    return b"".join(map(payload_part, frames_of(data)))
+
+
+def frame_row(i: int, f: Frame, bins: int = 8) -> dict:
+    """A frame's number, time, size and the colour histogram of the composed screen (``bins`` levels of each of R, G, B, visible samples only)."""
+    seen = f.canvas[f.canvas[..., 3] > 0]
+    hist = [np.bincount(seen[:, c].astype(np.int64) * bins // 256, minlength=bins).tolist() for c in range(3)]
+    return {"frame": i, "start_cs": f.start_cs, "delay_cs": f.delay_cs, "width": f.indices.shape[1], "height": f.indices.shape[0], "hist_r": hist[0], "hist_g": hist[1], "hist_b": hist[2]}
 
 
 def frame_columns(data: bytes, bins: int = 8) -> list[dict]:
-    """One row a frame: its time, place, size and colour histogram (``bins`` levels of each of R, G, B, visible samples only)."""
-    out = []
-    for i, f in enumerate(decode_gif(data)[2]):
-        counts = np.bincount(f.indices.reshape(-1), minlength=256)[:256]
-        if f.transparent is not None:
-            counts[f.transparent] = 0
-        n = min(len(f.palette), 256)
-        hist = [np.bincount(f.palette[:n, c].astype(int) * bins // 256, weights=counts[:n], minlength=bins).astype(int).tolist() for c in range(3)]
-        out.append({"frame": i, "start_cs": f.start_cs, "delay_cs": f.delay_cs, "width": f.indices.shape[1], "height": f.indices.shape[0], "hist_r": hist[0], "hist_g": hist[1], "hist_b": hist[2]})
-    return out
+    """One row a frame: see ``frame_row``."""
+    return [frame_row(i, f, bins) for i, f in enumerate(frames_of(data))]
 
 
 FRAMES = "array<struct<frame:int,start_cs:int,delay_cs:int,width:int,height:int,hist_r:array<long>,hist_g:array<long>,hist_b:array<long>>>"
@@ -273,8 +328,12 @@ def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text", medi
             for i, t in enumerate(b.column(1)):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                 stored = encode_payload(padded(raw))
-                back = payload_of(stored)
-                row = {"n_bytes": len(raw), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-WIDTH:]), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "frames": frame_columns(stored)}
+                parts, frames = [], []
+                for k, f in enumerate(frames_of(stored)):
+                    parts.append(payload_part(f))
+                    frames.append(frame_row(k, f))
+                back = b"".join(parts)
+                row = {"n_bytes": len(raw), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-WIDTH:]), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "frames": frames}
                 rows.append(row | ({"media": stored} if media else {}))
                 held += len(stored) if media else 0
                 if held > 16_000_000:
