@@ -25,7 +25,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class MixParams:
-    """``max_blocks`` bounds the block edges that reach the driver; sources are a catalogue, of at most ``max_sources``."""
+    """Blocks hold ``block_words``, more where that would make over ``max_blocks`` of them; every source has one or two beside that, so at
+    most ``max_blocks`` + 2 edges a source reach the driver. Sources are a catalogue, of at most ``max_sources``. ``runs``: in how many
+    sorted stretches a shard is written."""
 
     weights: tuple[int, ...] = (3, 1, 2)
     share: float = 1.5
@@ -34,6 +36,7 @@ class MixParams:
     block_words: int = 50_000
     max_blocks: int = 4096
     max_sources: int = 100_000
+    runs: int = 16
     seed: int = 11
 
 
@@ -180,8 +183,11 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
         place[(r["__rank"], r["__block"])] = len(edges)
         edges.append(r["k"].asDict())
     # blocks without a document (a document larger than a block) draw nothing: renumber, and the quota follows
+    blocks_of: dict[int, list[int]] = {}
+    for k, b in place:
+        blocks_of.setdefault(k, []).append(b)
     for i, row in enumerate(rows):
-        own = sorted(b for (k, b) in place if k == i)
+        own = sorted(blocks_of.get(i, []))
         row["first_edge"] = place[(i, own[0])] if own else 0
         row["part_blocks"] = sum(b < row["part_blocks"] for b in own)
         row["blocks"] = len(own)
@@ -209,14 +215,20 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", p: MixParams = MixParams(), ranges: RangeParams = RangeParams()) -> DataFrame:
-    """The mix itself: each document once a draw, whole, with ``docs``' own columns only. Texts are not shuffled: a document's draws
-    follow from its key and the plan. Row order is left to the writer; ``mix_plan`` gives shards and positions."""
+    """The mix itself: each document once a draw, whole, with ``docs``' own columns only, dealt to the tree's output shards and shuffled
+    inside each: one shuffle by (shard, stretch of positions), then a local sort, so that written files are the shards' stretches in
+    order. Null keys and null sources are drawn like any other; documents without words are not drawn; repeated rows are drawn
+    alike. Empty table: no rows."""
     plan, _, names = plan_mix(docs, key, text, source, p, ranges)
     inner = {f"__d{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
-    keyed = docs.select(*[v.alias(k) for k, v in inner.items()], F.col(source).cast("string").alias("__src"), *[c.alias(k) for k, c in _keyed(docs, key, text, p).items()])
+    keyed = docs.select(*[v.alias(k) for k, v in inner.items()], F.col(f"`{source}`").cast("string").alias("__src"), *[c.alias(k) for k, c in _keyed(docs, key, text, p).items()])
     keyed = keyed.select(*inner, F.inline(F.array(F.struct("__src", "size", "__h", "__id"))))
-    drawn = plan.draws(_once(keyed, {"__rank": _rank(names, "__src")}))
-    return drawn.select(*[F.col(k).alias(c) for k, c in zip(inner, docs.columns)], F.explode("__draws").alias("__draw")).drop("__draw")
+    drawn = plan.draws(_once(keyed, {"__rank": _rank(names, "__src")})).select(*inner, F.explode("__draws").alias("__draw"))
+    placed = drawn.select(*inner, F.col("__draw.shard").alias("__shard"), F.col("__draw.position").alias("__position"))
+    # positions are hashes: even cuts of their range are stretches of about one size
+    stretch = F.least(F.floor((F.col("__position") / F.lit(2.0**64) + 0.5) * p.runs), F.lit(p.runs - 1))
+    dealt = placed.withColumn("__stretch", stretch).repartition(p.shards * p.runs, "__shard", "__stretch").sortWithinPartitions("__shard", "__stretch", "__position")
+    return dealt.select(*[F.col(k).alias(c) for k, c in zip(inner, docs.columns)])
 
 
 def oracle(p: MixParams = MixParams()) -> str:

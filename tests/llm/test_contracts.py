@@ -118,6 +118,28 @@ def test_mixing(docs, rows, none):
     again = mixing.mix_plan(docs.repartition(7), p=p).toPandas()
     assert sorted(zip(got.doc_id, got.taken)) == sorted(zip(again.doc_id, again.taken))
     draws = plan.select("doc_id", F.explode("draws").alias("d")).select("doc_id", "d.*").toPandas()
+    # each shard has, of each source, the draws that the tree gave it (keys are distinct: equal rows share a block)
+    one = docs.dropDuplicates(["doc_id"])
+    p2, _, names = mixing.plan_mix(one, p=p)
+    tree = mixing.splitting_tree([r["epochs"] * r["blocks"] + r["part_blocks"] for r in p2.sources], p.shards, p.seed)
+    own = mixing.mix_plan(one, p=p).select("doc_id", F.explode("draws").alias("d")).select("doc_id", "d.*").toPandas()
+    own["source"] = [source[i] or "~" for i in own.doc_id]
+    own = own.drop_duplicates(["source", "epoch", "block", "shard"])
+    assert not own.duplicated(["source", "epoch", "block"]).any()
+    for i, n in enumerate(names):
+        at = own[own.source == (n or "~")].shard.value_counts()
+        assert [int(at.get(k, 0)) for k in range(p.shards)] == [t[i] for t in tree]
+    # a written part holds stretches of shards, each in order of positions
+    few = mixing.MixParams(block_words=40, runs=2, shards=4)
+    parts = mixing.mix(one, p=few).select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")).toPandas()
+    places: dict = {}
+    for r in mixing.mix_plan(one, p=few).select("doc_id", F.explode("draws").alias("d")).select("doc_id", "d.*").collect():
+        places.setdefault(r["doc_id"], []).append((r["shard"], r["position"]))
+    assert len(parts) == sum(map(len, places.values())) and parts.part.nunique() > 3
+    for _, g in parts.sort_values("at").groupby("part"):
+        last = (-1, 0)
+        for i in g.doc_id:
+            last = min(x for x in places[i] if x > last)
     mixed = mixing.mix(docs, p=p)
     assert mixed.columns == docs.columns and mixed.count() == len(draws) and draws["shard"].between(0, 15).all()
     assert mixing.mix(none).count() == 0 and mixing.mix_plan(none).count() == 0
@@ -134,9 +156,14 @@ def test_decontamination(spark, none):
     short = ["uno", "dos", "tres", "cuatro"]
     docs = make(spark, [(1, " ".join(noise + item), "s"), (2, " ".join(changed + noise).upper(), "s"), (3, " ".join(half), "s"), (4, " ".join(noise), "s"), (5, None, "s"), (6, "", "s"), (7, "x, Uno! dos-tres; CUATRO y", "s"), (8, " ".join(item) + "!!", "s"), (8, "other", "s"), (None, " ".join(item), "s")])
     bench = spark.createDataFrame([(1, " ".join(item), "k"), (2, " ".join(short), "k"), (3, None, "k"), (4, "", "k"), (5, " ".join(item), "k")], "item_id long, text string, k string")
+    twice = docs.unionByName(docs.where("doc_id is null or doc_id in (1, 2)")).unionByName(make(spark, [(2, " ".join(item), "s"), (None, " ".join(short), "s")]))
+    again = bench.unionByName(bench.where("item_id < 3")).unionByName(spark.createDataFrame([(None, " ".join(item), "k"), (2, " ".join(item), "k")], bench.schema))
     for p in (decontam.SeedParams(), decontam.SeedParams(broadcast_seeds=0)):
-        got = {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(docs.where("doc_id is not null"), bench, p=p).collect()}
-        assert got == {(1, 1), (1, 5), (2, 1), (2, 5), (7, 2), (8, 1), (8, 5)}
+        rows = {(r["doc_id"], r["item_id"]): (r["hits"], r["overlap"]) for r in decontam.overlaps(docs, bench, p=p).collect()}
+        assert {k for k in rows if k[0]} == {(1, 1), (1, 5), (2, 1), (2, 5), (7, 2), (8, 1), (8, 5)} and rows[None, 1] == rows[8, 1]
+        assert rows[8, 1] == (60, 1.0)  # 30 windows of each of the two masks
+        more = {(r["doc_id"], r["item_id"]): (r["hits"], r["overlap"]) for r in decontam.overlaps(twice, again, p=p).collect()}
+        assert more[1, 1] == rows[1, 1] and more[2, 1] == (rows[2, 1][0] + 60, 1.0) and more[None, 1] == rows[8, 1] and more[None, 2] == (61, 1.0) and more[1, None] == rows[1, 1] and more[7, 2] == rows[7, 2]
     kept = decontam.decontaminate(docs, bench)
     assert kept.columns == docs.columns and sorted(r[0] or 0 for r in kept.select("doc_id").collect()) == [0, 3, 4, 5, 6]
     assert decontam.overlaps(none, bench).count() == 0 and decontam.overlaps(docs, bench.where("item_id < 0")).count() == 0
@@ -202,6 +229,52 @@ def test_html_coverage_is_of_the_whole_host(spark, bucket_bytes):
     assert got == want
 
 
+def brute_main_text(pages, min_run=8, min_pages=3):
+    """Coverage by counting every run of a host in a dictionary: {page id: text}."""
+    blocks = {k: html_text.blocks_of(h or "") for k, _, h in pages}
+    host = {k: re.sub(r"^https?://([^/]*).*", r"\1", u) for k, u, _ in pages}
+    seen: dict = {}
+    streams = lambda b: [" ".join(t for s, t in b if s == "open").split(" "), *(t.split(" ") for s, t in b if s != "open")]
+    for k, b in blocks.items():
+        for w in streams(b):
+            for i in range(len(w) - min_run + 1):
+                seen.setdefault((host[k], *w[i : i + min_run]), set()).add(k)
+    out = {}
+    for k, b in blocks.items():
+        if any(s == "declared" for s, _ in b):
+            out[k] = "\n".join(t for s, t in b if s == "declared")
+            continue
+        w = streams(b)[0]
+        runs = [i for i in range(len(w) - min_run + 1) if len(seen[(host[k], *w[i : i + min_run])]) >= min_pages]
+        covered = {j for i in runs for j in range(i, i + min_run)}
+        at, parts = 0, []
+        for t in (t for s, t in b if s == "open"):
+            own = t.split(" ")
+            inside = {j for i in runs if at <= i and i + min_run <= at + len(own) for j in range(i, i + min_run)}
+            if not covered >= set(range(at, at + len(own))):
+                parts.append(" ".join(x for j, x in enumerate(own, at) if j not in inside))
+            at += len(own)
+        out[k] = "\n".join(x for x in parts if x)
+    return out
+
+
+@pytest.mark.parametrize("bucket_bytes", [256_000, 3_000])
+def test_html_against_brute_force(spark, bucket_bytes):
+    """Given pages with their articles as plain divisions, beside unchanged ones, and menus of short blocks that coverage alone can find."""
+    given = pd.read_parquet("/root/testdata/sf0.001/pages.parquet").head(60)
+    menu = "".join(f"<li>{x}</li>" for x in "Home News Sports Weather Opinion Culture Science Travel Contact".split())
+    rows = []
+    for i, (k, h) in enumerate(zip(given.page_id, given.html)):
+        if i % 3:
+            h = re.sub("(</?)article", r"\1div", h)
+        rows.append((int(k), f"http://h{i % 2}.org/{k}", f"<ul>{menu}</ul>{h}" if i % 2 else h))
+    want = brute_main_text(rows)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), bucket_bytes=bucket_bytes).collect()}
+    assert got == want and not any("Weather" in t for t in got.values())
+    plain = {k: "\n".join(t for s, t in html_text.blocks_of(h) if s == "open") for k, _, h in rows}
+    assert sum(want[k] != plain[k] for k in want if plain[k]) > 10  # coverage decides
+
+
 def test_html_repeated_rows_of_a_page_do_not_cover_it(spark):
     own = "One page of nine words and it stands alone."
     rows = [(1, "http://a.org/1", f"<div>{own}</div>")] * 4 + [(None, "http://a.org/2", "<div>Another page of nine words that also stands alone.</div>")] * 3
@@ -370,6 +443,48 @@ def test_lzw_reads_general_streams():
         assert (gif.lzw_decode(lzw_encode(px.tobytes(), bits), bits, len(px)) == px).all()
 
 
+@pytest.mark.parametrize("bits", [2, 5, 8])
+def test_lzw_writes_what_others_read(bits):
+    rng = np.random.default_rng(bits)
+    for n in (0, 1, 2, 300, 20_000):
+        px = (rng.integers(0, 1 << bits, n) * (rng.random(n) < 0.5)).astype(np.uint8)
+        stream = gif.lzw_encode(px.tobytes(), bits)
+        assert (gif.lzw_decode(stream, bits, n) == px).all() and len(gif.lzw_decode(stream, bits, n + 9)) == n
+        assert len(gif.lzw_decode(stream[: len(stream) // 2], bits, n)) <= n
+    codes = gif._codes_at(np.frombuffer(gif.lzw_encode(b"abababababab" * 9) + b"\0\0\0", np.uint8), 9, 8)
+    assert (codes > 257).any()  # of the dictionary
+
+
+def test_gif_that_is_cut_or_claims_too_much():
+    import struct
+
+    data = gif.encode_payload(bytes(range(256)) * 100)
+    for n in range(13, len(data), 97):
+        assert len(gif.decode_gif(data[:n], canvas=True)[2]) <= 2
+    bad = bytearray(data)
+    bad[13 + 768 + 8 + 10] = 12  # a code size beyond 8
+    assert not gif.decode_gif(bytes(bad))[2][0].indices.any()
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x08\x01\x00\x00;"
+    for canvas in (True, False):
+        with pytest.raises(ValueError):
+            gif.decode_gif(huge, canvas)
+
+
+def test_gif_stores_updates_of_one_screen():
+    """Transparent samples, disposed frames and shorter last ones, each read back through the screen."""
+    near, text = b"abcdefgh" * 2048, bytes(range(97, 123)) * 700
+    for payload in (near + b"Z" + near[1:], gif.padded(near + text + b"short"), gif.padded(near * 3 + b"x" * 70), bytes(range(256)) * 256):
+        data = gif.encode_payload(payload)
+        frames = gif.decode_gif(data, canvas=True)[2]
+        assert gif.payload_of(data) == payload and len(frames) == -(-len(payload) // (gif.WIDTH * gif.ROWS))
+        for f, g in zip(gif.frame_columns(data), frames):
+            seen = [int(v) for v, a in zip(g.canvas[..., 0].ravel(), g.canvas[..., 3].ravel()) if a]
+            assert f["hist_r"] == f["hist_b"] == [sum(v // 32 == b for v in seen) for b in range(8)]
+    first = gif.decode_gif(gif.encode_payload(near + b"Z" + near[1:]))[2]
+    assert first[0].disposal == 1 and (first[1].indices == first[1].transparent).sum() == len(near) - 1
+    assert gif.decode_gif(gif.encode_payload(gif.padded(near + text)))[2][0].disposal in (1, 2)
+
+
 def test_gif_disposal_and_transparency():
     import struct
 
@@ -398,7 +513,7 @@ def test_gif_round_trip(docs, rows, none):
         want = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
         assert gif.payload_of(bytes(r["media"])) == want and r["payload_sha256"] == hashlib.sha256(want).hexdigest()
         assert r["n_bytes"] == len(raw) and r["tail_crc32"] == zlib.crc32(want[-64:]) and r["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest()
-        assert sum(sum(f["hist_r"]) for f in r["frames"]) == len(want)
+        assert sum(r["frames"][0]["hist_r"]) == min(len(want), gif.WIDTH * gif.ROWS) and len(r["frames"]) == -(-len(want) // (gif.WIDTH * gif.ROWS))
     assert gif.media_columns(none).count() == 0
 
 
@@ -422,3 +537,4 @@ def test_pipeline_stages(spark):
 def test_without_keeps_null_keys(spark):
     df = spark.createDataFrame([(1,), (2,), (None,), (2,)], "doc_id long")
     assert [r[0] for r in filters.without(df, df.where("doc_id = 2")).collect()] == [1, None]
+    assert filters.without(df.withColumn("__bad", F.lit(1)), df.where("doc_id = 2")).columns == ["doc_id", "__bad"]
