@@ -18,8 +18,9 @@ def xml_escape(c: Column) -> Column:
 
 
 def truncate_status(c: Column, most: int = 512) -> Column:
-    """Longer texts are cut so that with the ellipsis they have ``most`` characters."""
-    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 3), F.lit("..."))).otherwise(c)
+    """Longer texts keep ``most`` characters and say how many more there were."""
+    rest = F.concat(F.lit("...[truncated "), (F.length(c) - most).cast("string"), F.lit(" more chars]"))
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), rest)).otherwise(c)
 
 
 def mask_credentials(url: Column) -> Column:
@@ -59,6 +60,29 @@ def occurrences(text: Column, needle: Column) -> Column:
     return F.when((F.length(needle) == 0) | needle.isNull(), F.array().cast("array<int>")).otherwise(fold)
 
 
+def quote_words(quote: Column) -> Column:
+    """The words of a quote: what white space (Unicode) parts."""
+    return F.array_remove(F.split(F.coalesce(quote, F.lit("")), r"(?U)\s+"), "")
+
+
+def flexible_occurrences(text: Column, quote: Column) -> Column:
+    """array<struct<start, stop>> of a quote's non-overlapping occurrences, any white space of it standing for any in the text. None for
+    a blank or null quote."""
+    words = F.transform(quote_words(quote), lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.concat(F.lit("(?U)"), F.array_join(words, "\\s+"))
+    found, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    spans = "array<struct<start:int,stop:int>>"
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + F.length(x["p"])
+        stop = start + F.length(x["m"])
+        return F.struct(stop.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), stop.alias("stop")))).alias("out"))
+
+    zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("p"), found.alias("m"))
+    fold = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out")), step, lambda s: s["out"])
+    return F.when((F.size(words) == 0) | text.isNull(), F.array().cast(spans)).otherwise(fold)
+
+
 #: The four ways that the question part of a call is announced, tried in this order whatever their position.
 QA_PATTERNS = (
     r"(?i)\bQuestion[-\s]and[-\s]Answer\s+Session\b",

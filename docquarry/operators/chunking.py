@@ -31,11 +31,19 @@ TITLES = {
 }
 #: How far a header's surroundings are looked at, and the letters that real prose after it must have.
 LOOK_BACK, ANCHOR_BACK, TITLE_AHEAD, SKIP, WINDOW, LETTERS = 80, 400, 800, 200, 2000, 80
-_HEADER = re.compile(r"\b(?i:item)(?:\s|&#160;|&nbsp;|&#x[Aa]0;)+(\d+[A-Za-z]?)\b")
-_SEPARATED = re.compile(r"^\s*[.:—–-]\s*[A-Z]")
+#: What may stand between an item's number and its title, spelled out or as an entity; spellings of white space; elements
+#: that structure a page; font weights that mark a header.
+SEPARATORS, DASHES = ".:-–—", {"&#8212;": "—", "&mdash;": "—", "&#8211;": "–", "&ndash;": "–"}
+BLANK = r"(?:\s|&#160;|&nbsp;|&#x[Aa]0;)+"
+STRUCTURE = frozenset("div p td tr li h1 h2 h3 h4 h5 h6 section article header footer main body table tbody thead tfoot".split())
+HEAVY = ("700", "800", "900", "bold", "bolder")
+_HEADER = re.compile(rf"\b(?i:item){BLANK}(\d+[A-Za-z]?)\b")
+_TAG, _ENTITY, _LETTER = re.compile(r"<[^>]+>"), re.compile(r"&[^;]+;"), re.compile(r"[^\W\d_]")
+_NAME = re.compile(r"/?([a-z][a-z0-9]*)", re.I)
+_WEIGHT = re.compile(rf"font-weight\s*[:=]\s*['\"]?(?:{'|'.join(HEAVY)})\b", re.I)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_BREAK = re.compile(r"</(?:p|div|td|li|tr|table|h[1-6])>", re.I)
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|</p>|</div>|</td>|</li>", re.I)
+_CUT = re.compile(r"</(?:p|div|td|li|tr|table|h[1-6])>", re.I)
+_STOP = re.compile(r"(?<=[.!?])\s+|</(?:p|div|td|li)>", re.I)
 
 Counter = Callable[[int], int]
 
@@ -49,44 +57,66 @@ def blank_comments(html: str) -> str:
     return _COMMENT.sub(lambda m: " " * len(m[0]), html)
 
 
-def _visible(part: str) -> str:
-    return re.sub(r"<[^>]*>|&[#\w]+;", " ", part)
+def _titled(after: str) -> bool:
+    """Whether what follows an item's number is a separator and a capital, once tags are gone and entities are read."""
+    shown = _TAG.sub("", after)
+    for entity, dash in DASHES.items():
+        shown = shown.replace(entity, dash)
+    shown = _ENTITY.sub(" ", shown).lstrip()
+    return shown[:1] in SEPARATORS and bool(shown) and "A" <= shown[1:].lstrip()[:1] <= "Z"
 
 
-def _is_header(html: str, start: int, end: int) -> bool:
-    before = html[max(0, start - ANCHOR_BACK) : start].lower()
-    if before.rfind("<a") > before.rfind("</a") and re.match(r"<a[\s>]", before[before.rfind("<a") :]):
-        return False
-    if not re.search(r"<(?:p|div|h[1-6]|td|tr|b|strong|span|font|li|body|section)\b[^<]*>\s*$|^\s*$", html[max(0, start - LOOK_BACK) : start], re.I):
-        return False
-    if sum(c.isalpha() for c in _visible(html[start + SKIP : start + SKIP + WINDOW])) < LETTERS:
+def _has_prose(html: str, start: int) -> bool:
+    return len(_LETTER.findall(_ENTITY.sub(" ", _TAG.sub(" ", html[start : start + WINDOW])))) >= LETTERS
+
+
+def _in_anchor(html: str, at: int) -> bool:
+    """Whether the last link that opens shortly before ``at`` is still open there: a table of contents."""
+    before = html[max(0, at - ANCHOR_BACK) : at]
+    return max(before.rfind(f"<a{c}") for c in " \t\n") > before.rfind("</a>")
+
+
+def _starts_block(html: str, at: int) -> bool:
+    """Whether the start of the document, the end of a comment, a structural tag or one that sets a heavy font comes right before ``at``."""
+    before = html[max(0, at - LOOK_BACK) : at].rstrip()
+    if not before or before.endswith("-->"):
+        return True
+    if not before.endswith(">"):
         return False
-    return True
+    tag = before[before.rfind("<") + 1 :]  # without its start if that is further back
+    name = _NAME.match(tag) if "<" in before else None
+    return bool(name and name[1].lower() in STRUCTURE) or bool(_WEIGHT.search(tag))
 
 
-def detect_sections(html: str, items: list[str] = ITEMS) -> list[tuple[str, int, int]]:
-    """(name, start, end) in order: each item's first real header; titles alone for items still missing. What comes before the first
-    header belongs to no section."""
-    masked, found = blank_comments(html), {}
+def item_candidates(html: str, masked: str, items: list[str] = ITEMS) -> Iterator[tuple[str, int, bool]]:
+    """(item, start, real) of every mention of an item: it is real if a title and prose follow. Unknown items come too, never real."""
     for m in _HEADER.finditer(masked):
         item = m[1].upper()
-        if item in items and item not in found and _SEPARATED.match(_visible(masked[m.end() : m.end() + TITLE_AHEAD])) and _is_header(masked, m.start(), m.end()):
-            found[item] = m.start()
+        yield item, m.start(), item in items and _titled(html[m.end() : m.end() + TITLE_AHEAD]) and _has_prose(html, m.start() + SKIP)
+
+
+def detect_sections(html: str, items: list[str] = ITEMS, masked: str | None = None) -> list[tuple[str, int, int]]:
+    """(name, start, end) in order: each item's first real header; titles alone, at the start of a block outside links and before prose,
+    for items still missing. What comes before the first header belongs to no section. Comments hold no headers."""
+    masked, found = blank_comments(html) if masked is None else masked, {}
+    for item, at, real in item_candidates(html, masked, items):
+        if real:
+            found.setdefault(item, at)
     for title in sorted(TITLES, key=len, reverse=True):
         item = TITLES[title]
         if item not in found and item in items:
             for m in re.finditer(rf"\b{re.escape(title)}\b", masked, re.I):
-                if _is_header(masked, m.start(), m.end()):
+                if not _in_anchor(html, m.start()) and _starts_block(html, m.start()) and _has_prose(html, m.end()):
                     found[item] = m.start()
                     break
     order = sorted((at, item) for item, at in found.items())
     return [(f"Item {item}", at, order[i + 1][0] if i + 1 < len(order) else len(html)) for i, (at, item) in enumerate(order)]
 
 
-def table_spans(html: str) -> list[tuple[int, int]]:
+def table_spans(html: str, masked: str | None = None) -> list[tuple[int, int]]:
     """Outermost balanced tables; one that never closes is left to the narrative."""
     out, depth, start = [], 0, 0
-    for m in re.finditer(r"<(/?)table\b[^>]*>", blank_comments(html), re.I):
+    for m in re.finditer(r"<(/?)table\b[^>]*>", blank_comments(html) if masked is None else masked, re.I):
         if not m[1]:
             start = m.start() if depth == 0 else start
             depth += 1
@@ -97,84 +127,120 @@ def table_spans(html: str) -> list[tuple[int, int]]:
     return out
 
 
-def pack(html: str, start: int, end: int, most: int = MAX_PARENT, tokens: Counter = default_tokens) -> list[tuple[int, int]]:
-    """Greedy spans that tile [start, end): cut at closing tags outside comments; an atom longer than ``most`` stays whole."""
-    cuts = [start + m.end() for m in _BREAK.finditer(blank_comments(html)[start:end])]
-    if not cuts or cuts[-1] != end:
-        cuts.append(end)
+def _packed(cuts: list[int], start: int, end: int, most: int, tokens: Counter) -> list[tuple[int, int]]:
+    """Greedy spans that tile [start, end), each up to the last cut that keeps it within ``most`` tokens, or to its first."""
     out, at, last = [], start, start
-    for c in cuts:
+    for c in [*cuts, end]:
         if tokens(c - at) > most and last > at:
             out.append((at, last))
             at = last
         last = c
-    if at < end:
-        out.append((at, end))
-    return out
+    return [*out, (at, end)] if at < end else out
+
+
+def pack(html: str, start: int, end: int, most: int = MAX_PARENT, tokens: Counter = default_tokens, masked: str | None = None) -> list[tuple[int, int]]:
+    """Greedy spans that tile [start, end): cut at closing tags outside comments; an atom longer than ``most`` stays whole."""
+    return _packed([m.end() for m in _CUT.finditer(blank_comments(html) if masked is None else masked, start, end)], start, end, most, tokens)
 
 
 def subdivide(html: str, start: int, end: int, most: int = MAX_CHILD, hard: int = HARD_CHILD, tokens: Counter = default_tokens) -> list[tuple[int, int]]:
     """Child spans that tile a parent, cut at sentences and closing tags; pieces over ``hard`` tokens are an error."""
     if tokens(end - start) <= most:
         return [(start, end)]
-    cuts = [start + m.end() for m in _SENTENCE.finditer(html[start:end])]
-    if not cuts or cuts[-1] != end:
-        cuts.append(end)
-    out, at, last = [], start, start
-    for c in cuts:
-        if tokens(c - at) > most and last > at:
-            out.append((at, last))
-            at = last
-        last = c
-    if at < end:
-        out.append((at, end))
+    out = _packed([m.end() for m in _STOP.finditer(html, start, end)], start, end, most, tokens)
     if any(tokens(b - a) > hard for a, b in out):
         raise ValueError("a passage can't be cut to the child limit")
     return out
 
 
-def chunk(html: str, max_parent: int = MAX_PARENT, max_child: int = MAX_CHILD, hard_child: int = HARD_CHILD) -> tuple[str, list[dict]]:
-    """(outcome, chunks): tables are atomic parents of one child; narrative between them is packed, then subdivided."""
-    sections = detect_sections(html)
+#: Detectors of sections by kind of document: html, masked html -> [(name, start, end)]. A kind with None is known and not chunked yet.
+Detector = Callable[[str, str], list[tuple[str, int, int]]]
+DETECTORS: dict[str, Detector | None] = {"10-K": lambda html, masked: detect_sections(html, masked=masked), "8-K": None, "transcript": None}
+
+
+def chunk(html: str, max_parent: int = MAX_PARENT, max_child: int = MAX_CHILD, hard_child: int = HARD_CHILD, detect: Detector | None = DETECTORS["10-K"]) -> tuple[str, list[dict]]:
+    """(outcome, chunks): tables are atomic parents of one child; narrative between them is packed, then subdivided. Outcomes: chunked,
+    no_sections, quarantined (a passage can't be cut), not_implemented (no detector)."""
+    if detect is None:
+        return "not_implemented", []
+    masked = blank_comments(html)
+    sections = detect(html, masked)
     if not sections:
         return "no_sections", []
-    tables, rows = table_spans(html), []
+    tables, rows, parent = table_spans(html, masked), [], 0
     for name, lo, hi in sections:
         inside, at, tiles = [t for t in tables if lo <= t[0] and t[1] <= hi], lo, []
-        for a, b in inside:
-            if at < a:
-                tiles += [(x, y, False) for x, y in pack(html, at, a, max_parent)]
-            tiles.append((a, b, True))
+        for a, b in [*inside, (hi, hi)]:
+            tiles += [(x, y, False) for x, y in pack(html, at, a, max_parent, masked=masked)] if at < a else []
+            tiles += [(a, b, True)] if a < b else []
             at = b
-        if at < hi:
-            tiles += [(x, y, False) for x, y in pack(html, at, hi, max_parent)]
         for a, b, is_table in tiles:
             try:
                 children = [(a, b)] if is_table else subdivide(html, a, b, max_child, hard_child)
             except ValueError:
                 return "quarantined", []
-            rows += [{"section": name, "parent_start": a, "parent_end": b, "start": x, "end": y, "from_table": is_table} for x, y in children]
+            rows += [{"section": name, "parent_id": parent, "parent_start": a, "parent_end": b, "start": x, "end": y, "from_table": is_table} for x, y in children]
+            parent += 1
     return "chunked", rows
 
 
-def parse_filings(docs: DataFrame, key: str = "doc_id", html: str = "html", **limits: int) -> DataFrame:
-    """(key, outcome, section, parent span, child span, from_table, text): one row a child; documents without chunks give one row."""
+def parse_filings(docs: DataFrame, key: str = "doc_id", html: str = "html", kind: str | None = None, detectors: dict[str, Detector | None] = DETECTORS, **limits: int) -> DataFrame:
+    """(key, outcome, section, parent_id, parent span, child span, from_table, text): one row a child; documents without chunks give one
+    row. ``kind``: the column that picks the detector (absent: annual reports); an unknown kind's outcome is unsupported_doc_type. A parent's
+    id counts a document's parents in order; a table's html is its only child's text. Null html: no_sections."""
     ship_package(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    id_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for k, h in zip(b["k"], b["h"]):
-                outcome, chunks = chunk(h or "", **limits)
-                rows += [{"k": k, "outcome": outcome, "text": h[c["start"] : c["end"]], **c} for c in chunks] or [{"k": k, "outcome": outcome}]
-            yield pd.DataFrame(rows, columns=_COLUMNS).astype({c: "Int32" for c in ("parent_start", "parent_end", "start", "end")})
+            cols: dict[str, list] = {c: [] for c in _COLUMNS}
+            for k, h, t in zip(b["k"], b["h"], b["t"]):
+                h = h or ""
+                outcome, chunks = chunk(h, detect=detectors[t], **limits) if t in detectors else ("unsupported_doc_type", [])
+                for c in chunks or [{}]:
+                    for name in _COLUMNS[2:-1]:
+                        cols[name].append(c.get(name))
+                    cols["k"].append(k)
+                    cols["outcome"].append(outcome)
+                    cols["text"].append(h[c["start"] : c["end"]] if c else None)
+            yield pd.DataFrame(cols).astype({c: "Int32" for c in ("parent_id", "parent_start", "parent_end", "start", "end")})
+
+    schema = f"k {id_type}, outcome string, section string, parent_id int, parent_start int, parent_end int, start int, end int, from_table boolean, text string"
+    which = F.lit("10-K") if kind is None else F.col(kind).cast("string")
+    return docs.select(F.col(key).alias("k"), F.col(html).alias("h"), which.alias("t")).mapInPandas(run, schema).withColumnRenamed("k", key)
+
+
+def _per_document(docs: DataFrame, key: str, html: str, columns: str, rows: Callable[[str], list[tuple]]) -> DataFrame:
+    """(key, ``columns``): the ``rows`` of each document's markup; null is empty."""
+    ship_package(docs.sparkSession)
+    names = ["k", *(c.split()[0] for c in columns.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(k, *r) for k, h in zip(b["k"], b["h"]) for r in rows(h or "")], columns=names)
+
+    got = docs.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"k {docs.schema[key].dataType.simpleString()}, {columns}")
+    return got.withColumnRenamed("k", key)
+
+
+def section_rows(docs: DataFrame, key: str = "doc_id", html: str = "html") -> DataFrame:
+    """(key, section, start, end) of each detected section."""
+    return _per_document(docs, key, html, "section string, start int, end int", detect_sections)
+
+
+def table_rows(docs: DataFrame, key: str = "doc_id", html: str = "html") -> DataFrame:
+    """(key, ordinal, start, end): the outermost balanced tables of each document."""
+    return _per_document(docs, key, html, "ordinal int, start int, end int", lambda h: [(i, *t) for i, t in enumerate(table_spans(h))])
+
 
-    schema = f"k {kind}, outcome string, section string, parent_start int, parent_end int, start int, end int, from_table boolean, text string"
-    return docs.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, schema).withColumnRenamed("k", key)
+def audit_items(docs: DataFrame, key: str = "doc_id", html: str = "html", items: list[str] = ITEMS) -> DataFrame:
+    """(key, item, candidates, real, known, first_real): every item number that a document mentions, how often, and as a real header."""
+    found = _per_document(docs, key, html, "item string, start int, real boolean", lambda h: list(item_candidates(h, blank_comments(h), items)))
+    first = F.min(F.when(F.col("real"), F.col("start")))
+    return found.groupBy(key, "item").agg(F.count("*").alias("candidates"), F.count_if("real").alias("real"), first.alias("first_real")).withColumn("known", F.col("item").isin(*items))
 
 
-_COLUMNS = ["k", "outcome", "section", "parent_start", "parent_end", "start", "end", "from_table", "text"]
+_COLUMNS = ["k", "outcome", "section", "parent_id", "parent_start", "parent_end", "start", "end", "from_table", "text"]
 
 
 # --- the parts that column expressions can express -----------------------------------------------------------------------------------
@@ -193,12 +259,12 @@ def tag_depths(docs: DataFrame, key: str, html: str, tag: str) -> DataFrame:
 
 def item_headers(html: Column) -> Column:
     """Item numbers in order of occurrence, with the entity spellings of white space."""
-    return F.regexp_extract_all(html, F.lit(r"\b(?i:item)(?:\s|&#160;|&nbsp;|&#x[Aa]0;)+(\d+[A-Za-z]?)\b"), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(rf"\b(?i:item){BLANK}(\d+[A-Za-z]?)\b"), F.lit(1))
 
 
 def entity_flexible(title: str) -> str:
     """A pattern for a title whose white space may be entities."""
-    return r"(?:\s|&#160;|&nbsp;|&#x[Aa]0;)+".join("\\Q" + w + "\\E" for w in title.split())
+    return BLANK.join("\\Q" + w + "\\E" for w in title.split())
 
 
 def bucket_waits(times: Column, rate: float, burst: float) -> Column:

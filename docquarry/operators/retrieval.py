@@ -2,29 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.functions.numbers import clamped_cosine, squared_l2
+from docquarry.session import ship_package
 
+#: English stop words of lexical indexes.
+STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+#: Up to so many rows of query terms, or query vectors, are broadcast; beyond it, they are joined by shuffle.
+BROADCAST_TERMS, BROADCAST_VECTORS = 1_000_000, 20_000
+BLOCK = 1024
 
-def terms(text: Column) -> Column:
+
+def stem(word: Column) -> Column:
+    """A light English stem: plurals, then -ed and -ing after a vowel with the letter that they changed, then a final y."""
+    w = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "sses$", "ss"), "([a-z]{2})ies$", "$1i"), "([a-rtv-z])s$", "$1")
+    cut = F.regexp_replace(w, "([aeiouy][a-z]*)(ed|ing)$", "$1")
+    cut = F.when(cut.rlike("(at|bl|iz)$"), F.concat(cut, F.lit("e"))).when(cut.rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
+    w = F.when(w.rlike("[aeiouy][a-z]*(ed|ing)$") & ~w.rlike("eed$"), cut).otherwise(w)
+    return F.regexp_replace(w, "([a-z][b-df-hj-np-tv-xz])y$", "$1i")
+
+
+def raw_terms(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
+def terms(text: Column) -> Column:
+    """Indexed terms: stems of what isn't a stop word."""
+    return F.transform(F.filter(raw_terms(text), lambda w: ~w.isin(*STOP_WORDS)), stem)
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, dl): term frequencies and the document's length in terms. One shuffle, partially aggregated."""
-    return docs.select(F.col(key), F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")).withColumn("dl", F.sum("tf").over(Window.partitionBy(key)))
+    """(key, term, tf, dl): term frequencies and the document's length in terms, which is counted before the one shuffle."""
+    rows = docs.select(F.col(key), terms(F.col(text)).alias("__t")).select(key, F.size("__t").cast("long").alias("dl"), F.explode("__t").alias("term"))
+    return rows.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(post: DataFrame, n_docs: int, mean_length: float, queries: DataFrame, key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, key, score) of every document that shares a term with the query; ``queries``: (query_id, term), distinct."""
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, scope: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, score) of every document that shares a term with the query; ``queries``: (query_id, term), distinct.
+
+    Frequencies and lengths are those of all ``docs``; ``scope``, distinct keys, limits only what is returned. Only terms of queries are
+    shuffled: other terms count towards lengths before any exchange."""
+    n, mean = docs.agg(F.count("*"), F.avg(F.size(terms(F.col(text))))).first()
+    asked = queries.select("term").distinct()
+    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    rows = docs.select(F.col(key), terms(F.col(text)).alias("__t")).select(key, F.size("__t").cast("long").alias("dl"), F.explode("__t").alias("term"))
+    post = rows.join(F.broadcast(asked) if small else asked, "term", "left_semi").groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = queries.join(df, "term").withColumn("idf", idf)
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean_length)))
-    return post.join(weighted, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(mean or 1))))
+    hits = post if scope is None else post.join(scope.select(key), key, "left_semi")
+    return hits.join(weighted, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, group: str, *order: Column) -> DataFrame:
@@ -34,10 +68,57 @@ def top_k(scored: DataFrame, k: int, group: str, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
-def dense_distances(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, distance) of all vectors: a stated, bounded query set (broadcast) against all rows; no index, so exact."""
-    q = queries.select("query_id", F.col(vector).alias("__q"))
-    return vectors.join(F.broadcast(q)).select("query_id", key, *[c for c in vectors.columns if c not in (key, vector)], squared_l2(F.col(vector), F.col("__q")).alias("distance"))
+def _products(queries: DataFrame, rows: DataFrame, query: str, query_vector: str, key: str, vector: str, reduce, schema: str) -> DataFrame:
+    """``reduce(query ids, query matrix, row ids, row matrix)`` -> columns of ``schema``, for every block of queries against every block of
+    rows, as matrix products. Rows stay where they are if the counted queries are few; otherwise blocks meet by shuffle on the block of
+    queries. Rows without a vector are left out; vectors of one length are assumed, others raise."""
+    ship_package(rows.sparkSession)
+    q = queries.where(F.col(query_vector).isNotNull()).select(F.col(query).alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
+    n = q.count()
+    blocks = -(-n // BLOCK) or 1
+    sides = q.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("q", "v")).alias("x"))
+    sides = sides.select("block", F.transform("x", lambda x: x["q"]).alias("qs"), F.flatten(F.transform("x", lambda x: x["v"])).alias("qm"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, BLOCK):
+                part = b.slice(i, BLOCK)
+                flat, m = part.column(1).flatten(), part.num_rows
+                ids = pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)], ["rs", "rm"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                qs, rs = b.column(0)[i].values, b.column(2)[i].values
+                qm, rm = (b.column(k)[i].values.to_numpy(zero_copy_only=False).reshape(len(x), -1) for k, x in ((1, qs), (3, rs)))
+                yield reduce(np.asarray(qs.to_pylist()), qm, np.asarray(rs.to_pylist()), rm)
+
+    packed_rows = rows.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>")).mapInArrow(packed, f"rs array<{kind}>, rm array<double>")
+    each = packed_rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return each.join(F.broadcast(sides) if n <= BROADCAST_VECTORS else sides, "block").select("qs", "qm", "rs", "rm").mapInArrow(meet, schema)
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
+    """(query_id, key, distance, rank): the ``k`` nearest rows of each query by squared distance (rounded, so that equal ones tie), then
+    key; no index, so exact. ``queries``: (query_id, vector). Each block gives up all but its own ``k`` best before the shuffle."""
+    q_kind, kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+
+    def reduce(qs: np.ndarray, qm: np.ndarray, rs: np.ndarray, rm: np.ndarray) -> pa.RecordBatch:
+        d = np.round(np.maximum((qm * qm).sum(1)[:, None] + (rm * rm).sum(1) - 2 * qm @ rm.T, 0), digits)
+        edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        i, j = np.nonzero(d <= edge[:, None])
+        order = np.lexsort((rs[j], d[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
+        return pa.RecordBatch.from_arrays([pa.array(qs[i]), pa.array(rs[j]), pa.array(d[i, j])], ["query_id", "k", "distance"])
+
+    if k <= 0:
+        raise ValueError("k must be positive")
+    near = _products(queries, vectors, "query_id", vector, key, vector, reduce, f"query_id {q_kind}, k {kind}, distance double").withColumnRenamed("k", key)
+    return top_k(near, k, "query_id", F.col("distance").asc(), F.col(key).asc())
 
 
 def collapse_to_parents(ranked: DataFrame, child_parent: DataFrame, group: str = "query_id", child: str = "doc_id") -> DataFrame:
@@ -47,11 +128,11 @@ def collapse_to_parents(ranked: DataFrame, child_parent: DataFrame, group: str =
 
 
 def rrf(lexical: DataFrame, dense: DataFrame, key: str, group: str = "query_id", w_lexical: float = 1.0, w_dense: float = 1.0, k: int = 60) -> DataFrame:
-    """Weighted reciprocal-rank fusion: both ranks and the sum of weight / (k + rank)."""
+    """Weighted reciprocal-rank fusion: both ranks and the sum of weight / (k + rank). A side of weight 0 is left out, not even read."""
     if k <= 0 or w_lexical < 0 or w_dense < 0 or w_lexical + w_dense == 0:
         raise ValueError("k must be positive, weights not negative and not both 0")
-    a = lexical.select(group, key, F.col("rank").alias("lexical_rank"))
-    b = dense.select(group, key, F.col("rank").alias("dense_rank"))
+    a = lexical.where(F.lit(w_lexical > 0)).select(group, key, F.col("rank").alias("lexical_rank"))
+    b = dense.where(F.lit(w_dense > 0)).select(group, key, F.col("rank").alias("dense_rank"))
     score = F.coalesce(F.lit(w_lexical) / (k + F.col("lexical_rank")), F.lit(0.0)) + F.coalesce(F.lit(w_dense) / (k + F.col("dense_rank")), F.lit(0.0))
     return a.join(b, [group, key], "full_outer").withColumn("rrf_score", score)
 
@@ -67,9 +148,19 @@ def rerank(hits: DataFrame, k: int, key: str, group: str = "query_id") -> DataFr
 
 
 def entity_scores(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(mention_id, ticker, score): cosine with each ticker's best alias. ``aliases`` is a dimension of bounded size: broadcast."""
-    pairs = mentions.join(F.broadcast(aliases)).select("mention_id", "ticker", clamped_cosine(F.col("mention_vector"), F.col("alias_vector")).alias("score"))
-    return pairs.groupBy("mention_id", "ticker").agg(F.max("score").alias("score"))
+    """(mention_id, ticker, score): cosine with each ticker's best alias, clamped to [-1, 1]. Vectors have unit length.
+
+    ``mentions``: (mention_id, mention_vector); ``aliases``: (ticker, alias_vector), in blocks against blocks of mentions."""
+    kind = mentions.schema["mention_id"].dataType.simpleString()
+
+    def reduce(qs: np.ndarray, qm: np.ndarray, rs: np.ndarray, rm: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(rs, kind="stable")
+        names, first = np.unique(rs[order], return_index=True)
+        best = np.maximum.reduceat(np.clip(qm @ rm[order].T, -1, 1), first, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, len(names))), pa.array(np.tile(names, len(qs)).tolist(), pa.string()), pa.array(best.ravel())], ["mention_id", "ticker", "score"])
+
+    got = _products(mentions, aliases, "mention_id", "mention_vector", "ticker", "alias_vector", reduce, f"mention_id {kind}, ticker string, score double")
+    return got.groupBy("mention_id", "ticker").agg(F.max("score").alias("score"))
 
 
 def best_entities(scores: DataFrame, k: int = 3) -> DataFrame:

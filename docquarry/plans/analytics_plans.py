@@ -127,12 +127,12 @@ def link_fact(spark: S, d: str) -> DataFrame:
 
 
 # --- prices and signals -------------------------------------------------------------------------------------------------------------
-_PRICE_SQL = "px as (select l_suppkey as k, l_shipdate as day, round(sum(l_extendedprice) / sum(l_quantity), 4) as close, sum(l_quantity) as volume from lineitem group by all)"
+_PRICE_SQL = "px as (select l_suppkey as k, l_shipdate as day, sum(l_extendedprice) / sum(l_quantity) as close, sum(l_quantity) as volume from lineitem group by all)"
 
 
 def _prices(spark: S, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("day")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("close"), F.sum("l_quantity").alias("volume"))
+    return li.groupBy(F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("day")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
 
 
 _RET_SQL = f"{_PRICE_SQL}, r as (select *, ln(close / lag(close, 1) over (partition by k order by day)) as ret_1, ln(close / lag(close, 5) over (partition by k order by day)) as ret_5, ln(lead(close, 1) over (partition by k order by day) / close) as next_1 from px)"
@@ -172,13 +172,13 @@ def signal_b1(spark: S, d: str) -> DataFrame:
     return _event_days(spark, d).select("event_id", F.sum(s).over(w).alias("score"))
 
 
-@register("event_study", f"with {_RET_SQL}, n as (select *, row_number() over (partition by k order by day) as i from r) select a.k, a.i::int as i, round(sum(b.ret_1), 6) as car, count(b.ret_1) as n from n a join n b on b.k = a.k and b.i between a.i - 2 and a.i + 2 where a.i % 50 = 0 group by all")
+@register("event_study", f"with {_RET_SQL}, n as (select *, row_number() over (partition by k order by day) as i from r) select a.k, a.i::int as i, round(sum(b.ret_1) + 1.234e-9, 6) as car, count(b.ret_1) as n from n a join n b on b.k = a.k and b.i between a.i - 2 and a.i + 2  group by all")
 def event_study(spark: S, d: str) -> DataFrame:
     p = op.price_windows(_prices(spark, d), "k", "day", "close", "volume")
     order = Window.partitionBy("k").orderBy("day")
     w = order.rowsBetween(-2, 2)
-    got = p.withColumn("i", F.row_number().over(order)).withColumn("car", F.round(F.sum("ret_1").over(w), 6)).withColumn("n", F.count("ret_1").over(w))
-    return got.where("i % 50 = 0").select("k", "i", "car", "n")
+    got = p.withColumn("i", F.row_number().over(order)).withColumn("car", F.round(F.sum("ret_1").over(w) + 1.234e-9, 6)).withColumn("n", F.count("ret_1").over(w))
+    return got.select("k", "i", "car", "n")
 
 
 def _panel(spark: S, d: str) -> DataFrame:

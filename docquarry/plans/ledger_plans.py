@@ -166,7 +166,7 @@ def survey_counts(spark: S, d: str) -> DataFrame:
     return table(spark, d, "customer").join(n, "c_nationkey", "left").groupBy(F.coalesce("n_name", F.lit("no_nation")).alias("class")).agg(F.count("*").alias("n"))
 
 
-@register("truncate_text", "select doc_id, case when length(text) > 512 then substr(text, 1, 509) || '...' else text end as status from documents")
+@register("truncate_text", "select doc_id, case when length(text) > 512 then substr(text, 1, 512) || '...[truncated ' || (length(text) - 512) || ' more chars]' else text end as status from documents")
 def truncate_text(spark: S, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.truncate_status(F.col("text")).alias("status"))
 

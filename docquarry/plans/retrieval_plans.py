@@ -13,14 +13,22 @@ from docquarry.plans.registry import register
 S = SparkSession
 K1, B = 1.2, 0.75
 
-_TERMS_SQL = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-_POST_SQL = f"(select doc_id, term, count(*) as tf, sum(count(*)) over (partition by doc_id)::bigint as dl from (select doc_id, unnest({_TERMS_SQL}) as term from documents) group by doc_id, term)"
-_BM25_SQL = f"""post as {_POST_SQL}, q as (select distinct item_id as query_id, unnest({_TERMS_SQL}) as term from benchmark where item_id < 8),
- df as (select term, count(*) as df from post group by term), st as (select (select count(*) from documents) as n, (select avg(dl) from (select distinct doc_id, dl from post)) as mean),
+def _stem_sql(w: str) -> str:
+    plain = f"regexp_replace(regexp_replace(regexp_replace({w}, 'sses$', 'ss'), '([a-z]{{2}})ies$', '\\1i'), '([a-rtv-z])s$', '\\1')"
+    cut = f"regexp_replace({plain}, '([aeiouy][a-z]*)(ed|ing)$', '\\1')"
+    mended = f"case when regexp_matches({cut}, '(at|bl|iz)$') then {cut} || 'e' when regexp_matches({cut}, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') then left({cut}, length({cut}) - 1) else {cut} end"
+    return f"regexp_replace(case when regexp_matches({plain}, '[aeiouy][a-z]*(ed|ing)$') and not regexp_matches({plain}, 'eed$') then {mended} else {plain} end, '([a-z][b-df-hj-np-tv-xz])y$', '\\1i')"
+
+
+_STOPS = ", ".join(f"'{w}'" for w in op.STOP_WORDS)
+_TERMS_SQL = rf"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' and x not in ({_STOPS}))"
+_POST_SQL = f"(select doc_id, {_stem_sql('w')} as term, count(*) as tf, any_value(dl)::bigint as dl from (select doc_id, unnest(t) as w, len(t) as dl from (select doc_id, {_TERMS_SQL} as t from documents)) group by doc_id, term)"
+_BM25_SQL = f"""post as {_POST_SQL}, q as (select distinct query_id, {_stem_sql('w')} as term from (select item_id as query_id, unnest({_TERMS_SQL}) as w from benchmark where item_id % 20 = 0)),
+ df as (select term, count(*) as df from post group by term), st as (select (select count(*) from documents) as n, (select avg(len({_TERMS_SQL})) from documents) as mean),
  lex as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * dl / mean))), 6) as score from post join q using (term) join df using (term), st group by query_id, doc_id),
  lexk as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from lex qualify rank <= 20)"""
 _DIST_SQL = "round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))), 6)"
-_DENSE_SQL = f"""dist as (select q.vec_id as query_id, v.vec_id as doc_id, {_DIST_SQL} as distance from embeddings v, (select * from embeddings where vec_id < 8) q),
+_DENSE_SQL = f"""dist as (select q.vec_id as query_id, v.vec_id as doc_id, {_DIST_SQL} as distance from embeddings v, (select * from embeddings where vec_id % 20 = 0) q),
  densek as (select query_id, doc_id, distance, row_number() over (partition by query_id order by distance, doc_id) as rank from dist qualify rank <= 20)"""
 _FUSE_SQL = """fused as (select query_id, doc_id, l.rank as lexical_rank, d.rank as dense_rank, coalesce(1.0::double / (60 + l.rank), 0) + coalesce(1.0::double / (60 + d.rank), 0) as rrf_score from lexk l full join densek d using (query_id, doc_id))"""
 
@@ -29,22 +37,21 @@ def _postings(spark: S, d: str) -> DataFrame:
     return op.postings(table(spark, d, "documents"))
 
 
-def _lexical(spark: S, d: str) -> DataFrame:
-    """Twenty best documents for each of the first benchmark items, by BM25."""
-    post = _postings(spark, d)
-    n = table(spark, d, "documents").count()
-    mean = post.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.avg("dl")).first()[0]
-    q = table(spark, d, "benchmark").where("item_id < 8").select(F.col("item_id").alias("query_id"), F.explode(op.terms(F.col("text"))).alias("term")).distinct()
-    scored = op.bm25(post, n, mean, q, k1=K1, b=B).withColumn("score", F.round("score", 6))
+def _lexical(spark: S, d: str, scope: DataFrame | None = None) -> DataFrame:
+    """Twenty best documents for each benchmark item whose id is divisible by 20, by BM25."""
+    q = table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.explode(op.terms(F.col("text"))).alias("term")).distinct()
+    scored = op.bm25(table(spark, d, "documents"), q, k1=K1, b=B, scope=scope).withColumn("score", F.round("score", 6))
     return op.top_k(scored, 20, "query_id", F.col("score").desc(), F.col("doc_id").asc())
 
 
+def _queries(vectors: DataFrame) -> DataFrame:
+    return vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 def _dense(spark: S, d: str) -> DataFrame:
-    """Twenty nearest vectors of each of the first vectors, by exact distance."""
+    """Twenty nearest vectors of each vector whose id is divisible by 20, by exact distance."""
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), "embedding")
-    dist = op.dense_distances(q, v).withColumnRenamed("vec_id", "doc_id").withColumn("distance", F.round("distance", 6))
-    return op.top_k(dist, 20, "query_id", F.col("distance").asc(), F.col("doc_id").asc())
+    return op.dense_topk(_queries(v), v, 20).withColumnRenamed("vec_id", "doc_id")
 
 
 @register("bm25_postings", f"select term, count(*) as df, sum(tf)::bigint as cf, max(dl)::bigint as longest from {_POST_SQL} group by term")
@@ -62,12 +69,17 @@ def dense_topk(spark: S, d: str) -> DataFrame:
     return _dense(spark, d).select("query_id", "doc_id", "rank", "distance")
 
 
-@register("dense_topk_filtered", f"select query_id, vec_id, rank from (select q.vec_id as query_id, v.vec_id, row_number() over (partition by q.vec_id order by {_DIST_SQL}, v.vec_id) as rank from embeddings v, (select * from embeddings where vec_id < 5) q where v.label = 1) where rank <= 10")
+@register("bm25_scoped", f"with {_BM25_SQL.replace('from lex qualify', 'from lex where doc_id % 4 = 1 qualify')} select query_id, doc_id, rank, round(score, 4) as score from lexk")
+def bm25_scoped(spark: S, d: str) -> DataFrame:
+    """The search inside a scope of documents: statistics are those of all of them."""
+    scope = table(spark, d, "documents").where("doc_id % 4 = 1").select("doc_id")
+    return _lexical(spark, d, scope).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
+@register("dense_topk_filtered", f"select query_id, vec_id, rank from (select q.vec_id as query_id, v.vec_id, row_number() over (partition by q.vec_id order by {_DIST_SQL}, v.vec_id) as rank from embeddings v, (select * from embeddings where vec_id % 20 = 0) q where v.label = 1) where rank <= 10")
 def dense_topk_filtered(spark: S, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
-    dist = op.dense_distances(q, v.where("label = 1")).withColumn("distance", F.round("distance", 6))
-    return op.top_k(dist, 10, "query_id", F.col("distance").asc(), F.col("vec_id").asc()).select("query_id", "vec_id", "rank")
+    return op.dense_topk(_queries(v), v.where("label = 1"), 10).select("query_id", "vec_id", "rank")
 
 
 @register("parent_collapse", f"with {_DENSE_SQL} select query_id, parent_id, row_number() over (partition by query_id order by best) as rank from (select query_id, doc_id // 4 as parent_id, min(rank) as best from densek where doc_id % 4 <> 3 group by all)")
@@ -87,6 +99,13 @@ def hybrid_retrieve(spark: S, d: str) -> DataFrame:
     return got.select("query_id", "doc_id", "rank", F.round("rrf_score", 10).alias("rrf_score"))
 
 
+@register("hybrid_one_sided", f"with {_DENSE_SQL} select query_id, doc_id, rank, round(0.5 / (60 + rank), 10) as rrf_score from densek where rank <= 5")
+def hybrid_one_sided(spark: S, d: str) -> DataFrame:
+    """Fusion with a weight of 0 on the lexical side: that side isn't searched."""
+    got = op.hybrid(_lexical(spark, d), _dense(spark, d), "doc_id", 5, w_lexical=0.0, w_dense=0.5)
+    return got.select("query_id", "doc_id", "rank", F.round("rrf_score", 10).alias("rrf_score"))
+
+
 @register("rerank_topk", f"with {_DENSE_SQL} select query_id, doc_id, prev_rank, rank from (select query_id, doc_id, rank as prev_rank, row_number() over (partition by query_id order by doc_id % 3 desc, 1.0 / (60 + rank) desc, doc_id) as rank from densek) where rank <= 5")
 def rerank_topk(spark: S, d: str) -> DataFrame:
     hits = _dense(spark, d).withColumn("scorer_score", (F.col("doc_id") % 3).cast("double")).withColumn("rrf_score", 1 / (60 + F.col("rank")))
@@ -99,11 +118,11 @@ def softmax_pair(spark: S, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(p, 8).alias("p"))
 
 
-@register("entity_topk", "with p as (select m.vec_id as mention_id, 'T' || (a.vec_id % 20) as ticker, round(max(greatest(-1.0, least(1.0, list_sum(list_transform(list_zip(m.embedding, a.embedding), lambda z: z[1]::double * z[2]::double))))), 6) as score from (select * from embeddings where vec_id % 10 = 1) m, (select * from embeddings where vec_id < 60) a group by all) select mention_id, ticker, score, rank from (select *, row_number() over (partition by mention_id order by score desc, ticker) as rank from p) where rank <= 3")
+@register("entity_topk", "with p as (select m.vec_id as mention_id, 'T' || (a.vec_id % 20) as ticker, round(max(greatest(-1.0, least(1.0, list_sum(list_transform(list_zip(m.embedding, a.embedding), lambda z: z[1]::double * z[2]::double))))), 6) as score from (select * from embeddings where vec_id % 20 = 0) m, embeddings a group by all) select mention_id, ticker, score, rank from (select *, row_number() over (partition by mention_id order by score desc, ticker) as rank from p) where rank <= 3")
 def entity_topk(spark: S, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    aliases = v.where("vec_id < 60").select(F.concat(F.lit("T"), F.col("vec_id") % 20).alias("ticker"), F.col("embedding").alias("alias_vector"))
-    got = op.entity_scores(v.where("vec_id % 10 = 1").select(F.col("vec_id").alias("mention_id"), F.col("embedding").alias("mention_vector")), aliases)
+    aliases = v.select(F.concat(F.lit("T"), F.col("vec_id") % 20).alias("ticker"), F.col("embedding").alias("alias_vector"))
+    got = op.entity_scores(_queries(v).withColumnsRenamed({"query_id": "mention_id", "embedding": "mention_vector"}), aliases)
     return op.best_entities(got.withColumn("score", F.round("score", 6)), 3).select("mention_id", "ticker", "score", "rank")
 
 
@@ -116,7 +135,7 @@ def vector_norm_check(spark: S, d: str) -> DataFrame:
 def precision_at_k(spark: S, d: str) -> DataFrame:
     lab = table(spark, d, "embeddings").select("vec_id", "label")
     hits = _dense(spark, d).where("rank <= 10").select("query_id", "doc_id").join(lab.withColumnsRenamed({"vec_id": "doc_id"}), "doc_id")
-    hits = hits.join(F.broadcast(lab.where("vec_id < 8").withColumnsRenamed({"vec_id": "query_id", "label": "gold"})), "query_id")
+    hits = hits.join(lab.withColumnsRenamed({"vec_id": "query_id", "label": "gold"}), "query_id")
     return hits.groupBy("query_id").agg((F.count_if(F.col("label") == F.col("gold")) / 10.0).alias("p"))
 
 
@@ -195,5 +214,6 @@ def index_size(spark: S, d: str) -> DataFrame:
 @register("format_context", f"with {_DENSE_SQL} select query_id, string_agg('## ' || label || chr(10) || 'v' || doc_id, chr(10) || chr(10) order by rank) as context from densek join embeddings on vec_id = doc_id where rank <= 5 group by query_id")
 def format_context(spark: S, d: str) -> DataFrame:
     part = F.concat(F.lit("## "), F.col("label"), F.lit("\n"), F.lit("v"), F.col("doc_id"))
-    rows = _dense(spark, d).where("rank <= 5").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))).alias("x"))
+    lab = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    rows = _dense(spark, d).where("rank <= 5").join(lab, "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))).alias("x"))
     return rows.select("query_id", F.array_join(F.transform("x", lambda r: r["part"]), "\n\n").alias("context"))

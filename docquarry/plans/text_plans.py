@@ -92,12 +92,6 @@ def validate_dimension(spark: S, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", (F.rlike("n_name", F.lit(r"^[A-Z][A-Z0-9.\-]*\z")) & (F.length("n_name") <= 8)).alias("ok"))
 
 
-@register("chunk_outcome", "select doc_id, case lang when 'en' then 'chunked' when 'fr' then 'chunked' when 'de' then 'not_implemented' else 'unsupported_doc_type' end as outcome from documents")
-def chunk_outcome(spark: S, d: str) -> DataFrame:
-    out = F.when(F.col("lang").isin("en", "fr"), "chunked").when(F.col("lang") == "de", "not_implemented").otherwise("unsupported_doc_type")
-    return table(spark, d, "documents").select("doc_id", out.alias("outcome"))
-
-
 @register("context_drop_reason", "select doc_id, case when trim(substr(text, 1, 3)) = 'In' then 'empty' when doc_id % 13 = 0 then 'bad_stop' when ceil(length(text) / 4.0) > 100 then 'over_cap' else 'keep' end as reason from documents")
 def context_drop_reason(spark: S, d: str) -> DataFrame:
     reason = F.when(F.trim(F.substring("text", 1, 3)) == "In", "empty").when(F.col("doc_id") % 13 == 0, "bad_stop").when(text.estimated_tokens(F.col("text")) > 100, "over_cap").otherwise("keep")
@@ -144,10 +138,10 @@ def split_qa(spark: S, d: str) -> DataFrame:
 _FIELDS = [("tone", "the tone"), ("risk", "new risks"), ("concern", "going concern")]
 
 
-@register("prompt_expand", f"select doc_id, 'Extract ' || f || ': ' || g as prompt from documents, {sql_values(_FIELDS, 'f, g')} where doc_id < 50")
+@register("prompt_expand", f"select doc_id, 'Extract ' || f || ': ' || g as prompt from documents, {sql_values(_FIELDS, 'f, g')}")
 def prompt_expand(spark: S, d: str) -> DataFrame:
     fields = F.broadcast(values(spark, _FIELDS, "f string, g string"))
-    return table(spark, d, "documents").where("doc_id < 50").select("doc_id").join(fields).select("doc_id", text.fill_template(F.lit("Extract {f}: {g}"), {"f": F.col("f"), "g": F.col("g")}).alias("prompt"))
+    return table(spark, d, "documents").select("doc_id").join(fields).select("doc_id", text.fill_template(F.lit("Extract {f}: {g}"), {"f": F.col("f"), "g": F.col("g")}).alias("prompt"))
 
 
 _HITS_SQL = "(select b.item_id, d.doc_id, b.text as q, d.text as t, len(string_split(d.text, b.text)) - 1 as n from benchmark b, documents d where contains(d.text, b.text))"
@@ -159,12 +153,31 @@ def char_span_check(spark: S, d: str) -> DataFrame:
     return found.where("ordinal = 0").select("item_id", "doc_id", "start", "stop", citations.grounded(F.col("text"), F.col("start"), F.col("stop"), F.col("quote")).alias("ok"))
 
 
-@register("resolve_spans", f"select b.item_id, case when count(doc_id) = 0 then 'not_found' when sum(n) = 1 then 'unique' else 'ambiguous' end as outcome, coalesce(sum(n), 0)::bigint as found from benchmark b left join {_HITS_SQL} using (item_id) group by b.item_id")
+_CLAIMS_SQL = r"""c as (select doc_id, text, unnest([1, 2, 3, 4, 5, 6]) as ordinal, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents),
+q as (select doc_id, text, ordinal, case when ordinal <= 2 then array_to_string(w[2:7], ' ') when ordinal <= 4 and doc_id % 2 = 0 then w[1] || '  ' || w[2] when ordinal = 5 then 'no such words' when ordinal = 6 then ' ' end as quote from c),
+d as (select * from q where ordinal <> 2 or doc_id % 3 = 0)"""
+
+
+@register(
+    "resolve_spans",
+    rf"""with {_CLAIMS_SQL}, n as (select *, count(*) over (partition by doc_id, quote) as asked, row_number() over (partition by doc_id, quote order by ordinal) as i, array_to_string(list_transform(list_filter(regexp_split_to_array(coalesce(quote, ''), '\s+'), lambda x: x <> ''), lambda x: regexp_escape(x)), '\s+') as p from d),
+    m as (select *, case when p = '' then [] else regexp_extract_all(text, p) end as hits, regexp_split_to_array(text, case when p = '' then 'zzzzzz' else p end) as pieces from n),
+    o as (select *, case when p = '' then 'empty' when len(hits) = 0 then 'not_found' when len(hits) < asked then 'insufficient' when len(hits) > asked then 'ambiguous' else 'ok' end as outcome from m),
+    s as (select *, case when outcome = 'ok' then (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::int end as start from o)
+    select doc_id, ordinal, outcome, start, start + length(hits[i])::int as stop, case when outcome = 'ok' then hits[i] end as snapped from s""",
+)
 def resolve_spans(spark: S, d: str) -> DataFrame:
-    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    n = citations.occurrence_table(table(spark, d, "documents"), quotes).groupBy("item_id").agg(F.count("*").alias("n"))
-    found = F.coalesce(F.col("n"), F.lit(0)).cast("long")
-    return quotes.join(n, "item_id", "left").select("item_id", F.when(found == 0, "not_found").when(found == 1, "unique").otherwise("ambiguous").alias("outcome"), found.alias("found"))
+    """Up to six claims a document: its words 2 to 7, once or twice; its first two words, spelled with more white space; words that don't
+    occur; blanks; none."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    w, k = text.quote_words(F.col("text")), F.col("ordinal")
+    claims = docs.select("doc_id", w.alias("w"), F.explode(F.array(*map(F.lit, range(1, 7)))).alias("ordinal"))
+    quote = (
+        F.when(k <= 2, F.array_join(F.slice("w", 2, 6), " ")).when((k <= 4) & (F.col("doc_id") % 2 == 0), F.concat(F.get("w", F.lit(0)), F.lit("  "), F.get("w", F.lit(1))))
+        .when(k == 5, "no such words").when(k == 6, " ")
+    )
+    claims = claims.where((k != 2) | (F.col("doc_id") % 3 == 0)).select("doc_id", "ordinal", quote.alias("quote"))
+    return citations.resolve_quotes(docs, claims).drop("quote")
 
 
 @register("citation_grounding", "select doc_id, case when doc_id % 4 = 0 then 'claim.1' when doc_id % 6 = 0 then 'claim.0' end as first_failure from documents where length(text) >= 40")

@@ -35,17 +35,32 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> Da
     return events.withWatermark("ts", late).groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def _last_mark(events: DataFrame, late: str) -> DataFrame:
+    """One row: the watermark after the last event."""
+    return events.agg(F.max("ts").alias("last")).select((F.timestamp_millis(F.unix_millis("last")) - F.expr(f"interval {late}")).alias("mark"))
+
+
 def open_sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
     """What ``sessions`` leaves open when the stream of ``events`` (here a table) has ended: those that end after the last watermark."""
-    last = events.agg(F.max("ts").alias("last")).select((F.timestamp_millis(F.unix_millis("last")) - F.expr(f"interval {late}")).alias("mark"))
     w = F.session_window("ts", gap)
     all_ = events.groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-    return all_.join(F.broadcast(last), F.col("end") > F.col("mark")).drop("mark")
+    return all_.join(F.broadcast(_last_mark(events, late)), F.col("end") > F.col("mark")).drop("mark")
 
 
-def windows(events: DataFrame, length: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:
+def _windowed(events: DataFrame, length: str, slide: str | None) -> DataFrame:
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    got = events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return got.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
+
+
+def windows(events: DataFrame, length: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:
+    """Counts and sums by event type in tumbling windows, or sliding ones; emitted once the watermark has passed their end."""
+    return _windowed(events.withWatermark("ts", late), length, slide)
+
+
+def open_windows(events: DataFrame, length: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:
+    """What ``windows`` leaves open when the stream of ``events`` (here a table) has ended."""
+    return _windowed(events, length, slide).join(F.broadcast(_last_mark(events, late)), F.col("end") > F.col("mark")).drop("mark")
 
 
 def run_to_end(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.functions import text
-from docquarry.operators import analytics, chunking, citations, ledger, pit
+from docquarry.operators import analytics, chunking, citations, ledger, pit, retrieval
 from docquarry.sources import files
 from docquarry.streaming import streams
 
@@ -128,3 +128,79 @@ def test_library_stands_without_the_optional_subpackage(tmp_path):
     code = "import __spark_entry__ as e; assert len(e.queries()) > 50 and 'pipeline' not in e.queries()"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+PROSE = "<p>Plain words of a long report follow here. " + "More of them come. " * 40 + "</p>"
+
+
+def sections(html):
+    return [name for name, _, _ in chunking.detect_sections(html)]
+
+
+@pytest.mark.parametrize("dash", ["&#8212;", "&mdash;", " &#8211; ", "&ndash;", " - ", ": ", ". ", "—"])
+def test_header_separators(dash):
+    assert sections(f"<div><span style='font-weight:700'>Item 1A{dash}Risk Factors</span></div>{PROSE}") == ["Item 1A"]
+
+
+def test_header_contexts():
+    assert sections(f"{PROSE}Item 7. Results{PROSE}") == ["Item 7"]  # right after a closing block
+    assert sections(f"<h1>Item 1A. Risks</h1>{PROSE}<p>... compared to <span>Item 7</span> discussed elsewhere{PROSE}") == ["Item 1A"]
+    assert sections(f"<p>see Item 7 of this Form</p><p>Item 408. Rules</p><p>Item&NBSP;5. No</p><!-- Item 2. Properties -->{PROSE}") == []
+    assert sections("<p>Item 1. Business</p><p>short</p>") == []
+    titles = "<div><span style='font-size:18pt;font-weight:700'>Risk Factors</span></div>"
+    toc = "<div><a href='#i'>Risk Factors</a></div><p>about <b>Risk Factors</b> in prose</p>"
+    html = f"{toc}{PROSE}{titles}{PROSE}<!-- cut -->Legal Proceedings{PROSE}"
+    assert sections(html) == ["Item 1A", "Item 3"] and chunking.detect_sections(html)[0][1] == html.index("Risk Factors</span></div><p>Plain")
+
+
+def test_outcomes_by_kind(spark):
+    html = f"<p>Item 1. Business</p>{PROSE}"
+    docs = spark.createDataFrame([(1, html, "10-K"), (2, html, "8-K"), (3, html, "memo"), (4, "<p>none</p>", "10-K"), (5, None, "10-K"), (6, html, "own")], "doc_id int, html string, kind string")
+    detectors = chunking.DETECTORS | {"own": lambda h, masked: [("All", 0, len(h))]}
+    got = {r["doc_id"]: (r["outcome"], r["section"], r["parent_id"]) for r in chunking.parse_filings(docs, kind="kind", detectors=detectors).collect()}
+    assert got == {1: ("chunked", "Item 1", 0), 2: ("not_implemented", None, None), 3: ("unsupported_doc_type", None, None), 4: ("no_sections", None, None), 5: ("no_sections", None, None), 6: ("chunked", "All", 0)}
+
+
+def test_flexible_quotes(spark):
+    text = "We may offer\n  shares. We may\toffer shares (a+b) again; a.b"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "We may offer shares")], "doc_id int, text string")
+    asked = [(1, 0, "We may offer shares"), (1, 1, "We may offer shares"), (1, 2, "a.b"), (1, 3, "(a+b)  again"), (1, 4, "  "), (1, 5, None), (1, 6, "shares"), (1, 7, "a.b c"), (2, 0, "x"), (9, 0, "x")]
+    got = {(r["doc_id"], r["ordinal"]): (r["outcome"], r["snapped"]) for r in citations.resolve_quotes(docs, spark.createDataFrame(asked, "doc_id int, ordinal int, quote string")).collect()}
+    assert got == {
+        (1, 0): ("ok", "We may offer\n  shares"), (1, 1): ("ok", "We may\toffer shares"), (1, 2): ("ok", "a.b"), (1, 3): ("ok", "(a+b) again"), (1, 4): ("empty", None), (1, 5): ("empty", None),
+        (1, 6): ("ambiguous", None), (1, 7): ("not_found", None), (2, 0): ("not_found", None), (9, 0): ("not_found", None),
+    }
+    quotes = spark.createDataFrame([(1, "We may offer shares"), (2, "e may offer sha"), (3, "offer"), (4, "may offer shares ("), (5, ""), (6, None), (7, "offer shares")], "item_id int, quote string")
+    rows = sorted((r["item_id"], r["doc_id"], r["start"]) for r in citations.occurrence_table(docs, quotes).collect())
+    starts = {1: [0, 23], 2: [1, 24], 3: [7, 30], 4: [26], 7: [7, 30]}
+    assert rows == sorted([(i, 1, s) for i, v in starts.items() for s in v] + [(i, 3, {1: 0, 2: 1, 3: 7, 7: 7}[i]) for i in (1, 2, 3, 7)])
+
+
+def test_stems_and_sides(spark):
+    words = "classes ponies cats bus caress offered agreed hoping sized running falling happy say sing red".split()
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(retrieval.stem(F.col("w"))).collect()
+    assert [r[0] for r in got] == "class poni cat bus caress offer agreed hop size run fall happi say sing red".split()
+    side = spark.createDataFrame([(1, 7, 1), (1, 8, 2)], "query_id int, doc_id int, rank long")
+    other = spark.createDataFrame([(1, 9, 1)], "query_id int, doc_id int, rank long")
+    assert [r["doc_id"] for r in retrieval.hybrid(side, other, "doc_id", w_lexical=0.0).collect()] == [9]
+    with pytest.raises(ValueError):
+        retrieval.rrf(side, other, "doc_id", w_lexical=0, w_dense=0)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_dense_search_against_brute_force(spark, monkeypatch, few):
+    """Ties, rows without a vector, k beyond the table, several blocks, both joins."""
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    monkeypatch.setattr(retrieval, "BROADCAST_VECTORS", 1000 if few else 0)
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 3, (50, 4)).astype(float)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = df.where("vec_id < 20 or vec_id = 99").withColumnRenamed("vec_id", "query_id")
+    for k in (5, 80):
+        got = {}
+        for r in retrieval.dense_topk(q, df, k).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        d = ((v[:20, None] - v) ** 2).sum(-1)
+        assert got == {i: np.lexsort((np.arange(50), d[i]))[:k].tolist() for i in range(20)}
+    assert retrieval.dense_topk(q.where("query_id < 0"), df, 3).count() == 0 and retrieval.dense_topk(q, df.where("vec_id < 0"), 3).count() == 0
