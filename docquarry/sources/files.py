@@ -33,6 +33,27 @@ def unnest_listing(listing: DataFrame, forms: list[str], json: str = "j") -> Dat
     return rows.where(F.col("form").isin(forms) & (F.trim("accession") != "") & (F.trim("document") != ""))
 
 
+def scan_listings(spark: SparkSession, path: str) -> DataFrame:
+    """Landed listings, one JSON document a file: cik from the document, and its arrays as JSON for ``unnest_listing``."""
+    raw = spark.read.option("wholetext", "true").text(path)
+    return raw.select(F.get_json_object("value", "$.cik").cast("long").alias("cik"), F.get_json_object("value", "$.filings").alias("j"))
+
+
+def exhibits(pages: DataFrame, json: str = "j") -> DataFrame:
+    """(accession, name, size): the markup files of each filing's directory listing; sizes that aren't numbers count as 0."""
+    items = F.from_json(F.get_json_object(json, "$.directory.item"), "array<struct<name:string,size:string>>")
+    rows = pages.select("accession", F.inline(items))
+    size = F.coalesce(F.try_to_number("size", F.lit("999999999999")).cast("long"), F.lit(0).cast("long"))
+    return rows.where(F.rlike("name", F.lit(r"(?i)\.html?$"))).select("accession", "name", size.alias("size"))
+
+
+def audio_outcome(content, least: int):
+    """ok, too_small (under ``least`` bytes) or not_audio of a downloaded file's bytes."""
+    from docquarry.functions.text import looks_like_audio
+
+    return F.when(F.coalesce(F.octet_length(content), F.lit(0)) < least, "too_small").when(~looks_like_audio(F.substring(content, 1, 16)), "not_audio").otherwise("ok")
+
+
 def flatten_facts(facts: DataFrame, json: str = "j") -> DataFrame:
     """Nested fact JSON (tag, unit, observations) to one row an observation."""
     tags = facts.select("cik", F.explode(F.from_json(json, "map<string,map<string,array<struct<end:string,val:double>>>>")).alias("tag", "units"))

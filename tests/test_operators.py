@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.functions import text
-from docquarry.operators import analytics, chunking, citations, ledger, pit, retrieval
+from docquarry.operators import analytics, calls, chunking, citations, ledger, pit, readers, retrieval, store
 from docquarry.sources import files
 from docquarry.streaming import streams
 
@@ -114,7 +114,7 @@ def test_sessions_open_at_the_end_are_returned(spark):
     from docquarry.plans import registry
 
     path = "/root/testdata/sf0.01"
-    got = registry.queries()["stream_session"](spark, path).selectExpr("user_id", "unix_micros(start) as s", "unix_micros(end) as e", "n").collect()
+    got = registry.queries()["stream_session"](spark, path).selectExpr("user_id", "start as s", "`end` as e", "n").collect()
     sql = f"""with g as (select user_id, ts, coalesce(ts - lag(ts) over w > interval 6 hours, true)::int as fresh from '{path}/events.parquet' window w as (partition by user_id order by ts)),
     n as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
     select user_id, epoch_us(min(ts)), epoch_us(max(ts) + interval 6 hours), count(*) from n group by user_id, k"""
@@ -204,3 +204,64 @@ def test_dense_search_against_brute_force(spark, monkeypatch, few):
         d = ((v[:20, None] - v) ** 2).sum(-1)
         assert got == {i: np.lexsort((np.arange(50), d[i]))[:k].tolist() for i in range(20)}
     assert retrieval.dense_topk(q.where("query_id < 0"), df, 3).count() == 0 and retrieval.dense_topk(q, df.where("vec_id < 0"), 3).count() == 0
+
+
+def test_guard_order_of_cap_breaker_and_retries():
+    waits = []
+    g = calls.Guard(calls.Policy(usd=1.0, failures=2, retries=2, first_wait=1.0, most_wait=3.0, sleep=waits.append))
+
+    def busy():
+        raise calls.Retryable("busy", 2.5)
+
+    def wrong():
+        raise TypeError("wrong")
+
+    assert g.run(busy)[::2] == ("error", 3) and len(waits) == 2 and waits[0] == 2.5 and 2.5 <= waits[1] <= 3.0
+    assert g.run(lambda: (1, 0.6)) == ("ok", 1, 1)  # resets the streak
+    assert g.run(wrong)[::2] == ("error", 1) and g.run(wrong)[0] == "error" and g.run(lambda: (1, 0.0))[0] == "open"
+    h = calls.Guard(calls.Policy(usd=1.0))
+    assert [h.run(lambda: (1, 0.6))[0] for _ in range(3)] == ["ok", "ok", "cost_cap"]
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "drop table t", "select 1; drop table t", "insert into t select 1", "select * from parquet.`/etc/x`", "select * from other", "select reflect('java.lang.System', 'exit', 1)",
+        "with x as (select 1 as a) select * from x join y on true", "show tables", "select * from t where a in (select a from other)",
+    ],
+)
+def test_read_only_sql_refuses(spark, sql):
+    with pytest.raises(PermissionError):
+        readers.read_only_sql(spark, sql, {"t": spark.createDataFrame([(1,)], "a int")})
+
+
+def test_read_only_sql_runs(spark):
+    t = spark.createDataFrame([(1, "drop; t"), (2, "b")], "a int, s string")
+    assert [r[0] for r in readers.read_only_sql(spark, "with x as (select a, s from t) select s from x where s = 'drop; t';", {"t": t}).collect()] == ["drop; t"]
+
+
+def test_store_ignores_unfinished_writes_and_keeps_control_files_whole(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([(1, 0, "narrative", [1.0], "a"), (2, 0, "x", [2.0], "a")], "doc_id int, chunk_id int, chunk_type string, vector array<double>, embed_space string")
+    s.write(rows, "v1")
+    half = tmp_path / "s" / "vectors" / "version=v1" / "write=000001"
+    shutil.copytree(tmp_path / "s" / "vectors" / "version=v1" / "write=000000", half)
+    (half / "_SUCCESS").unlink()
+    assert s.read("v1").count() == 2 and s.active() is None
+    with pytest.raises(ValueError, match="no version is active"):
+        s.read()
+    with pytest.raises(ValueError, match="more than one embed space"):
+        s.write(rows.unionByName(rows.withColumn("embed_space", F.lit("b"))), "v1")
+    s.promote("v1")
+    assert s.active() == {"version": "v1", "embed_space": "a"} and s.corpus().count() == 1 and s.collect_garbage(1) == []
+    assert not [f for f in (tmp_path / "s").iterdir() if f.name.startswith(".active") and not f.name.endswith(".crc")]
+    with pytest.raises(ValueError, match="empty"):
+        s.write(rows.where("doc_id < 0"), "v2")
+        s.promote("v2")
+
+
+def test_calls_refuse_what_does_not_fit(spark):
+    df = spark.createDataFrame([("a", "b")], "q string, t string")
+    for bad in (lambda: calls.score(df, "q", "t", lambda q, t: []), lambda: calls.encode(df, "t", calls.hash_encoder(4), "query", 5)):
+        with pytest.raises(Exception, match="scores for|dimensions"):
+            bad().collect()
