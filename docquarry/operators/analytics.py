@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import erf, exp, sqrt
+from math import erf, exp, factorial, sqrt
 
 import numpy as np
 import pandas as pd
@@ -23,12 +23,15 @@ def price_windows(prices: DataFrame, entity: str, day: str, close: str, volume:
 
 
 def decayed_index(events: DataFrame, entity: str, at_day: str, days: int, rate: float) -> DataFrame:
-    """Per event day: the sum of exp(-rate * age) over the entity's events of the last ``days`` days, by a range window on the day."""
-    w = Window.partitionBy(entity).orderBy(at_day).rangeBetween(-days, 0)
-    # exp(-rate * (t - s)) = exp(-rate * t) * exp(rate * s): days are taken from the entity's first, so that neither factor overflows for long
-    first = F.min(at_day).over(Window.partitionBy(entity))
-    age = F.col(at_day) - first
-    return events.withColumn("__e", age).withColumn("__g", F.exp(F.lit(rate) * F.col("__e"))).withColumn("index", F.sum("__g").over(w) * F.exp(F.lit(-rate) * F.col("__e"))).drop("__e", "__g")
+    """Per event day: the sum of exp(-rate * age) over the entity's events of the last ``days`` days, by a range window on the day.
+
+    Time is cut into blocks of ``days``, and an event takes part in its own and the next: so a long history of one entity is many
+    partitions, and days, taken from a block's start, keep exponentials small."""
+    block = F.floor(F.col(at_day) / F.lit(days))
+    both = events.withColumn("__b", F.explode(F.array(F.struct(block.alias("at"), F.lit(True).alias("own")), F.struct((block + 1).alias("at"), F.lit(False).alias("own")))))
+    age = F.lit(rate) * (F.col(at_day) - (F.col("__b.at") - 1) * days)
+    w = Window.partitionBy(entity, "__b.at").orderBy(at_day).rangeBetween(-days, 0)
+    return both.withColumn("__e", age).withColumn("index", F.sum(F.exp("__e")).over(w) * F.exp(-F.col("__e"))).where("__b.own").drop("__b", "__e")
 
 
 def quintiles(df: DataFrame, day: str, value: str, key: str, n: int = 5) -> DataFrame:
@@ -54,11 +57,29 @@ def triple_barrier(path: DataFrame, key: str, step: str, ret: str, up: float, do
     return hits.select(key, label.alias("label"))
 
 
+def equal_groups(samples: DataFrame, order: str, groups: int, parts: int = 64) -> DataFrame:
+    """Adds ``block`` (1 to ``groups``): equal groups by a numeric ``order``, the first ones larger by one. Ranks are counted inside ranges
+    between at most ``parts`` approximate quantiles, whose sizes are summed; only those reach the driver."""
+    marks = sorted(set(samples.select(F.col(order).cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.002)))
+    part = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m <= F.col(order).cast("double"))) if marks else F.lit(0)
+    cut = samples.withColumn("__part", part)
+    sizes = {r[0]: r[1] for r in cut.groupBy("__part").count().collect()}
+    before, n = {}, 0
+    for k in sorted(sizes):
+        before[k], n = n, n + sizes[k]
+    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__part")) if before else F.lit(0)
+    rank = start + F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    small, more = divmod(n, groups)
+    edge = more * (small + 1)
+    block = F.when(rank < edge, F.floor(rank / (small + 1))).otherwise(more + F.floor((rank - edge) / max(small, 1))) + 1
+    return cut.withColumn("block", block.cast("int")).drop("__part")
+
+
 def cpcv_roles(samples: DataFrame, start: str, end: str, groups: int = 6, tests: int = 2, embargo: int = 0) -> DataFrame:
     """(fold, sample columns, role): combinatorial purged splits. Samples are cut into equal ``groups`` by start; each combination of
     ``tests`` groups is tested; training samples that overlap a test group's span, or start within ``embargo`` after it, are purged."""
     spark = samples.sparkSession
-    cut = samples.withColumn("block", F.ntile(groups).over(Window.orderBy(start)))
+    cut = equal_groups(samples, start, groups)
     spans = cut.groupBy("block").agg(F.min(start).alias("lo"), F.max(end).alias("hi"))
     folds = spark.createDataFrame([(i, b + 1) for i, c in enumerate(combinations(range(groups), tests)) for b in c], "fold int, block int").join(F.broadcast(spans), "block")
     test = F.broadcast(folds.groupBy("fold").agg(F.collect_list(F.struct("block", "lo", "hi")).alias("t")))
@@ -67,22 +88,54 @@ def cpcv_roles(samples: DataFrame, start: str, end: str, groups: int = 6, tests:
     return cut.join(test).withColumn("role", F.when(is_test, "test").when(purged, "purged").otherwise("train")).drop("t")
 
 
+#: Cumulative probabilities of 0 to 7 occurrences at a mean of 1.
+POISSON = [sum(exp(-1.0) / factorial(j) for j in range(k + 1)) for k in range(8)]
+
+
 def bootstrap_means(df: DataFrame, key: str, value: str, draws: int, seed: int = 0) -> DataFrame:
-    """(replicate, mean): Poisson bootstrap with hash-seeded weights, so that reruns and any partitioning agree. One row of partial sums
-    a replicate and task is shuffled; samples are not copied out beyond the map side."""
-    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col("replicate"), F.col(key)), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
-    steps, total, p = [], 0.0, exp(-1.0)
-    for k in range(8):
-        total += p
-        steps.append((k, total))
-        p /= k + 1
+    """(replicate, mean): Poisson bootstrap with weights from digests of (seed, replicate, key), so that reruns and any partitioning agree.
+    One row of partial sums a replicate and task is shuffled; samples are not copied out beyond the map side."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), "replicate", F.col(key)).cast("binary"))
+    unit = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     weight = F.lit(8)
-    for k, t in reversed(steps):
+    for k, t in reversed(list(enumerate(POISSON))):
         weight = F.when(unit < t, k).otherwise(weight)
     reps = df.select(key, value).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     return reps.withColumn("w", weight).groupBy("replicate").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
 
 
+def bootstrap_interval(df: DataFrame, key: str, value: str, draws: int, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """One row: the mean of ``value`` and the percentile interval of its bootstrap means."""
+    cut = (1 - level) / 2
+    ends = bootstrap_means(df, key, value, draws, seed).agg(F.percentile("mean", F.lit(cut)).alias("lo"), F.percentile("mean", F.lit(1 - cut)).alias("hi"))
+    return df.agg(F.avg(value).alias("mean")).join(ends)
+
+
+def ic_summary(ics: DataFrame, horizon: str, ic: str) -> DataFrame:
+    """(horizon, n, mean, t, decay): of information coefficients by horizon, decay relative to the shortest horizon's mean."""
+    per = ics.groupBy(horizon).agg(F.count(ic).alias("n"), F.avg(ic).alias("mean"), (F.avg(ic) / (F.stddev_samp(ic) / F.sqrt(F.count(ic)))).alias("t"))
+    base = per.agg(F.min_by("mean", horizon).alias("base"))
+    return per.join(F.broadcast(base)).withColumn("decay", F.col("mean") / F.col("base")).drop("base")
+
+
+def welch_t(df: DataFrame, group: str, value: str, a: object, b: object) -> DataFrame:
+    """One row: the mean of group ``a`` minus that of ``b``, and Welch's t."""
+    side = lambda g: F.when(F.col(group) == g, F.col(value))
+    m = df.agg(*[f(side(g)).alias(f"{n}_{s}") for s, g in (("a", a), ("b", b)) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))])
+    spread = F.col("mean_a") - F.col("mean_b")
+    return m.select(spread.alias("spread"), (spread / F.sqrt(F.col("var_a") / F.col("n_a") + F.col("var_b") / F.col("n_b"))).alias("t"))
+
+
+def portfolio_weights(panel: DataFrame, date: str, signal: str, vol: str, adv: str, universe: str, target_vol: float, cap: float, capital: float, participation: float) -> DataFrame:
+    """Adds ``weight``: the signal less its mean in (date, universe), scaled to ``target_vol``, within ``cap`` and within the share
+    ``participation`` of the mean volume that ``capital`` may trade. Rows without a volatility or volume have weight 0."""
+    neutral = F.col(signal) - F.avg(signal).over(Window.partitionBy(date, universe))
+    scaled = neutral * F.lit(target_vol) / F.nullif(F.col(vol), F.lit(0.0))
+    most = F.least(F.lit(cap), F.lit(participation) * F.col(adv) / F.lit(capital))
+    ready = scaled.isNotNull() & F.col(adv).isNotNull()
+    return panel.withColumn("weight", F.when(ready, F.greatest(-most, F.least(most, scaled))).otherwise(0.0))
+
+
 def _normal_quantile(p: float) -> float:
     lo, hi = -12.0, 12.0
     for _ in range(80):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.operators import analytics as op
 from docquarry.operators import pit
-from docquarry.plans.common import table
+from docquarry.plans.common import sql_values, table
 from docquarry.plans.registry import register
 
 S = SparkSession
@@ -158,10 +160,18 @@ def signal_a1(spark: S, d: str) -> DataFrame:
     return op.quintiles(got, "day", "index", "event_id").select("event_id", "index", "bucket")
 
 
-@register("signal_a2", f"select p.event_id, count(v.event_id) as n from (select *, {_DAY} as day from events where event_type = 'signup') p left join (select *, {_DAY} as day from events where event_type = 'view') v on v.user_id = p.user_id and v.day - p.day between 5 and 20 group by p.event_id")
+#: Sessions around the events' days: (day, how many sessions there have been by its end).
+_FIRST, _LAST = dt.date(2024, 1, 1), dt.date(2024, 3, 31)
+_SESSIONS = sorted({s for _, s, _ in pit.calendar_rows() if str(_FIRST) <= str(s) <= str(_LAST)})
+_ORDINALS = [(str(day), sum(str(s) <= str(day) for s in _SESSIONS)) for day in (_FIRST + dt.timedelta(i) for i in range((_LAST - _FIRST).days + 1))]
+
+
+@register("signal_a2", f"with e as (select event_id, user_id, event_type, n as session from events join {sql_values(_ORDINALS, 'day, n')} on day = strftime(ts, '%Y-%m-%d')) select p.event_id, count(v.event_id) as n from (select * from e where event_type = 'signup') p left join (select * from e where event_type = 'view') v on v.user_id = p.user_id and v.session - p.session between 5 and 20 group by p.event_id")
 def signal_a2(spark: S, d: str) -> DataFrame:
-    e = _event_days(spark, d)
-    w = Window.partitionBy("user_id").orderBy("day").rangeBetween(5, 20)
+    """Views 5 to 20 sessions of the exchange after each sign-up."""
+    days = F.broadcast(spark.createDataFrame(_ORDINALS, "day string, session int"))
+    e = table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).join(days, "day")
+    w = Window.partitionBy("user_id").orderBy("session").rangeBetween(5, 20)
     return e.withColumn("n", F.count_if(F.col("event_type") == "view").over(w)).where("event_type = 'signup'").select("event_id", "n")
 
 
@@ -274,9 +284,83 @@ def mutual_info(spark: S, d: str) -> DataFrame:
     return op.mutual_information(table(spark, d, "customer").withColumn("y", F.col("c_acctbal") * 0.5 + F.col("c_nationkey")), "c_nationkey", "c_acctbal", "y")
 
 
-@register("bootstrap")
+def _means_sql(source: str, key: str, value: str, draws: int) -> str:
+    weight = "case " + " ".join(f"when u < {t!r}::double then {k}" for k, t in enumerate(op.POISSON)) + " else 8 end"
+    unit = f"('0x' || substr(md5('0:' || replicate || ':' || {key}), 1, 8))::bigint / 4294967296.0::double"
+    return f"select replicate::int as replicate, sum(w * x) / sum(w) as mean from (select replicate, x, {weight} as w from (select replicate, {value} as x, {unit} as u from {source}, range({draws}) as r(replicate))) group by replicate"
+
+
+@register("bootstrap", f"select replicate, round(mean, 6) as mean from ({_means_sql('events', 'event_id', 'value', 100)})")
 def bootstrap(spark: S, d: str) -> DataFrame:
-    return op.bootstrap_means(table(spark, d, "events"), "event_id", "value", 100)
+    return op.bootstrap_means(table(spark, d, "events"), "event_id", "value", 100).withColumn("mean", F.round("mean", 6))
+
+
+@register(
+    "event_study_ci",
+    f"""with {_RET_SQL}, c as (select *, k || '/' || day::date as key, ret_1 + coalesce(lead(ret_1) over (partition by k order by day), 0) as car from r), v as (select key, avg(car) as car from c where car is not null group by key), m as ({_means_sql('v', 'key', 'car', 60)})
+    select round((select avg(car) from v), 5) + 0.0 as mean, round(quantile_cont(mean, 0.025), 5) + 0.0 as lo, round(quantile_cont(mean, 0.975), 5) + 0.0 as hi from m""",
+)
+def event_study_ci(spark: S, d: str) -> DataFrame:
+    """The mean of two days' cumulative returns over all days, with its bootstrap interval."""
+    p = op.price_windows(_prices(spark, d), "k", "day", "close", "volume")
+    car = F.col("ret_1") + F.coalesce(F.lead("ret_1").over(Window.partitionBy("k").orderBy("day")), F.lit(0.0))
+    v = p.select(F.concat_ws("/", "k", F.date_format("day", "yyyy-MM-dd")).alias("key"), car.alias("car")).where("car is not null").groupBy("key").agg(F.avg("car").alias("car"))
+    return op.bootstrap_interval(v, "key", "car", 60).select(*[(F.round(c, 5) + 0.0).alias(c) for c in ("mean", "lo", "hi")])
+
+
+@register(
+    "ic_decay",
+    f"""with {_PANEL_SQL}, f as (select k, day, month, ret_1, next_1 as y, 1 as horizon from panel union all select k, day, month, ret_1, round(next_1 + lead(next_1) over (partition by k order by day), 8), 2 from panel), g as (select * from f where y is not null),
+    x as (select horizon, month, rank() over (partition by horizon, month order by ret_1) + (count(*) over (partition by horizon, month, ret_1) - 1) / 2.0 as a, rank() over (partition by horizon, month order by y) + (count(*) over (partition by horizon, month, y) - 1) / 2.0 as b from g),
+    i as (select horizon, month, corr(a, b) as ic from x group by all having count(*) > 2), p as (select horizon, count(ic) as n, avg(ic) as mean, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) as t from i group by horizon)
+    select horizon, n, round(mean, 5) as mean, round(t, 3) as t, round(mean / (select mean from p where horizon = 1), 3) as decay from p""",
+)
+def ic_decay(spark: S, d: str) -> DataFrame:
+    """Information coefficients by horizon: their mean, t and decay."""
+    panel = _panel(spark, d)
+    two = F.round(F.col("next_1") + F.lead("next_1").over(Window.partitionBy("k").orderBy("day")), 8)
+    f = panel.withColumn("two", two).select("k", "month", "ret_1", F.inline(F.array(F.struct(F.lit(1).alias("horizon"), F.col("next_1").alias("y")), F.struct(F.lit(2).alias("horizon"), F.col("two").alias("y"))))).where("y is not null")
+    f = f.withColumn("date", F.concat_ws(":", "horizon", "month"))
+    many = f.groupBy("date").count().where("count > 2").select("date")
+    ics = op.rank_ic(f.join(many, "date", "left_semi"), "date", "ret_1", "y").withColumn("horizon", F.split("date", ":")[0].cast("int"))
+    return op.ic_summary(ics, "horizon", "ic").select("horizon", "n", F.round("mean", 5).alias("mean"), F.round("t", 3).alias("t"), F.round("decay", 3).alias("decay"))
+
+
+@register(
+    "quantile_spread",
+    f"with {_PANEL_SQL}, q as (select *, ntile(5) over (partition by month order by ret_1, k, day) as bucket from panel), s as (select avg(next_1) filter (where bucket = 5) - avg(next_1) filter (where bucket = 1) as spread, var_samp(next_1) filter (where bucket = 5) / count(*) filter (where bucket = 5) + var_samp(next_1) filter (where bucket = 1) / count(*) filter (where bucket = 1) as v from q) select round(spread, 6) as spread, round(spread / sqrt(v), 4) as t from s",
+)
+def quantile_spread(spark: S, d: str) -> DataFrame:
+    q = _panel(spark, d).withColumn("bucket", F.ntile(5).over(Window.partitionBy("month").orderBy("ret_1", "k", "day")))
+    return op.welch_t(q, "bucket", "next_1", 5, 1).select(F.round("spread", 6).alias("spread"), F.round("t", 4).alias("t"))
+
+
+_SCALED_SQL = f"""{_RET_SQL}, v as (select *, round(case when count(ret_1) over w = 20 then stddev_samp(ret_1) over w * sqrt(252) end, 8) as vol_20, case when count(volume) over w = 20 then avg(volume) over w end as adv_20 from r window w as (partition by k order by day rows between 19 preceding and current row)),
+ pn as (select k, day, strftime(day, '%Y-%m') as month, k % 3 as universe, round(ret_1, 8) as ret_1, round(next_1, 8) as next_1, vol_20, adv_20 from v where ret_1 is not null and next_1 is not null),
+ sc as (select *, (ret_1 - avg(ret_1) over (partition by month, universe)) * 0.1::double / nullif(vol_20, 0) as s, least(0.05::double, 0.1::double * adv_20 / 100) as most from pn),
+ wt as (select *, case when s is not null and adv_20 is not null then greatest(-most, least(most, s)) else 0 end as weight from sc)"""
+
+
+def _scaled(spark: S, d: str) -> DataFrame:
+    panel = _panel(spark, d).withColumn("universe", F.col("k") % 3).withColumn("vol_20", F.round("vol_20", 8))
+    return op.portfolio_weights(panel, "month", "ret_1", "vol_20", "adv_20", "universe", 0.1, 0.05, 100.0, 0.1)
+
+
+@register("t2_scaled", f"with {_SCALED_SQL} select month, universe, round(sum(abs(weight)), 3) as gross, round(sum(weight * next_1), 3) + 0.0 as pnl from wt group by all")
+def t2_scaled(spark: S, d: str) -> DataFrame:
+    """Weights neutral in each part of the universe, scaled by volatility, within caps and participation."""
+    return _scaled(spark, d).groupBy("month", "universe").agg(F.round(F.sum(F.abs("weight")), 3).alias("gross"), (F.round(F.sum(F.col("weight") * F.col("next_1")), 3) + 0.0).alias("pnl"))
+
+
+@register(
+    "stress_regimes",
+    f"with {_SCALED_SQL}, m as (select month, sum(weight * next_1) as pnl, avg(next_1) as market from wt group by month), g as (select *, case when market < 0 then 'down' else 'up' end as regime from m) select regime, count(*) as months, round(sum(pnl), 3) + 0.0 as pnl, round(corr(pnl, market), 4) as correlation from g group by regime having count(*) > 2",
+)
+def stress_regimes(spark: S, d: str) -> DataFrame:
+    """Profit in rising and falling markets, and how it goes with the market in each."""
+    m = _scaled(spark, d).groupBy("month").agg(F.sum(F.col("weight") * F.col("next_1")).alias("pnl"), F.avg("next_1").alias("market"))
+    got = m.groupBy(F.when(F.col("market") < 0, "down").otherwise("up").alias("regime")).agg(F.count("*").alias("months"), (F.round(F.sum("pnl"), 3) + 0.0).alias("pnl"), F.round(F.corr("pnl", "market"), 4).alias("correlation"))
+    return got.where("months > 2")
 
 
 @register("deflated_sharpe")
