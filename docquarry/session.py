@@ -28,9 +28,12 @@ def build_session(app: str = "docquarry", master: str | None = None, **conf: obj
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, a fresh local one (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a fresh local one if all executors are on this machine; a cluster's
+    executors wouldn't see it, so that is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="docquarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage is cut, and the table outlives any executor.
 
-    The table is removed when the driver's JVM ends.
+    The table is removed by ``discard``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -47,7 +50,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``materialize`` wrote and nothing will read again; other frames are left alone."""
+    for t in tables:
+        path = getattr(t, "_written", None)
+        if path:
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 _shipped: set[str] = set()

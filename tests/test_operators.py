@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry import session
 from docquarry.functions import text
 from docquarry.operators import analytics, calls, chunking, citations, ledger, pit, readers, retrieval, store
 from docquarry.sources import files
@@ -265,3 +266,35 @@ def test_calls_refuse_what_does_not_fit(spark):
     for bad in (lambda: calls.score(df, "q", "t", lambda q, t: []), lambda: calls.encode(df, "t", calls.hash_encoder(4), "query", 5)):
         with pytest.raises(Exception, match="scores for|dimensions"):
             bad().collect()
+
+
+def test_shared_folder_is_asked_for_on_a_cluster_and_tables_can_be_discarded(spark):
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda k, d: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Elsewhere)
+    t = session.materialize(spark.range(3), "test-discard")
+    assert t.count() == 3 and Path(t._written).exists()
+    session.discard(t, spark.range(1))
+    assert not Path(t._written).exists()
+
+
+def test_decayed_index_over_a_long_history(spark):
+    days = [0, 1, 59, 60, 61, 119, 120, 30_000, 30_001, 30_061]
+    df = spark.createDataFrame([(1, d) for d in days], "e int, day int")
+    got = {r["day"]: r["index"] for r in analytics.decayed_index(df, "e", "day", 60, 0.05).collect()}
+    assert len(got) == len(days)
+    for d in days:
+        assert got[d] == pytest.approx(sum(np.exp(-0.05 * (d - x)) for x in days if 0 <= d - x <= 60), rel=1e-9)
+
+
+def test_equal_groups_match_a_sort(spark):
+    v = np.random.default_rng(3).permutation(1003).tolist()
+    got = sorted((r["x"], r["block"]) for r in analytics.equal_groups(spark.createDataFrame([(x,) for x in v], "x int").repartition(5), "x", 6).collect())
+    assert [b for _, b in got] == [1] * 168 + [b for b in range(2, 7) for _ in range(167)]
+    assert analytics.equal_groups(spark.createDataFrame([], "x int"), "x", 6).count() == 0
