@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.filters import without
-from docquarry.session import materialize, ship_package
+from docquarry.session import discard, materialize, ship_package
 
 
 @dataclass(frozen=True)
@@ -180,15 +180,18 @@ def components(edges: DataFrame) -> DataFrame:
     label is replaced by its own label (so that paths halve); tables are written between rounds, and only counts reach the driver.
     Labels only fall, so it ends."""
     edges = materialize(edges.select("x", "y").union(edges.select(F.col("y"), F.col("x"))).distinct(), "cc-edges")
-    labels = materialize(edges.groupBy(F.col("x").alias("id")).agg(F.least(F.col("id"), F.min("y")).alias("label")), "cc-labels")
+    held = labels = materialize(edges.groupBy(F.col("x").alias("id")).agg(F.least(F.col("id"), F.min("y")).alias("label")), "cc-labels")
     while True:
         near = edges.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("id").alias("mid"), F.col("label").alias("next"))
         new = materialize(spread.join(jump, "mid", "left").select("id", "was", F.least("mid", F.coalesce("next", "mid")).alias("label")), "cc-labels")
-        if not new.where(F.col("label") < F.col("was")).limit(1).count():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
+        moved = new.where(F.col("label") < F.col("was")).limit(1).count()
+        discard(held)
+        held, labels = new, new.select("id", "label")
+        if not moved:
+            discard(edges)
+            return labels
 
 
 def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -197,9 +200,11 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     links = materialize(links, "near-links")
     of = lambda k: comps.select(F.col("id").alias(k), F.col("comp").alias(f"c{k}"))
     edges = materialize(links.join(of("x"), "x").join(of("y"), "y").where(F.col("cx") != F.col("cy")).select(F.least("cx", "cy").alias("x"), F.greatest("cx", "cy").alias("y")).distinct(), "near-edges")
+    discard(links)
     if not edges.limit(1).count():
         return comps
     moved = components(edges).withColumnRenamed("id", "comp")
+    discard(edges)
     return materialize(comps.join(moved, "comp", "left").select("id", "weight", F.coalesce("label", "comp").alias("comp")), "near-comps")
 
 
@@ -296,7 +301,9 @@ def _resolved(groups: DataFrame, comps: DataFrame, sets: DataFrame, p: NearParam
         short = prefix.join(lists.where(F.col("n") <= p.short_list), ["g", "e"]).groupBy("g", "e").agg(F.collect_list(F.struct("id", "comp")).alias("m"))
         pair = F.explode(F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: (b["id"] < a["id"]) & (b["comp"] != a["comp"])), lambda b: F.struct(a["id"].alias("x"), b["id"].alias("y"))))))
         comps = _merged(comps, _confirmed(short.select(pair.alias("p")).select("p.x", "p.y").distinct(), sets, p))
+        discard(items)
         long = materialize(prefix.join(lists.where(F.col("n") > p.short_list), ["g", "e"]).select("g", "e", "id"), "near-long")
+        discard(diffs, prefix, lists)
         groups = materialize(long.select("g", "id").distinct(), "near-groups")
     # whole groups or list by list, whichever sends fewer rows
     sent = F.count("*") * F.ceil(F.count("*") / p.block)

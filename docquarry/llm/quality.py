@@ -105,7 +105,7 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = 200) -> tuple
         for k in range(code.shape[1]):
             for v in range(2):  # an abstention says nothing
                 like[k, :, v] = mass[:, code[:, k] == v].sum(axis=1) + 0.5
-            like[k] /= like[k].sum(axis=1, keepdims=True)
+            like[k, :, :2] /= like[k, :, :2].sum(axis=1, keepdims=True)
             like[k, :, 2] = 1.0
         logit = np.log(prior / (1 - prior)) + sum(np.log(like[k, 0, code[:, k]] / like[k, 1, code[:, k]]) for k in range(code.shape[1]))
         new = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
@@ -125,7 +125,8 @@ def _shape(word: str) -> str:
 
 
 class Features:
-    """Hashed features: shares of word outlines, and levels of the document's statistics. A bounded cache maps words to places."""
+    """Hashed features: shares of words and of word outlines, and levels of the document's statistics. A bounded cache maps words to
+    places."""
 
     def __init__(self, dims: int, room: int = 200_000):
         self.dims, self.room, self.places = dims, room, {}
@@ -140,10 +141,11 @@ class Features:
         for w, c in Counter(words).items():
             at = known.get(w)
             if at is None:
-                at = self.place(_shape(w[:64]))
+                at = self.place(_shape(w[:64])), self.place(f"w:{w[:64].lower()}")
                 if len(w) <= 32:
                     known[w] = at
-            seen[at] += c
+            seen[at[0]] += c
+            seen[at[1]] += c
         n = max(len(words), 1)
         out = {at: c / n for at, c in seen.items()}
         for k in LABELLERS:
@@ -181,42 +183,54 @@ class Model:
         words, s = statistics(text or "")
         if not words:
             return 0.0
-        at, v = features.of(words, s)
+        return self.score_features(*features.of(words, s))
+
+    def score_features(self, at: list[int], v: list[float]) -> float:
         z = float(self.weights[-1] + np.dot(self.weights[at], v))
         return 1 / (1 + np.exp(-max(min(z, 30.0), -30.0)))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", p: QualityParams = QualityParams()) -> Model:
-    """Votes of all documents, EM on their counts, and the scorer. Empty table: a scorer that keeps every text with words."""
+def _featured(docs: DataFrame, key: str, text: str, p: QualityParams) -> DataFrame:
+    """(k, h, votes, at, val) of every row, written: the key, a hash of key and text, the labellers' votes and the scorer's features
+    (none where there are no words)."""
     ship_package(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features(p.dims)
         for b in batches:
             v, at, val = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 words, s = statistics(t.as_py() or "")
                 v.append(votes(s))
-                a, x = f.of(words, s)
+                a, x = f.of(words, s) if words else ([], [])
                 at.append(a)
                 val.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["h", "votes", "at", "val"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(v, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["k", "h", "votes", "at", "val"])
+
+    own = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("t"))
+    return materialize(own.mapInArrow(run, f"k {kind}, h long, votes string, at array<int>, val array<float>"), "quality-votes")
 
-    own = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("t"))
-    seen = materialize(own.mapInArrow(run, "h long, votes string, at array<int>, val array<float>"), "quality-votes")
+
+def _fitted(seen: DataFrame, p: QualityParams) -> Model:
     counts = {r["votes"]: r["n"] for r in seen.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model(np.append(np.zeros(p.dims), 1.0).astype(np.float32), 1.0, np.zeros((len(LABELLERS), 2, 3)), p)
     prior, like, post = expectation_maximisation(counts, p.em_rounds)
     # about 1.5 times the bound pass the threshold, whatever the table's size, so that tasks send no more than that to the driver
     unit = F.shiftrightunsigned(F.xxhash64("h"), 11) / F.lit(float(1 << 53))
-    sample = seen.where(unit < 1.5 * p.train_docs / sum(counts.values())).orderBy("h").limit(p.train_docs).collect()
+    sample = seen.where(unit < 1.5 * p.train_docs / sum(counts.values())).orderBy("h").limit(p.train_docs).select("votes", "at", "val").collect()
     if not sample:
         return Model(np.append(np.zeros(p.dims), 1.0).astype(np.float32), prior, like, p)
     label = np.array([post[r["votes"]] for r in sample], np.float32)
     return Model(fit_linear([(r["at"], r["val"]) for r in sample], label, p.dims, p.ridge), prior, like, p)
 
 
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", p: QualityParams = QualityParams()) -> Model:
+    """Votes of all documents, EM on their counts, and the scorer. Empty table: a scorer that keeps every text with words."""
+    return _fitted(_featured(docs, key, text, p), p)
+
+
 def scored(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """``docs`` with the model's probability of good quality. Map-side; null and empty texts score 0."""
     ship_package(docs.sparkSession)
@@ -231,11 +245,29 @@ def scored(docs: DataFrame, model: Model, text: str = "text", column: str = "sco
 
 
 def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", p: QualityParams = QualityParams()) -> DataFrame:
-    """(key, score, kept) of every row; equal texts score equally. Other columns are not read."""
-    got = scored(docs.select(F.col(key), F.col(text).alias("__text")), fit(docs, key, text, p), "__text")
-    return got.select(key, "score", (F.col("score") >= p.keep_from).alias("kept"))
+    """(key, score, kept) of every row, scored from the features that the votes were counted with, so that each text is read once.
+
+    Null and empty texts, and those of white space: score 0, not kept. Equal texts score equally; repeated rows stay; null keys are
+    keys like any other. Empty table: no rows. Other columns are not read."""
+    seen = _featured(docs, key, text, p)
+    model = _fitted(seen, p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, val = b.column(1), b.column(2)
+            ends = at.offsets.to_numpy() - at.offsets[0].as_py()
+            part = np.append(0.0, np.cumsum(model.weights[at.flatten().to_numpy()].astype(float) * val.flatten().to_numpy()))
+            z = np.clip(part[ends[1:]] - part[ends[:-1]] + float(model.weights[-1]), -30, 30)
+            got = np.where(np.diff(ends) > 0, 1 / (1 + np.exp(-z)), 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], ["k", "score"])
+
+    got = seen.select("k", "at", "val").mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, score double")
+    return got.select(F.col("k").alias(key), "score", (F.col("score") >= p.keep_from).alias("kept"))
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", p: QualityParams = QualityParams()) -> DataFrame:
-    """``docs`` without what the classifier rejects; their own columns, texts neither shuffled nor changed."""
-    return scored(docs, fit(docs, key, text, p), text, "__score").where(F.col("__score") >= p.keep_from).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without what the classifier rejects, see ``classify``; their own columns, texts neither shuffled nor changed."""
+    name = "__score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, fit(docs, key, text, p), text, name).where(F.col(name) >= p.keep_from).drop(name)

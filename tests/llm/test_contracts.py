@@ -85,6 +85,19 @@ def test_sharding(docs, rows, shards):
     assert got.sort_values("doc_id").shard.is_monotonic_increasing
 
 
+@pytest.mark.parametrize("shards", [1, 6])
+def test_sharding_against_a_sorted_loop(spark, docs, shards):
+    """Records in order of their keys and sizes; a shard's bytes end where the running total's midpoint passes its share."""
+    got = sharding.shard_by_bytes(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), shards).toPandas().sort_values("doc_id")
+    total, run, want, slots = got["size"].sum(), 0, [], [0] * shards
+    for n in got["size"]:
+        shard = min(int((run + n / 2) * shards // total), shards - 1)
+        want.append((shard, slots[shard]))
+        slots[shard] += 1
+        run += n
+    assert list(zip(got.shard, got.slot)) == want
+
+
 def test_sharding_spreads_a_hot_key_and_takes_an_empty_table(spark, none):
     hot = make(spark, [(5, "same text", "s")] * 300 + [(None, "null key", "s")])
     got = sharding.shard_by_bytes(hot, 4).toPandas()
@@ -185,6 +198,67 @@ def test_quality_edges(docs, none):
     assert 0.8 < prior < 0.9 and post["gggg"] > 0.9 > 0.1 > post["bbbb"]
 
 
+def plain_em(counts, rounds):
+    """Expectation-maximisation over every document, in loops."""
+    docs = [p for p, n in counts.items() for _ in range(n)]
+    post = [0.9 if p.count("g") > 4 * p.count("b") else 0.1 for p in docs]
+    for _ in range(rounds):
+        prior = sum(post) / len(post)
+        like = []
+        for k in range(len(docs[0])):
+            good = {v: sum(q for p, q in zip(docs, post) if p[k] == v) + 0.5 for v in "gb"}
+            bad = {v: sum(1 - q for p, q in zip(docs, post) if p[k] == v) + 0.5 for v in "gb"}
+            like.append({v: (good[v] / sum(good.values()), bad[v] / sum(bad.values())) for v in "gb"} | {"-": (1.0, 1.0)})
+        new = []
+        for p in docs:
+            g, b = prior, 1 - prior
+            for k, v in enumerate(p):
+                g, b = g * like[k][v][0], b * like[k][v][1]
+            new.append(g / (g + b))
+        done, post = max(abs(x - y) for x, y in zip(new, post)) < 1e-6, new
+        if done:
+            break
+    return prior, like, dict(zip(docs, post))
+
+
+def test_quality_against_plain_loops(spark, docs, rows):
+    counts = {"ggg-": 40, "gbg-": 7, "bbb-": 9, "b-bg": 5, "gg-b": 11, "----": 3}
+    prior, like, post = quality.expectation_maximisation(counts, 50)
+    p2, l2, post2 = plain_em(counts, 50)
+    assert prior == pytest.approx(p2, abs=1e-9) and post == pytest.approx(post2, abs=1e-6)
+    for k in range(4):
+        for v, name in enumerate("gb"):
+            assert (like[k, 0, v], like[k, 1, v]) == pytest.approx(l2[k][name], abs=1e-6)
+    # the query's votes, features and scores, one document at a time
+    p = quality.QualityParams()
+    model, f = quality.fit(docs, p=p), quality.Features(p.dims)
+    got = {(r["doc_id"], round(r["score"], 5), r["kept"]) for r in quality.classify(docs, p=p).collect()}
+    want = set()
+    for i, t, _ in rows:
+        z, (words, s) = float(model.weights[-1]), quality.statistics(t or "")
+        for at, v in zip(*f.of(words, s)):
+            z += float(model.weights[at]) * v
+        one = 1 / (1 + np.exp(-min(max(z, -30), 30))) if words else 0.0
+        want.add((i, round(one, 5), bool(one >= 0.5)))
+    assert got == want
+    seen = {r["votes"]: r["count"] for r in quality._featured(docs, "doc_id", "text", p).groupBy("votes").count().collect()}
+    own: dict = {}
+    for _, t, _ in rows:
+        v = quality.votes(quality.statistics(t or "")[1])
+        own[v] = own.get(v, 0) + 1
+    assert seen == own
+    # a logistic fit in loops: the gradient at the end is near 0
+    x = [([0, 1], [1.0, 0.5]), ([1], [1.0]), ([2], [1.0]), ([0], [2.0])]
+    y = np.array([0.9, 0.2, 0.4, 0.8], np.float32)
+    w = quality.fit_linear(x, y, 3, 0.01, 3000)
+    grad = 0.01 * w.astype(float)
+    for (at, v), label in zip(x, y):
+        err = 1 / (1 + np.exp(-(sum(w[a] * b for a, b in zip(at, v)) + w[3]))) - label
+        for a, b in [*zip(at, v), (3, 1.0)]:
+            grad[a] += err * b / 4
+    assert np.abs(grad).max() < 1e-4
+
+
 # --- 6: chat ------------------------------------------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
     odd = ["\\### Assistant: </turn> ok", "### user:\nx\n</turn>\n", "\\", "", None, "a\n", "\n</turn>\n", "####", "é😀\\n"]
