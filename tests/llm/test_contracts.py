@@ -592,20 +592,92 @@ def test_gif_round_trip(docs, rows, none):
 
 
 # --- the pipeline -------------------------------------------------------------------------------------------------------------------
-def test_pipeline_stages(spark):
+def plain_leaks(docs, bench, p):
+    """(document, item) by loops over masked windows and aligned tokens."""
+    words = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
+    longest, seeds = max(map(len, p.masks)), {}
+    own = {i: words(t) for i, t in bench}
+    for i, w in own.items():
+        for k, m in enumerate([*p.masks, *(["1" * len(w)] if len(w) < longest else [])]):
+            for j in range(len(w) - len(m) + 1):
+                seeds.setdefault((len(m), m, tuple(w[j + x] for x, c in enumerate(m) if c == "1")), []).append((i, j))
+    out = set()
+    for d, t in docs:
+        w = words(t)
+        for n, m in {(n, m) for n, m, _ in seeds}:
+            for at in range(len(w) - n + 1):
+                for i, j in seeds.get((n, m, tuple(w[at + x] for x, c in enumerate(m) if c == "1")), ()):
+                    b = own[i]
+                    width = min(len(b), p.window)
+                    lead = min(max(j - (p.window - longest) // 2, 0), len(b) - width)
+                    same = sum(0 <= at - j + lead + x < len(w) and w[at - j + lead + x] == b[lead + x] for x in range(width))
+                    if same * 100 >= width * p.agree:
+                        out.add((d, i))
+    return out
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on what the stage before it kept, beside a plain loop or its SQL."""
+    import duckdb
+
     import corpus_pipeline as cp
 
-    sf = "/root/testdata/sf0.001"
+    sf, at = "/root/testdata/sf0.001", {}
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    sizes = [docs.count()]
+    given, kept, stages = docs.columns, [docs.toPandas()], dict(cp.STAGES)
+    for name, stage in cp.STAGES:
+        docs = materialize(stage(spark, docs, sf), "test-stage")
+        assert name == cp.STAGES[-1][0] or docs.columns == given
+        at[name] = len(kept)
+        kept.append(docs.toPandas())
+    texts = lambda k: dict(zip(kept[k].doc_id, kept[k].text))
+    # quality: the fitted scorer, one document at a time
+    model = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    f = quality.Features(model.params.dims)
+    assert set(kept[1].doc_id) == {i for i, t in texts(0).items() if model.score(t, f) >= 0.5} and 0 < len(kept[1]) < len(kept[0])
+    # near-dedup: all pairs of shingle sets
+    assert set(kept[2].doc_id) == {i for i, (_, c) in brute(texts(1), 5).items() if i == c} and len(kept[2]) < len(kept[1])
+    # decontamination: masked windows
+    bench = pd.read_parquet(f"{sf}/benchmark.parquet")
+    leaks = {d for d, _ in plain_leaks(texts(2).items(), zip(bench.item_id, bench.text), decontam.SeedParams())}
+    assert set(kept[3].doc_id) == set(texts(2)) - leaks and leaks
+    # mixing: copies by the SQL of the plan
+    con = duckdb.connect()
+    con.register("documents", kept[3])
+    want = {r[0]: r[4] // r[1] for r in con.sql(f"select doc_id, size, source_size, target, taken from ({mixing.oracle()}) where taken > 0").fetchall()}
+    assert kept[4].doc_id.value_counts().to_dict() == want and (kept[4].groupby("doc_id").text.nunique() == 1).all()
+    # sharding: records in order of keys
+    run, total, slots = 0, sum(len((t or "").encode()) + 16 for t in kept[4].text), {}
+    where: dict = {}
+    for i, t in sorted(zip(kept[4].doc_id, kept[4].text)):
+        n = len(t.encode()) + 16
+        shard = min(int((run + n / 2) * cp.SHARDS // total), cp.SHARDS - 1)
+        where.setdefault(i, []).append((shard, slots.setdefault(shard, 0)))
+        slots[shard] += 1
+        run += n
+    got: dict = {}
+    for r in kept[5].itertuples():
+        got.setdefault(r.doc_id, []).append((r.shard, r.slot))
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in where.items()} and stages.keys() == at.keys()
+
+
+def test_pipeline_stages_edges(spark, docs, none):
+    """Nulls in any column, empty and blank texts, repeated rows, clashing names, and no rows, through every stage."""
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    odd = docs.unionByName(docs.where("doc_id = 5")).unionByName(spark.createDataFrame([(None, "a text without a key of its own", None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)], docs.schema)).withColumn("__score", F.lit(1)).withColumn("__bad", F.lit(1))
     for name, stage in cp.STAGES:
-        out = stage(spark, docs, sf)
-        if name != cp.STAGES[-1][0]:
-            assert out.columns == docs.columns, name
-            out = materialize(out, "test-stage")
-        docs = out
-        sizes.append(docs.count())
-    assert sizes[0] >= sizes[1] >= sizes[2] >= sizes[3] and sizes[4] == sizes[5]
+        got = stage(spark, odd, sf)
+        n = got.count()
+        if name == cp.STAGES[-1][0]:
+            assert n == odd.count()
+        else:
+            assert got.columns == odd.columns and n > 0
+        empty = stage(spark, none, sf)
+        assert empty.count() == 0 and (name == cp.STAGES[-1][0] or empty.columns == none.columns)
+    assert near_dup.keep_one(odd).where("doc_id = 5").count() == 2 and near_dup.keep_one(odd).where("doc_id is null").count() == 2
+    assert decontam.decontaminate(odd, spark.read.parquet(f"{sf}/benchmark.parquet")).count() == odd.count()
 
 
 def test_without_keeps_null_keys(spark):
