@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docquarry.functions.outcomes import checked_haircut
 from docquarry.operators import analytics as op
 from docquarry.operators import pit
 from docquarry.plans.common import sql_values, table
@@ -274,9 +275,8 @@ def gates(spark: S, d: str) -> DataFrame:
 
 @register("haircut", "select event_id, round(value * (user_id % 11) / 10.0, 6) as size from events where user_id % 11 <= 10")
 def haircut(spark: S, d: str) -> DataFrame:
-    h = (F.col("user_id") % 11) / 10.0
-    checked = F.when((h >= 0) & (h <= 1), h).otherwise(F.raise_error(F.lit("haircut outside [0, 1]")).cast("double"))
-    return table(spark, d, "events").select("event_id", F.round(F.col("value") * checked, 6).alias("size"))
+    h = checked_haircut((F.col("user_id") % 11) / 10.0)
+    return table(spark, d, "events").select("event_id", F.round(F.col("value") * h, 6).alias("size"))
 
 
 @register("mutual_info")

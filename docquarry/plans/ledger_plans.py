@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.functions import keys, numbers, text
+from docquarry.functions import keys, numbers, outcomes, text
 from docquarry.operators import ledger as op
 from docquarry.plans.common import LEDGER_SQL, ledger, sql_values, table, values
 from docquarry.plans.registry import register
@@ -40,12 +40,15 @@ def incremental_fetch(spark: S, d: str) -> DataFrame:
 
 @register(
     "transcript_outcome",
-    f"select l.source, case when l.status = 'ok' then 'cached' when r.source is null then 'unregistered' when l.status = 'no_coverage' then 'no_coverage' else 'error' end as outcome, count(*) as n from {LEDGER_SQL} l left join (select distinct source from documents where source not in ('src1', 'src2')) r using (source) group by all",
+    f"""select d.doc_id, case when l.doc_id is not null then 'cached' when d.source in ('src1', 'src2') then 'unregistered' when d.doc_id % 5 = 0 then 'error' when d.doc_id % 2 = 0 then 'ok' else 'no_coverage' end as outcome
+    from (select distinct doc_id, source from documents) d left join (select distinct source, doc_id from {LEDGER_SQL} where status = 'ok' and doc_id % 3 = 0) l on l.doc_id = d.doc_id and l.source = d.source""",
 )
 def transcript_outcome(spark: S, d: str) -> DataFrame:
-    known = table(spark, d, "documents").where(~F.col("source").isin("src1", "src2")).select("source").distinct().withColumn("registered", F.lit(True))
-    out = F.when(F.col("status") == "ok", "cached").when(F.col("registered").isNull(), "unregistered").when(F.col("status") == "no_coverage", "no_coverage").otherwise("error")
-    return ledger(spark, d).join(known, "source", "left").groupBy("source", out.alias("outcome")).agg(F.count("*").alias("n"))
+    """Calls asked of their sources, some of which the ledger holds as ok, some of whose sources aren't registered."""
+    held = ledger(spark, d).where("status = 'ok' and doc_id % 3 = 0").select("source", "doc_id").distinct().withColumn("held", F.lit(True))
+    asked = table(spark, d, "documents").select("doc_id", "source").distinct().join(held, ["source", "doc_id"], "left")
+    out = outcomes.transcript_outcome(F.col("held"), ~F.col("source").isin("src1", "src2"), F.col("doc_id") % 2 == 0, F.col("doc_id") % 5 == 0)
+    return asked.select("doc_id", out.alias("outcome"))
 
 
 @register("url_template", "select s_suppkey, replace(replace('https://calls.example.org/{ticker}/{quarter}.mp3', '{ticker}', 'S' || s_suppkey), '{quarter}', cast(s_suppkey % 4 + 1 as varchar)) as url from supplier")

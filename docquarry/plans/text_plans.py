@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.functions import keys, text
+from docquarry.functions import keys, outcomes, text
 from docquarry.operators import citations
 from docquarry.plans.common import sql_values, table, values
 from docquarry.plans.registry import register
@@ -44,8 +44,7 @@ def token_count(spark: S, d: str) -> DataFrame:
 
 @register("route_by_tokens", "select doc_id, case when ceil(length(text) / 4.0) >= 1000 then case when doc_id % 5 = 0 then 'error' else 'retrieval' end else 'single_shot' end as route from documents")
 def route_by_tokens(spark: S, d: str) -> DataFrame:
-    chunks = F.col("doc_id") % 5 != 0
-    route = F.when(text.estimated_tokens(F.col("text")) >= 1000, F.when(chunks, "retrieval").otherwise("error")).otherwise("single_shot")
+    route = outcomes.token_route(F.col("text"), F.col("doc_id") % 5 != 0, 1000)
     return table(spark, d, "documents").select("doc_id", route.alias("route"))
 
 
@@ -61,12 +60,11 @@ def route_model(spark: S, d: str) -> DataFrame:
     return routed.select("event_id", model.alias("model")).withColumn("is_local", F.startswith("model", F.lit("local/")))
 
 
-@register("http_classify", "select event_id, case when user_id % 10 = 0 then 'rate_limited' when user_id % 10 = 1 then 'server_error' when value < 5 then 'empty' else 'ok' end as outcome, user_id % 10 in (0, 1) or value < 5 as retryable from events")
+@register("http_classify", "select event_id, case when user_id % 10 = 0 then 'rate_limited' when user_id % 10 = 1 then 'server_error' when user_id % 10 = 2 then 'client_error' when value < 5 then 'empty' else 'ok' end as outcome, user_id % 10 in (0, 1) or (user_id % 10 <> 2 and value < 5) as retryable from events")
 def http_classify(spark: S, d: str) -> DataFrame:
-    status = F.when(F.col("user_id") % 10 == 0, 429).when(F.col("user_id") % 10 == 1, 503).otherwise(200)
-    body = F.when(F.col("value") < 5, 0).otherwise(1)
-    out = F.when(status == 429, "rate_limited").when((status >= 500) & (status < 600), "server_error").when((status == 200) & (body == 0), "empty").otherwise("ok")
-    return table(spark, d, "events").select("event_id", out.alias("outcome")).withColumn("retryable", F.col("outcome") != "ok")
+    status = F.when(F.col("user_id") % 10 == 0, 429).when(F.col("user_id") % 10 == 1, 503).when(F.col("user_id") % 10 == 2, 404).otherwise(200)
+    out = outcomes.http_outcome(status, F.when(F.col("value") < 5, 0).otherwise(1))
+    return table(spark, d, "events").select("event_id", out.alias("outcome")).withColumn("retryable", outcomes.worth_retrying(F.col("outcome")))
 
 
 _CONTENT_SQL = "(select doc_id, case when doc_id % 3 = 0 then 'Operator: hi <b>x</b> operator : a Operator:' || repeat(text, 8) when doc_id % 3 = 1 then 'Q & A ' || text else text end as c from documents)"
@@ -92,10 +90,10 @@ def validate_dimension(spark: S, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", (F.rlike("n_name", F.lit(r"^[A-Z][A-Z0-9.\-]*\z")) & (F.length("n_name") <= 8)).alias("ok"))
 
 
-@register("context_drop_reason", "select doc_id, case when trim(substr(text, 1, 3)) = 'In' then 'empty' when doc_id % 13 = 0 then 'bad_stop' when ceil(length(text) / 4.0) > 100 then 'over_cap' else 'keep' end as reason from documents")
+@register("context_drop_reason", "select doc_id, case when doc_id % 17 = 0 or coalesce(trim(text), '') = '' then 'empty' when doc_id % 13 = 0 then 'bad_stop' when ceil(length(text) / 4.0) > 100 then 'over_cap' else 'keep' end as reason from documents")
 def context_drop_reason(spark: S, d: str) -> DataFrame:
-    reason = F.when(F.trim(F.substring("text", 1, 3)) == "In", "empty").when(F.col("doc_id") % 13 == 0, "bad_stop").when(text.estimated_tokens(F.col("text")) > 100, "over_cap").otherwise("keep")
-    return table(spark, d, "documents").select("doc_id", reason.alias("reason"))
+    given = F.when(F.col("doc_id") % 17 == 0, F.lit("  ")).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", outcomes.context_outcome(given, F.col("doc_id") % 13 != 0).alias("reason"))
 
 
 @register("key_normalize", "select s_suppkey, lpad(s_suppkey::varchar, 10, '0') as cik, replace('0001-23-' || s_suppkey, '-', '') as accession, 'S' || s_suppkey || '-2024Q' || (s_suppkey % 4 + 1) as doc from supplier")
@@ -196,10 +194,7 @@ _JSON = [(1, '{"a":1}'), (2, "[1]"), (3, "not json"), (4, None), (5, '{"a":1,"zz
 
 @register("json_guard", "select * from (values (1, 'object'), (2, 'not_object'), (3, 'malformed'), (4, 'missing'), (5, 'object'), (6, 'object')) as v(id, outcome)")
 def json_guard(spark: S, d: str) -> DataFrame:
-    v = F.try_parse_json("j")
-    kind = F.schema_of_variant(v)
-    out = F.when(F.col("j").isNull(), "missing").when(v.isNull(), "malformed").when(F.startswith(kind, F.lit("OBJECT")), "object").otherwise("not_object")
-    return values(spark, _JSON, "id int, j string").select("id", out.alias("outcome"))
+    return values(spark, _JSON, "id int, j string").select("id", outcomes.json_outcome(F.col("j")).alias("outcome"))
 
 
 @register("schema_validate", "select * from (values (1, 'ok'), (5, 'unknown_key'), (6, 'bad_type')) as v(id, outcome)")
@@ -210,15 +205,14 @@ def schema_validate(spark: S, d: str) -> DataFrame:
 
 @register("usage_map", "select event_id, case when value < 50 then 1 else 2 end::int as n_keys from events")
 def usage_map(spark: S, d: str) -> DataFrame:
-    m = F.create_map(F.lit("input"), F.col("value"), F.lit("cached"), F.when(F.col("value") >= 50, F.col("value")))
-    return table(spark, d, "events").select("event_id", F.size(F.map_filter(m, lambda k, v: v.isNotNull())).alias("n_keys"))
+    m = outcomes.usage({"input": F.col("value"), "cached": F.when(F.col("value") >= 50, F.col("value"))})
+    return table(spark, d, "events").select("event_id", F.size(m).alias("n_keys"))
 
 
-@register("blocks_join", "select conv_id, string_agg(text, ' ' order by turn) filter (where role <> 'user') as joined, (array_agg(turn order by turn) filter (where role = 'user'))[1] as first_user from conversations group by conv_id")
+@register("blocks_join", "select conv_id, string_agg(text, ' ' order by turn) filter (where role = 'assistant') as joined, (array_agg(turn order by turn) filter (where role = 'user'))[1] as first_user from conversations group by conv_id")
 def blocks_join(spark: S, d: str) -> DataFrame:
     b = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("b"))
-    said = F.filter("b", lambda x: x["role"] != "user")
-    joined = F.when(F.size(said) > 0, F.array_join(F.transform(said, lambda x: x["text"]), " "))
+    joined = outcomes.joined_text(F.col("b"), "role", F.lit("assistant"))
     return b.select("conv_id", joined.alias("joined"), F.get(F.filter("b", lambda x: x["role"] == "user"), 0)["turn"].alias("first_user"))
 
 
@@ -227,9 +221,7 @@ _TIMES = [("2024-03-10T06:30:00.000Z",), ("2024-07-01T16:05:00-04:00",), ("2024-
 
 @register("parse_acceptance", "select * from (values ('2024-03-10T06:30:00.000Z', 1710052200), ('2024-07-01T16:05:00-04:00', 1719864300), ('2024-01-15T16:05:00', 1705352700), ('2024-07-15T16:05:00', 1721073900)) as v(raw, epoch)")
 def parse_acceptance(spark: S, d: str) -> DataFrame:
-    zoned = F.rlike("raw", F.lit(r"(Z|[+-]\d\d:\d\d)$"))
-    local = F.to_utc_timestamp(F.to_timestamp_ntz("raw").cast("timestamp"), "America/New_York")
-    return values(spark, _TIMES, "raw string").select("raw", F.unix_timestamp(F.when(zoned, F.to_timestamp("raw")).otherwise(local)).cast("int").alias("epoch"))
+    return values(spark, _TIMES, "raw string").select("raw", F.unix_timestamp(outcomes.acceptance_time(F.col("raw"))).cast("int").alias("epoch"))
 
 
 _RETRY = [("120",), ("99999",), ("-5",), ("Wed, 21 Oct 2015 07:28:00 GMT",), ("soon",), (None,)]
@@ -238,9 +230,7 @@ _RETRY = [("120",), ("99999",), ("-5",), ("Wed, 21 Oct 2015 07:28:00 GMT",), ("s
 @register("retry_after", "select * from (values ('120', 120.0::double), ('99999', 300.0), ('-5', 0.0), ('Wed, 21 Oct 2015 07:28:00 GMT', 60.0), ('soon', null), (null, null)) as v(raw, seconds)")
 def retry_after(spark: S, d: str) -> DataFrame:
     now = F.lit("2015-10-21 07:27:00").cast("timestamp")
-    at = F.try_to_timestamp(F.regexp_replace("raw", r"^\w+, (.*) GMT$", "$1"), F.lit("dd MMM yyyy HH:mm:ss"))
-    seconds = F.coalesce(F.expr("try_cast(raw as double)"), (F.unix_timestamp(at) - F.unix_timestamp(now)).cast("double"))
-    return values(spark, _RETRY, "raw string").select("raw", F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(300.0), seconds))).alias("seconds"))
+    return values(spark, _RETRY, "raw string").select("raw", outcomes.retry_after(F.col("raw"), now).alias("seconds"))
 
 
 @register("extraction_features", "select conv_id, count(*) filter (where role = 'assistant') as n_assistant, sum(case when turn % 3 = 0 then 1.0 when turn % 3 = 1 then 0.6 else 0.3 end * case when role = 'user' then 1 else -1 end)::double as tone from conversations group by conv_id")
