@@ -9,6 +9,7 @@ text's count is the sum over its runs. ``tests/llm`` holds this against the libr
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -56,6 +57,17 @@ class Counts(dict):
         return sum(map(self.__getitem__, _runs(text))) if text else 0
 
 
+_KEPT: dict[str, Counts] = {}
+
+
+def _kept(name: str, spec: str, frequent: dict[str, int]) -> Counts:
+    """This process's counts of that name: a worker's cache lives on from task to task. One is kept at a time."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Counts(spec, frequent)
+    return _KEPT[name]
+
+
 def frequent_table(docs: DataFrame, spec: str, text: str = "text", sample_docs: int = SAMPLE_DOCS, entries: int = FREQUENT) -> dict[str, int]:
     """Token counts of the most frequent runs in the first rows that come; at most ``sample_docs`` rows of SAMPLE_CHARS / sample_docs characters."""
     seen: Counter[str] = Counter()
@@ -74,11 +86,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
         spec = f.read()
     ship_package(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((spec, frequent_table(docs, spec, text)))
+    shared = sc.broadcast((uuid.uuid4().hex, spec, frequent_table(docs, spec, text)))
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(*shared.value)
+        counts = _kept(*shared.value)
         for b in batches:
             n = []
             for t in b.column(1):
