@@ -252,3 +252,39 @@ def hash_encoder(dim: int) -> Callable[[list[str]], np.ndarray]:
         return out
 
     return run
+
+
+#: Backends and what each may be asked for.
+BACKENDS = {"local": {"models": ("small", "medium", "large"), "options": ("base_url",)}, "hosted": {"models": ("small", "large"), "options": ("api_key", "batch")}}
+
+
+def choose_backend(name: str, model: str, **options: object) -> dict:
+    """A checked choice of backend: unknown names, models and options, and options that exclude each other, are errors."""
+    if name not in BACKENDS:
+        raise ValueError(f"unknown backend {name}")
+    if model not in BACKENDS[name]["models"]:
+        raise ValueError(f"{name} has no model {model}")
+    wrong = sorted(set(options) - set(BACKENDS[name]["options"]))
+    if wrong:
+        raise ValueError(f"{name} doesn't take {', '.join(wrong)}")
+    return {"backend": name, "model": f"local/{model}" if name == "local" else model, **options}
+
+
+def cited_worker(docs: DataFrame, text: str, key: str, extractor: Callable[[str], tuple[object, float]], fields: tuple[str, ...], policy: Policy = Policy()) -> DataFrame:
+    """A whole worker: (key, outcome, record, problems, citations). Records must be objects with just ``fields``, of which ``citations`` is
+    a list of {source_quote}; quotes are resolved on the document, and one that isn't found as often as it is cited quarantines the
+    record. ``citations`` of persisted ones carry their spans and the text's own spelling."""
+    from docquarry.operators.citations import resolve_quotes
+
+    def check(record: dict, _: str) -> list[str]:
+        return sorted({f"unknown:{k}" for k in record if k not in fields} | {f"missing:{k}" for k in fields if k not in record})
+
+    got = extract(docs.select(key, text), text, extractor, check, policy)
+    quotes = F.from_json(F.get_json_object("record", "$.citations"), "array<struct<source_quote:string>>")
+    claims = got.where("outcome = 'persisted'").select(F.col(key).alias("doc_id"), F.posexplode(quotes).alias("ordinal", "c")).select("doc_id", "ordinal", F.col("c.source_quote").alias("quote"))
+    found = resolve_quotes(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), claims)
+    bad = F.when(F.col("outcome") != "ok", F.concat_ws(":", "outcome", F.col("ordinal")))
+    per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(bad)).alias("bad"), F.array_sort(F.collect_list(F.struct("ordinal", "start", "stop", "snapped"))).alias("spans"))
+    both = got.join(per.withColumnRenamed("doc_id", key), key, "left")
+    failed = F.size(F.coalesce("bad", F.array().cast("array<string>"))) > 0
+    return both.select(key, F.when(failed, "quarantined").otherwise(F.col("outcome")).alias("outcome"), "record", F.concat("problems", F.coalesce("bad", F.array().cast("array<string>"))).alias("problems"), F.when(~failed, F.col("spans")).alias("citations"))

@@ -18,13 +18,22 @@ BROADCAST_TERMS, BROADCAST_VECTORS = 1_000_000, 20_000
 BLOCK = 1024
 
 
+def stems(words: Column) -> Column:
+    """Light English stems of an array of words: plurals, then -ed and -ing after a vowel with the letter that they changed, then a final
+    y. Each step is an array of its own, so that no pattern is tried twice."""
+    plain = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "sses$", "ss"), "([a-z]{2})ies$", "$1i"), "([a-rtv-z])s$", "$1"))
+    both = F.transform(plain, lambda w: F.struct(w.alias("w"), F.regexp_replace(w, "([aeiouy][a-z]*)(ed|ing)$", "$1").alias("cut")))
+
+    def mended(c: Column) -> Column:
+        return F.when(c.rlike("(at|bl|iz)$"), F.concat(c, F.lit("e"))).when(c.rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c)
+
+    bare = F.transform(both, lambda x: F.when((x["cut"] != x["w"]) & ~F.endswith(x["w"], F.lit("eed")), mended(x["cut"])).otherwise(x["w"]))
+    return F.transform(bare, lambda w: F.regexp_replace(w, "([a-z][b-df-hj-np-tv-xz])y$", "$1i"))
+
+
 def stem(word: Column) -> Column:
-    """A light English stem: plurals, then -ed and -ing after a vowel with the letter that they changed, then a final y."""
-    w = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "sses$", "ss"), "([a-z]{2})ies$", "$1i"), "([a-rtv-z])s$", "$1")
-    cut = F.regexp_replace(w, "([aeiouy][a-z]*)(ed|ing)$", "$1")
-    cut = F.when(cut.rlike("(at|bl|iz)$"), F.concat(cut, F.lit("e"))).when(cut.rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
-    w = F.when(w.rlike("[aeiouy][a-z]*(ed|ing)$") & ~w.rlike("eed$"), cut).otherwise(w)
-    return F.regexp_replace(w, "([a-z][b-df-hj-np-tv-xz])y$", "$1i")
+    """The stem of one word."""
+    return F.get(stems(F.array(word)), F.lit(0))
 
 
 def raw_terms(text: Column) -> Column:
@@ -34,7 +43,7 @@ def raw_terms(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Indexed terms: stems of what isn't a stop word."""
-    return F.transform(F.filter(raw_terms(text), lambda w: ~w.isin(*STOP_WORDS)), stem)
+    return stems(F.filter(raw_terms(text), lambda w: ~w.isin(*STOP_WORDS)))
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -48,7 +57,8 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
 
     Frequencies and lengths are those of all ``docs``; ``scope``, distinct keys, limits only what is returned. Only terms of queries are
     shuffled: other terms count towards lengths before any exchange."""
-    n, mean = docs.agg(F.count("*"), F.avg(F.size(terms(F.col(text))))).first()
+    kept = lambda c: F.filter(raw_terms(c), lambda w: ~w.isin(*STOP_WORDS))
+    n, mean = docs.agg(F.count("*"), F.avg(F.size(kept(F.col(text))))).first()
     asked = queries.select("term").distinct()
     small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     rows = docs.select(F.col(key), terms(F.col(text)).alias("__t")).select(key, F.size("__t").cast("long").alias("dl"), F.explode("__t").alias("term"))

@@ -231,3 +231,43 @@ def audio_gate(spark: S, d: str) -> DataFrame:
     head = F.when(F.col("event_id") % 3 == 0, F.lit("ID3")).otherwise(F.lit("<ht"))
     content = F.concat(head, F.repeat(F.lit("x"), (F.col("event_id") % 40).cast("int"))).cast("binary")
     return table(spark, d, "events").select("event_id", files.audio_outcome(content, 7).alias("outcome"))
+
+
+def _citing(text: str) -> tuple[object, float]:
+    words = (text or "").split()
+    cited = [" ".join(words[1:7])] + ([" ".join(words[:2])] if len(text) % 3 == 0 else [])
+    return {"citations": [{"source_quote": q} for q in cited]} | ({"extra": 1} if len(text) % 7 == 0 else {}), 0.0
+
+
+@register(
+    "worker_spans",
+    r"""with c as (select doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents where text <> ''),
+    q as (select doc_id, text, unnest(case when length(text) % 3 = 0 then [0, 1] else [0] end) as ordinal, w from c), r as (select doc_id, text, ordinal, case when ordinal = 0 then w[2:7] else w[1:2] end as w from q),
+    g as (select *, count(*) over (partition by doc_id, array_to_string(w, ' ')) as asked, array_to_string(list_transform(w, lambda x: regexp_escape(x)), '\s+') as p from r),
+    o as (select doc_id, text, case when p = '' then false else len(regexp_extract_all(text, p)) = asked end as ok from g)
+    select doc_id, case when any_value(length(text)) % 7 = 0 or not bool_and(ok) then 'quarantined' else 'persisted' end as outcome from o group by doc_id""",
+)
+def worker_spans(spark: S, d: str) -> DataFrame:
+    """A worker whose records cite one or two quotes, some of which occur more than once, and some of whose records have a field too many."""
+    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", "text")
+    return calls.cited_worker(docs, "text", "doc_id", _citing, ("citations",), FREE).select("doc_id", "outcome")
+
+
+@register("document_files", "select n_nationkey, strlen(n_name)::bigint as bytes, sha256(n_name) as content_sha256 from nation")
+def document_files(spark: S, d: str) -> DataFrame:
+    """Raw files landed one by one, scanned with their digests."""
+    at = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    rows = table(spark, d, "nation").select("n_name", "n_nationkey").repartition("n_nationkey")
+    rows.write.option("lineSep", "\u001e").partitionBy("n_nationkey").text(at)
+    got = files.scan_documents(spark, at).where("path like '%part-%'")
+    body = F.expr("substring(content, 1, length(content) - 1)")
+    return got.select(F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("n_nationkey"), (F.col("length") - 1).alias("bytes"), F.sha2(body, 256).alias("content_sha256"))
+
+
+@register("feature_scan", "select user_id, count(*) as n, round(sum(value), 4) as total from events where event_type = 'view' group by user_id")
+def feature_scan(spark: S, d: str) -> DataFrame:
+    """Feature rows written and scanned as a source that must have its time columns."""
+    at = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    t = F.col("ts").cast("timestamp")
+    table(spark, d, "events").where("event_type = 'view'").select("user_id", "value", t.alias("event_datetime"), (t + F.expr("interval 1 day")).alias("as_of_ts")).write.parquet(at)
+    return files.scan_features(spark, at).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

@@ -69,3 +69,12 @@ def load_dimension(df: DataFrame, key: str) -> DataFrame:
     if twice:
         raise ValueError(f"repeated keys: {[r[0] for r in twice]}")
     return df
+
+
+def scan_features(spark: SparkSession, path: str, timestamp: str = "as_of_ts", created: str = "event_datetime") -> DataFrame:
+    """Feature rows at ``path``; both time columns must be there, as timestamps."""
+    df = spark.read.parquet(path)
+    wrong = [c for c in (timestamp, created) if c not in df.columns or df.schema[c].dataType.simpleString() != "timestamp"]
+    if wrong:
+        raise TypeError(f"not timestamps: {', '.join(wrong)}")
+    return df

@@ -298,3 +298,10 @@ def test_equal_groups_match_a_sort(spark):
     got = sorted((r["x"], r["block"]) for r in analytics.equal_groups(spark.createDataFrame([(x,) for x in v], "x int").repartition(5), "x", 6).collect())
     assert [b for _, b in got] == [1] * 168 + [b for b in range(2, 7) for _ in range(167)]
     assert analytics.equal_groups(spark.createDataFrame([], "x int"), "x", 6).count() == 0
+
+
+def test_backends_are_checked():
+    assert calls.choose_backend("local", "large", base_url="u")["model"] == "local/large"
+    for bad in (("cloud", "large", {}), ("hosted", "medium", {}), ("hosted", "large", {"base_url": "u"})):
+        with pytest.raises(ValueError):
+            calls.choose_backend(bad[0], bad[1], **bad[2])
