@@ -69,11 +69,9 @@ def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
     table: dict[int, int] = {}
     part: list[int] = []
     put, get = part.append, table.get
-    prev, nxt = -1, clear + 2
-    for c in samples:
-        if prev < 0:
-            prev = c
-            continue
+    rest = iter(samples)
+    prev, nxt = next(rest, -1), clear + 2
+    for c in rest:
         key = prev << 8 | c
         got = get(key)
         if got is not None:
@@ -125,20 +123,27 @@ def _lzw_strings(raw: np.ndarray, bits: int, most: int, out: list[bytes]) -> Non
         codes = _codes_at(raw, at, bits)
         stop = np.flatnonzero((codes == clear) | (codes == end))
         n = int(stop[0]) if len(stop) else len(codes)
-        table, prev, have = list(base), b"", clear + 2
-        for c in codes[:n].tolist():
-            if c < have:
-                entry = table[c]
-            elif c == have and prev:
-                entry = prev + prev[:1]
-            else:
+        known = codes[:n].tolist()
+        if known:
+            if known[0] >= clear:
                 return
-            if prev and have < 4096:
-                table.append(prev + entry[:1])
-                have += 1
-            out.append(entry)
-            prev = entry
-            size += len(entry)
+            table = list(base)
+            prev = table[known[0]]
+            out.append(prev)
+            room = 4096 - len(table)
+            add, put = table.append, out.append
+            for c in known[1 : 1 + room]:
+                try:
+                    entry = table[c]
+                except IndexError:
+                    if c != len(table):
+                        return
+                    entry = prev + prev[:1]
+                add(prev + entry[:1])
+                put(entry)
+                prev = entry
+            out.extend([table[c] for c in known[1 + room :]])  # the table is full
+            size += sum(map(len, out[len(out) - len(known) :]))
             if size >= most:
                 return
         if not len(stop) or codes[n] == end:
