@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontam, gif, html_text, mixing, near_dup, quality, secret_scan, sharding, token_counts
+from docquarry.llm import chat, decontam, gif, html_text, mixing, near_dup, quality, secret_scan, sharding, token_counts, vector_codes
 from docquarry.session import materialize
 
 
@@ -86,3 +86,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {op5_quality_classifier.__name__: op5_quality_classifier}
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {op11_vector_codes.__name__: op11_vector_codes}
+ORACLES |= {"op11_vector_codes": vector_codes.oracle()}
