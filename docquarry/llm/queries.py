@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontam, gif, html_text, mixing, near_dup, quality, secret_scan, sharding, token_counts, vector_codes
+from docquarry.llm import chat, decontam, gif, html_text, mixing, near_dup, pivot_index, prefix_trie, quality, secret_scan, sharding, token_counts, vector_codes
 from docquarry.session import materialize
 
 
@@ -94,3 +94,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {op11_vector_codes.__name__: op11_vector_codes}
 ORACLES |= {"op11_vector_codes": vector_codes.oracle()}
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), rebuilt=True)
+
+
+QUERIES |= {f.__name__: f for f in (op12_near_vectors, op13_prefix_trie)}
+ORACLES |= {"op12_near_vectors": pivot_index.oracle(), "op13_prefix_trie": prefix_trie.oracle()}
