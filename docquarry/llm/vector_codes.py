@@ -60,7 +60,7 @@ def _blocks(kept: DataFrame, p: CodeParams) -> DataFrame:
                 at = np.flatnonzero(lengths == dim)
                 for lo in range(0, len(at), p.block):
                     part = b.take(pa.array(at[lo : lo + p.block]))
-                    x = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim).T
+                    x = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, dim).T
                     top = float(np.abs(x).max(initial=0)) * p.scale + 1
                     found = [t for t, most in _TYPES if top < most]
                     data, kind = (np.floor(x * p.scale).astype(found[0]), np.dtype(found[0]).str) if found else (x, "raw")

@@ -634,7 +634,7 @@ def test_pipeline_stages_against_brute_force(spark):
     # quality: the fitted scorer, one document at a time
     model = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"))
     f = quality.Features(model.params.dims)
-    assert set(kept[1].doc_id) == {i for i, t in texts(0).items() if model.score(t, f) >= 0.5} and 0 < len(kept[1]) < len(kept[0])
+    assert set(kept[1].doc_id) == {i for i, t in texts(0).items() if model.score_texts([t], f)[0] >= 0.5} and 0 < len(kept[1]) < len(kept[0])
     # near-dedup: all pairs of shingle sets
     assert set(kept[2].doc_id) == {i for i, (_, c) in brute(texts(1), 5).items() if i == c} and len(kept[2]) < len(kept[1])
     # decontamination: masked windows
