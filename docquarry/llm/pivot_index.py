@@ -142,13 +142,16 @@ def _balls(described: DataFrame, kind: str, p: PivotParams) -> DataFrame:
     """(id, m, dim, ball, off) of every class: the least id of its ball, and its angle to that one; classes alone are balls of their own."""
     first = F.struct(F.array_sort(F.slice("nearest", 1, 2)).alias("two"), "dim").alias("prefix")
     narrow = described.select("id", first, "nearest")
-    centres = narrow.groupBy("prefix").agg(F.min(F.struct("id", "nearest")).alias("c"), F.count("*").alias("n")).where("n > 1").select("prefix", "c")
+    # written, so that the join has a shuffle of its own on each side, and a prefix that many share is split
+    centres = materialize(narrow.groupBy("prefix").agg(F.min(F.struct("id", "nearest")).alias("c"), F.count("*").alias("n")).where("n > 1").select("prefix", "c"), "pivot-centres")
     # of those that share a prefix by chance, most have no more in common
     close = F.size(F.array_intersect("nearest", "c.nearest")) > p.shared
     pairs = narrow.join(centres, "prefix").where((F.col("id") != F.col("c.id")) & close).select(F.col("id").alias("x"), F.col("c.id").alias("y"))
     held = _cosines(pairs, described, kind).select("x", F.col("y").alias("centre"), F.acos(F.least("cosine", F.lit(1.0))).alias("angle")).where(F.col("angle") <= p.angle / 2 - _SLACK)
     out = described.select("id", "m", "dim").join(held.withColumnRenamed("x", "id"), "id", "left")
-    return materialize(out.select("id", "m", "dim", F.coalesce("centre", "id").alias("ball"), F.coalesce("angle", F.lit(0.0)).alias("off")), "pivot-balls")
+    out = materialize(out.select("id", "m", "dim", F.coalesce("centre", "id").alias("ball"), F.coalesce("angle", F.lit(0.0)).alias("off")), "pivot-balls")
+    discard(centres)
+    return out
 
 
 def _met(described: DataFrame, balls: DataFrame, sizes: DataFrame, n_pivots: int, p: PivotParams) -> DataFrame:
