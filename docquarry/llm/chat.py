@@ -15,9 +15,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docquarry.session import ship_package
 
@@ -91,26 +92,37 @@ def examples(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     ship_package(turns.sparkSession)
     kind = turns.schema[conv].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    key = to_arrow_type(turns.schema[conv].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, held = [], 0
-            for c, ts in zip(b["conv"], b["turns"]):
-                for k, (last, formatted, x, y) in enumerate(expand([(t["role"], t["text"]) for t in ts], target)):
-                    rows.append((c, k, last, formatted, x, y))
+            for i, ts in enumerate(b.column(1)):
+                for k, (last, formatted, x, y) in enumerate(expand(_turns(ts), target)):
+                    rows.append((i, k, last, formatted, x, y))
                     held += len(formatted)
                     if held > 8_000_000:
-                        yield pd.DataFrame(rows, columns=_COLS)
+                        yield made(b, rows)
                         rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=_COLS)
+                yield made(b, rows)
+
+    def made(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at, *cols = zip(*rows)
+        ints = pa.int32()
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)).cast(key), *(pa.array(c, t) for c, t in zip(cols, (ints, ints, pa.string(), ints, ints)))], _COLS)
 
     schema = f"conv {kind}, example int, last_turn int, formatted string, loss_start int, loss_end int"
-    return conversations(turns, conv, turn, role, text).mapInPandas(run, schema).withColumnRenamed("conv", conv)
+    return conversations(turns, conv, turn, role, text).mapInArrow(run, schema).withColumnRenamed("conv", conv)
 
 
 _COLS = ["conv", "example", "last_turn", "formatted", "loss_start", "loss_end"]
 
 
+def _turns(ts: pa.ListScalar) -> list[tuple[str, str]]:
+    return [(t["role"], t["text"]) for t in ts.as_py()]
+
+
 def read_back(rows: Iterator[tuple[int, str, int, int]]) -> dict:
     """A conversation's digest from its formatted examples, given in order: turns from the last, trainable text from every one."""
     turns, loss, n_loss, chars, last = [], hashlib.sha256(), 0, 0, ""
@@ -131,11 +143,15 @@ def digest(turns: DataFrame, conv: str = "conv_id", **columns: str) -> DataFrame
     ship_package(turns.sparkSession)
     kind = turns.schema[conv].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    key = to_arrow_type(turns.schema[conv].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [read_back(expand([(t["role"], t["text"]) for t in ts])) for ts in b["turns"]]
-            if out:
-                yield pd.DataFrame({"conv": b["conv"].to_numpy(), **{k: [r[k] for r in out] for k in out[0]}})
+            out = pa.RecordBatch.from_pylist([read_back(expand(_turns(ts))) for ts in b.column(1)], _DIGEST)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(key), *out.columns], ["conv", *_DIGEST.names])
 
     schema = f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return conversations(turns, conv, **columns).mapInPandas(run, schema).withColumnRenamed("conv", conv)
+    return conversations(turns, conv, **columns).mapInArrow(run, schema).withColumnRenamed("conv", conv)
+
+
+_DIGEST = pa.schema([("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
