@@ -10,15 +10,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docquarry.session import materialize, ship_package
 
@@ -178,23 +179,30 @@ class Model:
     accuracies: np.ndarray
     params: QualityParams
 
-    def score(self, text: str | None, features: Features) -> float:
-        """Probability of good; 0 where there are no words."""
-        words, s = statistics(text or "")
-        if not words:
-            return 0.0
-        return self.score_features(*features.of(words, s))
+    def scores(self, at: np.ndarray, val: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Probabilities of good of rows of features (their places and values, one row after the other; ``ends`` from 0); 0 where a row has
+        none, so where there are no words. A row's sum is over that row alone, so equal rows score equally whatever stands beside them."""
+        z, some = np.full(len(ends) - 1, float(self.weights[-1])), np.diff(ends) > 0
+        if some.any():
+            z[some] += np.add.reduceat(self.weights[at].astype(np.float64) * val.astype(np.float64), ends[:-1][some])
+        return np.where(some, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
-    def score_features(self, at: list[int], v: list[float]) -> float:
-        z = float(self.weights[-1] + np.dot(self.weights[at], v))
-        return 1 / (1 + np.exp(-max(min(z, 30.0), -30.0)))
+    def score_texts(self, texts: list[str | None], features: Features) -> np.ndarray:
+        rows = [features.of(*said) if said[0] else ([], []) for said in (statistics(t or "") for t in texts)]
+        ends = np.cumsum([0, *(len(at) for at, _ in rows)])
+        return self.scores(np.array([x for at, _ in rows for x in at], np.int32), np.array([x for _, val in rows for x in val], np.float32), ends)
 
 
-def _featured(docs: DataFrame, key: str, text: str, p: QualityParams) -> DataFrame:
-    """(k, h, votes, at, val) of every row, written: the key, a hash of key and text, the labellers' votes and the scorer's features
-    (none where there are no words)."""
+def _unit() -> Column:
+    """A number from 0 to 1 from the hash of key and text."""
+    return F.shiftrightunsigned(F.xxhash64("h"), 11) / F.lit(float(1 << 53))
+
+
+def _featured(docs: DataFrame, key: str, text: str, p: QualityParams, below: float | None = None, features: bool = True) -> DataFrame:
+    """(k, h, votes, at, val) of every row, or of those whose ``_unit`` is ``below``: the key, a hash of key and text, the labellers' votes
+    and the scorer's features (none where there are no words, nor without ``features``)."""
     ship_package(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    kind, key_type = docs.schema[key].dataType.simpleString(), to_arrow_type(docs.schema[key].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features(p.dims)
@@ -203,23 +211,25 @@ def _featured(docs: DataFrame, key: str, text: str, p: QualityParams) -> DataFra
             for t in b.column(2):
                 words, s = statistics(t.as_py() or "")
                 v.append(votes(s))
-                a, x = f.of(words, s) if words else ([], [])
+                a, x = f.of(words, s) if words and features else ([], [])
                 at.append(a)
                 val.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(v, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["k", "h", "votes", "at", "val"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(key_type), b.column(1), pa.array(v, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["k", "h", "votes", "at", "val"])
 
     own = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("t"))
-    return materialize(own.mapInArrow(run, f"k {kind}, h long, votes string, at array<int>, val array<float>"), "quality-votes")
+    own = own if below is None else own.where(_unit() < below)
+    return own.mapInArrow(run, f"k {kind}, h long, votes string, at array<int>, val array<float>")
 
 
-def _fitted(seen: DataFrame, p: QualityParams) -> Model:
+def _fitted(seen: DataFrame, sampled: Callable[[float], DataFrame], p: QualityParams) -> Model:
+    """EM on the counts of ``seen``'s votes, and a scorer fitted on at most ``train_docs`` rows of ``sampled`` (the rows whose ``_unit`` is
+    below a bound)."""
     counts = {r["votes"]: r["n"] for r in seen.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model(np.append(np.zeros(p.dims), 1.0).astype(np.float32), 1.0, np.zeros((len(LABELLERS), 2, 3)), p)
     prior, like, post = expectation_maximisation(counts, p.em_rounds)
     # about 1.5 times the bound pass the threshold, whatever the table's size, so that tasks send no more than that to the driver
-    unit = F.shiftrightunsigned(F.xxhash64("h"), 11) / F.lit(float(1 << 53))
-    sample = seen.where(unit < 1.5 * p.train_docs / sum(counts.values())).orderBy("h").limit(p.train_docs).select("votes", "at", "val").collect()
+    sample = sampled(1.5 * p.train_docs / sum(counts.values())).orderBy("h").limit(p.train_docs).select("votes", "at", "val").collect()
     if not sample:
         return Model(np.append(np.zeros(p.dims), 1.0).astype(np.float32), prior, like, p)
     label = np.array([post[r["votes"]] for r in sample], np.float32)
@@ -227,19 +237,20 @@ def _fitted(seen: DataFrame, p: QualityParams) -> Model:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", p: QualityParams = QualityParams()) -> Model:
-    """Votes of all documents, EM on their counts, and the scorer. Empty table: a scorer that keeps every text with words."""
-    return _fitted(_featured(docs, key, text, p), p)
+    """Votes of all documents, EM on their counts, and the scorer. Features are made of the sample alone, and nothing is written. Empty
+    table: a scorer that keeps every text with words."""
+    return _fitted(_featured(docs, key, text, p, features=False), lambda bound: _featured(docs, key, text, p, bound), p)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
-    """``docs`` with the model's probability of good quality. Map-side; null and empty texts score 0."""
+    """``docs`` with the model's probability of good quality, as ``classify`` gives it. Map-side; null and empty texts score 0."""
     ship_package(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = Features(model.params.dims)
         for s in parts:
-            yield pd.Series([model.score(t, f) for t in s], dtype="float64")
+            yield pd.Series(model.score_texts(list(s), f), dtype="float64")
 
     return docs.withColumn(column, score(F.col(text)))
 
@@ -249,17 +260,15 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Qualit
 
     Null and empty texts, and those of white space: score 0, not kept. Equal texts score equally; repeated rows stay; null keys are
     keys like any other. Empty table: no rows. Other columns are not read."""
-    seen = _featured(docs, key, text, p)
-    model = _fitted(seen, p)
+    seen = materialize(_featured(docs, key, text, p), "quality-votes")
+    model = _fitted(seen, lambda bound: seen.where(_unit() < bound), p)
+    key_type = to_arrow_type(docs.schema[key].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, val = b.column(1), b.column(2)
-            ends = at.offsets.to_numpy() - at.offsets[0].as_py()
-            part = np.append(0.0, np.cumsum(model.weights[at.flatten().to_numpy()].astype(float) * val.flatten().to_numpy()))
-            z = np.clip(part[ends[1:]] - part[ends[:-1]] + float(model.weights[-1]), -30, 30)
-            got = np.where(np.diff(ends) > 0, 1 / (1 + np.exp(-z)), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], ["k", "score"])
+            got = model.scores(at.flatten().to_numpy(), val.flatten().to_numpy(), at.offsets.to_numpy() - at.offsets[0].as_py())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(key_type), pa.array(got, pa.float64())], ["k", "score"])
 
     got = seen.select("k", "at", "val").mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, score double")
     return got.select(F.col("k").alias(key), "score", (F.col("score") >= p.keep_from).alias("kept"))
