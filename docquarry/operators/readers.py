@@ -2,46 +2,87 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.operators import retrieval
-
-_FORBIDDEN = re.compile(r";\s*\S|\b(insert|create|drop|alter|truncate|merge|update|delete|load|cache|uncache|refresh|set|reset|add|analyze|use|call|execute|describe|show|explain)\b", re.I)
+from docquarry.operators import lexical, retrieval
+from docquarry.session import shared_dir
+
+#: Functions of the engine that run other code or read files.
+_REFUSED_FUNCTIONS = frozenset("reflect java_method try_reflect read_files input_file_name".split())
+#: Table functions that only make rows of their arguments.
+_TABLE_FUNCTIONS = frozenset("explode explode_outer posexplode posexplode_outer inline inline_outer stack range".split())
+
+
+def _named(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _check(node, allowed: frozenset[str], builtin, ident, command) -> None:
+    """Raises unless all that a parsed plan (or expression) reads is among ``allowed`` names or common table expressions in their scope,
+    and all that it calls is an ordinary function of the engine."""
+    what = node.getClass().getSimpleName()
+    if what == "UnresolvedRelation":
+        parts = _named(node.multipartIdentifier())
+        if len(parts) != 1 or parts[0].lower() not in allowed:
+            raise PermissionError(f"not allowed: {'.'.join(parts)}")
+    elif what == "UnresolvedWith":
+        for pair in _named(node.cteRelations()):
+            _check(pair._2(), allowed | ({pair._1().lower()} if node.allowRecursion() else set()), builtin, ident, command)
+            allowed = allowed | {pair._1().lower()}
+        _check(node.child(), allowed, builtin, ident, command)
+        return
+    elif what in ("UnresolvedFunction", "UnresolvedTableValuedFunction"):
+        parts = _named(node.nameParts() if what == "UnresolvedFunction" else node.name())
+        name = parts[-1].lower()
+        known = name in _TABLE_FUNCTIONS if what != "UnresolvedFunction" else builtin.functionExists(ident(name)) and name not in _REFUSED_FUNCTIONS
+        if len(parts) != 1 or not known:
+            raise PermissionError(f"function not allowed: {'.'.join(parts)}")
+    elif command.isInstance(node) or "Compound" in what or "UnresolvedIdentifier" in what or (what.startswith(("Unresolved", "ScriptTransformation")) and what not in _PLAIN):
+        raise PermissionError(f"only one SELECT is allowed, not {what}")
+    inner = [*_named(node.children())]
+    if _has(node, "expressions"):
+        inner += [*_named(node.expressions())]
+    elif _has(node, "plan"):
+        inner.append(node.plan())
+    for x in inner:
+        _check(x, allowed, builtin, ident, command)
+
+
+#: Nodes of a parsed SELECT that name nothing outside it.
+_PLAIN = frozenset(
+    "UnresolvedAttribute UnresolvedStar UnresolvedAlias UnresolvedInlineTable UnresolvedSubqueryColumnAliases UnresolvedHaving UnresolvedRegex UnresolvedExtractValue UnresolvedOrdinal "
+    "UnresolvedNamedLambdaVariable UnresolvedStarExceptOrReplace UnresolvedGenerator UnresolvedWindowExpression".split()
+)
+
+
+def _has(node, method: str) -> bool:
+    """Whether a node of the engine's tree has a method without arguments of that name."""
+    return any(m.getName() == method and not m.getParameterCount() for m in node.getClass().getMethods())
 
 
 def read_only_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """The rows of one SELECT (or WITH) over ``tables``, by name. Anything else, other tables, files by path and Python or Java
-    functions are refused before anything runs."""
-    bare = re.sub(r"'(?:[^']|'')*'", "''", re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S)).strip().rstrip(";")
-    if not re.match(r"(select|with)\b", bare, re.I) or _FORBIDDEN.search(bare):
-        raise PermissionError("only one SELECT is allowed")
-    if re.search(r"\b(reflect|java_method|try_reflect|read_files|transform\s+\(?.*\busing)\b", bare, re.I | re.S):
-        raise PermissionError("that function isn't allowed")
-    named = {m[1].strip("`").lower() for m in re.finditer(r"\b(?:from|join)\s+(?:lateral\s+)?(`[^`]+`(?:\.`?[^`\s,()]+`?)*|[\w.]+)", bare, re.I)}
-    own = {m[1].lower() for m in re.finditer(r"(?:\bwith|,)\s+(?:recursive\s+)?(\w+)(?:\s*\([^)]*\))?\s+as\s*\(", bare, re.I)}
-    other = named - own - {t.lower() for t in tables}
-    if other:
-        raise PermissionError(f"not allowed: {', '.join(sorted(other))}")
-    return _over(spark, sql, tables)
-
-
-def _over(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """Runs ``sql`` where only ``tables`` have names: each goes in as a frame, so that no view is left behind."""
-    text = sql.strip().rstrip(";")
-    for name in tables:
-        text = re.sub(rf"\b(from|join)(\s+){name}\b(?!\s*\.)", rf"\1\2{{{name}}}", text, flags=re.I)
-    return spark.sql(text, **tables)
+    """The rows of one SELECT (or WITH) over ``tables``, by name. The engine parses it; what the parsed plan reads or calls besides, by
+    whatever syntax, is refused before anything runs: other tables and views, files by path, commands, functions that aren't the engine's."""
+    text = sql.strip().rstrip(";").strip()
+    jvm = spark._jvm
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as e:  # the parser's own message
+        raise PermissionError(f"only one SELECT is allowed: {str(e).splitlines()[0]}") from None
+    builtin = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    _check(plan, frozenset(t.lower() for t in tables), builtin, jvm.org.apache.spark.sql.catalyst.FunctionIdentifier, jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command"))
+    # each table goes in under its name as a frame, so that no view is made, and names in ``sql`` mean nothing else
+    own = ", ".join(f"`{name}` as (select * from {{t{i}}})" for i, name in enumerate(tables))
+    body = text.replace("{", "{{").replace("}", "}}")
+    return spark.sql(f"with {own} select * from ({body}\n)" if tables else body, **{f"t{i}": t for i, t in enumerate(tables.values())})
 
 
 def memo_search(memos: DataFrame, queries: DataFrame, k: int, status: tuple[str, ...] = ("approved",)) -> DataFrame:
     """The ``k`` best memos (memo_id, text, status) of those statuses for each query (query_id, text), by BM25 over all memos."""
     terms = queries.select("query_id", F.explode(retrieval.terms(F.col("text"))).alias("term")).distinct()
     scope = memos.where(F.col("status").isin(*status)).select("memo_id").distinct()
-    scored = retrieval.bm25(memos, terms, key="memo_id", scope=scope).withColumn("score", F.round("score", 6))
-    return retrieval.top_k(scored, k, "query_id", F.col("score").desc(), F.col("memo_id").asc())
+    return lexical.index_of(memos, shared_dir(memos.sparkSession), "memo_id").search(terms, k, scope).rows
 
 
 #: What a check may say, worst last.

@@ -1,4 +1,4 @@
-"""Lexical and dense retrieval, rank fusion and reranking over query sets."""
+"""Terms, dense retrieval by products, rank fusion and reranking over query sets (`lexical` and `knn` have the indexes)."""
 
 from __future__ import annotations
 
@@ -46,31 +46,6 @@ def terms(text: Column) -> Column:
     return stems(F.filter(raw_terms(text), lambda w: ~w.isin(*STOP_WORDS)))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, dl): term frequencies and the document's length in terms, which is counted before the one shuffle."""
-    rows = docs.select(F.col(key), terms(F.col(text)).alias("__t")).select(key, F.size("__t").cast("long").alias("dl"), F.explode("__t").alias("term"))
-    return rows.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, scope: DataFrame | None = None) -> DataFrame:
-    """(query_id, key, score) of every document that shares a term with the query; ``queries``: (query_id, term), distinct.
-
-    Frequencies and lengths are those of all ``docs``; ``scope``, distinct keys, limits only what is returned. Only terms of queries are
-    shuffled: other terms count towards lengths before any exchange."""
-    kept = lambda c: F.filter(raw_terms(c), lambda w: ~w.isin(*STOP_WORDS))
-    n, mean = docs.agg(F.count("*"), F.avg(F.size(kept(F.col(text))))).first()
-    asked = queries.select("term").distinct()
-    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    rows = docs.select(F.col(key), terms(F.col(text)).alias("__t")).select(key, F.size("__t").cast("long").alias("dl"), F.explode("__t").alias("term"))
-    post = rows.join(F.broadcast(asked) if small else asked, "term", "left_semi").groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = queries.join(df, "term").withColumn("idf", idf)
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(mean or 1))))
-    hits = post if scope is None else post.join(scope.select(key), key, "left_semi")
-    return hits.join(weighted, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
-
-
 def top_k(scored: DataFrame, k: int, group: str, *order: Column) -> DataFrame:
     """The first ``k`` of each group, with ``rank`` from 1; the order should end in an id, so that ties are fixed."""
     if k <= 0:
@@ -157,24 +132,26 @@ def rerank(hits: DataFrame, k: int, key: str, group: str = "query_id") -> DataFr
     return top_k(hits.withColumnRenamed("rank", "prev_rank"), k, group, F.col("scorer_score").desc(), F.col("rrf_score").desc(), F.col(key).asc())
 
 
-def entity_scores(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(mention_id, ticker, score): cosine with each ticker's best alias, clamped to [-1, 1]. Vectors have unit length.
+def best_entities(mentions: DataFrame, aliases: DataFrame, k: int = 3, digits: int = 6) -> DataFrame:
+    """(mention_id, ticker, score, rank): each mention's ``k`` best tickers by the cosine (rounded) of their best alias, clamped to [-1, 1],
+    then name. Vectors have unit length.
 
-    ``mentions``: (mention_id, mention_vector); ``aliases``: (ticker, alias_vector), in blocks against blocks of mentions."""
+    ``mentions``: (mention_id, mention_vector); ``aliases``: (ticker, alias_vector), in blocks against blocks of mentions. A block gives up
+    its own ``k`` best tickers a mention: one among the best of all is among the best of the block that holds its best alias."""
+    if k <= 0:
+        raise ValueError("k must be positive")
     kind = mentions.schema["mention_id"].dataType.simpleString()
 
     def reduce(qs: np.ndarray, qm: np.ndarray, rs: np.ndarray, rm: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(rs, kind="stable")
         names, first = np.unique(rs[order], return_index=True)
-        best = np.maximum.reduceat(np.clip(qm @ rm[order].T, -1, 1), first, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, len(names))), pa.array(np.tile(names, len(qs)).tolist(), pa.string()), pa.array(best.ravel())], ["mention_id", "ticker", "score"])
+        best = np.round(np.maximum.reduceat(np.clip(qm @ rm[order].T, -1, 1), first, axis=1), digits)
+        top = np.argsort(-best, axis=1, kind="stable")[:, :k]  # names ascend, so equal scores go by name
+        score = np.take_along_axis(best, top, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, top.shape[1])), pa.array(names[top.ravel()].tolist(), pa.string()), pa.array(score.ravel())], ["mention_id", "ticker", "score"])
 
     got = _products(mentions, aliases, "mention_id", "mention_vector", "ticker", "alias_vector", reduce, f"mention_id {kind}, ticker string, score double")
-    return got.groupBy("mention_id", "ticker").agg(F.max("score").alias("score"))
-
-
-def best_entities(scores: DataFrame, k: int = 3) -> DataFrame:
-    return top_k(scores, k, "mention_id", F.col("score").desc(), F.col("ticker").asc())
+    return top_k(got.groupBy("mention_id", "ticker").agg(F.max("score").alias("score")), k, "mention_id", F.col("score").desc(), F.col("ticker").asc())
 
 
 #: Answers that stand for none.
@@ -184,7 +161,8 @@ NULL_LIKE = ("NULL", "NONE", "N/A", "NA", "UNKNOWN", "")
 def normalize_picks(picks: DataFrame, slate: DataFrame) -> DataFrame:
     """Adds ticker and outcome: resolved if the pick is on the slate (ticker, listed), unknown if null-like, else off_list."""
     clean = F.upper(F.trim("pick"))
-    got = picks.withColumn("__p", clean).join(F.broadcast(slate), F.col("__p") == F.col("ticker"), "left")
+    small = slate.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    got = picks.withColumn("__p", clean).join(F.broadcast(slate) if small else slate, F.col("__p") == F.col("ticker"), "left")
     none = F.col("pick").isNull() | F.col("__p").isin(*NULL_LIKE)
     return got.withColumn("outcome", F.when(none, "unknown").when(F.col("listed"), "resolved").otherwise("off_list")).drop("__p", "listed")
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import numbers
+from docquarry.operators import knn, lexical
 from docquarry.operators import retrieval as op
 from docquarry.plans.common import sql_values, table, values
 from docquarry.plans.registry import register
+from docquarry.session import shared_dir
 
 S = SparkSession
 K1, B = 1.2, 0.75
@@ -33,15 +35,14 @@ _DENSE_SQL = f"""dist as (select q.vec_id as query_id, v.vec_id as doc_id, {_DIS
 _FUSE_SQL = """fused as (select query_id, doc_id, l.rank as lexical_rank, d.rank as dense_rank, coalesce(1.0::double / (60 + l.rank), 0) + coalesce(1.0::double / (60 + d.rank), 0) as rrf_score from lexk l full join densek d using (query_id, doc_id))"""
 
 
-def _postings(spark: S, d: str) -> DataFrame:
-    return op.postings(table(spark, d, "documents"))
+def _index(spark: S, d: str) -> lexical.LexicalIndex:
+    return lexical.index_of(table(spark, d, "documents"), shared_dir(spark), p=lexical.LexicalParams(k1=K1, b=B))
 
 
 def _lexical(spark: S, d: str, scope: DataFrame | None = None) -> DataFrame:
     """Twenty best documents for each benchmark item whose id is divisible by 20, by BM25."""
     q = table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.explode(op.terms(F.col("text"))).alias("term")).distinct()
-    scored = op.bm25(table(spark, d, "documents"), q, k1=K1, b=B, scope=scope).withColumn("score", F.round("score", 6))
-    return op.top_k(scored, 20, "query_id", F.col("score").desc(), F.col("doc_id").asc())
+    return _index(spark, d).search(q, 20, scope).rows
 
 
 def _queries(vectors: DataFrame) -> DataFrame:
@@ -56,7 +57,8 @@ def _dense(spark: S, d: str) -> DataFrame:
 
 @register("bm25_postings", f"select term, count(*) as df, sum(tf)::bigint as cf, max(dl)::bigint as longest from {_POST_SQL} group by term")
 def bm25_postings(spark: S, d: str) -> DataFrame:
-    return _postings(spark, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("dl").alias("longest"))
+    posts = _index(spark, d).postings().select("term", F.explode("posts").alias("p"))
+    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("p.tf").alias("cf"), F.max("p.dl").alias("longest"))
 
 
 @register("bm25_topk", f"with {_BM25_SQL} select query_id, doc_id, rank, round(score, 4) as score from lexk")
@@ -66,7 +68,9 @@ def bm25_topk(spark: S, d: str) -> DataFrame:
 
 @register("dense_topk", f"with {_DENSE_SQL} select query_id, doc_id, rank, distance from densek")
 def dense_topk(spark: S, d: str) -> DataFrame:
-    return _dense(spark, d).select("query_id", "doc_id", "rank", "distance")
+    """The same through an index that skips blocks of rows."""
+    v = table(spark, d, "embeddings")
+    return knn.nearest(_queries(v), v, 20).select("query_id", F.col("vec_id").alias("doc_id"), "rank", "distance")
 
 
 @register("bm25_scoped", f"with {_BM25_SQL.replace('from lex qualify', 'from lex where doc_id % 4 = 1 qualify')} select query_id, doc_id, rank, round(score, 4) as score from lexk")
@@ -79,7 +83,7 @@ def bm25_scoped(spark: S, d: str) -> DataFrame:
 @register("dense_topk_filtered", f"select query_id, vec_id, rank from (select q.vec_id as query_id, v.vec_id, row_number() over (partition by q.vec_id order by {_DIST_SQL}, v.vec_id) as rank from embeddings v, (select * from embeddings where vec_id % 20 = 0) q where v.label = 1) where rank <= 10")
 def dense_topk_filtered(spark: S, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    return op.dense_topk(_queries(v), v.where("label = 1"), 10).select("query_id", "vec_id", "rank")
+    return knn.nearest(_queries(v), v.where("label = 1"), 10).select("query_id", "vec_id", "rank")
 
 
 @register("parent_collapse", f"with {_DENSE_SQL} select query_id, parent_id, row_number() over (partition by query_id order by best) as rank from (select query_id, doc_id // 4 as parent_id, min(rank) as best from densek where doc_id % 4 <> 3 group by all)")
@@ -122,8 +126,8 @@ def softmax_pair(spark: S, d: str) -> DataFrame:
 def entity_topk(spark: S, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
     aliases = v.select(F.concat(F.lit("T"), F.col("vec_id") % 20).alias("ticker"), F.col("embedding").alias("alias_vector"))
-    got = op.entity_scores(_queries(v).withColumnsRenamed({"query_id": "mention_id", "embedding": "mention_vector"}), aliases)
-    return op.best_entities(got.withColumn("score", F.round("score", 6)), 3).select("mention_id", "ticker", "score", "rank")
+    mentions = _queries(v).withColumnsRenamed({"query_id": "mention_id", "embedding": "mention_vector"})
+    return op.best_entities(mentions, aliases, 3).select("mention_id", "ticker", "score", "rank")
 
 
 @register("vector_norm_check", "select label, count(*) as n, count(*) filter (where abs(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) - 1) <= 0.001) as unit from embeddings group by label")
