@@ -94,15 +94,34 @@ def materialize_features(events: DataFrame, columns: list[str]) -> DataFrame:
     return with_cutoff(events).select(*columns, "as_of_ts")
 
 
-def as_of(spine: DataFrame, features: DataFrame, entity: str, at: str, columns: list[str], ttl_days: int = 0, tie: str = "event_datetime") -> DataFrame:
+def _cuts(sides: DataFrame, rows_per_range: int) -> list[int]:
+    """Times (microseconds) that cut the rows of (micros) into about equal ranges, at most 64, of ``rows_per_range`` rows at least."""
+    shares = [i / 64 for i in range(1, 64)]
+    n, marks = sides.agg(F.count("*"), F.percentile_approx("micros", F.array(*map(F.lit, shares)), F.lit(1000))).first()
+    ranges = min(64, n // rows_per_range)
+    return sorted({marks[round(64 * i / ranges) - 1] for i in range(1, ranges)}) if marks and ranges > 1 else []
+
+
+def as_of(spine: DataFrame, features: DataFrame, entity: str, at: str, columns: list[str], ttl_days: int = 0, tie: str = "event_datetime", rows_per_range: int = 1_000_000) -> DataFrame:
     """Each spine row with the latest feature row of ``as_of_ts`` <= its time (ties: the latest ``tie``), or nulls.
 
-    Union and forward fill: one shuffle by entity, no fan-out, whatever the number of versions an entity has. ``ttl_days``: features
-    older than that are nulled; 0 is no bound."""
+    Union and forward fill inside (entity, range of time): one shuffle, no fan-out with the number of versions, and an entity that holds
+    most of the rows is split like any other. What an entity knew at the end of a range is carried on by a second pass over one row an
+    entity and range. ``ttl_days``: features older than that are nulled; 0 is no bound. Null times know nothing; null entities are one."""
     f = features.select(entity, F.col("as_of_ts").alias("__t"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), F.struct(F.col("as_of_ts"), *columns).alias("__f"), F.lit(None).cast(spine.schema.simpleString()).alias("__s"))
     s = spine.select(entity, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(f.schema["__tie"].dataType).alias("__tie"), F.lit(None).cast(f.schema["__f"].dataType).alias("__f"), F.struct(*spine.columns).alias("__s"))
-    w = Window.partitionBy(entity).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    got = f.unionByName(s).withColumn("__last", F.last("__f", ignorenulls=True).over(w)).where("__side = 1")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("micros")
+    cuts = _cuts(features.select(micros("as_of_ts")).unionByName(spine.select(micros(at))), rows_per_range)
+    place = sum((F.coalesce(F.unix_micros(F.col("__t").cast("timestamp")) >= c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    rows = f.unionByName(s).withColumn("__range", place)
+    w = Window.partitionBy(entity, "__range").orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    got = rows.withColumn("__last", F.last("__f", ignorenulls=True).over(w)).where("__side = 1")
+    if cuts:
+        known = rows.groupBy(entity, "__range").agg(F.max(F.when(F.col("__side") == 0, F.struct("__t", "__tie", "__f")))["__f"].alias("__f"))
+        before = Window.partitionBy(entity).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = known.select(F.col(entity).alias("__of"), F.col("__range").alias("__r"), F.last("__f", ignorenulls=True).over(before).alias("__carried"))
+        got = got.join(carried, F.col(entity).eqNullSafe(F.col("__of")) & (F.col("__range") == F.col("__r")), "left")
+        got = got.withColumn("__last", F.when(F.col("__t").isNotNull(), F.coalesce("__last", "__carried")))
     fresh = F.lit(True) if not ttl_days else F.col("__last.as_of_ts") >= F.col("__t") - F.expr(f"interval {int(ttl_days)} days")
     return got.select("__s.*", *[F.when(fresh, F.col(f"__last.{c}")).alias(c) for c in ["as_of_ts", *columns]])
 
