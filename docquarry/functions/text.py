@@ -42,9 +42,9 @@ def fill_template(template: Column, values: dict[str, Column]) -> Column:
 
 
 def mask_comments(html: Column) -> Column:
-    """Comments become blanks of the same length, so that offsets stay; an unclosed comment runs to the end."""
-    parts = F.split(html, r"(?s)<!--.*?(?:-->|\z)", -1)
-    found = F.regexp_extract_all(html, F.lit(r"(?s)<!--.*?(?:-->|\z)"), F.lit(0))
+    """Comments become blanks of the same length, so that offsets stay; one that is never closed is text."""
+    parts = F.split(html, r"(?s)<!--.*?-->", -1)
+    found = F.regexp_extract_all(html, F.lit(r"(?s)<!--.*?-->"), F.lit(0))
     blanks = F.transform(found, lambda x: F.repeat(F.lit(" "), F.length(x)))
     return F.array_join(F.transform(F.arrays_zip(parts.alias("p"), blanks.alias("b")), lambda z: F.concat(z["p"], F.coalesce(z["b"], F.lit("")))), "")
 

@@ -11,20 +11,31 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, DateType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 from docquarry.operators.citations import resolve_quotes
 
-_CITATION = "struct<source_span:struct<start:bigint,end:bigint>,source_quote:string>"
-_CLAIM = f"struct<citation:{_CITATION},confidence:string>"
-_MENTION = f"struct<mention_text:string,citation:{_CITATION},resolved_ticker:string,resolver_confidence:double,resolver_reasoning:string>"
+
+
+def _struct(**fields: DataType) -> StructType:
+    return StructType([StructField(k, v) for k, v in fields.items()])
+
+
+_S = StringType()
+_CITATION = _struct(source_span=_struct(start=LongType(), end=LongType()), source_quote=_S)
+_CLAIM = _struct(citation=_CITATION, confidence=_S)
+_MENTION = _struct(mention_text=_S, citation=_CITATION, resolved_ticker=_S, resolver_confidence=DoubleType(), resolver_reasoning=_S)
+_DELTA = _struct(change_type=_S, text=_S, citation=_CITATION)
+_STATEMENT = _struct(statement_text=_S, citation=_CITATION, mentioned_entities=ArrayType(_S), horizon=_S)
 #: The records of the four workers.
 RECORDS = {
-    "ten_k": f"struct<cik:string,accession_number:string,fiscal_period_end:date,guidance_tone:{_CLAIM},accrual_flags:array<{_CLAIM}>,supplier_mentions:array<{_MENTION}>,customer_mentions:array<{_MENTION}>,"
-    f"language_novelty_score:double,risk_factor_deltas:array<struct<change_type:string,text:string,citation:{_CITATION}>>,going_concern:{_CLAIM},icfr_material_weaknesses:array<{_CLAIM}>,critical_accounting_estimate_changes:array<{_CLAIM}>>",
-    "eight_k": f"struct<cik:string,accession_number:string,event_classification:string,milestone_mentions:array<{_CLAIM}>,dilution_language_flags:array<{_CLAIM}>>",
-    "s_filing": f"struct<cik:string,accession_number:string,form_type:string,dilution_event:{_CLAIM},capital_raise_language:array<{_CLAIM}>,use_of_proceeds:array<{_CLAIM}>>",
-    "transcript": f"struct<ticker:string,event_datetime:timestamp,prepared_remarks_tone:{_CLAIM},q_and_a_evasiveness:{_CLAIM},forward_statements:array<struct<statement_text:string,citation:{_CITATION},mentioned_entities:array<string>,horizon:string>>>",
+    "ten_k": _struct(
+        cik=_S, accession_number=_S, fiscal_period_end=DateType(), guidance_tone=_CLAIM, accrual_flags=ArrayType(_CLAIM), supplier_mentions=ArrayType(_MENTION), customer_mentions=ArrayType(_MENTION),
+        language_novelty_score=DoubleType(), risk_factor_deltas=ArrayType(_DELTA), going_concern=_CLAIM, icfr_material_weaknesses=ArrayType(_CLAIM), critical_accounting_estimate_changes=ArrayType(_CLAIM),
+    ),
+    "eight_k": _struct(cik=_S, accession_number=_S, event_classification=_S, milestone_mentions=ArrayType(_CLAIM), dilution_language_flags=ArrayType(_CLAIM)),
+    "s_filing": _struct(cik=_S, accession_number=_S, form_type=_S, dilution_event=_CLAIM, capital_raise_language=ArrayType(_CLAIM), use_of_proceeds=ArrayType(_CLAIM)),
+    "transcript": _struct(ticker=_S, event_datetime=TimestampType(), prepared_remarks_tone=_CLAIM, q_and_a_evasiveness=_CLAIM, forward_statements=ArrayType(_STATEMENT)),
 }
 #: Parts of the records that may be missing; what a confidence may be.
 OPTIONAL = frozenset("resolved_ticker resolver_confidence resolver_reasoning going_concern event_datetime language_novelty_score".split())

@@ -38,7 +38,7 @@ def _check(node, allowed: frozenset[str], builtin, ident, command) -> None:
         known = name in _TABLE_FUNCTIONS if what != "UnresolvedFunction" else builtin.functionExists(ident(name)) and name not in _REFUSED_FUNCTIONS
         if len(parts) != 1 or not known:
             raise PermissionError(f"function not allowed: {'.'.join(parts)}")
-    elif command.isInstance(node) or "Compound" in what or "UnresolvedIdentifier" in what or (what.startswith(("Unresolved", "ScriptTransformation")) and what not in _PLAIN):
+    elif command.isInstance(node) or "Compound" in what or "UnresolvedIdentifier" in what or (what.startswith(("Unresolved", "ScriptTransformation", "InsertInto")) and what not in _PLAIN):
         raise PermissionError(f"only one SELECT is allowed, not {what}")
     inner = [*_named(node.children())]
     if _has(node, "expressions"):
@@ -67,7 +67,7 @@ def read_only_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -
     text = sql.strip().rstrip(";").strip()
     jvm = spark._jvm
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(f"select * from ({text}\n)")  # only a query may stand there
     except Exception as e:  # the parser's own message
         raise PermissionError(f"only one SELECT is allowed: {str(e).splitlines()[0]}") from None
     builtin = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()

@@ -44,7 +44,7 @@ def _filings(spark: S, d: str) -> DataFrame:
 @register(
     "mask_comments",
     r"""select page_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(repeat(' ', length(m[i])), '')), '') as html
-    from (select page_id, regexp_split_to_array(html, '(?s)<!--.*?(?:-->|\z)') as p, regexp_extract_all(html, '(?s)<!--.*?(?:-->|\z)') as m from pages)""",
+    from (select page_id, regexp_split_to_array(html, '(?s)<!--.*?-->') as p, regexp_extract_all(html, '(?s)<!--.*?-->') as m from pages)""",
 )
 def mask_comments(spark: S, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.mask_comments(F.col("html")).alias("html"))
@@ -102,11 +102,11 @@ def parse_filing(spark: S, d: str) -> DataFrame:
     return op.parse_filings(_filings(spark, d))
 
 
-@register("chunk_outcome", f"with {_HEADERS_SQL} select doc_id, case doc_id % 4 when 0 then 'not_implemented' when 1 then 'unsupported_doc_type' when 2 then 'no_sections' else case when exists (select 1 from sec where sec.doc_id = d.doc_id) then 'chunked' else 'no_sections' end end as outcome from documents d where doc_id % 4 < 3 or text not like '%<%'")
+@register("chunk_outcome", f"with {_HEADERS_SQL} select doc_id, case doc_id % 4 when 0 then 'not_implemented' when 1 then 'unsupported_doc_type' when 2 then 'no_sections' else case when exists (select 1 from sec where sec.doc_id = d.doc_id) then 'chunked' else 'no_sections' end end as outcome from documents d")
 def chunk_outcome(spark: S, d: str) -> DataFrame:
     """The chunker's outcome by kind of document: one known without a detector, an unknown one, filings without headers, filings."""
     kinds = F.when(F.col("doc_id") % 4 == 0, "8-K").when(F.col("doc_id") % 4 == 1, "memo").otherwise("10-K")
-    f = table(spark, d, "documents").where("doc_id % 4 < 3 or text not like '%<%'").withColumn("html", F.when(F.col("doc_id") % 4 == 2, F.concat(F.lit("<p>"), "text", F.lit("</p>"))).otherwise(_filing(F.col("text"))))
+    f = table(spark, d, "documents").withColumn("html", F.when(F.col("doc_id") % 4 == 2, F.concat(F.lit("<p>"), "text", F.lit("</p>"))).otherwise(_filing(F.col("text"))))
     # atoms of any length, so that only headers decide
     return op.parse_filings(f.withColumn("kind", kinds), kind="kind", hard_child=1 << 30).select("doc_id", "outcome").distinct()
 

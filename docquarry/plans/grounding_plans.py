@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from docquarry.operators import grounding as op
 from docquarry.plans.common import table
@@ -23,10 +23,6 @@ COUNTS = {
 }
 
 
-def kind_of(worker: str) -> StructType:
-    return _parse_datatype_string(op.RECORDS[worker])
-
-
 def _record(worker: str) -> Column:
     """A record that cites ten characters from every seventh place on; every eleventh citation, counted over documents and places, is wrong."""
     slot = iter(range(100))
@@ -55,13 +51,13 @@ def _record(worker: str) -> Column:
             return F.array().cast(kind)
         return F.lit("2024-01-01").cast("date") if name == "fiscal_period_end" else F.lit("x").cast(kind)
 
-    return F.struct(*(value(f.name, f.dataType, True).alias(f.name) for f in kind_of(worker).fields)).cast(op.RECORDS[worker])
+    return F.struct(*(value(f.name, f.dataType, True).alias(f.name) for f in op.RECORDS[worker].fields)).cast(op.RECORDS[worker])
 
 
 def _slots_sql(worker: str) -> str:
     """(doc_id, slot, path, wrong, bare) of every citation of every record. An array has six places, of which its first ones are filled."""
     rows, k = [], 0
-    for f in kind_of(worker).fields:
+    for f in op.RECORDS[worker].fields:
         if f.name not in COUNTS[worker]:
             continue
         many = isinstance(f.dataType, ArrayType)
@@ -81,7 +77,7 @@ def _summary_sql(worker: str) -> str:
 
 def _grounded(spark: S, d: str, worker: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return op.ground(docs.select("doc_id", _record(worker).alias("record")), docs, kind_of(worker))
+    return op.ground(docs.select("doc_id", _record(worker).alias("record")), docs, op.RECORDS[worker])
 
 
 def _summary(worker: str) -> Callable[[S, str], DataFrame]:

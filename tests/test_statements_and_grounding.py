@@ -142,7 +142,7 @@ PROBLEMS = {5: [("guidance_tone", "missing")], 6: [("accrual_flags[0].confidence
 
 @pytest.fixture(scope="module")
 def filed(spark):
-    kind = _parse_datatype_string(grounding.RECORDS["ten_k"])
+    kind = grounding.RECORDS["ten_k"]
     df = spark.createDataFrame([(k, json.dumps(v[0])) for k, v in CASES.items()], "doc_id long, j string").select("doc_id", F.from_json("j", kind).alias("record"))
     docs = spark.createDataFrame([(k, TEXT) for k in CASES if k != 1] + [(1, TEXT)], "doc_id long, text string")
     return kind, df, docs
@@ -167,7 +167,7 @@ def test_grounding_without_documents_or_records(spark, filed):
     kind, df, docs = filed
     lone = grounding.ground(df.where("doc_id = 1"), docs.where("doc_id < 0"), kind).first()
     assert lone["outcome"] == "ungrounded" and lone["failures"][0]["actual"] == "" and len(lone["failures"]) == lone["n_citations"]
-    null = spark.createDataFrame([(1, None)], f"doc_id long, record {grounding.RECORDS['ten_k']}")
+    null = spark.createDataFrame([(1, None)], f"doc_id long, record {kind.simpleString()}")
     r = grounding.ground(null, docs, kind).first()
     assert (r["outcome"], r["n_citations"], r["error"]) == ("invalid", 0, ": missing")
     assert grounding.ground(df.where("doc_id < 0"), docs, kind).count() == 0
