@@ -136,7 +136,7 @@ def portfolio_weights(panel: DataFrame, date: str, signal: str, vol: str, adv: s
     return panel.withColumn("weight", F.when(ready, F.greatest(-most, F.least(most, scaled))).otherwise(0.0))
 
 
-def _normal_quantile(p: float) -> float:
+def normal_quantile(p: float) -> float:
     lo, hi = -12.0, 12.0
     for _ in range(80):
         mid = (lo + hi) / 2
@@ -147,7 +147,7 @@ def _normal_quantile(p: float) -> float:
 def deflated_sharpe(sharpe: float, n: int, skew: float, kurtosis: float, trials: int, trial_variance: float) -> float:
     """Probability that the true Sharpe ratio exceeds what the best of ``trials`` would show by chance."""
     euler = 0.5772156649015329
-    chance = sqrt(trial_variance) * ((1 - euler) * _normal_quantile(1 - 1 / trials) + euler * _normal_quantile(1 - 1 / (trials * exp(1)))) if trials > 1 else 0.0
+    chance = sqrt(trial_variance) * ((1 - euler) * normal_quantile(1 - 1 / trials) + euler * normal_quantile(1 - 1 / (trials * exp(1)))) if trials > 1 else 0.0
     z = (sharpe - chance) * sqrt(n - 1) / sqrt(max(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe**2, 1e-12))
     return 0.5 * (1 + erf(z / sqrt(2)))
 

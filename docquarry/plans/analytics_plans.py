@@ -361,18 +361,3 @@ def stress_regimes(spark: S, d: str) -> DataFrame:
     m = _scaled(spark, d).groupBy("month").agg(F.sum(F.col("weight") * F.col("next_1")).alias("pnl"), F.avg("next_1").alias("market"))
     got = m.groupBy(F.when(F.col("market") < 0, "down").otherwise("up").alias("regime")).agg(F.count("*").alias("months"), (F.round(F.sum("pnl"), 3) + 0.0).alias("pnl"), F.round(F.corr("pnl", "market"), 4).alias("correlation"))
     return got.where("months > 2")
-
-
-@register("deflated_sharpe")
-def deflated_sharpe(spark: S, d: str) -> DataFrame:
-    m = _t2(spark, d).groupBy("month").agg(F.sum(F.col("wt") * F.col("next_1")).alias("pnl"))
-    r = m.agg(F.count("*"), F.avg("pnl"), F.stddev_samp("pnl"), F.skewness("pnl"), F.kurtosis("pnl")).first()
-    p = op.deflated_sharpe(r[1] / r[2], r[0], r[3], r[4] + 3, 10, 0.01)
-    return spark.createDataFrame([(int(r[0]), float(r[1] / r[2]), float(p))], "months long, sharpe double, probability double")
-
-
-@register("combiner")
-def combiner(spark: S, d: str) -> DataFrame:
-    panel = _panel(spark, d).groupBy("month").agg(F.avg("ret_1").alias("a"), F.avg("next_1").alias("b"), F.avg(F.col("ret_1") * F.col("ret_1")).alias("c")).orderBy("month").toPandas()
-    w = op.shrunk_weights(panel[["a", "b", "c"]].to_numpy(), panel[["a", "b", "c"]].mean().to_numpy())
-    return spark.createDataFrame([(s, float(x)) for s, x in zip("abc", w)], "signal string, weight double")
