@@ -6,11 +6,9 @@ from itertools import combinations
 from math import erf, exp, factorial, sqrt
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.session import ship_package
 
 
 def price_windows(prices: DataFrame, entity: str, day: str, close: str, volume: str) -> DataFrame:
@@ -162,23 +160,6 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i / 252))
 
 
-def mutual_information(df: DataFrame, group: str, x: str, y: str, k: int = 3) -> DataFrame:
-    """(group, n, mi): the nearest-neighbour (KSG) estimate within each group; quadratic in a group, so groups should be samples."""
-    ship_package(df.sparkSession)
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        a, b, n = g["x"].to_numpy(float), g["y"].to_numpy(float), len(g)
-        if n <= k:
-            return pd.DataFrame({"g": [g["g"].iloc[0]], "n": [n], "mi": [None]})
-        dx, dy = np.abs(a[:, None] - a), np.abs(b[:, None] - b)
-        far = np.partition(np.maximum(dx, dy) + np.diag(np.full(n, np.inf)), k - 1, axis=1)[:, k - 1]
-        nx, ny = (dx < far[:, None]).sum(1) - 1, (dy < far[:, None]).sum(1) - 1
-        return pd.DataFrame({"g": [g["g"].iloc[0]], "n": [n], "mi": [max(0.0, float(digamma(np.array([k]))[0] + digamma(np.array([n]))[0] - np.mean(digamma(np.maximum(nx, 0) + 1) + digamma(np.maximum(ny, 0) + 1))))]})
-
-    kind = df.schema[group].dataType.simpleString()
-    return df.select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).groupBy("g").applyInPandas(one, f"g {kind}, n long, mi double").withColumnRenamed("g", group)
-
-
 def shrunk_weights(returns: np.ndarray, ic: np.ndarray) -> np.ndarray:
     """IC-weighted combination with a covariance shrunk towards its scaled identity."""
     x = returns - returns.mean(axis=0)

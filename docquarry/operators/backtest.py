@@ -109,12 +109,14 @@ def gate(found: dict[str, Column], limits: dict[str, float]) -> Column:
 def book_weights(panel: DataFrame, entity: str, date: str, b: Book = Book()) -> DataFrame:
     """Adds ``weight`` and ``before`` (the entity's weight a row earlier). ``panel``: (entity, date, universe, signal, vol, adv, ret).
 
-    Targets are neutral in (date, universe), scaled by volatility and held within the cap and the share of volume. A weight is carried on from
+    Targets are neutral in (date, universe), scaled by volatility and held within the cap and the share of volume; 0 where one of these isn't
+    known. A weight is carried on from
     the entity's row before: a fold along its dates, since each depends on the last."""
     neutral = F.col("signal") - F.avg("signal").over(Window.partitionBy(date, "universe"))
     most = F.least(F.lit(b.cap), F.lit(b.participation) * F.col("adv") / F.lit(b.capital))
+    ready = F.coalesce(F.col("vol") > 0, F.lit(False)) & F.col("adv").isNotNull() & neutral.isNotNull()
     target = F.greatest(-most, F.least(most, neutral * F.lit(b.target_vol) / F.nullif(F.col("vol"), F.lit(0.0))))
-    own = panel.withColumn("__target", F.coalesce(target, F.lit(0.0)))
+    own = panel.withColumn("__target", F.when(ready, target).otherwise(0.0))
     rows = own.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(date, *[c for c in own.columns if c not in (entity, date)]))).alias("rows"))
     last = lambda acc: F.when(F.size(acc) > 0, F.get(acc, F.size(acc) - 1)).otherwise(F.lit(0.0))
     moved = F.aggregate("rows", F.array().cast("array<double>"), lambda acc, r: F.concat(acc, F.array((r["__target"] + b.penalty * last(acc)) / (1 + b.penalty))))
@@ -136,7 +138,7 @@ def book_dates(weighted: DataFrame, date: str, b: Book = Book(), cost_scale: flo
     each = weighted.groupBy(date).agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("raw"), F.sum((traded * bps + short) / 1e4).alias("raw_cost"), F.sum(traded).alias("raw_turnover"))
     past = Window.orderBy(date).rowsBetween(-b.trailing, -1)  # one row a date
     vol = F.stddev_samp("raw").over(past) * F.lit(sqrt(b.periods))
-    scale = F.coalesce(F.least(F.lit(b.most_scale), F.lit(b.target_vol) / F.nullif(vol, F.lit(0.0))), F.lit(1.0))
+    scale = F.when(vol > 0, F.least(F.lit(b.most_scale), F.lit(b.target_vol) / F.nullif(vol, F.lit(0.0)))).otherwise(1.0)
     got = each.withColumn("scale", scale)
     return got.select(date, "scale", *((F.col("scale") * F.col(c)).alias(n) for c, n in (("raw", "gross"), ("raw_cost", "cost"), ("raw_turnover", "turnover")))).withColumn("net", F.col("gross") - F.col("cost"))
 

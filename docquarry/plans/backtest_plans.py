@@ -81,10 +81,10 @@ _MONTHS_SQL = f"""{_PRICE_SQL}, mm as (select k, date_trunc('month', day)::date
 
 def _book_sql(b: op.Book, name: str, scale: float = 1.0) -> str:
     """The engine by recursion over each entity's rows: tables t, w and e of one book, ending in ``name`` (month, scale, gross, cost, turnover, net)."""
-    return f"""{name}t as (select *, row_number() over (partition by k order by month) as i, coalesce(greatest(-least({b.cap}::double, {b.participation}::double * adv / {b.capital}::double), least(least({b.cap}::double, {b.participation}::double * adv / {b.capital}::double), (signal - avg(signal) over (partition by month, universe)) * {b.target_vol}::double / nullif(vol, 0))), 0) as target from pq),
+    return f"""{name}t as (select *, row_number() over (partition by k order by month) as i, case when vol > 0 and adv is not null then greatest(-least({b.cap}::double, {b.participation}::double * adv / {b.capital}::double), least(least({b.cap}::double, {b.participation}::double * adv / {b.capital}::double), (signal - avg(signal) over (partition by month, universe)) * {b.target_vol}::double / nullif(vol, 0))) else 0 end as target from pq),
  {name}w as (select k, i, target / (1 + {b.penalty}::double) as weight, 0.0::double as before from {name}t where i = 1 union all select n.k, n.i, (n.target + {b.penalty}::double * w.weight) / (1 + {b.penalty}::double), w.weight from {name}w w join {name}t n on n.k = w.k and n.i = w.i + 1),
  {name}e as (select month, sum(weight * coalesce(ret, 0)) as raw, sum(abs(weight - before)) as rt, sum((abs(weight - before) * ({b.half_spread_bps * scale + b.commission_bps}::double + case when adv > 0 then {b.impact * 1e4 * scale}::double * sqrt(abs(weight - before) * {b.capital}::double / adv) else 0 end) + case when weight < 0 then -weight else 0 end * {b.borrow_bps / b.periods}::double) / 1e4) as rc from {name}w join {name}t using (k, i) group by month),
- {name}s as (select *, coalesce(least({b.most_scale}::double, {b.target_vol}::double / nullif(stddev_samp(raw) over (order by month rows between {b.trailing} preceding and 1 preceding) * sqrt({b.periods}), 0)), 1.0) as scale from {name}e),
+ {name}s as (select *, case when stddev_samp(raw) over (order by month rows between {b.trailing} preceding and 1 preceding) > 0 then least({b.most_scale}::double, {b.target_vol}::double / nullif(stddev_samp(raw) over (order by month rows between {b.trailing} preceding and 1 preceding) * sqrt({b.periods}), 0)) else 1.0 end as scale from {name}e),
  {name} as (select month, scale, scale * raw as gross, scale * rc as cost, scale * rt as turnover, scale * raw - scale * rc as net from {name}s)"""
 
 

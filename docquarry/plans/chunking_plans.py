@@ -179,16 +179,3 @@ def entity_flex_find(spark: S, d: str) -> DataFrame:
     return _filings(spark, d).select("doc_id", F.when(F.rlike("html", F.lit(flex)), F.length(F.element_at(F.split("html", flex, 2), 1))).alias("start"))
 
 
-@register(
-    "token_bucket",
-    """with recursive c as (select user_id, floor(epoch(ts))::double as t, row_number() over (partition by user_id order by ts) as i from events),
-    f as (select user_id, i, t as now, 2.0::double as have, 0.0::double as waited, t as was from c where i = 1),
-    g as (select user_id, i, now + w as now, greatest(0.0, have + w / 3600 - 1) as have, w as waited from (select *, greatest(0.0::double, (1 - have) * 3600) as w from f)
-      union all select user_id, i, later + w, greatest(0.0, have + w / 3600 - 1), waited + (later - t) + w from (select *, greatest(0.0::double, (1 - have) * 3600) as w
-        from (select c.user_id, c.i, c.t, greatest(c.t, g.now) as later, least(2.0::double, g.have + (greatest(c.t, g.now) - g.now) / 3600) as have, g.waited from g join c on c.user_id = g.user_id and c.i = g.i + 1)))
-    select user_id, round(max_by(waited, i), 4) as waited from g group by user_id""",
-)
-def token_bucket(spark: S, d: str) -> DataFrame:
-    """Each user's waits under a rate limit, folded over their calls in order."""
-    calls = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double"))).alias("at"))
-    return calls.select("user_id", F.round(op.bucket_waits(F.col("at"), rate=1 / 3600, burst=2.0), 4).alias("waited"))

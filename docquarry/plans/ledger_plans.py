@@ -19,18 +19,6 @@ def manifest_scan(spark: S, d: str) -> DataFrame:
     return ledger(spark, d).groupBy("source", "status").agg(F.count("*").alias("n"), F.count_distinct("content_sha256").alias("contents"))
 
 
-_LISTING = [(1, '{"forms":["10-K","8-K","10-Q"],"accessions":["a-1","a-2"," "],"documents":["x.htm","","z.htm"]}'), (2, '{"forms":["8-K"],"accessions":["b-1"],"documents":["q.htm"]}')]
-
-
-@register(
-    "unnest_parallel_arrays",
-    f"""select cik, form, accession, document from (select cik, unnest(from_json(json_extract(j, '$.forms'), '["VARCHAR"]')) as form, unnest(from_json(json_extract(j, '$.accessions'), '["VARCHAR"]')) as accession,
-    unnest(from_json(json_extract(j, '$.documents'), '["VARCHAR"]')) as document from {sql_values(_LISTING, 'cik, j')}) where form in ('10-K', '8-K') and trim(accession) <> '' and trim(document) <> ''""",
-)
-def unnest_parallel_arrays(spark: S, d: str) -> DataFrame:
-    return files.unnest_listing(values(spark, _LISTING, "cik int, j string"), ["10-K", "8-K"])
-
-
 @register("incremental_fetch", f"select doc_id, source from (select doc_id, source, row_number() over (partition by doc_id order by position) as r from (select doc_id, source, doc_id as position from documents union all select doc_id, source, doc_id + 1000000 as position from documents where doc_id % 3 = 0)) where r = 1 and doc_id not in (select doc_id from {LEDGER_SQL} where status = 'ok')")
 def incremental_fetch(spark: S, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
@@ -74,27 +62,6 @@ def registry_validate(spark: S, d: str) -> DataFrame:
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("nation")).join(used, "nation", "left_anti")
 
 
-_TABLES = [("corpus__ab12cd34",), ("doc__v1__ab12cd34",), ("doc__v1__ffff0000",), ("plain",)]
-
-
-@register(
-    "list_materializations",
-    f"select version, count(*) as n, string_agg(base, ',' order by base) as bases from (select coalesce(nullif(regexp_extract(n, '^(.+)__(.+)$', 1), ''), n) as base, nullif(regexp_extract(n, '^(.+)__(.+)$', 2), '') as version from {sql_values(_TABLES, 'n')}) where version is not null group by version",
-)
-def list_materializations(spark: S, d: str) -> DataFrame:
-    parts = values(spark, _TABLES, "n string").select(keys.split_table_name(F.col("n")).alias("x")).select("x.*").where("version is not null")
-    return parts.groupBy("version").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("base")), ",").alias("bases"))
-
-
-_MAP = [('{"0":{"ticker":"AAA","cik":320193},"1":{"ticker":"BBB","cik":789019}}',)]
-
-
-@register("map_values_unnest", "select * from (values ('AAA', '0000320193'), ('BBB', '0000789019')) as v(ticker, cik)")
-def map_values_unnest(spark: S, d: str) -> DataFrame:
-    got = values(spark, _MAP, "j string").select(F.explode(F.map_values(F.from_json("j", "map<string,struct<ticker:string,cik:long>>"))).alias("v"))
-    return got.select("v.ticker", keys.pad_cik(F.col("v.cik")).alias("cik"))
-
-
 @register(
     "first_10k",
     "select o_custkey, o_orderkey, substr(coalesce(nullif(rd, ''), fd), 1, 4) as fiscal_year from (select o_custkey, o_orderkey, case when o_orderkey % 2 = 0 then '' else strftime(o_orderdate, '%Y-%m-%d') end as rd, strftime(o_orderdate, '%Y-%m-%d') as fd, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as r from orders where o_orderstatus = 'F') where r = 1",
@@ -107,14 +74,6 @@ def first_10k(spark: S, d: str) -> DataFrame:
     return o.withColumn("r", F.row_number().over(w)).where("r = 1").select("o_custkey", "o_orderkey", year.alias("fiscal_year"))
 
 
-_FACTS = [(1, '{"Revenues":{"USD":[{"end":"2024-03-31","val":10.5},{"end":"2024-06-30","val":11.0}]},"Assets":{"USD":[{"end":"2024-03-31","val":99.0}]}}')]
-
-
-@register("xbrl_flatten", "select * from (values (1, 'Assets', 'USD', '2024-03-31', 99.0::double), (1, 'Revenues', 'USD', '2024-03-31', 10.5::double), (1, 'Revenues', 'USD', '2024-06-30', 11.0::double)) as v(cik, tag, unit, period_end, value)")
-def xbrl_flatten(spark: S, d: str) -> DataFrame:
-    return files.flatten_facts(values(spark, _FACTS, "cik int, j string"))
-
-
 _IN_SQL = "(select source, doc_id, 'ok' as status from documents where doc_id % 5 = 0 union all select source, doc_id + 5000000, 'ok' from documents where doc_id % 5 = 0)"
 
 
@@ -268,14 +227,6 @@ def identity_agreement(spark: S, d: str) -> DataFrame:
     return op.identity_agreement(table(spark, d, "lineitem"), "l_orderkey", ["l_returnflag", "l_linestatus"])
 
 
-_HISTORY = [(0, "v1"), (1, "v2"), (2, "v1"), (3, "v3"), (4, "v4")]
-
-
-@register("gc_retention", f"select version, row_number() over (order by version = 'v2' desc, position desc) <= 3 as keep from (select version, max(position) as position from {sql_values(_HISTORY, 'position, version')} group by version)")
-def gc_retention(spark: S, d: str) -> DataFrame:
-    return op.retained(values(spark, _HISTORY, "position int, version string"), "v2", 3)
-
-
 @register("circuit_breaker", """with e as (select user_id, event_id, event_type = 'error' as failed from events), r as (select *, sum(case when failed then 0 else 1 end) over (partition by user_id order by event_id) as run from e),
  s as (select *, case when failed then sum(failed::int) over (partition by user_id, run order by event_id) else 0 end as streak from r)
  select user_id, event_id, streak::bigint as streak, coalesce(max((streak >= 3)::int) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) = 1 as open from s""")
@@ -290,11 +241,6 @@ def materialization_version(spark: S, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("label").distinct().select("label", v.alias("version"), keys.table_name(F.lit("corpus"), v).alias("name"))
 
 
-@register("version_name", f"select n, coalesce(nullif(regexp_extract(n, '^(.+)__(.+)$', 1), ''), n) as base, nullif(regexp_extract(n, '^(.+)__(.+)$', 2), '') as version from {sql_values(_TABLES, 'n')}")
-def version_name(spark: S, d: str) -> DataFrame:
-    return values(spark, _TABLES, "n string").select("n", keys.split_table_name(F.col("n")).alias("x")).select("n", "x.*")
-
-
 @register("version_tokens", "select label, 'hash:m' || label || ':t1' as embed_space, 'rr:m' || label || ':t2' as rerank_space from (select distinct label from embeddings)")
 def version_tokens(spark: S, d: str) -> DataFrame:
     m = F.concat(F.lit("m"), F.col("label"))

@@ -33,7 +33,7 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 def _load() -> None:
     """Imports the plan modules, which register themselves."""
-    from docquarry.plans import analytics_plans, backtest_plans, chunking_plans, grounding_plans, ledger_plans, retrieval_plans, statement_plans, text_plans, worker_plans  # noqa: F401
+    from docquarry.plans import analytics_plans, backtest_plans, chunking_plans, grounding_plans, ledger_plans, retrieval_plans, shape_plans, statement_plans, text_plans, worker_plans  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -175,13 +175,6 @@ def quote_set_ops(spark: S, d: str) -> DataFrame:
 _ALIASES = [("AAA", ["Alpha Corp", "Alpha"]), ("BBB", ["Beta Inc", " ", "Beta"]), ("CCC", ["Gamma"])]
 
 
-@register("flatten_aliases", "select * from (values ('AAA', 0, 'Alpha Corp', 'Alpha Corp'), ('AAA', 1, 'Alpha', 'Alpha Corp'), ('BBB', 0, 'Beta Inc', 'Beta Inc'), ('BBB', 2, 'Beta', 'Beta Inc'), ('CCC', 0, 'Gamma', 'Gamma')) as v(ticker, pos, alias, first_alias)")
-def flatten_aliases(spark: S, d: str) -> DataFrame:
-    u = values(spark, _ALIASES, "ticker string, aliases array<string>")
-    flat = u.select("ticker", F.element_at("aliases", 1).alias("first_alias"), F.posexplode("aliases").alias("pos", "alias"))
-    return flat.where(F.trim("alias") != "").select("ticker", "pos", "alias", "first_alias")
-
-
 _PICKS = [(1, " aaa "), (2, "N/A"), (3, "zzz"), (4, None), (5, "CCC"), (6, "unknown")]
 _PICK_SQL = f"(select id, pick, case when pick is null or upper(trim(pick)) in ('NULL', 'NONE', 'N/A', 'NA', 'UNKNOWN', '') then 'unknown' when upper(trim(pick)) in ('AAA', 'BBB', 'CCC') then 'resolved' else 'off_list' end as outcome from {sql_values(_PICKS, 'id, pick')})"
 
@@ -191,11 +184,6 @@ def _picks(spark: S) -> DataFrame:
     return op.normalize_picks(values(spark, _PICKS, "id int, pick string"), slate)
 
 
-@register("normalize_pick", f"select id, case when outcome = 'resolved' then upper(trim(pick)) end as ticker, outcome from {_PICK_SQL}")
-def normalize_pick(spark: S, d: str) -> DataFrame:
-    return _picks(spark).select("id", "ticker", "outcome")
-
-
 @register("resolve_outcome", f"select user_id % 6 + 1 as pick_id, case when event_type = 'error' then 'empty_mention' when event_type = 'signup' then 'truncated' else outcome end as outcome, count(*) as n from events join {_PICK_SQL} on id = user_id % 6 + 1 group by all")
 def resolve_outcome(spark: S, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("id", (F.col("user_id") % 6 + 1).cast("int")).join(F.broadcast(_picks(spark)), "id")

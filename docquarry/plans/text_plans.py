@@ -29,14 +29,6 @@ def mask_credentials(spark: S, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", raw.alias("raw"), text.mask_credentials(raw).alias("masked"))
 
 
-_URLS = [("https://a.org/x/call.MP3?x=1#t",), ("https://a.org/x/call.m4a;v=1",), ("https://a.org/",), ("https://a.org/x/readme",), ("https://a.org/v1.2/noext",)]
-
-
-@register("url_ext", "select * from (values ('https://a.org/x/call.MP3?x=1#t', '.mp3'), ('https://a.org/x/call.m4a;v=1', '.m4a'), ('https://a.org/', '.bin'), ('https://a.org/x/readme', '.bin'), ('https://a.org/v1.2/noext', '.bin')) as v(url, ext)")
-def url_ext(spark: S, d: str) -> DataFrame:
-    return values(spark, _URLS, "url string").select("url", text.url_extension(F.col("url")).alias("ext"))
-
-
 @register("token_count", "select doc_id, ceil(length(text) / 4.0)::int as tokens from documents")
 def token_count(spark: S, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.estimated_tokens(F.col("text")).alias("tokens"))
@@ -113,14 +105,6 @@ def title_match(spark: S, d: str) -> DataFrame:
     return n.select("n_nationkey", text.title_matches(title, F.col("n_name"), F.lit("zz"), F.lit(2026), F.lit(2)).alias("ok"))
 
 
-_HEADS = [("494433040000",), ("4F67675300",), ("00000020667479704D34",), ("FFFB9000",), ("3C21444F43",), ("FF",)]
-
-
-@register("magic_bytes", "select * from (values ('494433040000', true), ('4F67675300', true), ('00000020667479704D34', true), ('FFFB9000', true), ('3C21444F43', false), ('FF', false)) as v(h, audio)")
-def magic_bytes(spark: S, d: str) -> DataFrame:
-    return values(spark, _HEADS, "h string").select("h", text.looks_like_audio(F.unhex("h")).alias("audio"))
-
-
 _CALL_SQL = "(select conv_id, string_agg(text, chr(10) order by turn) as t from (select conv_id, turn, case when turn = 2 then 'We will now begin the Q&A session. ' || text when turn = 1 and conv_id % 2 = 0 then 'Question-and-Answer Session ' || text else text end as text from conversations) group by conv_id)"
 _QA1, _QA2 = r"(?i)\bQuestion[-\s]and[-\s]Answer\s+Session\b", r"(?i)\bWe(?:''ll| will)\s+now\s+(?:begin|move)\s+(?:the\s+)?Q\s*&\s*A\b"
 
@@ -178,31 +162,17 @@ def resolve_spans(spark: S, d: str) -> DataFrame:
     return citations.resolve_quotes(docs, claims).drop("quote")
 
 
-@register("citation_grounding", "select doc_id, case when doc_id % 4 = 0 then 'claim.1' when doc_id % 6 = 0 then 'claim.0' end as first_failure from documents where length(text) >= 40")
+@register("citation_grounding", "select doc_id, case when doc_id % 4 = 0 then 'claim.1' when doc_id % 6 = 0 then 'claim.0' end as first_failure from documents")
 def citation_grounding(spark: S, d: str) -> DataFrame:
     def claim(start: int, wrong: Column) -> Column:
         quote = F.substring("text", start + 1, 10)
         return F.struct(F.lit(start).alias("start"), F.lit(start + 10).alias("stop"), F.when(wrong, F.concat(quote, F.lit("~"))).otherwise(quote).alias("quote"))
 
-    docs = table(spark, d, "documents").where(F.length("text") >= 40)
+    docs = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     claims = F.array(claim(0, (F.col("doc_id") % 6 == 0) & (F.col("doc_id") % 4 != 0)), claim(20, F.col("doc_id") % 4 == 0))
     return docs.select("doc_id", citations.first_failure(F.col("text"), claims, "claim").alias("first_failure"))
 
 
-_JSON = [(1, '{"a":1}'), (2, "[1]"), (3, "not json"), (4, None), (5, '{"a":1,"zz":2}'), (6, '{"a":"x"}')]
-
-
-@register("json_guard", "select * from (values (1, 'object'), (2, 'not_object'), (3, 'malformed'), (4, 'missing'), (5, 'object'), (6, 'object')) as v(id, outcome)")
-def json_guard(spark: S, d: str) -> DataFrame:
-    return values(spark, _JSON, "id int, j string").select("id", outcomes.json_outcome(F.col("j")).alias("outcome"))
-
-
-@register("schema_validate", "select * from (values (1, 'ok'), (5, 'unknown_key'), (6, 'bad_type')) as v(id, outcome)")
-def schema_validate(spark: S, d: str) -> DataFrame:
-    j = values(spark, _JSON, "id int, j string").where("id in (1, 5, 6)")
-    return j.select("id", citations.strict_outcome(F.col("j"), {"a": "int"}).alias("outcome"))
-
-
 @register("usage_map", "select event_id, case when value < 50 then 1 else 2 end::int as n_keys from events")
 def usage_map(spark: S, d: str) -> DataFrame:
     m = outcomes.usage({"input": F.col("value"), "cached": F.when(F.col("value") >= 50, F.col("value"))})
@@ -216,23 +186,6 @@ def blocks_join(spark: S, d: str) -> DataFrame:
     return b.select("conv_id", joined.alias("joined"), F.get(F.filter("b", lambda x: x["role"] == "user"), 0)["turn"].alias("first_user"))
 
 
-_TIMES = [("2024-03-10T06:30:00.000Z",), ("2024-07-01T16:05:00-04:00",), ("2024-01-15T16:05:00",), ("2024-07-15T16:05:00",)]
-
-
-@register("parse_acceptance", "select * from (values ('2024-03-10T06:30:00.000Z', 1710052200), ('2024-07-01T16:05:00-04:00', 1719864300), ('2024-01-15T16:05:00', 1705352700), ('2024-07-15T16:05:00', 1721073900)) as v(raw, epoch)")
-def parse_acceptance(spark: S, d: str) -> DataFrame:
-    return values(spark, _TIMES, "raw string").select("raw", F.unix_timestamp(outcomes.acceptance_time(F.col("raw"))).cast("int").alias("epoch"))
-
-
-_RETRY = [("120",), ("99999",), ("-5",), ("Wed, 21 Oct 2015 07:28:00 GMT",), ("soon",), (None,)]
-
-
-@register("retry_after", "select * from (values ('120', 120.0::double), ('99999', 300.0), ('-5', 0.0), ('Wed, 21 Oct 2015 07:28:00 GMT', 60.0), ('soon', null), (null, null)) as v(raw, seconds)")
-def retry_after(spark: S, d: str) -> DataFrame:
-    now = F.lit("2015-10-21 07:27:00").cast("timestamp")
-    return values(spark, _RETRY, "raw string").select("raw", outcomes.retry_after(F.col("raw"), now).alias("seconds"))
-
-
 @register("extraction_features", "select conv_id, count(*) filter (where role = 'assistant') as n_assistant, sum(case when turn % 3 = 0 then 1.0 when turn % 3 = 1 then 0.6 else 0.3 end * case when role = 'user' then 1 else -1 end)::double as tone from conversations group by conv_id")
 def extraction_features(spark: S, d: str) -> DataFrame:
     from docquarry.functions.numbers import confidence_number

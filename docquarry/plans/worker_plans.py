@@ -28,18 +28,6 @@ def _get(url: str) -> bytes:
     return url.encode()
 
 
-@register("fetch_outcomes", "select doc_id, case when doc_id % 7 = 0 then 'error' when doc_id % 11 = 0 then 'no_coverage' else 'ok' end as status, case when doc_id % 7 = 0 then 2 else 1 end as attempts, case when doc_id % 7 <> 0 and doc_id % 11 <> 0 then length('http://h/' || doc_id)::int end as bytes from documents")
-def fetch_outcomes(spark: S, d: str) -> DataFrame:
-    listing = table(spark, d, "documents").select("doc_id", F.concat(F.lit("http://h/"), "doc_id").alias("url"))
-    return calls.fetch(listing, "url", _get, FREE).select("doc_id", "status", "attempts", F.octet_length("content").alias("bytes"))
-
-
-@register("backoff_delays", "select event_id, greatest(coalesce(case when user_id % 3 = 0 then value end, 0), least(pow(2.0::double, event_id % 7), 30)) as wait from events")
-def backoff_delays(spark: S, d: str) -> DataFrame:
-    after = F.when(F.col("user_id") % 3 == 0, F.col("value"))
-    return table(spark, d, "events").select("event_id", calls.backoff_column((F.col("event_id") % 7).cast("double"), after).alias("wait"))
-
-
 @register("audio_source", "select c_custkey, case when c_custkey % 3 = 0 then 'direct' when c_custkey % 5 = 0 then 'search' end as source, case when c_custkey % 3 = 0 then 'https://a/' || c_name || '.mp3' when c_custkey % 5 = 0 then 'https://v/' || c_custkey end as url from customer")
 def audio_source(spark: S, d: str) -> DataFrame:
     sources = {"direct": lambda r: f"https://a/{r['c_name']}.mp3" if r["c_custkey"] % 3 == 0 else None, "search": lambda r: f"https://v/{r['c_custkey']}" if r["c_custkey"] % 5 == 0 else None}
@@ -134,40 +122,6 @@ def store_upsert(spark: S, d: str) -> DataFrame:
     return s.read("v1").select("doc_id", "chunk_type", "chars").join(inside, "doc_id", "left").withColumn("in_corpus", F.coalesce("in_corpus", F.lit(False)))
 
 
-@register("promotion_flow", "select * from (values (1, 'blockers of none', 'no_version'), (2, 'blockers of partial', 'missing_documents'), (3, 'blockers of flat', 'no_narrative'), (4, 'active', 'v2'), (5, 'history', 'v1,v2'), (6, 'guard', 'refused'), (7, 'garbage', 'flat,partial,v1'), (8, 'left', 'v2'), (9, 'vectors kept', 'true')) as v(step, what, result)")
-def promotion_flow(spark: S, d: str) -> DataFrame:
-    """Versions written, re-encoded, refused, promoted, guarded and collected."""
-    s, rows = _store(spark), _rows(spark, d)
-    docs = rows.select("doc_id")
-    s.write(rows, "v1")
-    s.write(rows.where("doc_id % 2 = 0"), "partial")
-    s.write(rows.withColumn("chunk_type", F.lit("financial")), "flat")
-    s.reembed("v1", "v2", lambda r: r.withColumn("vector", F.array(F.col("chars").cast("double"))).withColumn("embed_space", F.lit("space-b")))
-    kept = s.read("v1").select("doc_id", "chars").exceptAll(s.read("v2").select("doc_id", "chars")).isEmpty()
-    got = [("blockers of none", ",".join(s.blockers("v9"))), ("blockers of partial", ",".join(s.blockers("partial", docs))), ("blockers of flat", ",".join(s.blockers("flat", docs)))]
-    s.promote("v1", docs)
-    s.promote("v2", docs)
-    try:
-        s.read(embed_space="space-a")
-        guard = "read"
-    except ValueError:
-        guard = "refused"
-    got += [("active", s.active()["version"]), ("history", ",".join(h["version"] for h in s.history())), ("guard", guard)]
-    got += [("garbage", ",".join(s.collect_garbage(1, dry_run=False))), ("left", ",".join(s.versions())), ("vectors kept", str(kept).lower())]
-    return spark.createDataFrame([(i, *g) for i, g in enumerate(got, 1)], "step int, what string, result string")
-
-
-@register("prompt_registry", "select * from (values (1, 1, 'old'), (2, 2, 'new'), (3, 1, 'old')) as v(step, version, text)")
-def prompt_registry(spark: S, d: str) -> DataFrame:
-    """A tag moved to a new version of a prompt and back."""
-    p = store.Prompts(spark, f"{shared_dir(spark)}/prompts-{uuid.uuid4().hex}")
-    first, second, got = p.register("memo", "old"), p.register("memo", "new"), []
-    for step, version in enumerate((first, second, first), 1):
-        p.tag("memo", "production", version)
-        got.append((step, *p.get("memo", "production")))
-    return spark.createDataFrame(got, "step int, version int, text string")
-
-
 _FINANCIALS = "with big as (select c_nationkey, c_acctbal from customer where c_acctbal > 0) select n_name, count(*) as n, round(sum(c_acctbal), 2) as total from big join nation on n_nationkey = c_nationkey group by n_name"
 
 
@@ -190,32 +144,6 @@ def health_status(spark: S, d: str) -> DataFrame:
     return readers.worst(table(spark, d, "nation").select("n_regionkey", F.col("n_name").alias("name"), status.alias("status")), "n_regionkey")
 
 
-_NAMES = [(1, "call_2024_q3", "2024-02-29"), (2, "call_2024", "2023-02-29"), (3, "call_1850_q1", "2024-1-5"), (4, "call_2024_q5", None), (5, "2024", "x"), (6, "call_2100_q1", "2024-12-31")]
-
-
-@register("date_checks", "select * from (values (1, 2024, 3, '2024-02-29'), (2, 2024, null, null), (3, null, null, '2024-01-05'), (4, null, null, null), (5, null, null, null), (6, 2100, 1, '2024-12-31')) as v(id, year, quarter, day)")
-def date_checks(spark: S, d: str) -> DataFrame:
-    p = readers.trailing_period(F.col("name"))
-    return values(spark, _NAMES, "id int, name string, d string").select("id", p["year"].alias("year"), p["quarter"].alias("quarter"), readers.iso_date(F.col("d")).alias("day"))
-
-
-_CALLS = [(1, "ABC.B", 2024, 1, "2024-01-02T10:00:00Z", "p", ""), (2, "abc", 2024, 5, "2024-01-02T10:00:00", None, ""), (3, "ABCDEFGHI", 1899, 0, "2024-01-02T10:00:00+05:00", "", None), (4, None, None, None, None, "", "")]
-
-
-@register("transcript_constraints", "select * from (values (1, ''), (2, 'ticker,quarter,event_datetime,prepared_remarks'), (3, 'ticker,year,quarter,q_and_a'), (4, 'ticker,year,quarter,event_datetime')) as v(id, problems)")
-def transcript_constraints(spark: S, d: str) -> DataFrame:
-    c = values(spark, _CALLS, "id int, ticker string, year int, quarter int, at string, p string, q string")
-    return c.select("id", F.array_join(readers.transcript_problems(*[F.col(x) for x in ("ticker", "year", "quarter", "at", "p", "q")]), ",").alias("problems"))
-
-
-_DIRECTORY = [("a-1", '{"directory":{"item":[{"name":"x.htm","size":"120"},{"name":"y.HTML","size":""},{"name":"z.jpg","size":"9"}]}}'), ("a-2", '{"directory":{"item":[]}}'), ("a-3", "{}")]
-
-
-@register("exhibit_listing", "select * from (values ('a-1', 'x.htm', 120::bigint), ('a-1', 'y.HTML', 0)) as v(accession, name, size)")
-def exhibit_listing(spark: S, d: str) -> DataFrame:
-    return files.exhibits(values(spark, _DIRECTORY, "accession string, j string"))
-
-
 @register("listing_files", "select n_nationkey::bigint as cik, '8-K' as form, 'a-' || n_nationkey as accession, n_name as document from nation")
 def listing_files(spark: S, d: str) -> DataFrame:
     """Listings landed as one JSON file each, read back and unnested."""
