@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from docquarry.functions import text
 from docquarry.operators import chunking as op
 from docquarry.plans.common import table
 from docquarry.plans.registry import register
-from docquarry.streaming import streams
+from docquarry.session import shared_dir
+from docquarry.streaming import state, streams
 
 S = SparkSession
 
@@ -179,3 +182,14 @@ def entity_flex_find(spark: S, d: str) -> DataFrame:
     return _filings(spark, d).select("doc_id", F.when(F.rlike("html", F.lit(flex)), F.length(F.element_at(F.split("html", flex, 2), 1))).alias("start"))
 
 
+@register(
+    "stream_guard",
+    """with e as (select user_id, event_id as seq, event_type = 'error' as failed, floor(value * 10) as cost from events), r as (select *, sum(case when failed then 0 else 1 end) over (partition by user_id order by seq) as run from e),
+ s as (select *, case when failed then sum(failed::int) over (partition by user_id, run order by seq) else 0 end as streak from r), w as (select *, coalesce(sum(cost) over p, 0)::double as spent_before, coalesce(max((streak >= 3)::int) over p, 0) = 1 as open from s window p as (partition by user_id order by seq rows between unbounded preceding and 1 preceding))
+ select user_id, seq, streak::bigint as streak, open, spent_before, spent_before <= 3000 as allowed from w""",
+)
+def stream_guard(spark: S, d: str) -> DataFrame:
+    """Breaker and running cap of each user as a stream with state, read back from what it wrote."""
+    at = f"{shared_dir(spark)}/guard-{uuid.uuid4().hex}"
+    state.run_guarded(state.event_calls(streams.event_stream(spark, d)), "user_id", 3, 3000.0, f"{at}/out", f"{at}/mark")
+    return spark.read.parquet(f"{at}/out").select("user_id", "seq", "streak", "open", "spent_before", "allowed")

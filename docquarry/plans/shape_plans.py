@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from docquarry.operators import citations, ledger, readers
 from docquarry.operators import retrieval
 from docquarry.plans.common import table
 from docquarry.plans.registry import register
-from docquarry.sources import files
+from docquarry.session import shared_dir, ship_package
+from docquarry.sources import files, landed
 
 S = SparkSession
 
@@ -159,3 +162,28 @@ def exhibit_listing(spark: S, d: str) -> DataFrame:
     item = F.struct(name.alias("name"), F.when(n % 4 == 1, "").otherwise(F.col("l_partkey").cast("string")).alias("size"))
     pages = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("accession")).agg(F.collect_list(item).alias("item"))
     return files.exhibits(pages.select("accession", F.to_json(F.struct(F.struct("item").alias("directory"))).alias("j")))
+
+
+_FORMS = ("10-K", "8-K", "10-Q")
+
+
+def land_listings(spark: S, d: str, folder: str) -> None:
+    """Orders as landed listings: a file an entity (twenty of them) and month, in which some documents are blank."""
+    o = table(spark, d, "orders").withColumn("entity", F.concat(F.lit("e"), F.col("o_custkey") % 20)).withColumn("day", F.date_format(F.trunc("o_orderdate", "month"), "yyyy-MM-dd"))
+    one = F.array_sort(F.collect_list(F.struct("o_orderkey", _pick(F.col("o_orderkey"), *_FORMS).alias("form"), F.when(F.col("o_orderkey") % 10 == 0, "").otherwise(F.concat("o_orderkey", F.lit(".htm"))).alias("doc"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))))
+    rows = o.groupBy("entity", "day").agg(one.alias("x"))
+    recent = F.struct(F.col("x.form").alias("form"), F.col("x.o_orderkey").cast("array<string>").alias("accessionNumber"), F.col("x.doc").alias("primaryDocument"), F.col("x.at").alias("acceptanceDateTime"))
+    lines = rows.select("day", F.to_json(F.struct("entity", F.struct(recent.alias("recent")).alias("filings"))).alias("value"))
+    lines.repartition("day").write.partitionBy("day").text(folder)
+
+
+@register("landed_listings", f"select 'e' || (o_custkey % 20) as entity, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') as day, {_pick_sql('o_orderkey', *(repr(f) for f in _FORMS))} as form, o_orderkey::varchar as accession from orders where o_orderkey % 10 <> 0 and o_orderkey % 3 = 1 and o_orderdate >= timestamp '1997-03-01' and o_orderdate < timestamp '1999-01-01'")
+def landed_listings(spark: S, d: str) -> DataFrame:
+    """Listings landed as files and read through their data source, with the days and the form pushed into it."""
+    folder = f"{shared_dir(spark)}/listings-{uuid.uuid4().hex}"
+    land_listings(spark, d, folder)
+    ship_package(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(landed.ListingSource)
+    got = spark.read.format("landed_listings").load(folder)
+    return got.where("day >= '1997-03-01' and day < '1999-01-01' and form = '8-K'").select("entity", "day", "form", "accession")
