@@ -290,7 +290,7 @@ def _harmonic(n: str) -> str:
     f"""with c as (select row_number() over () as id, c_nationkey, c_acctbal as x, c_acctbal * 0.5 + c_nationkey + (c_custkey % 17) * 300 as y from customer), d as (select a.c_nationkey, a.id, abs(a.x - b.x) as dx, abs(a.y - b.y) as dy from c a join c b on a.c_nationkey = b.c_nationkey and a.id <> b.id),
     e as (select id, list_extract(list_sort(list(greatest(dx, dy))), 3) as eps from d group by id having count(*) >= 3), k as (select c_nationkey, id, count(*) filter (where dx < eps) as nx, count(*) filter (where dy < eps) as ny from d join e using (id) group by all),
     m as (select c_nationkey, avg({_harmonic('nx + 1')} + {_harmonic('ny + 1')}) as s from k group by c_nationkey), n as (select c_nationkey, count(*) as n from customer group by c_nationkey)
-    select c_nationkey, n, round(greatest({_harmonic('3')} + {_harmonic('n')} - s, 0), 6) as mi from n left join m using (c_nationkey)""",
+    select c_nationkey, n, case when s is not null then round(greatest({_harmonic('3')} + {_harmonic('n')} - s, 0), 6) end as mi from n left join m using (c_nationkey)""",
 )
 def mutual_info(spark: S, d: str) -> DataFrame:
     c = table(spark, d, "customer").withColumn("y", F.col("c_acctbal") * 0.5 + F.col("c_nationkey") + (F.col("c_custkey") % 17) * 300)
