@@ -17,7 +17,7 @@ MIX = {"op3_mixing": mixing.oracle()}
 @pytest.mark.parametrize("name", sorted(queries.ORACLES | MIX))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     cols = ["doc_id", "size", "source_size", "target", "taken"] if name in MIX else sorted(df.columns)
