@@ -116,11 +116,16 @@ def title_matches(title: Column, company: Column, ticker: Column, year: Column,
     return named & F.contains(t, F.concat(F.lit("q"), quarter.cast("string"))) & F.exists(year_tokens(year), lambda y: F.contains(t, y))
 
 
+#: Speaker marks and headings of a call's questions; how audio files begin.
+OPERATOR_MARK, QA_MARK = r"(?i)\bOperator\s*:", r"(?i)(question.{0,5}and.{0,5}answer|q\s*[&-]\s*a)"
+AUDIO_HEADS = ("494433", "4F676753", "664C6143", "52494646", "1A45DFA3")
+
+
 def classify_exhibit(content: Column, least_bytes: int = 30_000, least_operators: int = 3) -> Column:
     """struct(kind, operators, has_qa): transcript, mixed or press_release, by speaker marks and size in bytes."""
     text = F.regexp_replace(content, r"<[^>]+>", " ")
-    ops = F.regexp_count(text, F.lit(r"(?i)\bOperator\s*:"))
-    qa = F.rlike(text, F.lit(r"(?i)(question.{0,5}and.{0,5}answer|q\s*[&-]\s*a)"))
+    ops = F.regexp_count(text, F.lit(OPERATOR_MARK))
+    qa = F.rlike(text, F.lit(QA_MARK))
     kind = F.when((ops >= least_operators) & (F.octet_length(content) >= least_bytes), "transcript").when((ops > 0) | qa, "mixed").otherwise("press_release")
     return F.struct(kind.alias("kind"), ops.alias("operators"), qa.alias("has_qa"))
 
@@ -128,7 +133,7 @@ def classify_exhibit(content: Column, least_bytes: int = 30_000, least_operators
 def looks_like_audio(head: Column) -> Column:
     """Container signatures in the first bytes: ID3, OggS, fLaC, RIFF, EBML; ``ftyp`` at 4; an MPEG sync word."""
     h = F.hex(head)
-    known = [h.startswith(x) for x in ("494433", "4F676753", "664C6143", "52494646", "1A45DFA3")]
+    known = [h.startswith(x) for x in AUDIO_HEADS]
     hit = known[0]
     for k in known[1:]:
         hit = hit | k

@@ -12,8 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from docquarry.operators.ledger import cache_split
 from docquarry.session import ship_package
@@ -90,17 +93,23 @@ class Guard:
 
 
 def _mapped(df: DataFrame, columns: list[str], add: str, rows: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
-    """``columns`` of ``df`` and what ``rows()`` makes of each batch of them (one column a name of ``add``)."""
+    """``columns`` of ``df`` and what ``rows()`` makes of each batch of them (one column a name of ``add``). Kept columns never leave Arrow, so
+    that large keys stay as they are beside nulls; functions see such columns as Python's integers."""
     ship_package(df.sparkSession)
     kept = df.select(*columns)
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), add])
+    types = [to_arrow_type(f.dataType) for f in kept.schema.fields]
+    made = [(f.name, to_arrow_type(f.dataType)) for f in _parse_datatype_string(add).fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = rows()
         for b in batches:
-            yield pd.concat([b, one(b)], axis=1)
+            got = one(b.to_pandas(integer_object_nulls=True))
+            new = [pa.array(got[n].tolist(), t, from_pandas=True) for n, t in made]
+            yield pa.RecordBatch.from_arrays([*(c if c.type == t else c.cast(t) for c, t in zip(b.columns, types)), *new], [*kept_names, *(n for n, _ in made)])
 
-    return kept.mapInPandas(run, ddl)
+    kept_names = kept.columns
+    return kept.mapInArrow(run, ddl)
 
 
 def fetch(listing: DataFrame, url: str, get: Callable[[str], bytes], policy: Policy = Policy(usd=float("inf")), concurrency: int | None = None) -> DataFrame:

@@ -305,3 +305,11 @@ def test_backends_are_checked():
     for bad in (("cloud", "large", {}), ("hosted", "medium", {}), ("hosted", "large", {"base_url": "u"})):
         with pytest.raises(ValueError):
             calls.choose_backend(bad[0], bad[1], **bad[2])
+
+
+def test_calls_keep_large_keys_beside_null_ones(spark):
+    big = 9_007_199_254_740_993
+    df = spark.createDataFrame([(big, "a b"), (None, "c"), (big - 1, None)], "doc_id long, text string").coalesce(1)
+    got = calls.encode(df.where("text is not null"), "text", calls.hash_encoder(4), "document", 4)
+    assert {r["doc_id"] for r in got.collect()} == {big, None}
+    assert {r["doc_id"] for r in calls.fetch(df, "text", lambda u: b"x").collect()} == {big, big - 1, None}
