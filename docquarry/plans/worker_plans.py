@@ -41,9 +41,9 @@ def transcribe(spark: S, d: str) -> DataFrame:
     return calls.transcribe(segments, "conv_id", "turn", "audio", lambda b: b.decode())
 
 
-@register("score_passages", "select conv_id, turn, (length(text) - length(role))::double as scorer_score from conversations where text is not null")
+@register("score_passages", "select conv_id, turn, (length(coalesce(text, '')) - length(role))::double as scorer_score from conversations")
 def score_passages(spark: S, d: str) -> DataFrame:
-    hits = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", "role", "text")
+    hits = table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     return calls.score(hits, "role", "text", lambda q, t: [len(b) - len(a) for a, b in zip(q, t)]).select("conv_id", "turn", "scorer_score")
 
 
@@ -89,9 +89,9 @@ def quarantine_records(spark: S, d: str) -> DataFrame:
     return out
 
 
-@register("contextualise", "select doc_id, case when text in (select text from documents where doc_id % 3 = 0) then 'cached' else 'about ' || length(text) end as context from documents where text is not null and text <> ''")
+@register("contextualise", "with t as (select doc_id, coalesce(text, '') as text from documents) select doc_id, case when text in (select text from t where doc_id % 3 = 0) then 'cached' else 'about ' || length(text) end as context from t")
 def contextualise(spark: S, d: str) -> DataFrame:
-    chunks = table(spark, d, "documents").where("text is not null and text <> ''").select("doc_id", F.sha2("text", 256).alias("cache_key"), "text")
+    chunks = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", F.sha2("text", 256).alias("cache_key"), "text")
     cache = chunks.where("doc_id % 3 = 0").select("cache_key").distinct().withColumn("payload", F.lit("cached"))
     return calls.contextualise(chunks, "text", "cache_key", lambda t: f" about {len(t)} ", cache)[0].select("doc_id", "context")
 
