@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 from pyspark.sql import functions as F
 
+from docquarry.operators import lexical, retrieval
 from docquarry.plans import registry
 
 
@@ -25,3 +26,34 @@ def test_batch_cost_takes_the_first_row_of_a_job_in_table_order(spark, tmp_path)
         assert sorted(map(tuple, got.collect())) == sorted(duck.sql(f"select {names} from ({registry.oracle_sql()['batch_cost']})").fetchall())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_stems_in_python_equal_those_in_columns(spark):
+    words = "classes ponies dies gas bus cats running hopped sized tabled agreed feed y try sky fizzing conflated needing strasse día naïve ß ties 12s añadidas s es ing ed bring flies ﬁlled straßen élancées".split()
+    words += [a + b for a in ("ca", "bat", "tabl", "siz", "hopp", "agre", "ski", "oy", "é", "x") for b in ("", "s", "es", "ies", "sses", "ed", "eed", "ing", "y", "ys")]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", retrieval.stem(F.col("w"))).collect()
+    assert [(w, s) for w, s in got if s != retrieval.stem_word(w)] == []
+
+
+def test_index_is_built_without_a_shuffle_of_words(spark, tmp_path):
+    words = [f"w{k}x" for k in range(3000)]
+    docs = spark.createDataFrame([(k, " ".join(words[(7 * k + 13 * i) % 3000] for i in range(400))) for k in range(1000)], "doc_id long, text string").repartition(4)
+    path = str(tmp_path / "docs")
+    docs.write.parquet(path)
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(tracker.executorList(False).apply(i).totalShuffleWrite() for i in range(tracker.executorList(False).size()))
+    before = written()
+    index = lexical.LexicalIndex(spark, str(tmp_path / "index"))
+    assert index.add(spark.read.parquet(path)) == 1000
+    assert written() - before < 100_000  # keys and lengths; the words were several MB
+    assert index.postings().agg(F.sum("n")).first()[0] == 400_000
+    # a row repeated under one key is one document with all texts
+    twice = lexical.LexicalIndex(spark, str(tmp_path / "twice"))
+    assert twice.add(spark.createDataFrame([(1, "alpha beta"), (1, "alpha"), (2, "beta")], "doc_id long, text string")) == 2
+    posts = twice.postings().select("term", F.inline("posts"))
+    assert {tuple(r) for r in posts.collect()} == {("alpha", 1, 2, 3), ("beta", 1, 1, 3), ("beta", 2, 1, 1)}
+
+
+def test_a_side_without_weight_is_not_searched(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "index_of", None)
+    assert registry.queries()["hybrid_one_sided"](spark, "/root/testdata/sf0.001").count()
