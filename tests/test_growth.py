@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 from pyspark.sql import functions as F
 
-from docquarry.operators import lexical, retrieval
+from docquarry.operators import chunking, lexical, retrieval
 from docquarry.plans import registry
 
 
@@ -57,3 +57,30 @@ def test_index_is_built_without_a_shuffle_of_words(spark, tmp_path):
 def test_a_side_without_weight_is_not_searched(spark, monkeypatch):
     monkeypatch.setattr(lexical, "index_of", None)
     assert registry.queries()["hybrid_one_sided"](spark, "/root/testdata/sf0.001").count()
+
+
+def test_headers_are_tried_only_where_one_begins(monkeypatch):
+    tried = []
+
+    class Counted:
+        def __getattr__(self, name):
+            def run(text, *at):
+                tried.append(at)
+                return getattr(pattern, name)(text, *at)
+
+            return run
+
+    pattern = chunking._HEADERS
+    monkeypatch.setattr(chunking, "_HEADERS", Counted())
+    text = "Plain prose with items of interest. " * 500 + "ITEM 1A. Risk Factors xItem 2 Management's Discussion and Analysis of Financial Condition and Results of Operations, Properties"
+    got = [m.span() for m in chunking._headers(text)]
+    assert got == [m.span() for m in pattern.finditer(text)] and len(got) == 4 and len(tried) == 506 and all(at for at in tried)
+    odd = "Item 3. İtem 4. Legal Proceedingſ K"
+    assert [m.span() for m in chunking._headers(odd)] == [m.span() for m in pattern.finditer(odd)]
+
+
+def test_letters_of_a_window_stop_early():
+    page = chunking.Page("<p>" + "ab&amp;c<b>d</b> 12 " * 1000)
+    shown = [c for c in __import__("re").sub("<[^>]+>|&[^;]+;", "", page.html) if c.isalpha()]
+    assert page.shows_letters(0, len(page.html), len(shown)) and not page.shows_letters(0, len(page.html), len(shown) + 1)
+    assert "letters" not in vars(page)
