@@ -192,8 +192,7 @@ def combiner(spark: S, d: str) -> DataFrame:
     """Weights of signals that are known at the date: mean information coefficients over months against the shrunk correlations."""
     panel = _signals(spark, d)
     long = panel.select("month", "y", F.inline(F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).alias("x")) for s in SIGNALS)))).withColumn("date", F.concat_ws(":", "signal", "month"))
-    many = long.groupBy("date").count().where("count > 2").select("date")
-    ics = analytics.rank_ic(long.join(many, "date", "left_semi"), "date", "x", "y").groupBy(F.split("date", ":")[0].alias("signal")).agg(F.avg("ic").alias("ic"))
+    ics = analytics.rank_ic(long, "date", "x", "y", least=3).groupBy(F.split("date", ":")[0].alias("signal")).agg(F.avg("ic").alias("ic"))
     m = op.moments(panel, SIGNALS)
     inverse = op.signal_weights  # a catalogue of signals: its matrix is small whatever the rows
     found = {r["signal"]: r["ic"] for r in ics.collect()}
