@@ -92,6 +92,10 @@ class Guard:
         raise AssertionError
 
 
+#: So many rows of a batch become Python objects at once, whatever the batch holds.
+SLICE = 512
+
+
 def _mapped(df: DataFrame, columns: list[str], add: str, rows: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
     """``columns`` of ``df`` and what ``rows()`` makes of each batch of them (one column a name of ``add``). Kept columns never leave Arrow, so
     that large keys stay as they are beside nulls; functions see such columns as Python's integers."""
@@ -103,7 +107,7 @@ def _mapped(df: DataFrame, columns: list[str], add: str, rows: Callable[[], Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = rows()
-        for b in batches:
+        for b in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
             got = one(b.to_pandas(integer_object_nulls=True))
             new = [pa.array(got[n].tolist(), t, from_pandas=True) for n, t in made]
             yield pa.RecordBatch.from_arrays([*(c if c.type == t else c.cast(t) for c, t in zip(b.columns, types)), *new], [*kept_names, *(n for n, _ in made)])
