@@ -155,14 +155,15 @@ class Features:
         return list(out), list(out.values())
 
 
-def fit_linear(rows: list[tuple[list[int], list[float]]], label: np.ndarray, dims: int, ridge: float, steps: int = 600) -> np.ndarray:
+def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, dims: int, ridge: float, steps: int = 600) -> np.ndarray:
     """Logistic regression on soft labels; the last weight is the intercept. Accelerated gradient steps."""
     x = np.zeros((len(rows), dims + 1), np.float32)
     for i, (at, v) in enumerate(rows):
         x[i, at] = v
     x[:, -1] = 1
     wt = np.full(len(rows), 1 / max(len(rows), 1), np.float32)
-    step = 4.0 / float((wt[:, None] * x * x).sum(axis=0).sum() + 1e-9)
+    squares = [(wt[:, None] * part * part).sum(axis=0) for part in np.array_split(x, max(1, dims // 256), axis=1)]  # no second matrix
+    step = 4.0 / float(np.concatenate(squares).sum() + 1e-9)
     w, v = np.zeros(dims + 1, np.float32), np.zeros(dims + 1, np.float32)
     for t in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
@@ -229,11 +230,12 @@ def _fitted(seen: DataFrame, sampled: Callable[[float], DataFrame], p: QualityPa
         return Model(np.append(np.zeros(p.dims), 1.0).astype(np.float32), 1.0, np.zeros((len(LABELLERS), 2, 3)), p)
     prior, like, post = expectation_maximisation(counts, p.em_rounds)
     # about 1.5 times the bound pass the threshold, whatever the table's size, so that tasks send no more than that to the driver
-    sample = sampled(1.5 * p.train_docs / sum(counts.values())).orderBy("h").limit(p.train_docs).select("votes", "at", "val").collect()
-    if not sample:
+    sample = sampled(1.5 * p.train_docs / sum(counts.values())).orderBy("h").limit(p.train_docs).select("votes", "at", "val").toArrow()
+    if not sample.num_rows:
         return Model(np.append(np.zeros(p.dims), 1.0).astype(np.float32), prior, like, p)
-    label = np.array([post[r["votes"]] for r in sample], np.float32)
-    return Model(fit_linear([(r["at"], r["val"]) for r in sample], label, p.dims, p.ridge), prior, like, p)
+    label = np.array([post[v] for v in sample.column("votes").to_pylist()], np.float32)
+    rows = [(at.values.to_numpy(), val.values.to_numpy()) for at, val in zip(sample.column("at"), sample.column("val"))]
+    return Model(fit_linear(rows, label, p.dims, p.ridge), prior, like, p)
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", p: QualityParams = QualityParams()) -> Model:
