@@ -1,33 +1,39 @@
 """Main text of web pages: markup to blocks, then boilerplate found by suffix arrays over hosts' token streams.
 
 A page becomes blocks in page order, each either *declared* main content (inside ``article``, ``main`` or ``role=main``), *dropped*
-(inside menus, headers, footers, sidebars, notices, adverts, forms, comments, ...) or *open* (neither). Pages of a host meet in
-buckets of bounded size; a bucket's token streams are concatenated, a suffix array truncated at the least run length groups equal
-runs, and the buckets' counts of distinct pages are summed by host and run. Runs that occur on several distinct pages of the host are
-covered, however many buckets it fills. Covered stretches of open blocks are boilerplate and go; unique runs stay. Declared content
-takes part in the search but is never cut by it: whole articles are republished word for word, and coverage alone can't tell such
-copies from boilerplate.
+(inside menus, headers, footers, sidebars, notices, adverts, forms, comments, ...) or *open* (neither). The pages of every host are
+searched for runs: their token streams are concatenated in pieces of bounded size, a suffix array truncated at the least run length
+groups a piece's equal runs, and distinct pages are counted by host and run over all pieces. Only runs whose seed, a short part of
+the run, recurs can recur; the others are left out by a count of seeds before. Runs that occur on several distinct pages of the host are
+covered. Covered stretches of open blocks are boilerplate and go; unique runs stay. Declared content takes part in the search, and what
+of it is covered is counted, but never cut: whole articles are republished word for word, and coverage alone can't tell such copies
+from boilerplate.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from docquarry.llm.filters import BROADCAST_KEYS
 from docquarry.llm.near_dup import _mix
-from docquarry.session import materialize, ship_package
+from docquarry.session import discard, materialize, ship_package
 
-MIN_RUN, MIN_PAGES, BUCKET_BYTES = 8, 3, 256_000  # tokens; distinct pages of a host; html bytes of a bucket
+MIN_RUN, MIN_PAGES, BUCKET_BYTES = 8, 3, 2_000_000  # tokens; distinct pages of a host; bytes of streams of a piece
+ROWS = 256  # pages whose coverage is looked up at once
+#: Words of a seed; bits of the bitmap of seeds: an eighth of the streams' bytes, within these powers of two.
+SEED, _LEAST_BITS, _MOST_BITS = 5, 16, 28
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 #: Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -336,68 +342,152 @@ def repeated_runs(tokens: np.ndarray, page: np.ndarray, block: np.ndarray, min_r
     return _spread(at[_distinct_pages(rank, page[at], len(tokens) + 2)[rank] >= min_pages], len(tokens), min_run)
 
 
-def _word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+def _word_hashes(words: Iterable[str]) -> np.ndarray:
+    """A 64-bit hash of each word, the same in every process."""
+    return pd.util.hash_array(np.array([*words], object), categorize=False)
 
 
-def _run_hashes(host: str, words: np.ndarray, at: np.ndarray, min_run: int) -> np.ndarray:
-    """A 64-bit hash of (host, run) for the runs of ``words`` (hashes) that start ``at``: the same in every bucket."""
-    acc = np.full(len(at), _word_hash(host), np.uint64)
+def _run_hashes(hosts: np.ndarray, words: np.ndarray, at: np.ndarray, min_run: int) -> np.ndarray:
+    """A 64-bit hash of (host, run) for the runs of ``words`` (hashes) that start ``at``: the same in every piece. ``hosts``: each run's host's
+    hash."""
+    acc = hosts.copy()
     for i in range(min_run):
         acc = _mix(acc + words[at + i] * np.uint64(2 * i + 3))
     return acc.view(np.int64)
 
 
 def _streams(rows: list[list[tuple[str, str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The rows' concatenated words: (id, hash, stretch, row) of each word. A row's open blocks are one stretch, so that runs of short
-    ones count; any other block is a stretch of its own."""
+    """The rows' concatenated words: (id, hash, stretch, row) of each word, by ``page_streams``."""
+    got = [[s for _, s in page_streams(blocks)] for blocks in rows]
     ids: dict[str, int] = {}
-    stream, owner, sizes = [], [], []
-    for i, blocks in enumerate(rows):
-        for words in [" ".join(t for s, t in blocks if s == "open").split(" "), *(t.split(" ") for s, t in blocks if s != "open")]:
-            stream += [ids.setdefault(w, len(ids)) for w in words]
-            owner.append(i)
-            sizes.append(len(words))
-    tokens, stretch = np.array(stream, np.int64), np.repeat(np.arange(len(sizes)), sizes)
-    hashes = np.fromiter(map(_word_hash, ids), np.uint64, len(ids))
-    return tokens, hashes[tokens], stretch, np.array(owner, np.int64)[stretch]
-
-
-def bucket_runs(host: str, pages: np.ndarray, rows: list[list[tuple[str, str]]], min_run: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(hash, distinct pages, pages that may lose it) of each run of one bucket. ``pages``: the page of each row."""
-    tokens, hashes, block, row = _streams(rows)
-    at, rank = _run_ranks(tokens, block, min_run)
-    _, first, run = np.unique(rank, return_index=True, return_inverse=True)
-    number = np.unique(pages, return_inverse=True)[1]
-    counts = _distinct_pages(run, number[row[at]], len(first))
-    cuttable = np.array([needs_coverage(b, min_run) for b in rows], bool)
-    mine = cuttable[row[at]]
-    pairs = np.unique(np.stack([run[mine], pages[row[at]][mine]]), axis=1)
-    owners = np.split(pairs[1], np.searchsorted(pairs[0], np.arange(1, len(first)))) if len(first) else []
-    return _run_hashes(host, hashes, at[first], min_run), counts, owners
-
-
-def needs_coverage(blocks: list[tuple[str, str]], min_run: int = MIN_RUN) -> bool:
-    """Whether a page has blocks that coverage may cut: open ones, of ``min_run`` words together, on a page without declared content."""
-    return all(s != "declared" for s, _ in blocks) and sum(t.count(" ") + 1 for s, t in blocks if s == "open") >= min_run
-
-
-def main_text(host: str, blocks: list[tuple[str, str]], frequent: np.ndarray, min_run: int = MIN_RUN) -> str:
+    words = [s.split(" ") for streams in got for s in streams]
+    tokens = np.array([ids.setdefault(w, len(ids)) for ws in words for w in ws], np.int64)
+    stretch = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    hashes = _word_hashes(ids)
+    owner = np.repeat(np.arange(len(got)), [len(x) for x in got])
+    return tokens, hashes[tokens], stretch, owner[stretch]
+
+
+def page_streams(blocks: list[tuple[str, str]]) -> list[tuple[bool, str]]:
+    """(whether it is of the page's main text, words) of a page's token streams. Its open blocks are one, so that runs of short ones count; any
+    other block is a stream of its own. Main are the declared ones, or the open one where there are none."""
+    declared = any(s == "declared" for s, _ in blocks)
+    open_ = " ".join(t for s, t in blocks if s == "open")
+    return [(not declared, open_)] * bool(open_) + [(s == "declared", t) for s, t in blocks if s != "open"]
+
+
+@dataclass
+class Piece:
+    """Token streams of some pages, concatenated: per word its id and hash, its stretch (stream) and row; per row its host's hash, its page; per
+    stretch whether it is of the main text."""
+
+    tokens: np.ndarray
+    hashes: np.ndarray
+    stretch: np.ndarray
+    row: np.ndarray
+    hosts: np.ndarray
+    pages: np.ndarray
+    main: np.ndarray
+
+    def seeds(self, min_run: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray]:
+        """(start, seed) of each run of ``min_run`` words. Equal runs of a host have equal seeds, and a seed changes with few of a text's
+        runs: it is the least hash of ``SEED`` words in the run."""
+        w, n = self.hashes, len(self.hashes)
+        at = np.arange(max(n - min_run + 1, 0))
+        at = at[self.stretch[at] == self.stretch[at + min_run - 1]]
+        if not len(at):
+            return at, np.empty(0, np.uint64)
+        short = sum((w[j : n - SEED + 1 + j] * _ODD[j] for j in range(SEED)), np.zeros(n - SEED + 1, np.uint64))
+        short = _mix(short + self.hosts[self.row[: n - SEED + 1]])
+        least = short[at]
+        for j in range(1, min_run - SEED + 1):
+            least = np.minimum(least, short[at + j])
+        return at, _mix(least)  # least hashes are small; mixed again they are spread evenly
+
+
+def _pieces(batch: pa.RecordBatch, most_bytes: int) -> Iterator[Piece]:
+    """``batch`` (host, page, main, streams) as pieces of at most ``most_bytes`` of text, or one page."""
+    batch = batch.take(pc.sort_indices(batch.column(0)))
+    size = np.cumsum(pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < batch.num_rows:
+        to = max(int(np.searchsorted(size, (size[i - 1] if i else 0) + most_bytes, "right")), i + 1)
+        part = batch.slice(i, to - i)
+        i = to
+        streams = pc.split_pattern(part.column(3), "\n")
+        of_row = pc.list_parent_indices(streams).to_numpy()
+        split = pc.split_pattern(streams.flatten(), " ")
+        stretch = pc.list_parent_indices(split).to_numpy()
+        words = split.flatten().dictionary_encode()
+        tokens = words.indices.to_numpy().astype(np.int64)
+        hashes = _word_hashes(words.dictionary.to_pylist())
+        main = np.frombuffer("".join(part.column(2).to_pylist()).encode(), np.uint8) == ord("m")
+        yield Piece(tokens, hashes[tokens], stretch, of_row[stretch], _word_hashes(part.column(0).to_pylist()), part.column(1).to_numpy(), main)
+
+
+def piece_runs(p: Piece, hot: Callable[[np.ndarray], np.ndarray], min_run: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, page, whether it is in the page's main text) of the runs whose seeds are ``hot``, each run and page once. A suffix array over the
+    stretches that hold such runs, host by host, tells equal runs."""
+    at, seeds = p.seeds(min_run)
+    at = at[hot(seeds)]
+    out = []
+    bounds = np.flatnonzero(np.r_[True, p.hosts[1:] != p.hosts[:-1], True])
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        own = at[(p.row[at] >= lo) & (p.row[at] < hi)]
+        if not len(own):
+            continue
+        start, end = np.searchsorted(p.row, [lo, hi])
+        kept = start + np.flatnonzero(_spread(own - start, end - start, min_run))
+        # what isn't covered is left out, so the stretches on both sides of it are told apart
+        block = np.cumsum(np.r_[True, (np.diff(kept) > 1) | (np.diff(p.stretch[kept]) != 0)])
+        begin, rank = _run_ranks(p.tokens[kept], block, min_run)
+        begin, rank = kept[begin], rank[np.isin(kept[begin], own)]
+        begin = begin[np.isin(begin, own)]
+        _, first, run = np.unique(rank, return_index=True, return_inverse=True)
+        number, page = np.unique(p.pages[p.row[begin]], return_inverse=True)
+        each, where = np.unique(run * len(number) + page, return_inverse=True)
+        main = np.bincount(where, weights=p.main[p.stretch[begin]], minlength=len(each)) > 0
+        out.append((_run_hashes(np.repeat(p.hosts[lo], len(first)), p.hashes, begin[first], min_run)[each // len(number)], number[each % len(number)], main))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+
+
+def main_text(host: str, blocks: list[tuple[str, str]], frequent: np.ndarray) -> str:
     """The main text of a page, without the runs whose hashes are ``frequent``: see the module."""
-    if any(s == "declared" for s, _ in blocks):
-        return "\n".join(t for s, t in blocks if s == "declared")
-    rest = [b for b in blocks if b[0] == "open"]
-    if not len(frequent) or not rest:
-        return "\n".join(t for _, t in rest)
-    tokens, hashes, stretch, _ = _streams([rest])
-    at, _ = _run_ranks(tokens, stretch, min_run)
-    at = at[np.isin(_run_hashes(host, hashes, at, min_run), frequent)]
-    block = np.repeat(np.arange(len(rest)), [t.count(" ") + 1 for _, t in rest])
+    return covered_texts([host], [main_blocks(blocks)], frequent)[0][0]
+
+
+def main_blocks(blocks: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The declared ones, or the open ones of a page without any."""
+    return [b for b in blocks if b[0] == "declared"] or [b for b in blocks if b[0] == "open"]
+
+
+def covered_texts(hosts: list[str], rows: list[list[tuple[str, str]]], frequent: np.ndarray, min_run: int = MIN_RUN) -> list[tuple[str, int]]:
+    """(main text, how many words of the main blocks lie in runs whose hashes are ``frequent``) of each row, given its ``main_blocks``. A
+    hash is of a run on a host, so what is frequent for one row is for all."""
+    out = [("\n".join(t for _, t in blocks), 0) for blocks in rows]
+    if not len(frequent):
+        return out
+    _, hashes, stretch, row = _streams(rows)
+    at = np.arange(max(len(hashes) - min_run + 1, 0))
+    at = at[stretch[at] == stretch[at + min_run - 1]]
+    at = at[np.isin(_run_hashes(_word_hashes(hosts)[row[at]], hashes, at, min_run), frequent)]
+    covered = _spread(at, len(hashes), min_run)
+    starts, firsts = np.searchsorted(row, np.arange(len(rows) + 1)), np.searchsorted(row[at], np.arange(len(rows) + 1))
+    for i, n in enumerate(np.bincount(row, weights=covered, minlength=len(rows)).astype(int).tolist()):
+        if n:
+            cut = rows[i][0][0] == "open"
+            out[i] = (_uncovered(rows[i], at[firsts[i] : firsts[i + 1]] - starts[i], covered[starts[i] : starts[i + 1]], min_run) if cut else out[i][0], n)
+    return out
+
+
+def _uncovered(blocks: list[tuple[str, str]], at: np.ndarray, covered: np.ndarray, min_run: int) -> str:
+    """The text of open blocks without what frequent runs, which start ``at``, cover."""
+    block = np.repeat(np.arange(len(blocks)), [t.count(" ") + 1 for _, t in blocks])
     # a run across blocks takes only blocks that are covered from end to end, so that it doesn't behead the text after it
-    whole = np.bincount(block, weights=~_spread(at, len(tokens), min_run), minlength=len(rest)) == 0
-    gone = _spread(at[block[at] == block[at + min_run - 1]], len(tokens), min_run) | whole[block]
+    whole = np.bincount(block, weights=~covered, minlength=len(blocks)) == 0
+    gone = _spread(at[block[at] == block[at + min_run - 1]], len(covered), min_run) | whole[block]
     kept, start = [], 0
-    for _, text in rest:
+    for _, text in blocks:
         words = text.split(" ")
         left = " ".join(w for w, c in zip(words, gone[start : start + len(words)]) if not c)
         if left:
@@ -406,81 +496,120 @@ def main_text(host: str, blocks: list[tuple[str, str]], frequent: np.ndarray, mi
     return "\n".join(kept)
 
 
-_LETTER = {"declared": "m", "open": "o", "dropped": "d"}
-_STATE = {v: k for k, v in _LETTER.items()}
-
-
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(key, url, text) of every row. Null or empty html: empty text. Null url: a host of its own. Repeated rows stay, and those of
+    """(key, url, text, n_covered) of every row. Null or empty html: empty text. Null url: a host of its own. Repeated rows stay, and those of
     one key and url are one page, so that none is covered by its own repeats. Empty table: no rows. Other columns are not read.
 
-    All pages are parsed once, without a shuffle. Only hosts with a page that coverage may cut go on: their blocks meet by (host, bucket),
-    hosts above ``bucket_bytes`` in as many buckets as they fill, all rows of a page in one of them; so a run's distinct pages are the
-    sum over its host's buckets. Hashes (64 bits) of the runs on enough pages are joined back to the pages that hold them."""
+    ``n_covered``: words of the page's main blocks in runs of ``MIN_RUN`` words that are on ``MIN_PAGES`` pages of its host or more. All hosts are
+    searched, and every page's row is made from its blocks and what covers them.
+
+    Streams stay where their pages are read. First seeds of runs, cut to at most 44 bits, are counted, by ranges of seeds; seeds on enough rows are
+    marked in a bitmap of bounded size, which lets some others pass but none of those out. Then only runs with a marked seed are ranked by
+    suffix arrays, in pieces of ``bucket_bytes``, and their pages counted by 64-bit hashes over the whole host. The runs that are on
+    enough pages meet the pages that hold them."""
     spark = pages.sparkSession
     ship_package(spark)
     own = pages.select(F.col(key).alias("k"), F.col(url).alias("url"), F.col(page).alias("html"), host_of(F.col(url)).alias("host"), F.xxhash64(F.lit(0), F.col(key), F.lit(1), F.col(url)).alias("page"))
     kind, key_type = pages.schema[key].dataType.simpleString(), to_arrow_type(pages.schema[key].dataType)
-    none = np.empty(0, np.int64)
-
-    def lists(blocks: list[tuple[str, str]]) -> tuple[str, str]:
-        return "".join(_LETTER[s] for s, _ in blocks), "\n".join(t for _, t in blocks)
 
-    def pairs(states: str, texts: str) -> list[tuple[str, str]]:
-        return [(_STATE[s], t) for s, t in zip(states, texts.split("\n"))]
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [blocks_of(h.as_py()) if h.is_valid else [] for h in b.column(2)]
-            need = [needs_coverage(x) for x in got]
-            # the text as it is, or the blocks that it will be cut from
-            rows = [lists([y for y in x if y[0] == "open"]) if n else (None, main_text("", x, none)) for x, n in zip(got, need)]
-            yield table([b.column(i) for i in (0, 1, 3, 4)], {"states": [r[0] for r in rows], "texts": [r[1] for r in rows]}, ["k", "url", "host", "page"])
+            # shorter ones hold no run
+            got = [[x for x in page_streams(blocks_of(h.as_py())) if x[1].count(" ") >= MIN_RUN - 1] for h in b.column(2)]
+            rows = [("".join("m" if m else "-" for m, _ in g), "\n".join(t for _, t in g)) for g in got]
+            t = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m for m, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.string())], ["host", "page", "main", "streams"])
+            yield t.filter(pc.not_equal(t.column(2), ""))
 
-    def parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [lists(blocks_of(h.as_py())) for h in b.column(2)]
-            yield table([b.column(0), b.column(1)], {"states": [r[0] for r in rows], "texts": [r[1] for r in rows]}, ["host", "page"])
-
-    def meet(b: pd.DataFrame) -> pd.DataFrame:
-        hashes, counts, owners = bucket_runs(b["host"].iloc[0], b["page"].to_numpy(), [pairs(*x) for x in zip(b["states"], b["texts"])])
-        return pd.DataFrame({"run": hashes, "pages": counts, "owners": owners})
+            main = [main_blocks(blocks_of(h.as_py())) if h.is_valid else [] for h in b.column(2)]
+            made = [zlib.compress("\n".join([g[0][0] if g else "", *(t for _, t in g)]).encode(), 2) for g in main]
+            yield table([b.column(i) for i in (0, 1, 3, 4)], [pa.array(made, pa.binary())], ["k", "url", "host", "page", "blocks"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            host, states, texts, frequent = (b.column(i) for i in range(2, 6))
-            rows = [main_text(h.as_py(), pairs(s.as_py(), t.as_py()), f.values.to_numpy() if f.is_valid else none) for h, s, t, f in zip(host, states, texts, frequent)]
-            yield table([b.column(0), b.column(1)], {"text": rows}, ["k", "url"])
-
-    def table(kept: list[pa.Array], made: dict[str, list], names: list[str]) -> pa.RecordBatch:
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                b = whole.slice(i, ROWS)
+                rows = []
+                for z in b.column(3).to_pylist():
+                    state, *texts = zlib.decompress(z).decode().split("\n")
+                    rows.append([(state, t) for t in texts])
+                held = np.flatnonzero(b.column(4).is_valid())
+                got = [("\n".join(t for _, t in x), 0) for x in rows]
+                hosts, runs = b.column(2).to_pylist(), b.column(4).flatten().to_numpy()
+                for j, x in zip(held, covered_texts([hosts[j] for j in held], [rows[j] for j in held], runs)):
+                    got[j] = x
+                yield table([b.column(0), b.column(1)], [pa.array([t for t, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], ["k", "url", "text", "n_covered"])
+
+    def table(kept: list[pa.Array], made: list[pa.Array], names: list[str]) -> pa.RecordBatch:
         # what is carried along never leaves Arrow, so that keys stay as they are beside nulls
         kept = [c.cast(key_type) if n == "k" else c for n, c in zip(names, kept)]
-        return pa.RecordBatch.from_arrays([*kept, *(pa.array(v, pa.string()) for v in made.values())], [*names, *made])
-
-    named = (F.col("k").alias(key), F.col("url").alias(url), "text")
-    parsed = materialize(own.mapInArrow(parse, f"k {kind}, url string, host string, page long, states string, texts string"), "html-parsed")
-    plain = parsed.where("states is null").select("k", "url", F.col("texts").alias("text"))
-    open_ = parsed.where("states is not null")
-    hosts = open_.select("host").distinct()
-    n_hosts = hosts.limit(BROADCAST_KEYS + 1).count()
-    if not n_hosts:
-        return plain.select(*named)
-    if n_hosts <= BROADCAST_KEYS:
-        hosts = F.broadcast(hosts)
-    ours = own.where(F.length("html") > 0).join(hosts, "host", "left_semi")
-    large = (
-        ours.groupBy("host").agg(F.sum(F.octet_length("html")).alias("b")).where(F.col("b") > bucket_bytes)
-        .select("host", F.ceil(F.col("b") / bucket_bytes).cast("int").alias("salts"))
-    )
-    # equal rows of a page count once anyway
-    blocks = ours.select("host", "page", "html").mapInArrow(parse_all, "host string, page long, states string, texts string").distinct()
-    dealt = blocks.join(large, "host", "left").withColumn("bucket", F.expr("pmod(page, coalesce(salts, 1))")).drop("salts")
-    runs = materialize(dealt.groupBy("host", "bucket").applyInPandas(meet, "run long, pages long, owners array<long>"), "html-runs")
-    frequent = runs.groupBy("run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= MIN_PAGES).select("run")
-    held = runs.where(F.size("owners") > 0).join(frequent, "run", "left_semi").select(F.explode("owners").alias("page"), "run").groupBy("page").agg(F.collect_list("run").alias("frequent"))
-    done = open_.join(held, "page", "left").select("k", "url", "host", "states", "texts", "frequent").mapInArrow(cut, f"k {kind}, url string, text string")
-    return plain.unionByName(done).select(*named)
+        return pa.RecordBatch.from_arrays([*kept, *made], names)
+
+    parsed = own.where(F.length("html") > 0).select("host", "page", "html").mapInArrow(streams, "host string, page long, main string, streams string")
+    read = materialize(parsed, "html-streams", compression="zstd")
+    size = read.agg(F.sum(F.octet_length("streams"))).first()[0] or 0
+    marks = spark.sparkContext.broadcast(_marked_seeds(read, size, bucket_bytes))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.frombuffer(marks.value, np.uint8)
+        for b in batches:
+            for p in _pieces(b, bucket_bytes):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in piece_runs(p, lambda s: _is_marked(s, hot))], ["run", "page", "main"])
+
+    pairs = read.mapInArrow(meet, "run long, page long, main boolean").groupBy("run", "page").agg(F.max("main").alias("main"))
+    pairs = materialize(pairs, "html-runs", compression="zstd")
+    discard(read)
+    frequent = pairs.groupBy("run").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES).select("run")
+    held = materialize(pairs.where("main").join(frequent, "run", "left_semi").groupBy("page").agg(F.collect_list("run").alias("frequent")), "html-held", compression="zstd")
+    discard(pairs)
+    rows = own.select("k", "url", "html", "host", "page").mapInArrow(parse, f"k {kind}, url string, host string, page long, blocks binary")
+    done = rows.join(held, "page", "left").select("k", "url", "host", "blocks", "frequent").mapInArrow(cut, f"k {kind}, url string, text string, n_covered long")
+    return done.select(F.col("k").alias(key), F.col("url").alias(url), "text", "n_covered")
+
+
+def _marked_seeds(read: DataFrame, size: int, bucket_bytes: int) -> bytes:
+    """A bitmap that has a bit set for each seed that is on ``MIN_PAGES`` rows or more of ``read``: (host, page, main, streams), ``size`` bytes."""
+    bits = 1 << min(max(int(size // 8).bit_length(), _LEAST_BITS), _MOST_BITS)
+    parts = 1 << min(max(int(size >> 24).bit_length(), 4), 12)
+    shift = np.uint64(64 - (parts.bit_length() - 1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in _pieces(b, bucket_bytes):
+                at, seeds = p.seeds()
+                row = p.row[at]
+                fresh = np.r_[True, (seeds[1:] != seeds[:-1]) | (row[1:] != row[:-1])][: len(seeds)]
+                seeds = np.sort(seeds[fresh])
+                # three of one seed say as much as more
+                seeds = seeds[np.r_[np.ones(MIN_PAGES, bool), seeds[MIN_PAGES:] != seeds[:-MIN_PAGES]][: len(seeds)]]
+                part = (seeds >> shift).astype(np.int32)
+                names, first = np.unique(part, return_index=True)
+                ends = [*first[1:], len(part)]
+                low = seeds.astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([low[i:j].tobytes() for i, j in zip(first, ends)], pa.binary())], ["part", "seeds"])
+
+    def mark(t: pa.Table) -> pa.Table:
+        low = np.frombuffer(b"".join(t.column("seeds").to_pylist()), np.uint32)
+        seed, n = np.unique(low, return_counts=True)
+        flags = np.zeros(bits // parts, bool)
+        flags[seed[n >= MIN_PAGES] & np.uint32(bits // parts - 1)] = True
+        return pa.table({"part": t.column("part").slice(0, 1), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    marked = read.mapInArrow(count, "part int, seeds binary").groupBy("part").applyInArrow(mark, "part int, bits binary")
+    out, each = bytearray(bits // 8), bits // parts // 8
+    for r in marked.toLocalIterator():
+        out[r["part"] * each : (r["part"] + 1) * each] = r["bits"]
+    return parts.to_bytes(4, "little") + bytes(out)
+
+
+def _is_marked(seeds: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    parts = int.from_bytes(marks[:4].tobytes(), "little")
+    flags = marks[4:]
+    each = len(flags) * 8 // parts
+    bit = (seeds >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int64) * each + (seeds & np.uint64(min(each - 1, 0xFFFFFFFF))).astype(np.int64)
+    return (flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1

@@ -46,7 +46,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_covered")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -349,6 +349,28 @@ def test_html_against_brute_force(spark, bucket_bytes):
     assert sum(want[k] != plain[k] for k in want if plain[k]) > 10  # coverage decides
 
 
+@pytest.mark.parametrize("bucket_bytes", [2_000_000, 3_000])
+def test_html_declared_pages_are_searched(spark, bucket_bytes):
+    """Given pages as they are: all have articles, which coverage counts and never cuts."""
+    given = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [(int(k), f"http://h{k % 2}.org/{k}", h) for k, h in zip(given.page_id, given.html)]
+    seen: dict = {}
+    for k, u, h in rows:
+        for s, t in html_text.blocks_of(h or ""):
+            w = t.split(" ")
+            for i in range(len(w) - 7):
+                seen.setdefault((u[:9], *w[i : i + 8]), set()).add(k)
+    want = {}
+    for k, u, h in rows:
+        want[k] = 0
+        for t in (t for s, t in html_text.blocks_of(h or "") if s == "declared"):
+            w = t.split(" ")
+            want[k] += len({j for i in range(len(w) - 7) if len(seen[(u[:9], *w[i : i + 8])]) >= 3 for j in range(i, i + 8)})
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), bucket_bytes=bucket_bytes).collect()
+    assert {r["page_id"]: r["n_covered"] for r in got} == want and sum(n > 0 for n in want.values()) > 5
+    assert {r["page_id"]: r["text"] for r in got} == {k: "\n".join(t for s, t in html_text.blocks_of(h or "") if s == "declared") for k, _, h in rows}
+
+
 def test_html_repeated_rows_of_a_page_do_not_cover_it(spark):
     own = "One page of nine words and it stands alone."
     rows = [(1, "http://a.org/1", f"<div>{own}</div>")] * 4 + [(None, "http://a.org/2", "<div>Another page of nine words that also stands alone.</div>")] * 3
