@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.operators.analytics import deflated_sharpe, normal_quantile
+from docquarry.session import materialize
+
+#: Up to so many entities with events are broadcast; beyond it, they are joined by shuffle.
+BROADCAST_ENTITIES = 1_000_000
 
 
 # --- labels -------------------------------------------------------------------------------------------------------------------------
@@ -35,13 +39,14 @@ def first_passage(prices: DataFrame, entity: str, day: str, close: str, sigma: s
 
 
 # --- event study --------------------------------------------------------------------------------------------------------------------
-def abnormal_returns(returns: DataFrame, entity: str, day: str, ret: str, estimation: int, gap: int, window: int, least: int) -> DataFrame:
-    """(entity, day, i, n, alpha, beta, car, lo, hi) of every row, as if an event took place at it: a market model fitted on the ``estimation``
+def abnormal_returns(returns: DataFrame, entity: str, day: str, ret: str, estimation: int, gap: int, window: int, least: int, events: DataFrame | None = None) -> DataFrame:
+    """(entity, day, i, n, alpha, beta, car, lo, hi) of every row, or of every row of the entities of ``events``, as if an event took place at it: a market model fitted on the ``estimation``
     rows that end ``gap`` rows before, and the return beyond it summed over the row and the ``window`` after, with its 95 % interval. The
-    market is the mean return of all entities on a day. Fits are differences of sums of products in one window; null where under ``least``
+    market is the mean return of all entities on a day, written, since it's one row a day. Fits are differences of sums of products in one window; null where under ``least``
     returns are there to fit, or the market stood still."""
-    market = returns.groupBy(day).agg(F.avg(ret).alias("__m"))
-    both = returns.join(market, day)
+    market = materialize(returns.groupBy(day).agg(F.avg(ret).alias("__m")), "market")
+    own = returns if events is None else only_of(returns, events, entity)
+    both = own.join(market, day)
     w = Window.partitionBy(entity).orderBy(day)
     fit, held = w.rowsBetween(-gap - estimation, -gap - 1), w.rowsBetween(0, window)
     use = F.col(ret).isNotNull()
@@ -59,6 +64,13 @@ def abnormal_returns(returns: DataFrame, entity: str, day: str, ret: str, estima
     return got.select(entity, day, "i", "n", "alpha", "beta", "car", (F.col("car") - F.col("__e")).alias("lo"), (F.col("car") + F.col("__e")).alias("hi"))
 
 
+def only_of(rows: DataFrame, events: DataFrame, entity: str) -> DataFrame:
+    """The rows of entities that ``events`` has."""
+    who = events.select(entity).distinct()
+    few = who.limit(BROADCAST_ENTITIES + 1).count() <= BROADCAST_ENTITIES
+    return rows.join(F.broadcast(who) if few else who, entity, "left_semi")
+
+
 def event_study(events: DataFrame, studied: DataFrame, entity: str, event: str, at: str, day: str) -> DataFrame:
     """(event, n, alpha, beta, car, lo, hi): each event with ``abnormal_returns`` of the first session strictly after its time; nulls where there
     is none. An event's session is the one after the last session known by then."""

@@ -54,8 +54,8 @@ _STUDY_SQL = f"""{_SIGMA_SQL}, mk as (select day, avg(r) as m from r1 group by d
 )
 def event_abnormal(spark: S, d: str) -> DataFrame:
     """An event for every order: the abnormal return of its supplier over the six sessions after it, by a market model of its own."""
-    studied = op.abnormal_returns(_returns(spark, d), "k", "day", "r", 60, 5, 5, 30)
     events = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("k"), "o_orderdate")
+    studied = materialize(op.abnormal_returns(_returns(spark, d), "k", "day", "r", 60, 5, 5, 30, events), "studied")
     got = op.event_study(events, studied, "k", "o_orderkey", "o_orderdate", "day")
     return got.select("o_orderkey", *((F.round(c, n) + 0.0).alias(c) for c, n in (("beta", 4), ("car", 5), ("lo", 4), ("hi", 4))))
 

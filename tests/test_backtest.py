@@ -61,6 +61,18 @@ def test_event_studies(spark):
     assert abs(got[3]["car"]) < 0.01 and got[4]["car"] is None and got[5]["car"] is None and got[6]["car"] is None and len(got) == 6
 
 
+def test_only_entities_with_events_are_fitted(spark, monkeypatch):
+    """Others make the market only; it is that of all."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(k, DAY + dt.timedelta(i), float(v)) for k in range(12) for i, v in enumerate(rng.normal(0, 0.01, 90))], "k int, day date, r double")
+    events = spark.createDataFrame([(1, 3, DAY), (2, 3, DAY), (3, 8, DAY), (4, 99, DAY), (5, None, DAY)], "id int, k int, at date")
+    rows = lambda x: sorted((tuple(round(v, 12) if isinstance(v, float) else v for v in r) for r in x.collect()), key=lambda r: r[:2])
+    want = [r for r in rows(backtest.abnormal_returns(df, "k", "day", "r", 60, 5, 2, 30)) if r[0] in (3, 8)]
+    assert rows(backtest.abnormal_returns(df, "k", "day", "r", 60, 5, 2, 30, events)) == want and any(r[6] is not None for r in want)
+    monkeypatch.setattr(backtest, "BROADCAST_ENTITIES", 1)
+    assert rows(backtest.abnormal_returns(df, "k", "day", "r", 60, 5, 2, 30, events)) == want
+
+
 def test_weights_are_carried_from_date_to_date(spark):
     rng = random.Random(3)
     rows = [(k, DAY + dt.timedelta(31 * m), k % 2, rng.gauss(0, 1), rng.choice([None, 0.1, 0.3, 0.0]), rng.choice([1e3, 1e6, None]), rng.gauss(0, 0.1)) for k in range(6) for m in range(20) if rng.random() < 0.8]
