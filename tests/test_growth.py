@@ -38,6 +38,15 @@ def test_stems_in_python_equal_those_in_columns(spark):
     assert [(w, s) for w, s in got if s != retrieval.stem_word(w)] == []
 
 
+def test_remembered_stems_are_bounded():
+    stems, most = {}, 0
+    for k in range(150):
+        words = ["running", *(f"w{k}x{i}s" for i in range(1000))]
+        assert lexical._stems_of(words, stems) == [retrieval.stem_word(w) for w in words]
+        most = max(most, len(stems))
+    assert most <= 102_000
+
+
 def test_index_is_built_without_a_shuffle_of_words(spark, tmp_path):
     words = [f"w{k}x" for k in range(3000)]
     docs = spark.createDataFrame([(k, " ".join(words[(7 * k + 13 * i) % 3000] for i in range(400))) for k in range(1000)], "doc_id long, text string").repartition(4)
