@@ -203,12 +203,13 @@ def cost_cap_running(spark: S, d: str) -> DataFrame:
 
 @register("batch_cost", "select l_returnflag as batch, count(*) as n, count(*) filter (where l_linestatus = 'O') as succeeded, sum(case when l_linestatus = 'O' then l_quantity else 0 end)::bigint as tokens, bool_and(l_linestatus = 'O') as all_succeeded from (select distinct on (l_orderkey, l_linenumber) * from (select * from lineitem union all select * from lineitem where l_orderkey % 10 = 0)) group by batch")
 def batch_cost(spark: S, d: str) -> DataFrame:
-    """Costs of batches whose jobs are partly sent twice. Of the rows of one job, the table's first counts: file by file, row by row."""
+    """Costs of batches whose jobs are partly sent twice. Of the rows of one job, the table's first counts: file by file, row by row.
+    Tokens of a batch are rounded once, halves to even."""
     at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", at.alias("at"), F.struct("l_returnflag", "l_linestatus", "l_quantity").alias("job"))
     once = li.unionByName(li.where("l_orderkey % 10 = 0")).groupBy("l_orderkey", "l_linenumber").agg(F.min_by("job", "at").alias("job")).select("job.*")
     ok = F.col("l_linestatus") == "O"
-    return once.groupBy(F.col("l_returnflag").alias("batch")).agg(F.count("*").alias("n"), F.count_if(ok).alias("succeeded"), F.sum(F.when(ok, F.col("l_quantity")).otherwise(0)).cast("long").alias("tokens"), F.bool_and(ok).alias("all_succeeded"))
+    return once.groupBy(F.col("l_returnflag").alias("batch")).agg(F.count("*").alias("n"), F.count_if(ok).alias("succeeded"), F.rint(F.sum(F.when(ok, F.col("l_quantity")).otherwise(0))).cast("long").alias("tokens"), F.bool_and(ok).alias("all_succeeded"))
 
 
 @register("outcome_counts", f"select form_type, count(*) filter (where status = 'ok') as persisted, count(*) filter (where status = 'error') as failed, count(*) filter (where status = 'no_coverage') as skipped from {LEDGER_SQL} group by form_type")

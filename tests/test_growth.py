@@ -31,6 +31,16 @@ def test_batch_cost_takes_the_first_row_of_a_job_in_table_order(spark, tmp_path)
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_batch_cost_rounds_tokens_as_its_sql_does(spark, tmp_path):
+    duck = duckdb.connect()
+    rows = "(1, 1, 'A', 'O', 1.25), (1, 2, 'A', 'O', 1.25), (2, 1, 'R', 'O', 2.5), (2, 2, 'R', 'O', 1.0), (3, 1, 'N', 'O', 0.75), (10, 1, 'N', 'F', 5.0), (10, 1, 'N', 'O', 7.0), (null, 1, 'X', null, 0.5), (null, 1, 'X', 'O', 0.5), (4, 1, null, 'O', null)"
+    duck.sql(f"copy (select a::bigint as l_orderkey, b::int as l_linenumber, c as l_returnflag, d as l_linestatus, e::double as l_quantity from (values {rows}) v(a, b, c, d, e)) to '{tmp_path}/lineitem.parquet'")
+    duck.sql(f"set threads = 1; create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    got = registry.queries()["batch_cost"](spark, str(tmp_path))
+    names = ", ".join(got.columns)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, duck.sql(f"select {names} from ({registry.oracle_sql()['batch_cost']})").fetchall()))
+
+
 def test_stems_in_python_equal_those_in_columns(spark):
     words = "classes ponies dies gas bus cats running hopped sized tabled agreed feed y try sky fizzing conflated needing strasse día naïve ß ties 12s añadidas s es ing ed bring flies ﬁlled straßen élancées".split()
     words += [a + b for a in ("ca", "bat", "tabl", "siz", "hopp", "agre", "ski", "oy", "é", "x") for b in ("", "s", "es", "ies", "sses", "ed", "eed", "ing", "y", "ys")]
