@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import duckdb
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -116,6 +117,43 @@ def test_ranks_sort_a_date_once_and_carry_no_other_column(spark):
     assert {r["d"]: round(r["ic"], 9) for r in got.collect()} == {d: round(float(pd.DataFrame([(x % 7, (x * 5) % 11) for x in range(40)]).corr("spearman").iloc[0, 1]), 9) for d in (1, 2)}
 
 
+def test_ic_of_all_horizons_has_t_and_decay_and_sorts_a_date_once_a_column(spark):
+    rng = np.random.default_rng(4)
+    rows = [(day, float(rng.integers(6)), *[float(x) if rng.random() < 0.8 else None for x in rng.integers(9, size=2)]) for day in range(12) for _ in range(30)]
+    rows += [(20, 1.0, float(x), float(x)) for x in range(5)] + [(21, float(x), 2.0, float(x)) for x in range(5)] + [(22, 1.0, 2.0, 3.0), (22, 2.0, 1.0, 3.0), (20, None, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "day int, s double, y1 double, y5 double")
+    got = analytics.ic_by_horizon(df, "day", "s", {1: "y1", 5: "y5"}, least=3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 3
+    want = {}
+    for h, y in ((1, "y1"), (5, "y5")):
+        for day, g in pd.DataFrame(rows, columns=["day", "s", "y1", "y5"]).dropna(subset=["s", y]).groupby("day"):
+            if len(g) >= 3:
+                want[h, day] = round(float(g["s"].rank().corr(g[y].rank())), 9) if g["s"].nunique() > 1 and g[y].nunique() > 1 else None
+    ics = {(r["horizon"], r["day"]): r["ic"] for r in got.collect()}
+    assert {k: None if x is None else round(x, 9) for k, x in ics.items()} == want and want[1, 20] is None and want[1, 21] is None and want[5, 21] == 1
+    stats = {r["horizon"]: r for r in analytics.ic_summary(got, "horizon", "ic").collect()}
+    for h in (1, 5):
+        x = pd.Series([v for (at, _), v in want.items() if at == h and v is not None])
+        assert stats[h]["n"] == len(x) and abs(stats[h]["mean"] - x.mean()) < 1e-8 and abs(stats[h]["t"] - x.mean() / (x.std() / len(x) ** 0.5)) < 1e-6
+        assert abs(stats[h]["decay"] - stats[h]["mean"] / stats[1]["mean"]) < 1e-9
+
+
+def test_ic_analysis_judges_each_date_at_all_horizons(spark, tmp_path):
+    duck = duckdb.connect()
+    # 5 keys, 30 days; the returns from the 12th to the 13th are 0, so that neither date has an information coefficient
+    close = "case when i % 30 = 12 then 100 + 7 * (((i - 1) * 37 + (i - 1) // 30 * 11) % 23) else 100 + 7 * ((i * 37 + i // 30 * 11) % 23) end"
+    duck.sql(f"copy (select i // 30 as l_suppkey, timestamp '2024-01-01' + interval 1 day * (i % 30) as l_shipdate, ({close})::double as l_extendedprice, 1.0::double as l_quantity from range(150) r(i) union all select 9, null, 5.0, 1.0) to '{tmp_path}/lineitem.parquet'")
+    duck.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    got = registry.queries()["ic_analysis"](spark, str(tmp_path))
+    names = ", ".join(got.columns)
+    rows = sorted(map(str, map(tuple, got.collect())))
+    assert rows == sorted(map(str, duck.sql(f"select {names} from ({registry.oracle_sql()['ic_analysis']})").fetchall()))
+    found = {(r["horizon"], r["day"]): r for r in got.collect()}
+    assert {h: sum(at == h for at, _ in found) for h in (1, 5, 20)} == {1: 28, 5: 24, 20: 9}
+    assert found[1, "2024-01-12"]["ic"] is None and found[1, "2024-01-13"]["ic"] is None and found[1, "2024-01-13"]["n"] == 26 and found[1, "2024-01-13"]["decay"] == 1
+
+
 def test_bootstrap_compares_digests_as_they_are(spark):
     df = spark.createDataFrame([(k, float(k % 13)) for k in range(300)], "k int, x double")
     got = analytics.bootstrap_means(df, "k", "x", 5)
